@@ -6,7 +6,8 @@ entries whatever the corpus, by a linear grouping scheme:
 1. Pieces longer than `small` are sorted by length and cut into groups of equal cardinality; every length
    of a group counts as the group's largest.
 2. Configurations (multisets of few group sizes that fit into one sequence) are chosen one after the other:
-   a knapsack over the groups that are left gives the fullest one, which is used as often as they allow.
+   a knapsack over the groups that are left gives the fullest one that holds the largest of them, which is
+   used as often as they allow.
 3. The pieces themselves take the places, largest first in each group. As they are no longer than their
    group's size, slack remains.
 4. The small pieces, longest first, go where they leave the least room: into the slack, then into new sequences.
@@ -180,16 +181,21 @@ def grouped(lengths: list[tuple[int, int]], groups: int) -> list[list[tuple[int,
 
 
 def fullest(sizes: list[int], left: list[int], capacity: int) -> list[int]:
-    """How many of each size make the fullest configuration, larger sizes first; bits of an integer are the sums that can be reached."""
-    reach, steps = 1, []
-    for k in sorted((k for k in range(len(sizes)) if left[k]), key=lambda k: -sizes[k]):
-        for _ in range(min(left[k], capacity // sizes[k])):
+    """How many of each size (largest first) make the fullest configuration with the largest that is left.
+
+    Bits of an integer are the sums that can be reached.
+    """
+    top = next(k for k, n in enumerate(left) if n)
+    reach, steps = 1 << sizes[top], []
+    for k in range(top, len(sizes)):
+        for _ in range(min(left[k] - (k == top), capacity // sizes[k])):
             new = (reach | reach << sizes[k]) & ((1 << capacity + 1) - 1)
             if new == reach:
                 break
             steps.append((k, reach))
             reach = new
     at, use = reach.bit_length() - 1, [0] * len(sizes)
+    use[top] = 1
     for k, before in reversed(steps):
         if not before >> at & 1:
             use[k] += 1
@@ -197,7 +203,7 @@ def fullest(sizes: list[int], left: list[int], capacity: int) -> list[int]:
     return use
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: int = 256, groups: int = 96) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: int = 256, groups: int = 1000) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Runs of sequences that hold the same lengths: (((length, how many), ...), how many sequences)."""
     lengths = sorted(((n, c) for n, c in histogram.items() if c and n < capacity), reverse=True)
     runs: list[tuple[list[int], int]] = []
@@ -279,7 +285,7 @@ def places(runs) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, small: int = 256, groups: int = 96) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, small: int = 256, groups: int = 1000) -> DataFrame:
     """`pieces` (of tokenised_pieces) with sequence_id and offset."""
     spark = pieces.sparkSession
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
