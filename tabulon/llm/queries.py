@@ -11,6 +11,18 @@ def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabulon.llm.exact_dedup import exact_groups
+
+    return exact_groups(_docs(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabulon.llm.mixing import mix
+
+    return mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabulon.llm.packing import pack_documents
 
@@ -22,4 +34,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tabulon.llm import exact_dedup, mixing
+
+    return {"op3_exact_dedup": exact_dedup.ORACLE, "op5_source_mixing": mixing.ORACLE}
