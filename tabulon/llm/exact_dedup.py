@@ -86,13 +86,15 @@ def exact_dedup(docs: DataFrame, share: float = 0.001) -> DataFrame:
     Of rows with the same text and doc_id one stays, whichever its other columns are.
     """
     dropped = exact_groups(docs, share).filter(~F.col("kept"))
-    out = docs.withColumn("_digest", F.unhex(F.sha2(normalised(), 256))).withColumn("_id", F.col("doc_id").cast("long"))
+    # as a struct, the columns of `docs` can't clash with those of the join
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.unhex(F.sha2(normalised(), 256)).alias("key"), F.col("doc_id").cast("long").alias("id"))
     # a dropped row is a copy with another doc_id, or one of several with the winner's
-    lost = dropped.groupBy("digest", F.col("doc_id").alias("lost")).agg(F.max(F.coalesce(F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False))).alias("repeated"))
-    joined = out.join(lost, (F.col("_digest") == F.col("digest")) & F.col("_id").eqNullSafe(F.col("lost")), "left")
+    winner = F.coalesce(F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False))
+    lost = dropped.groupBy("digest", F.col("doc_id").alias("lost")).agg(F.max(winner).alias("repeated"))
+    joined = rows.join(lost, (F.col("key") == F.col("digest")) & F.col("id").eqNullSafe(F.col("lost")), "left")
     single = joined.filter(F.col("digest").isNull())
-    repeated = joined.filter(F.col("repeated")).dropDuplicates(["_digest", "_id"])
-    return single.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = joined.filter(F.col("repeated")).dropDuplicates(["key", "id"])
+    return single.unionByName(repeated).select("row.*")
 
 
 ORACLE = r"""

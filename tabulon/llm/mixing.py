@@ -84,20 +84,18 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
     Rows that share a doc_id share the copies that `mix` gives them: each gets as many as the next of them.
     """
-    copies = mix(docs, weights, most, seed).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    # rows that agree in these are told apart by a number; one row a key, but for repeated rows
-    key = ["_id", "_source", "_size"]
-    taken = copies.groupBy(*key).agg(F.array_sort(F.collect_list("_copies")).alias("_each"))
-    named = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_source": F.col("source"), "_size": words()})
-    alone = taken.filter(F.size("_each") == 1).select(*key, F.col("_each")[0].alias("_copies"))
-    several = taken.filter(F.size("_each") > 1)
-    same = lambda other: F.lit(True) if not other else named["_id"].eqNullSafe(other["_id"]) & named["_source"].eqNullSafe(other["_source"]) & (named["_size"] == other["_size"])
-    columns = [named[f"`{c}`"] for c in docs.columns]
-    once = named.join(alone, same(alone)).select(*columns, alone["_copies"])
-    number = F.row_number().over(W.partitionBy(named["_id"], named["_source"], named["_size"]).orderBy(F.xxhash64("text")))
-    more = named.join(several, same(several)).select(*columns, several["_each"][number - 1].alias("_copies"))
-    repeated = once.unionByName(more).filter(F.col("_copies") > 0)
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies", "_copy")
+    key = ["m_id", "m_source", "m_size"]
+    copies = mix(docs, weights, most, seed).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies")
+    # one row a key, but for repeated rows; those are told apart by a number
+    taken = copies.groupBy(*key).agg(F.array_sort(F.collect_list("copies")).alias("each"))
+    # as a struct, the columns of `docs` can't clash with those of the join
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").alias("source"), words().alias("size"))
+    same = F.col("id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size"))
+    once = rows.join(taken.filter(F.size("each") == 1), same).select("row", F.col("each")[0].alias("copies"))
+    number = F.row_number().over(W.partitionBy("id", "source", "size").orderBy(F.xxhash64("row.text")))
+    several = rows.join(taken.filter(F.size("each") > 1), same).select("row", F.get("each", number - 1).alias("copies"))
+    emitted = once.unionByName(several).filter(F.col("copies") > 0)
+    return emitted.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 ORACLE = r"""

@@ -23,6 +23,12 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabulon.llm.langid_mixture import identify
+
+    return identify(_docs(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabulon.llm.packing import pack_documents
 
