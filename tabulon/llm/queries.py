@@ -11,6 +11,12 @@ def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabulon.llm.minhash_forest import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir), words=4)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabulon.llm.exact_dedup import exact_groups
 
