@@ -23,6 +23,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_docs(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabulon.llm.avi_media import media_digests
+
+    return media_digests(_docs(spark, sf_dir))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabulon.llm.mixing import mix
 
@@ -35,6 +41,12 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_docs(spark, sf_dir))
 
 
+def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabulon.llm.chunk_dedup import repeats
+
+    return repeats(_docs(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabulon.llm.packing import pack_documents
 
