@@ -17,6 +17,12 @@ def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir), words=4)
 
 
+def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabulon.llm.license_scan import licenses
+
+    return licenses(_docs(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabulon.llm.exact_dedup import exact_groups
 
@@ -35,6 +41,12 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabulon.llm.line_winnow import repeated_runs
+
+    return repeated_runs(_docs(spark, sf_dir))
+
+
 def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabulon.llm.langid_mixture import identify
 
@@ -58,6 +70,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tabulon.llm import exact_dedup, mixing
+    from tabulon.llm import exact_dedup, license_scan, mixing
 
-    return {"op3_exact_dedup": exact_dedup.ORACLE, "op5_source_mixing": mixing.ORACLE}
+    return {"op2_license_rules": license_scan.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op5_source_mixing": mixing.ORACLE}
