@@ -31,21 +31,28 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, written once to the shared checkpoint folder, so that a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share.
 
-    The folder is the one that spark.checkpoint.dir names. Where it is unset, a local master gets a
-    temporary folder; a cluster gets an error, as its machines share no local folder.
+    It is the one that spark.checkpoint.dir names. Where it is unset, a local master gets a temporary folder; a
+    cluster gets an error, as its machines share no local folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tabulon-checkpoint-")
-        sc.setCheckpointDir(folder)
+    now = sc._jsc.sc().getCheckpointDir()
+    if now.isDefined():
+        return now.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tabulon-checkpoint-")
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df`, written once to the shared folder, so that a lost executor costs no recomputation of what led to it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tabulon.llm.common import ship
 
@@ -103,16 +102,16 @@ class Model:
 def train(docs: DataFrame, per_lang: int = 1500, max_langs: int = 2000) -> Model:
     """Learn from text and lang of the labelled documents that are not held out.
 
-    At most `per_lang` documents of each language are used, those whose doc_ids have the smallest hashes: a
-    bound that the corpus doesn't move. More than `max_langs` languages are an error.
+    Of each language about `per_lang` documents are used, or all if it has fewer: those whose doc_ids' hashes are
+    below a share of their range, a bound that the corpus doesn't move and that needs no task to see a whole
+    language. More than `max_langs` languages are an error.
     """
     spark = docs.sparkSession
     ship(spark)
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("lang", "doc_id").withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= per_lang).select("doc_id").distinct()
-    # per_lang * max_langs ids at most
-    chosen = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
+    per = labelled.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("rows"))  # max_langs rows at most
+    range_of = 1 << 20
+    chosen = labelled.join(F.broadcast(per), F.col("lang") == F.col("of")).filter(F.pmod(F.xxhash64("doc_id"), F.lit(range_of)) * F.col("rows") < per_lang * range_of).select("lang", "text")
     counts = chosen.mapInArrow(_count_batches, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     by_lang: dict[str, np.ndarray] = {}
     for r in counts.toLocalIterator():

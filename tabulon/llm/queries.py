@@ -65,6 +65,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_docs(spark, sf_dir))
 
 
+def op10_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabulon.llm.chat_quotes import reply_ordered
+
+    return reply_ordered(_docs(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
