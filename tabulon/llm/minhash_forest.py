@@ -6,7 +6,7 @@ each other. In a large one the depth grows until the runs are small, so candidat
 longest common prefix, and neighbouring runs are chained. Candidates are confirmed on the full shingle sets and
 the links joined to components. Where a large region still holds several components, what the depth parted
 is made good: their representatives are compared in turn, then each document outside the region's largest
-component with all others there, by the signatures first and the sets after.
+component with all of the region, in blocks that hold their sets and emit links only.
 
 Documents with the same shingle set are one class from the start, so copies are never paired.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,6 +32,8 @@ SMALL = 16  # documents of a region in which all are compared
 AGREE = 46
 #: Ids of at most so many candidates (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Hashes (8 bytes each) of a block's queries, and of its other rows, when what a region parted is made good.
+BLOCK = 2_000_000
 
 _rng = np.random.default_rng(20_240_611)
 _XOR = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) << np.uint64(1)
@@ -154,25 +157,29 @@ def _neighbours(similar: int):
     return run
 
 
+def _sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node, grams: the shingle sets of some classes, each from the text of one of its documents; cut."""
+    wanted = cut(nodes.join(classes.select("node", "key", "first_id"), "node"))
+    ids = wanted.select(F.col("first_id").alias("_first_id")).distinct()
+    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = texts.join(ids, F.col("_doc_id") == F.col("_first_id"), "left_semi").select("text")
+    found = texts.mapInArrow(_sets(words), "key binary, grams array<long>").dropDuplicates(["key"])
+    return cut(found.join(wanted.select("key", "node"), "key").select("node", "grams"))
+
+
 def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similar: int) -> DataFrame:
     """The pairs (a, b) of `pairs` whose full shingle sets have `similar` % of their union in common; cut.
 
     Pairs whose signatures rule the similarity out leave first; only the others' texts are read again.
     """
-    spark = docs.sparkSession
     side = lambda k: classes.select(F.col("node").alias(k), F.col("sign").alias(f"sign_{k}"), F.col("n_shingles").alias(f"n_{k}"))
     wide = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
     wide = wide.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similar)
     values = lambda k: F.transform(F.sequence(F.lit(0), F.lit(TREES * DEPTH - 1)), lambda i: F.substring(f"sign_{k}", i * 4 + 1, F.lit(4)))
     agree = F.size(F.filter(F.zip_with(values("a"), values("b"), lambda x, y: x == y), lambda x: x))
     likely = cut(wide.filter(agree >= AGREE).select("a", "b"))
-    nodes = cut(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(classes.select("node", "key", "first_id"), "node"))
-    ids = nodes.select(F.col("first_id").alias("_first_id")).distinct()
-    ids = F.broadcast(ids) if nodes.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc_id"), F.col("text").cast("binary").alias("text"))
-    texts = texts.join(ids, F.col("_doc_id") == F.col("_first_id"), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(words), "key binary, grams array<long>").dropDuplicates(["key"]).join(nodes.select("key", "node"), "key")
-    sets = cut(sets.select("node", "grams"))
+    sets = _sets_of(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), classes, docs, words)
     set_of = lambda k: sets.select(F.col("node").alias(k), F.col("grams").alias(f"grams_{k}"))
     both = likely.join(set_of("a"), "a").join(set_of("b"), "b")
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
@@ -186,10 +193,51 @@ def _open_regions(members: DataFrame, found: DataFrame) -> DataFrame:
     return cut(labelled.join(several, "region"))
 
 
+def _block_links(similar: int):
+    """Links between the queries and the other rows of a block whose components differ."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        asks, rows = block[block["query"]], block[~block["query"]]
+        sizes = rows["grams"].map(len).to_numpy()
+        values = np.concatenate(rows["grams"].to_list()) if len(rows) else np.empty(0, dtype=np.int64)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], np.repeat(np.arange(len(rows)), sizes)[order]
+        nodes, roots, out = rows["a"].to_numpy(), rows["root"].to_numpy(), []
+        for a, root, grams in zip(asks["a"], asks["root"], asks["grams"]):
+            low, high = np.searchsorted(values, grams, "left"), np.searchsorted(values, grams, "right")
+            n = high - low
+            at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            shared = np.bincount(owner[at], minlength=len(rows))
+            for k in np.flatnonzero((shared * 100 >= similar * (sizes + len(grams) - shared)) & (roots != root)):
+                out.append((min(a, nodes[k]), max(a, nodes[k])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
+
+    return run
+
+
+def _rest_links(left: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similar: int) -> DataFrame:
+    """Links of members outside their region's largest component with members of its other components; cut.
+
+    A region is dealt into blocks of some `BLOCK` hashes of queries and as many of all its members, so no task
+    holds a region; a block's sets meet in memory and only links leave it.
+    """
+    sized = left.join(classes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n")), "a")
+    parts = sized.groupBy("region", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
+    tops = parts.groupBy("region").agg(F.max(F.struct("rows", "root", "n")).alias("top"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    dealt = left.join(tops.select("region", F.col("top.root").alias("top"), blocks(F.col("n")).alias("of_rows"), blocks(F.col("n") - F.col("top.n")).alias("of_asks")), "region")
+    own = lambda n: F.pmod(F.xxhash64("a"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = dealt.filter(F.col("root") != F.col("top")).select("region", "a", "root", F.lit(True).alias("query"), own("of_asks").alias("i"), every("of_rows").alias("j"))
+    rows = dealt.select("region", "a", "root", F.lit(False).alias("query"), own("of_rows").alias("j"), every("of_asks").alias("i"))
+    sets = _sets_of(left.select(F.col("a").alias("node")).distinct(), classes, docs, words)
+    held = asks.unionByName(rows).join(sets.withColumnRenamed("node", "a"), "a")
+    return cut(held.groupBy("region", "i", "j").applyInPandas(_block_links(similar), "a long, b long").distinct())
+
+
 def near_classes(docs: DataFrame, words: int = 5, similar: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(a row for each row of docs: doc_id, tag, n_shingles, key; classes: key, node, first_id; node to root of linked classes)."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = cut(texts.mapInArrow(_sign(words), "doc_id long, n_shingles long, key binary, sign binary").withColumn("tag", F.monotonically_increasing_id()))
     some = signed.filter(F.col("key").isNotNull())
@@ -212,12 +260,7 @@ def near_classes(docs: DataFrame, words: int = 5, similar: int = 80) -> tuple[Da
         roots = components(edges)
         left = _open_regions(members, roots)
         if not left.isEmpty():
-            # every member outside its region's largest component against all of other components there
-            counts = left.groupBy("region", "root").agg(F.count(F.lit(1)).alias("rows"))
-            largest = counts.groupBy("region").agg(F.max(F.struct("rows", "root")).alias("top")).select("region", F.col("top.root").alias("top"))
-            outside = left.join(largest, "region").filter(F.col("root") != F.col("top")).select("region", F.col("a").alias("b"), F.col("root").alias("other"))
-            rest = left.join(outside, "region").filter(F.col("root") != F.col("other")).select("a", "b")
-            edges = edges.unionByName(links(_ordered(rest), named, docs, words, similar))
+            edges = edges.unionByName(_rest_links(left, named, docs, words, similar))
             roots = components(edges)
     return signed, classes, cut(roots)
 
