@@ -198,8 +198,10 @@ def _block_links(similar: int):
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         asks, rows = block[block["query"]], block[~block["query"]]
+        if asks.empty or rows.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         sizes = rows["grams"].map(len).to_numpy()
-        values = np.concatenate(rows["grams"].to_list()) if len(rows) else np.empty(0, dtype=np.int64)
+        values = np.concatenate(rows["grams"].to_list())
         order = np.argsort(values, kind="stable")
         values, owner = values[order], np.repeat(np.arange(len(rows)), sizes)[order]
         nodes, roots, out = rows["a"].to_numpy(), rows["root"].to_numpy(), []
