@@ -160,12 +160,12 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, per_lang: int =
     return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double, mixture map<string,double>")
 
 
-def _keep(model, least: float, text_at: int):
+def _keep(model, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
             keep = []
-            for text in batch.column(text_at):
+            for text in batch.column(1):
                 text = text.as_py()
                 ok = bool(text) and any(map(str.isalpha, text))
                 keep.append(ok and (not m.langs or float(m.proportions(*counted(text)).max()) >= least))
@@ -177,4 +177,6 @@ def _keep(model, least: float, text_at: int):
 def in_known_language(docs: DataFrame, least: float = 0.0, per_lang: int = 1500) -> DataFrame:
     """The documents of `docs`, all columns, whose language can be told: those with a letter, and with a main language of `least` at least."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, per_lang))
-    return docs.mapInArrow(_keep(model, least, docs.columns.index("text")), docs.schema)
+    # as a struct, columns of any name pass through
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "text")
+    return rows.mapInArrow(_keep(model, least), rows.schema).select("row.*")
