@@ -85,7 +85,7 @@ class Encoder:
         if not new:
             return
         if not hasattr(self, "bytes_of"):
-            self.bytes_of = np.array([len(x) for x in self.ranks.token_byte_values()])
+            self.bytes_of = np.array([len(self.ranks.decode_single_token_bytes(i)) for i in range(self.ranks.n_vocab)])
         spaced = [" " + p for p in new]
         ids = np.array(self.ranks.encode_ordinary("".join(spaced)), dtype="<u4")
         ends = np.cumsum(self.bytes_of[ids])
