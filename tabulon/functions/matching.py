@@ -36,14 +36,13 @@ def ascii_key(value: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(value.cast("string")), "[^a-z0-9]", ""), F.lit(""))
 
 
-@F.pandas_udf("string")
 def _fold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode(), na_action="ignore")
 
 
 def folded_key(value: Column) -> Column:
-    """As ascii_key, after accents are taken off; only texts that need it pass through Python."""
-    return ascii_key(_fold(value.cast("string")))
+    """As ascii_key, after accents are taken off, which needs Python."""
+    return ascii_key(F.pandas_udf(_fold, "string")(value.cast("string")))
 
 
 def alias(value: Column, names: dict[str, str]) -> Column:

@@ -639,7 +639,7 @@ def run_cost(spark, sf_dir):
 
 
 @query(f"""WITH {_LOG}, c AS (SELECT run, kind, round((sum(prompt_tokens) * 0.25e-6 + sum(output_tokens) * 1.5e-6) * CASE WHEN kind = 'tuned' THEN 1.5 ELSE 1 END, 4) AS usd FROM log GROUP BY run, kind)
-  SELECT round(sum(usd), 4) AS inference_usd, 22.89 AS tuning_usd, round(sum(usd) + 22.89, 4) AS total_usd FROM c""")
+  SELECT round(sum(usd), 4) AS inference_usd, 22.89::DOUBLE AS tuning_usd, round(sum(usd) + 22.89::DOUBLE, 4) AS total_usd FROM c""")
 def total_cost(spark, sf_dir):
     """G21."""
     return _rounded(runs.total_cost(runs.costs(_log(spark, sf_dir))), "inference_usd", "tuning_usd", "total_usd", places=4)

@@ -43,7 +43,7 @@ def read_keys(spark: SparkSession, path: str) -> DataFrame:
 
 def read_label_files(spark: SparkSession, path: str) -> DataFrame:
     """path, viewpoint, car_type, bbox of label files: a number, a number, and four numbers on their lines."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n").alias("lines"))
+    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n").alias("lines"))
     number = lambda k: F.trim(F.get("lines", F.lit(k))).try_cast("int")
     box = F.transform(F.split(F.trim(F.get("lines", F.lit(2))), r"\s+"), lambda x: x.try_cast("int"))
     return whole.select("path", number(0).alias("viewpoint"), number(1).alias("car_type"), F.when(F.size(box) == 4, box).alias("bbox"))
