@@ -236,7 +236,7 @@ def test_ranks(spark):
     from pyspark.sql import functions as F
 
     df = spark.range(500).select((F.col("id") % 2 * F.lit(None)).alias("none"), F.when(F.col("id") % 3 == 0, "a").alias("g"), F.col("id"))
-    got = distributed_rank(df.repartition(4), [F.col("g")], [F.desc("id")], "rank").collect()
+    got = distributed_rank(df.repartition(4), [F.col("g")], [-F.col("id")], "rank").collect()
     for g in ("a", None):
         ids = sorted((r.id for r in got if r.g == g), reverse=True)
         assert [r.rank for r in sorted((r for r in got if r.g == g), key=lambda r: -r.id)] == list(range(len(ids)))
