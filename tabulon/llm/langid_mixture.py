@@ -109,17 +109,16 @@ def train(docs: DataFrame, per_lang: int = 1500, max_langs: int = 2000) -> Model
     spark = docs.sparkSession
     ship(spark)
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    per = labelled.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("rows"))  # max_langs rows at most
+    counts = labelled.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("rows")).limit(max_langs + 1).collect()
+    if len(counts) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
+    per = spark.createDataFrame([tuple(r) for r in counts], "of string, rows long")
     range_of = 1 << 20
     chosen = labelled.join(F.broadcast(per), F.col("lang") == F.col("of")).filter(F.pmod(F.xxhash64("doc_id"), F.lit(range_of)) * F.col("rows") < per_lang * range_of).select("lang", "text")
     counts = chosen.mapInArrow(_count_batches, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     by_lang: dict[str, np.ndarray] = {}
     for r in counts.toLocalIterator():
-        if r.lang not in by_lang:
-            if len(by_lang) == max_langs:
-                raise ValueError(f"more than {max_langs} languages")
-            by_lang[r.lang] = np.zeros(BUCKETS, dtype=np.float64)
-        by_lang[r.lang][r.bucket] = r.n
+        by_lang.setdefault(r.lang, np.zeros(BUCKETS, dtype=np.float64))[r.bucket] = r.n
     return Model(by_lang)
 
 
