@@ -251,3 +251,22 @@ def comparison(df: DataFrame, local: str = "attribute_profile", other: str = "vl
         for a in ("make", "body_type", "colour", "model")
     ]
     return df.select(F.col("vehicle_crop_id").alias("vehicle"), F.inline(F.array(*rows)), F.coalesce(F.col(other_status), F.lit("not_assessed")).alias("other_source"))
+
+
+# ---------------------------------------------------------------- what remote models are asked
+
+# The body types that an answer may name.
+BODY_TYPES = ["sedan", "SUV", "hatchback", "sports", "MPV", "fastback", "estate", "hardtop convertible", "minibus", "convertible", "pickup", "crossover"]
+
+PROMPTS = {
+    "raw": "Name the make, model, body type and colour of the vehicle in this image, as a JSON object with these four keys; null for what can't be seen.",
+    "constrained": "Name the make, model, body type and colour of the vehicle in this image, as a JSON object with these four keys; null for what can't be seen. The body type is one of: " + ", ".join(BODY_TYPES) + ".",
+}
+
+
+def answerable(attributes: list[str], kind: str) -> list[str]:
+    """The attributes that a model of this kind can answer: a tuned one knows no colours. Refused if none is left."""
+    left = [a for a in attributes if kind != "tuned" or a != "colour"]
+    if not left:
+        raise RefusedInput(f"a {kind} model answers none of {attributes}")
+    return left

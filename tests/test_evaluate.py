@@ -106,3 +106,20 @@ def test_golden_matrix(spark, tmp_path):
     for bad in ([[1]], [[1, 2], [3]], [[0] * 10] * 10):
         with pytest.raises(RefusedInput):
             tables.matrix_cells(spark, COLOURS, bad)
+
+
+def test_report(spark, tmp_path):
+    from tabulon.sources import report
+
+    found = E.evaluate(rows(spark, [("a", "a"), ("a", "b"), ("z", "b")]), ["a", "b"], allow_unusable=True)
+    folder = report.write_report(found, str(tmp_path / "out"), {"task": "make", "seed": 1})
+    assert json.loads((folder / "metrics.json").read_text())["accuracy"] == 0.5
+    assert sorted(p.name for p in folder.iterdir()) == ["README.md", "environment.json", "excluded", "mapping", "matrix", "metrics.json", "per_class"]
+    with pytest.raises(RefusedInput):
+        report.write_report(found, str(tmp_path / "out"), {})
+    report.require_confirmed("latest")
+    report.require_confirmed("Official-Test", confirmed=True)
+    with pytest.raises(RefusedInput):
+        report.require_confirmed("Official_Test")
+    (tmp_path / "c.json").write_text('{"seed": 1}')
+    assert report.read_config(str(tmp_path / "c.json")) == {"seed": 1}

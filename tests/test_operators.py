@@ -280,3 +280,10 @@ def test_streaming(spark, tmp_path):
     query = report(arriving(spark, str(tmp_path / "in"), schema), class_table(spark, ["a", "b"]), "target", "prediction", str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
     query.awaitTermination(120)
     assert {r["class"]: r.support for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a": 1, "b": 1}
+
+
+def test_answerable():
+    assert scoring.answerable(["make", "colour"], "tuned") == ["make"] and scoring.answerable(["colour"], "raw") == ["colour"]
+    assert all(b in scoring.PROMPTS["constrained"] for b in scoring.BODY_TYPES)
+    with pytest.raises(RefusedInput):
+        scoring.answerable(["colour"], "tuned")
