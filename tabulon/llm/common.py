@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -56,6 +57,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(df: DataFrame) -> None:
+    """Let Spark drop the shuffle and checkpoint files of what a loop has left behind: it does so once the driver's garbage is collected."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def text_of(col: str | Column = "text") -> Column:
     """A text, null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -5,8 +5,8 @@ is a run of documents with the same first `LEAST` values. In a small region all
 each other. In a large one the depth grows until the runs are small, so candidates are the neighbours with the
 longest common prefix, and neighbouring runs are chained. Candidates are confirmed on the full shingle sets and
 the links joined to components. Where a large region still holds several components, what the depth parted
-is made good: their representatives are compared in turn, then each document outside the region's largest
-component with all of the region, in blocks that hold their sets and emit links only.
+is made good: each document outside the region's largest component is compared with all of the region, in
+blocks that hold their sets and emit links only.
 
 Documents with the same shingle set are one class from the start, so copies are never paired.
 """
@@ -19,12 +19,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tabulon.llm.common import cut, ship
-from tabulon.llm.components import components
+from tabulon.llm.components import components, joined
 
 TREES, DEPTH, LEAST = 14, 6, 3
 SMALL = 16  # documents of a region in which all are compared
@@ -135,8 +136,25 @@ def near(tree: np.ndarray, h: np.ndarray, small: int = SMALL, least: int = LEAST
     return np.concatenate(later), np.concatenate(earlier), open_
 
 
+#: What a row of a partition's ends begins with; regions begin with the tree's number.
+ENDS = b"\xff"
+
+
+def _across(found: DataFrame) -> DataFrame:
+    """(a, b): the last node of a partition and the first of the next, where a region goes on. A row for each partition."""
+    one = 1 + 4 * LEAST
+    ends = found.filter(F.substring("region", 1, 1) == F.lit(ENDS)).select("a", "b", "region")
+    before = W.orderBy("region")
+    part = lambda k: F.substring("region", 6 + k * one, one)
+    linked = ends.select(F.lag("b").over(before).alias("last"), F.col("a").alias("first"), (F.lag(part(1)).over(before) == part(0)).alias("goes_on")).filter("goes_on")
+    return linked.select(F.least("last", "first").alias("a"), F.greatest("last", "first").alias("b"))
+
+
 def _neighbours(similar: int):
-    """Candidate pairs (a, b), and the rows of open regions (a, region)."""
+    """Candidate pairs (a, b), the rows of open regions (a, region), and the partition's ends.
+
+    The ends are the first node (a), the last (b), and as region a mark, the partition's number and both their regions.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None  # a range partition: of an even size
@@ -150,9 +168,12 @@ def _neighbours(similar: int):
         a, b = node[i[ok]], node[j[ok]]
         some = np.flatnonzero(open_)
         width = 4 * LEAST
-        regions = [int(tree[k]).to_bytes(1, "big") + raw[k * 4 * DEPTH : k * 4 * DEPTH + width] for k in some]
+        region_of = lambda k: int(tree[k]).to_bytes(1, "big") + raw[k * 4 * DEPTH : k * 4 * DEPTH + width]
+        ends = ENDS + TaskContext.get().partitionId().to_bytes(4, "big") + region_of(0) + region_of(len(tree) - 1)
+        regions = [region_of(k) for k in some]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.binary())], names=["a", "b", "region"])
         yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.nulls(len(some), pa.int64()), pa.array(regions, pa.binary())], names=["a", "b", "region"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[:1]), pa.array(node[-1:]), pa.array([ends], pa.binary())], names=["a", "b", "region"])
 
     return run
 
@@ -250,27 +271,15 @@ def near_classes(docs: DataFrame, words: int = 5, similar: int = 80) -> tuple[Da
     forest = trees.select("tree", F.expr(f"substring(sign, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("prefix"), "node", "n")
     ordered = forest.repartitionByRange("tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
     found = cut(ordered.mapInArrow(_neighbours(similar), "a long, b long, region binary"))
-    edges = links(found.filter(F.col("b").isNotNull()).select("a", "b"), named, docs, words, similar)
-    roots = components(edges)
-    members = found.filter(F.col("region").isNotNull()).select("region", "a")
+    pairs = found.filter(F.col("region").isNull()).select("a", "b").unionByName(_across(found))
+    roots = components(links(pairs, named, docs, words, similar))
+    members = found.filter(F.col("b").isNull()).select("region", "a")
     left = _open_regions(members, roots)
     if not left.isEmpty():
-        # components that neighbour each other in their roots' order, by a representative each
-        heads = left.groupBy("region", "root").agg(F.min("a").alias("a"))
-        chained = heads.withColumn("b", F.lead("a").over(W.partitionBy("region").orderBy("root")))
-        edges = edges.unionByName(links(_ordered(chained.filter(F.col("b").isNotNull())), named, docs, words, similar))
-        roots = components(edges)
-        left = _open_regions(members, roots)
-        if not left.isEmpty():
-            edges = edges.unionByName(_rest_links(left, named, docs, words, similar))
-            roots = components(edges)
+        roots = joined(roots, _rest_links(left, named, docs, words, similar))
     return signed, classes, cut(roots)
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, similar: int = 80) -> DataFrame:
     """A row for each row of `docs`: doc_id, n_shingles, component_id, kept.
 
