@@ -65,7 +65,7 @@ def test_near_duplicates_in_a_large_region(spark):
 
 
 def test_blocks_find_all_links(spark, monkeypatch):
-    monkeypatch.setattr(minhash_forest, "BLOCK", 300)  # many blocks
+    monkeypatch.setattr(minhash_forest, "BLOCK", 6000)  # many blocks
     test_near_duplicates_in_a_large_region(spark)
 
 
