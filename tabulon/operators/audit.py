@@ -122,8 +122,8 @@ def body_label_matches(identifier: Column, label: Column, name: Column) -> Colum
 
 def body_eligibility(df: DataFrame, attributes: DataFrame, names: DataFrame, label: str = "car_type_name") -> DataFrame:
     """`df` with official_type_id and status: `unavailable` for id 0, `valid`, `conflict` or `unknown model`."""
-    joined = df.join(F.broadcast(attributes.select("model_id", F.col("type").alias("official_type_id"))), "model_id", "left")
-    named = joined.join(F.broadcast(names.select(F.col("id").alias("official_type_id"), F.col("name").alias("_name"))), "official_type_id", "left")
+    joined = df.join(attributes.select("model_id", F.col("type").alias("official_type_id")), "model_id", "left")
+    named = joined.join(names.select(F.col("id").alias("official_type_id"), F.col("name").alias("_name")), "official_type_id", "left")
     fine = F.coalesce(F.col(label) == F.col("_name"), F.lit(False))
     status = F.when(F.col("official_type_id").isNull(), "unknown model").when(F.col("official_type_id") == 0, "unavailable").when(fine, "valid").otherwise("conflict")
     return named.withColumn("status", status).drop("_name")

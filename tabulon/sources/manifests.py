@@ -33,13 +33,13 @@ def web_manifest(files: DataFrame, labels: DataFrame | None = None, attributes:
         of = labels.select(F.array_join(F.slice(F.split(slashes(F.col("path")), "/"), -4, 4), "/").alias("_label"), "bbox", "viewpoint", "car_type")
         out = out.join(of, label_path(F.col("relative_key")) == F.col("_label"), "left").drop("_label")
     if attributes is not None:
-        out = out.join(F.broadcast(attributes.select(F.col("model_id").cast("int"), F.col("type").cast("int"))), "model_id", "left")
+        out = out.join(attributes.select(F.col("model_id").cast("int"), F.col("type").cast("int")), "model_id", "left")
     return out
 
 
 def ordinal(df: DataFrame, id_column: str, names: DataFrame, out: str) -> DataFrame:
     """`df` with the name (id from 1, name) of an id; null where the id has none."""
-    return df.join(F.broadcast(names.select(F.col("id").alias("_id"), F.col("name").alias(out))), F.col(id_column).cast("int") == F.col("_id"), "left").drop("_id")
+    return df.join(names.select(F.col("id").alias("_id"), F.col("name").alias(out)), F.col(id_column).cast("int") == F.col("_id"), "left").drop("_id")
 
 
 def colour_name(identifier: Column) -> Column:
@@ -60,7 +60,7 @@ def surveillance_manifest(files: DataFrame, colours: DataFrame, names: DataFrame
     `colours` has relative_key and color_id; `names` has surveillance_model_id (from 1), make_name, model_name, web_nature_model_id.
     """
     out = files.select(F.col("path").alias("image_path"), _from_end(F.col("path"), 2).try_cast("int").alias("surveillance_model_id"), F.array_join(F.slice(F.split(slashes(F.col("path")), "/"), -2, 2), "/").alias("relative_key"))
-    out = out.join(F.broadcast(names), "surveillance_model_id", "left").join(colours.select("relative_key", "color_id"), "relative_key", "left")
+    out = out.join(names, "surveillance_model_id", "left").join(colours.select("relative_key", "color_id"), "relative_key", "left")
     out = membership(out.withColumn("color_name", colour_name(F.col("color_id"))), "relative_key", train, test).drop("key")
     return out.select("image_path", "surveillance_model_id", "make_name", "model_name", "web_nature_model_id", "color_id", "color_name", "split")
 
