@@ -39,6 +39,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 # ---------------------------------------------------------------- token ids
 
 
+#: What keeps a text from being encoded in parts: white space other than spaces and line ends, and spaces beside white space.
+_ODD = ["  ", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
+
+
 class Encoder:
     """Texts to token ids (little-endian unsigned 32-bit, as bytes), by the words that were met before.
 
@@ -47,9 +51,7 @@ class Encoder:
     texts are encoded whole.
     """
 
-    def __init__(self, vocabulary: str, words: int = 400_000):
-        import re
-
+    def __init__(self, vocabulary: str, words: int = 800_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -57,7 +59,6 @@ class Encoder:
         self.whole.encode_special_tokens = True
         self.ranks = self._ranks(public_tokenizers, vocabulary)
         self.words, self.seen, self.first = words, {}, {}
-        self.odd = re.compile(r"[^\S \n]| [ \n]|\n ")
 
     @staticmethod
     def _ranks(public, vocabulary):
@@ -78,7 +79,7 @@ class Encoder:
 
     def learn(self, parts: set[str]) -> None:
         """Encode new parts, each with a space before it, in one run; their ends show where each begins."""
-        new = [p for p in parts if p not in self.seen]
+        new = list(parts.difference(self.seen))
         if len(self.seen) + len(new) > self.words:
             self.seen.clear()
             new = list(parts)
@@ -98,19 +99,20 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.ranks is None:
             return [self.ids(t) for t in texts]
-        split = [None if self.odd.search(t) else t.split(" ") for t in texts]
-        self.learn({p for s in split if s for p in s[1:] if p})
-        out = []
-        for text, parts in zip(texts, split):
-            # a space alone: only the last part can be empty
-            if parts is None or not parts[-1]:
+        # a text that ends with a space has an empty last part, which isn't one
+        split = [None if t[-1:] == " " or any(map(t.__contains__, _ODD)) else t.split(" ") for t in texts]
+        rest = [None if s is None else s[1:] for s in split]
+        self.learn(set().union(*filter(None, rest)))
+        out, ids_of = [], self.seen.__getitem__
+        for text, parts, others in zip(texts, split, rest):
+            if parts is None:
                 out.append(self.ids(text))
                 continue
             if parts[0] not in self.first:
                 if len(self.first) > self.words // 10:
                     self.first.clear()
                 self.first[parts[0]] = array("I", self.ranks.encode_ordinary(parts[0])).tobytes()
-            out.append(self.first[parts[0]] + b"".join(map(self.seen.__getitem__, filter(None, parts[1:]))))
+            out.append(self.first[parts[0]] + b"".join(map(ids_of, others)))
         return out
 
 
