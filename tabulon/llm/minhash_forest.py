@@ -302,7 +302,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similar: int = 80) -> DataF
 
 
 def near_dedup(docs: DataFrame, words: int = 5, similar: int = 80) -> DataFrame:
-    """The rows of `docs` that near_duplicates keeps, one document of each component, with the columns of `docs`."""
+    """The rows of `docs` that near_duplicates keeps, one document of each component, with the columns of `docs`.
+
+    Rows without a doc_id can't be told apart: all of them leave if one does. Repeated rows stay or leave together.
+    """
     dropped = near_duplicates(docs, words, similar).filter(~F.col("kept")).select(F.col("doc_id").alias("lost")).distinct()
     # as a struct, the columns of `docs` can't clash with those of the join
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
