@@ -44,7 +44,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabulon.llm.line_winnow import repeated_runs
 
-    return repeated_runs(_docs(spark, sf_dir))
+    return repeated_runs(_docs(spark, sf_dir), gram=1, window=1)
 
 
 def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,6 +226,24 @@ def test_repeated_runs(spark, docs, rows):
     assert left[0] == made[0] and left[1] == "other\nthing" and left[3] == "" and left[5] is None and left[2].count("x") < 7
 
 
+def test_every_line_that_stood_before(spark, docs, rows, tmp_path):
+    from tabulon.llm.queries import op6_line_winnowing
+
+    # single lines, a one-line text, and runs whose end lines stood elsewhere with other neighbours
+    made = {0: "f1\nf2\nz", 1: "a\nu\nf1\nf2", 2: "b\nu\nf1\nf2\nc", 3: "d\nz\ne", 4: "u", 5: "u\nu", 6: "alone"}
+    for texts, df in ((made, spark.createDataFrame(list(made.items()), "doc_id long, text string")), ({r[0]: r[1] for r in rows if r[0] is not None}, docs)):
+        before, expected = set(), set()
+        for k, t in sorted(texts.items()):
+            for i, x in enumerate(y for z in (t or "").split("\n") if (y := re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", z))):
+                expected |= {(k, i)} if x in before else set()
+                before.add(x)
+        folder = str(tmp_path / str(len(texts)))
+        df.select("doc_id", "text").write.parquet(f"{folder}/documents.parquet")
+        got = op6_line_winnowing(spark, folder).collect()
+        assert {(r.doc_id, k) for r in got if r.doc_id is not None for k in range(r.first_line, r.first_line + r.n_lines)} == expected and expected
+        assert all(r.n_lines > 0 and (r.of_doc_id, r.of_line) < (r.doc_id, r.first_line) for r in got if r.doc_id is not None)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 90), (90, 95), (7, 7_000_000_000)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
