@@ -7,7 +7,7 @@ in one place the longest counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -77,42 +77,60 @@ RULES = [
 #: Each known sentence has one of these, so texts without them need no cutting up.
 HINTS = "licen[cs]e|permi(t|ssion)|warrant|copyright|liable|redistribut|all rights reserved|general public|software"
 SENTENCE_END = f"[.!?:;]+[{BLANK}]+"
+#: For cutting 3: a sentence end as marked, or lines without letters and digits.
+BLANK_LINE = "\u0001|\n[^A-Za-z0-9\u0001\n]*\n"
+SPAN = 3  # parts of a known sentence at most
 
 
 def sentence_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, row, cutting, at (the sentence's number), sentence: the known sentences of each row of `docs`.
+    """doc_id, row, cutting, at, last (the numbers of its first and last part), sentence: the known sentences of each row of `docs`.
 
-    cutting 1 takes line ends and sentence ends as ends of a sentence; cutting 2 sentence ends only, for
-    texts whose sentences run over lines. An identifier takes the place of each known sentence.
+    cutting 1 takes line ends and sentence ends as ends of a part; cutting 2 sentence ends only, for texts whose
+    sentences run over lines; cutting 3 sentence ends and lines without letters and digits, so that a heading
+    above a wrapped text stays apart. A known sentence may have marks inside: up to `SPAN` neighbouring parts
+    make one. An identifier takes the place of each known sentence.
     """
     spark = docs.sparkSession
     known = spark.createDataFrame(SENTENCES, "sentence string, words string")
     hinted = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).filter(F.lower("text").rlike(HINTS))
     marked = F.regexp_replace("text", SENTENCE_END, "\u0001")
     by_line = F.split(F.regexp_replace(marked, "[\u0001\n]", "\n"), "\n")
-    cuttings = F.array(F.struct(F.lit(1).alias("cutting"), by_line.alias("parts")), F.struct(F.lit(2).alias("cutting"), F.split(marked, "\u0001").alias("parts")))
+    cuttings = F.array(*[F.struct(F.lit(k).alias("cutting"), c.alias("parts")) for k, c in enumerate((by_line, F.split(marked, "\u0001"), F.split(marked, BLANK_LINE)), 1)])
     # the id numbers rows that share a doc_id; a checkpoint isn't needed, as it is used in one pass
     rows = hinted.withColumn("row", F.xxhash64("text")).select("doc_id", "row", F.inline(cuttings))
-    parts = rows.select("doc_id", "row", "cutting", F.posexplode("parts").alias("at", "part"))
-    words = F.trim(F.regexp_replace(F.lower("part"), "[^a-z0-9]+", " "))
-    return parts.select("doc_id", "row", "cutting", "at", words.alias("words")).join(F.broadcast(known), "words").drop("words")
+    parts = rows.withColumn("parts", F.transform("parts", lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))))
+    placed = parts.select("doc_id", "row", "cutting", "parts", F.posexplode("parts").alias("at", "part")).filter("part != ''")
+    # runs that end in an empty part would repeat a shorter run
+    ends = F.filter(F.sequence(F.col("at"), F.least(F.col("at") + SPAN, F.size("parts")) - 1), lambda i: F.get("parts", i) != "")
+    runs = placed.select("doc_id", "row", "cutting", "at", "parts", F.explode(ends).alias("last"))
+    words = F.array_join(F.filter(F.slice("parts", F.col("at") + 1, F.col("last") - F.col("at") + 1), lambda x: x != ""), " ")
+    return runs.select("doc_id", "row", "cutting", "at", "last", words.alias("words")).join(F.broadcast(known), "words").drop("words")
+
+
+def _outermost(seq: Column) -> Column:
+    """The sentences of `seq` (in order of their first parts) that are not inside a longer one."""
+    around = 2 * SPAN * SPAN + 1  # further ones share no part
+    near = lambda i: F.slice(seq, F.greatest(i - SPAN * SPAN, F.lit(0)) + 1, around)
+    inside = lambda s, o: (o["at"] <= s["at"]) & (o["last"] >= s["last"]) & (o["last"] - o["at"] > s["last"] - s["at"])
+    return F.filter(seq, lambda s, i: ~F.exists(near(i), lambda o: inside(s, o)))
 
 
 def licenses(docs: DataFrame, gap: int = 2) -> DataFrame:
     """A row for each licence that a document tells of: doc_id, license, rule, place (its first sentence's number), n_sentences.
 
-    A rule matches identifiers that follow each other in its order, with less than `gap` other sentences between
-    two. A match inside a longer one doesn't count. Of the two cuttings the one with more known sentences
+    A rule matches identifiers that follow each other in its order, with less than `gap` other parts between
+    two. A match inside a longer one doesn't count. Of the cuttings the one with most known sentences
     counts, the first if equal. A row that is repeated counts once. Null and empty texts have none; an empty
     table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     rules = spark.createDataFrame([(k, *r, r[2][0]) for k, r in enumerate(RULES)], "nth int, rule string, license string, ids array<string>, first string")
-    found = sentence_ids(docs).distinct().groupBy("doc_id", "row", "cutting").agg(F.array_sort(F.collect_list(F.struct("at", "sentence"))).alias("seq"))
+    found = sentence_ids(docs).distinct().groupBy("doc_id", "row", "cutting").agg(F.array_sort(F.collect_list(F.struct("at", "last", "sentence"))).alias("seq"))
+    found = found.withColumn("seq", _outermost(F.col("seq")))
     best = found.groupBy("doc_id", "row").agg(F.max(F.struct(F.size("seq").alias("n"), (-F.col("cutting")).alias("c"), "seq")).alias("best"))
     placed = best.select("doc_id", "row", F.col("best.seq").alias("seq"), F.posexplode("best.seq").alias("k", "here")).select("*", F.col("here.sentence").alias("first"))
     window = F.slice("seq", F.col("k") + 1, F.size("ids"))
-    near = F.forall(F.sequence(F.lit(1), F.size("ids")), lambda i: (i == 1) | (F.get(window, i - 1)["at"] - F.get(window, i - 2)["at"] <= gap))
+    near = F.forall(F.sequence(F.lit(1), F.size("ids")), lambda i: (i == 1) | (F.get(window, i - 1)["at"] - F.get(window, i - 2)["last"] <= gap))
     matched = placed.join(F.broadcast(rules), "first").filter((F.transform(window, lambda s: s["sentence"]) == F.col("ids")) & near)
     spans = matched.select("doc_id", "row", "license", "rule", F.col("here.at").alias("place"), F.col("k"), (F.col("k") + F.size("ids")).alias("past"))
     # a longer match starts earlier, or at the same place and ends later

@@ -133,6 +133,24 @@ def test_licenses(spark, empty):
     assert license_scan.licenses(empty).count() == 0 and license_scan.licenses(df.union(df)).count() == sum(map(len, found.values()))
 
 
+WRAPPED = {
+    0: "// SPDX-License-Identifier: MIT\nint x;",
+    1: "# SPDX-License-Identifier: Apache-2.0\n",
+    2: "/* SPDX-License-Identifier: GPL-3.0-or-later */\n",
+    3: " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n *\n * This program is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY; without even the implied warranty of\n * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n * GNU General Public License for more details.\n",
+    4: "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n",
+    5: "MIT License\n\nCopyright (c) 2020 Some One\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.\n",
+    6: "Copyright 2020 Some One\n\nLicensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.\n",
+    7: "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+}
+
+
+def test_canonical_licenses(spark):
+    df = spark.createDataFrame(list(WRAPPED.items()), "doc_id long, text string")
+    found = sorted((r.doc_id, r.rule, r.n_sentences) for r in license_scan.licenses(df).collect())
+    assert found == [(0, "mit-spdx", 1), (1, "apache-2-spdx", 1), (2, "gpl-3-spdx", 1), (3, "gpl-3-notice", 3), (4, "mpl-2-reference", 1), (5, "mit-text", 4), (6, "apache-2-header", 5), (7, "gpl-3-grant", 1)]
+
+
 def test_license_tables():
     names = {n for n, _ in license_scan.SENTENCES}
     assert all(set(ids) <= names for _, _, ids in license_scan.RULES) and len({w for _, w in license_scan.SENTENCES}) == len(license_scan.SENTENCES)
