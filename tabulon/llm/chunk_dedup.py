@@ -20,7 +20,7 @@ from pyspark.sql.window import Window as W
 from tabulon.llm.common import ship
 
 WINDOW, MEAN, MOST = 16, 24, 512  # bytes: that decide on an end, of a chunk on average, of a chunk at most
-LEAST = 128  # bytes of a repeat
+LEAST = 64  # bytes of a repeat; what chunks at both ends lose of 51 short words leaves more
 
 #: One random 32-bit number for each byte.
 _GEAR = np.random.default_rng(77).integers(0, 1 << 32, 256, dtype=np.uint32)

@@ -1,6 +1,7 @@
 """Operators that find copies, against plain versions of themselves."""
 
 import hashlib
+import random
 import re
 import struct
 from collections import defaultdict
@@ -172,6 +173,18 @@ def test_repeats(docs, rows):
     assert {r.first_doc_id for r in got if r.doc_id is None} == {3}
 
 
+def test_passages_of_51_short_words(spark):
+    """Pairs of texts that share nothing but such a passage."""
+    rng, common = random.Random(51), "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many off before must well back through years much where your way down should because long each just state those people too mr how little good world make very year still see own work men day get here old life both".split()
+    other = lambda n: " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    texts = []
+    for k in range(800):
+        passage = " ".join(rng.choice(common) for _ in range(51))
+        texts += [(2 * k, f"{other(30)} {passage} {other(30)}"), (2 * k + 1, f"{other(40)} {passage} {other(20)}")]
+    found = {r.doc_id for r in chunk_dedup.repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert len(found & set(range(1, 1600, 2))) >= 0.98 * 800 and not found & set(range(0, 1600, 2))
+
+
 def test_without_repeats(docs, rows):
     out = chunk_dedup.without_repeats(docs)
     texts = {r.doc_id: r.text for r in out.collect() if r.doc_id is not None}
