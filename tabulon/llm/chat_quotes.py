@@ -11,9 +11,10 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import cut, distributed_rank, ship
@@ -23,6 +24,8 @@ _MARKS = re.compile(r"(?:[ \t]*>)+")
 _INTRO = re.compile(r"^\s*(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$", re.IGNORECASE)
 _BLANKS = re.compile(r"\s+")
 
+FREQUENT = 16  # messages that say a hash, from where it is joined by sets
+
 MESSAGES = "conv_id long, turn long, role string, content string, n_quotes int, said array<binary>, quoted array<struct<depth:int,passage:int,units:array<binary>>>"
 
 
@@ -90,26 +93,62 @@ def messages(conversations: DataFrame) -> DataFrame:
     return cut(conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(_parsed, MESSAGES))
 
 
-def quote_links(parsed: DataFrame) -> DataFrame:
+def _two_firsts(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """Of each key the greatest row by `order` (which ends in -conv, -turn; named c and t), and the greatest of another conversation."""
+    top = F.struct(*order)
+    first = rows.groupBy(key).agg(F.max(top).alias("top"))
+    other = rows.join(first.select(F.col(key).alias("_key"), F.col("top.c").alias("_c")), (F.col(key) == F.col("_key")) & (-F.col("of_conv_id") != F.col("_c")))
+    return first.unionByName(other.groupBy(key).agg(F.max(top).alias("top"))).select(key, "top.*")
+
+
+def quote_links(parsed: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """conv_id, turn, depth, passage, of_conv_id, of_turn, shared: the origin of each passage that a message quotes.
 
     The origin is an earlier message of the same conversation that shares most hashes, else a message of another
-    conversation; of equal ones the first. For each hash only its first message in a conversation, and its first
-    of all, stand as origins, so that common phrases meet no more rows than there are quotations.
+    conversation that does; of equal ones the first. Hashes that at most `frequent` messages say are joined with
+    all of these. The others of a message or passage are its common set: equal sets are joined once, and of a
+    message set the first place in a conversation and the first two of all conversations stand for the rest, as
+    no later place can be the origin. So counts are exact, and common phrases meet no more rows than there are
+    different sets. `frequent` decides on the cost only.
     """
-    quoted = parsed.filter("n_quotes > 0").select("conv_id", "turn", F.inline("quoted")).select("conv_id", "turn", "depth", "passage", F.explode("units").alias("unit"))
-    wanted = quoted.select("unit").distinct()
-    said = parsed.select(F.col("conv_id").alias("of_conv_id"), F.col("turn").alias("of_turn"), F.explode("said").alias("u")).join(wanted, F.col("u") == F.col("unit"), "left_semi")
-    inside = said.groupBy("u", "of_conv_id").agg(F.min("of_turn").alias("of_turn"))
-    anywhere = said.groupBy("u").agg(F.min(F.struct("of_conv_id", "of_turn")).alias("o")).select("u", "o.*")
+    quote, place = ["conv_id", "turn", "depth", "passage"], ["of_conv_id", "of_turn"]
+    inline = parsed.filter("n_quotes > 0 and conv_id is not null").select("conv_id", "turn", F.inline("quoted"))
+    quoted = inline.select(*quote, F.explode("units").alias("unit")).distinct()
+    every = parsed.filter("conv_id is not null").select(F.col("conv_id").alias("of_conv_id"), F.col("turn").alias("of_turn"), F.explode("said").alias("u")).distinct()
+    said = cut(every.join(quoted.select("unit").distinct(), F.col("u") == F.col("unit"), "left_semi"))
+    common = cut(said.groupBy(F.col("u").alias("common")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > frequent).select("common"))
+    marked_said = said.join(common, F.col("u") == F.col("common"), "left")
+    marked_quoted = cut(quoted.join(common, F.col("unit") == F.col("common"), "left"))
+    of_set = F.sort_array(F.collect_set("common"))
+    # one row for a message or passage, with its common hashes
+    said_sets = cut(marked_said.filter("common is not null").groupBy(*place).agg(of_set.alias("said_set")))
+    quoted_sets = cut(marked_quoted.filter("common is not null").groupBy(*quote).agg(of_set.alias("quoted_set")))
+
+    earlier = (F.col("conv_id") != F.col("of_conv_id")) | (F.col("of_turn") < F.col("turn"))
+    rare = marked_quoted.filter("common is null").drop("common").join(marked_said.filter("common is null").drop("common"), (F.col("unit") == F.col("u")) & earlier)
+    counted = rare.groupBy(*quote, *place).agg(F.count(F.lit(1)).alias("n"))
+    same = lambda left, right, names: reduce(lambda x, y: x & y, [left[c].eqNullSafe(right[c]) for c in names])
+    with_said = counted.join(said_sets, same(counted, said_sets, place), "left").select(*[counted[c] for c in counted.columns], "said_set")
+    with_both = with_said.join(quoted_sets, same(with_said, quoted_sets, quote), "left").select(*[with_said[c] for c in with_said.columns], "quoted_set")
+    both = F.coalesce(F.size(F.array_intersect("said_set", "quoted_set")), F.lit(0))
+    by_rare = with_both.select(*quote, *place, (F.col("n") + F.when(F.col("said_set").isNull() | F.col("quoted_set").isNull(), 0).otherwise(both)).alias("shared"))
+
+    inside = cut(said_sets.groupBy("of_conv_id", "said_set").agg(F.min("of_turn").alias("of_turn")))
     key = F.col("unit") == F.col("u")
-    here = quoted.join(inside, key & (F.col("conv_id") == F.col("of_conv_id")) & (F.col("of_turn") < F.col("turn")))
-    there = quoted.join(anywhere, key & (F.col("conv_id") != F.col("of_conv_id")))
-    votes = here.unionByName(there).groupBy("conv_id", "turn", "depth", "passage", "of_conv_id", "of_turn").agg(F.count(F.lit(1)).alias("shared"))
+    here = quoted_sets.select(*quote, F.explode("quoted_set").alias("unit")).join(inside.select(*place, "said_set", F.explode("said_set").alias("u")), key & (F.col("conv_id") == F.col("of_conv_id")) & (F.col("of_turn") < F.col("turn")))
+    by_here = here.groupBy(*quote, *place, "said_set").agg(F.count(F.lit(1)).alias("shared")).drop("said_set")
+
+    back = [(-F.col("of_conv_id")).alias("c"), (-F.col("of_turn")).alias("t")]
+    places = _two_firsts(inside, "said_set", back).select("said_set", (-F.col("c")).alias("of_conv_id"), (-F.col("t")).alias("of_turn"))
+    kinds = quoted_sets.select("quoted_set").distinct()
+    met = kinds.select("quoted_set", F.explode("quoted_set").alias("unit")).join(places.select(*place, "said_set", F.explode("said_set").alias("u")), key)
+    sizes = met.groupBy("quoted_set", *place, "said_set").agg(F.count(F.lit(1)).alias("shared"))
+    tops = _two_firsts(sizes, "quoted_set", [F.col("shared"), *back]).select(F.col("quoted_set").alias("kind"), "shared", (-F.col("c")).alias("of_conv_id"), (-F.col("t")).alias("of_turn"))
+    by_there = quoted_sets.join(tops, (F.col("quoted_set") == F.col("kind")) & (F.col("conv_id") != F.col("of_conv_id"))).select(*quote, *place, "shared")
+
+    votes = by_rare.unionByName(by_here).unionByName(by_there)
     best = F.max(F.struct(F.col("of_conv_id") == F.col("conv_id"), "shared", (-F.col("of_conv_id")).alias("c"), (-F.col("of_turn")).alias("t"))).alias("best")
-    return votes.groupBy("conv_id", "turn", "depth", "passage").agg(best).select(
-        "conv_id", "turn", "depth", "passage", (-F.col("best.c")).alias("of_conv_id"), (-F.col("best.t")).alias("of_turn"), F.col("best.shared").alias("shared")
-    )
+    return votes.groupBy(*quote).agg(best).select(*quote, (-F.col("best.c")).alias("of_conv_id"), (-F.col("best.t")).alias("of_turn"), F.col("best.shared").alias("shared"))
 
 
 def reply_ordered(conversations: DataFrame) -> DataFrame:

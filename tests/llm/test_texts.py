@@ -260,3 +260,30 @@ def test_threads(spark):
     assert chat_quotes.reply_ordered(df.limit(0)).count() == 0
     whole = {r.conversation: len(r.messages) for r in chat_quotes.threads(chat_quotes.reply_ordered(df)).collect()}
     assert whole[1] == 4
+
+
+def test_origins_are_those_that_share_most(spark):
+    """Greetings and copies in many messages, against counts over all pairs."""
+    import random
+
+    rng = random.Random(8)
+    polite = ["Thanks.", "Best regards", "See you", "Hello"]
+    rows = [(1, 0, "a", "Thanks.\nBest regards\nSee you"), (2, 0, "b", "Thanks.\nBest regards\nBring the report"), (3, 0, "c", "> Thanks.\n> Best regards\n> Bring the report\nDone")]
+    rows += [(4, 0, "a", "Only here\nHello"), (4, 1, "b", "> Only here\n> Hello\nyes"), (5, 0, "c", "Only here\nHello"), (6, 0, "d", "> Only here\nagain")]
+    for c in range(10, 60):
+        for t in range(3):
+            own = rng.sample(polite, rng.randint(0, 3)) + [f"line {rng.randint(0, 30)}" for _ in range(rng.randint(0, 2))]
+            quote = rng.sample(polite, rng.randint(1, 3)) + [f"line {rng.randint(0, 30)}" for _ in range(rng.randint(0, 2))]
+            rows.append((c, t, "x", "\n".join([f"> {x}" for x in quote] * (t > 0) + own)))
+    parsed = {r[:2]: chat_quotes.parse(r[3]) for r in rows}
+    expected = {}
+    for at, (_, _, quoted) in parsed.items():
+        for depth, k, wanted in quoted:
+            votes = [(o[0] == at[0], len(set(said) & set(wanted)), -o[0], -o[1]) for o, (_, said, _) in parsed.items() if set(said) & set(wanted) and (o[0] != at[0] or o[1] < at[1])]
+            if votes:
+                _, n, c, t = max(votes)
+                expected[(*at, depth, k)] = (-c, -t, n)
+    messages = chat_quotes.messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert expected[(3, 0, 1, 0)] == (2, 0, 4)
+    for frequent in (chat_quotes.FREQUENT, 0, 1000):
+        assert {tuple(r[:4]): tuple(r[4:]) for r in chat_quotes.quote_links(messages, frequent).collect()} == expected
