@@ -16,8 +16,9 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from tabulon.llm.common import cut, distributed_rank, ship
+from tabulon.llm.common import cut, distributed_rank, ship, tidy
 from tabulon.llm.components import components
 
 _MARKS = re.compile(r"(?:[ \t]*>)+")
@@ -151,30 +152,89 @@ def quote_links(parsed: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     return votes.groupBy(*quote).agg(best).select(*quote, (-F.col("best.c")).alias("of_conv_id"), (-F.col("best.t")).alias("of_turn"), F.col("best.shared").alias("shared"))
 
 
+def _round(state: DataFrame, forward: bool) -> DataFrame:
+    """`state` (conv_id, turn, of_conv_id, of_turn, level, waits) after a round.
+
+    forward: a waiting link before whose origin no message of the conversation has a waiting link gets its level,
+    one more than the highest there. Else: a waiting link after whose message none starts waits no more.
+    """
+    end = lambda conv, turn, kind: F.struct(F.col(conv).alias("at"), F.col(turn).alias("t"), F.lit(kind).alias("kind"), F.struct(*state.columns).alias("link"))
+    events = state.select(F.inline(F.array(end("conv_id", "turn", 0), end("of_conv_id", "of_turn", 1))))
+    seen, kept = (0, 1) if forward else (1, 0)  # kind of the events that count, and of those that stay
+    order = W.partitionBy("at").orderBy(*(("t", "kind") if forward else (F.desc("t"), F.desc("kind")))).rowsBetween(W.unboundedPreceding, -1)
+    among = lambda c: F.max(F.when(F.col("kind") == seen, F.col(c))).over(order)
+    after = events.select("kind", "link.*", among("link.waits").alias("_w"), among("link.level").alias("_l")).filter(F.col("kind") == kept)
+    ready = F.col("waits") & ~F.coalesce("_w", F.lit(False))
+    level = F.when(ready, F.coalesce("_l", F.lit(0)) + 1).otherwise(F.col("level")) if forward else F.col("level")
+    return after.select("conv_id", "turn", "of_conv_id", "of_turn", level.alias("level"), (F.col("waits") & ~ready).alias("waits"))
+
+
+def _waiting(state: DataFrame) -> int:
+    return state.filter("waits").count()
+
+
+def reply_levels(across: DataFrame) -> DataFrame:
+    """conv_id, steps (array of turn and level): from a step's turn on, a conversation's messages have its level at least.
+
+    `across` has links between conversations (conv_id, turn, of_conv_id, of_turn). A message's level is above that of
+    what it or a message before it in its conversation quotes, so order by level keeps turns and puts replies
+    after their origins. A round settles the links whose origins are settled; there are as many as the longest chain
+    of links. Where links go round in a circle, those of its links that lead to a later conversation or turn are
+    left out.
+    """
+    first = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63)))  # noqa: E731  (null turns come first)
+    state = cut(across.select("conv_id", first("turn").alias("turn"), "of_conv_id", first("of_turn").alias("of_turn")).distinct().withColumns({"level": F.lit(None).cast("int"), "waits": F.lit(True)}))
+    left = _waiting(state)
+    while left:
+        state = cut(_round(state, True))
+        now = _waiting(state)
+        if now == left:  # circles, and what comes after them: that is peeled off from its ends
+            circle = cut(state.filter("waits"))
+            n = now
+            while True:
+                circle = cut(_round(circle, False).filter("waits"))
+                if (rest := circle.count()) == n:
+                    break
+                n = rest
+            later = circle.filter(F.struct("of_conv_id", "of_turn") > F.struct("conv_id", "turn")).select("conv_id", "turn", "of_conv_id", "of_turn")
+            state = cut(state.join(later, ["conv_id", "turn", "of_conv_id", "of_turn"], "left_anti"))
+            now = _waiting(state)
+        left = now
+        tidy(state)
+    steps = state.groupBy("conv_id", "level").agg(F.min("turn").alias("turn"))
+    return steps.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "level")).alias("steps"))
+
+
 def reply_ordered(conversations: DataFrame) -> DataFrame:
     """A row for each message: conversation, position, conv_id, turn, role, content, n_quotes, reply_conv_id, reply_turn.
 
     content is the text without quotations (unchanged where there are none; null if the text is null). The reply
     columns name the message that the first quoted passage of the lowest level comes from, else the message before
     in the conversation, else null. Conversations that quote each other are one, named by their smallest conv_id;
-    position counts its messages from 0, in order of conv_id and turn, in which what is quoted inside a conversation comes first.
+    position counts its messages from 0, so that what is quoted comes before the reply and turns keep their order, else
+    by conv_id and turn (`reply_levels`).
     Messages without conv_id are a conversation of their own, in order of turn, null first. Repeated messages each have a
     row. An empty table gives no rows. Other columns are not read.
     """
     parsed = messages(conversations)
     links = cut(quote_links(parsed))
-    across = links.filter(F.col("conv_id") != F.col("of_conv_id")).select(F.col("conv_id").alias("a"), F.col("of_conv_id").alias("b"))
-    roots = components(across)
+    across = cut(links.filter(F.col("conv_id") != F.col("of_conv_id")))
+    roots = components(across.select(F.col("conv_id").alias("a"), F.col("of_conv_id").alias("b")))
+    levels = reply_levels(across).select(F.col("conv_id").alias("s_conv"), "steps")
     nearest = links.groupBy("conv_id", "turn").agg(F.min(F.struct("depth", "passage", "of_conv_id", "of_turn")).alias("o")).select(
         F.col("conv_id").alias("l_conv"), F.col("turn").alias("l_turn"), F.col("o.of_conv_id").alias("o_conv"), F.col("o.of_turn").alias("o_turn")
     )
     joined = parsed.join(roots, F.col("conv_id") == F.col("node"), "left").join(nearest, (F.col("conv_id") == F.col("l_conv")) & (F.col("turn") == F.col("l_turn")), "left")
-    rows = joined.select(F.coalesce("root", "conv_id").alias("conversation"), "conv_id", "turn", "role", "content", "n_quotes", "o_conv", "o_turn")
+    rows = joined.select(F.coalesce("root", "conv_id").alias("conversation"), "conv_id", "turn", "role", "content", "n_quotes", "o_conv", "o_turn", F.col("root").isNotNull().alias("merged"))
     # no task holds a conversation that has more messages than a range partition
-    ranked = cut(distributed_rank(rows, [F.col("conversation")], [F.col("conv_id"), F.col("turn"), F.xxhash64("role", "content")], "position"))
-    before = ranked.select(F.col("conversation").alias("b_conversation"), (F.col("position") + 1).alias("b_position"), F.col("conv_id").alias("b_conv"), F.col("turn").alias("b_turn"))
-    same = F.col("conversation").eqNullSafe(F.col("b_conversation")) & (F.col("position") == F.col("b_position")) & F.col("conv_id").eqNullSafe(F.col("b_conv"))
-    found = ranked.join(before, same, "left")
+    ranked = cut(distributed_rank(rows, [F.col("conv_id")], [F.col("turn"), F.xxhash64("role", "content")], "nth"))
+    merged = ranked.filter("merged").join(levels, F.col("conv_id") == F.col("s_conv"), "left").drop("s_conv")
+    passed = F.filter("steps", lambda s: s["turn"] <= F.coalesce(F.col("turn"), F.lit(-(1 << 63))))
+    leveled = cut(merged.withColumn("level", F.coalesce(F.array_max(F.transform(passed, lambda s: s["level"])), F.lit(0))).drop("steps"))
+    placed = distributed_rank(leveled, [F.col("conversation")], [F.col("level"), F.col("conv_id"), F.col("nth")], "position").drop("level")
+    every = ranked.filter("not merged").withColumn("position", F.col("nth")).unionByName(placed)
+    before = ranked.select((F.col("nth") + 1).alias("b_nth"), F.col("conv_id").alias("b_conv"), F.col("turn").alias("b_turn"))
+    found = every.join(before, (F.col("nth") == F.col("b_nth")) & F.col("conv_id").eqNullSafe(F.col("b_conv")), "left")
     quoted = F.col("o_conv").isNotNull()
     return found.select(
         "conversation", "position", "conv_id", "turn", "role", "content", "n_quotes",

@@ -287,3 +287,19 @@ def test_origins_are_those_that_share_most(spark):
     assert expected[(3, 0, 1, 0)] == (2, 0, 4)
     for frequent in (chat_quotes.FREQUENT, 0, 1000):
         assert {tuple(r[:4]): tuple(r[4:]) for r in chat_quotes.quote_links(messages, frequent).collect()} == expected
+
+
+def test_replies_follow_across_conversations(spark):
+    rows = [
+        (3, 0, "a", "first of three"), (3, 1, "b", "> second of nine\nanswer to nine"), (3, 2, "a", "last of three"), (9, 0, "c", "first of nine"), (9, 1, "d", "second of nine"), (9, 2, "d", "> last of three\nend of nine"),
+        (1, 0, "e", "> answer to nine\nalso"), (20, 0, "a", "> said in 30\nsaid in 20"), (20, 1, "b", "x of 20"), (30, 0, "c", "> x of 20\nsaid in 30"), (10, 0, "f", "> said in 30\nbeyond"), (40, 0, "a", "alone"), (40, 1, "b", "more"),
+    ]
+    got = chat_quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    order = [(r.conv_id, r.turn) for r in sorted(got, key=lambda r: r.position) if r.conversation == 1]
+    assert order == [(3, 0), (9, 0), (9, 1), (3, 1), (3, 2), (1, 0), (9, 2)]
+    by = {(r.conv_id, r.turn): r for r in got}
+    assert len(got) == len(rows) and (by[(9, 2)].reply_conv_id, by[(9, 2)].reply_turn) == (3, 2) and (by[(3, 2)].reply_conv_id, by[(3, 2)].reply_turn) == (3, 1)
+    # 20 and 30 quote each other: the link to the later one doesn't count
+    round_ = [(r.conv_id, r.turn) for r in sorted(got, key=lambda r: r.position) if r.conversation == 10]
+    assert round_ == [(20, 0), (20, 1), (30, 0), (10, 0)] and [by[(40, k)].position for k in (0, 1)] == [0, 1] and by[(40, 1)].reply_turn == 0
+    assert sorted(r.position for r in got if r.conversation == 1) == list(range(7))
