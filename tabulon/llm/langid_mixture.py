@@ -174,7 +174,10 @@ def _keep(model, least: float):
 
 
 def in_known_language(docs: DataFrame, least: float = 0.0, per_lang: int = 1500) -> DataFrame:
-    """The documents of `docs`, all columns, whose language can be told: those with a letter, and with a main language of `least` at least."""
+    """The documents of `docs`, all columns, with a letter and a main language of `least` at least.
+
+    With the default the model decides nothing: a text with any letter stays, junk and foreign scripts included.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, per_lang))
     # as a struct, columns of any name pass through
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "text")
