@@ -2,8 +2,9 @@
 
 A gear hash rolls over the bytes of a text; a chunk ends where the hash of the last `WINDOW` bytes is below a
 threshold, so chunks depend on the bytes around their ends only, and an insertion changes the chunks that it
-touches. Chunks of all texts meet by digest; the first occurrence stays. As short chunks are equal by chance or
-habit, a run of repeated chunks counts as a repeat only from `least` bytes, or if it is the whole text.
+touches. As short chunks are equal by chance or habit, the unit that is deduplicated is a block: from each chunk on,
+the fewest chunks that have `least` bytes together. Blocks of all texts meet by a digest of 96 bits; the first
+occurrence stays. Neighbouring blocks that occurred before make a repeated passage.
 """
 
 from __future__ import annotations
@@ -17,15 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabulon.llm.common import ship
+from tabulon.llm.common import WHO, cut, doc_id_of, identity, release, same_document, ship, tidy
 
 WINDOW, MEAN, MOST = 16, 24, 512  # bytes: that decide on an end, of a chunk on average, of a chunk at most
-LEAST = 64  # bytes of a repeat; what chunks at both ends lose of 51 short words leaves more
+LEAST = 48  # bytes of a block
 
 #: One random 32-bit number for each byte.
 _GEAR = np.random.default_rng(77).integers(0, 1 << 32, 256, dtype=np.uint32)
 _LIMIT = np.uint32((1 << 17) // MEAN)
-_NONE = (1 << 63) - 1
 
 
 def chunk_ends(data: bytes, at_once: int = 1 << 22) -> np.ndarray:
@@ -51,77 +51,95 @@ def chunk_ends(data: bytes, at_once: int = 1 << 22) -> np.ndarray:
     return ends
 
 
-SCHEMA = "digest long, doc_id long, start int, length int, last boolean"
+def blocks(data: bytes, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Where blocks begin and end. The last ends with the text; a text of less than `least` bytes is one block."""
+    ends = chunk_ends(data)
+    begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    last = np.searchsorted(ends, begins + least)
+    whole = last < len(ends)
+    if not whole.any():
+        return np.zeros(min(len(ends), 1), dtype=np.int64), ends[-1:]
+    a, b = begins[whole], ends[last[whole]]
+    return (a, b) if b[-1] == len(data) else (np.append(a, a[-1]), np.append(b, len(data)))
 
 
-def _chunks(rows: int = 256):
+SCHEMA = "digest long, check int, none boolean, id long, mark int, start int, length int, last boolean"
+
+
+def _blocks(least: int, rows: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_128_digest
+        kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 few = batch.slice(at, rows)
-                hashes, docs, starts, sizes, lasts = [], [], [], [], []
-                for doc, text in zip(few.column(0).to_pylist(), few.column(1)):
-                    data = text.as_py()
-                    if not data:
-                        continue
-                    ends = chunk_ends(data)
-                    begins = np.concatenate(([0], ends[:-1]))
-                    hashes.append(np.fromiter((digest(data[a:b]) for a, b in zip(begins.tolist(), ends.tolist())), dtype=np.uint64, count=len(ends)).view(np.int64))
-                    docs.append(np.full(len(ends), doc, dtype=np.int64))
-                    starts.append(begins)
-                    sizes.append(ends - begins)
-                    lasts.append(ends == len(data))
-                if docs:
-                    together = [np.concatenate(x) for x in (hashes, docs, starts, sizes, lasts)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(together, ("i8", "i8", "i4", "i4", "?"))], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                digests, counts, starts, ends_, lasts = [], [], [], [], []
+                for text in few.column(3):
+                    data = text.as_py() or b""
+                    a, b = blocks(data, least)
+                    digests += [digest(data[x:y]) for x, y in zip(a.tolist(), b.tolist())]
+                    counts.append(len(a))
+                    starts.append(a)
+                    ends_.append(b)
+                    lasts.append(b == len(data))
+                if not digests:
+                    continue
+                raw = np.frombuffer(b"".join(digests), dtype="<i8, <i4, <i4")
+                who = [np.repeat(c.to_numpy(zero_copy_only=False), counts) for c in (few.column(0), few.column(1), few.column(2))]
+                a, b = np.concatenate(starts), np.concatenate(ends_)
+                columns = (raw["f0"], raw["f1"], *who, a, b - a, np.concatenate(lasts))
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+        release()
 
     return run
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, start, length, last: a row for each chunk; a null doc_id as the largest number."""
+def text_blocks(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """digest, check, none, id, mark, start, length, last (whether it ends its text): a row for each block."""
     ship(docs.sparkSession)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return keyed.mapInArrow(_chunks(), SCHEMA)
+    return docs.select(*identity(), F.col("text").cast("binary").alias("text")).mapInArrow(_blocks(least), SCHEMA)
+
+
+def _passages(docs: DataFrame, least: int) -> DataFrame:
+    """none, id, mark, start, end, of (place of its first block's first occurrence), whole."""
+    place = F.struct(*WHO, "start")
+    # counts and first places form on the map side: a block that half of the texts share is one row a task. Blocks are
+    # computed again for the join, which costs less than to write them, about the size of the texts
+    found = text_blocks(docs, least)
+    firsts = cut(found.groupBy("digest", "check").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    tidy(firsts)  # the shuffle's files aren't needed any more
+    again = found.join(firsts, ["digest", "check"]).filter(place != F.col("first")).select(*WHO, "start", (F.col("start") + F.col("length")).alias("end"), "last", "first")
+    doc = W.partitionBy(*WHO).orderBy("start", "end")
+    fresh = F.coalesce(F.col("start") > F.max("end").over(doc.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
+    runs = again.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(doc.rowsBetween(W.unboundedPreceding, 0)))
+    passages = runs.groupBy(*WHO, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("start", "first")).alias("at"), F.max("last").alias("last"))
+    return passages.select(*WHO, "start", "end", F.col("at.first").alias("of"), ((F.col("start") == 0) & F.col("last")).alias("whole"))
 
 
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """A row for each repeated passage: doc_id, start, length (in UTF-8 bytes), n_chunks, first_doc_id, first_start, whole.
+    """A row for each repeated passage: doc_id, start, length (in UTF-8 bytes), first_doc_id, first_start, whole.
 
-    A passage is a maximal run of chunks that occur before, in a document with a smaller doc_id or earlier in the
-    same one (a null doc_id comes last), if it has `least` bytes or is the whole text. first_doc_id and
-    first_start say where its first chunk occurs first. Rows that share a doc_id and a text are one document.
-    Null and empty texts have no chunks; an empty table gives no rows. Other columns are not read.
+    A passage is a maximal run of blocks, overlapping or next to each other, that occur before: in a document with a
+    smaller doc_id (null ones come last, in some fixed order) or earlier in the same one. So it has `least` bytes, or
+    is a whole text. first_doc_id and first_start say where its first block occurs first. Rows that share a doc_id
+    but not the text are documents of their own; rows that share both are one. Null and empty texts have no blocks;
+    an empty table gives no rows. Other columns are not read.
     """
-    found = chunks(docs)
-    # counts and first places form on the map side; a chunk that half of the texts share is one row a task
-    firsts = (
-        found.groupBy(F.col("digest").alias("d")).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > 1).select("d", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
-    )
-    again = found.join(firsts, F.col("digest") == F.col("d")).filter((F.col("doc_id") != F.col("first_doc_id")) | (F.col("start") != F.col("first_start")))
-    doc = W.partitionBy("doc_id").orderBy("start", "digest")
-    fresh = F.coalesce(F.lag(F.col("start") + F.col("length")).over(doc) < F.col("start"), F.lit(True))
-    runs = again.drop("digest", "d").withColumn("digest", F.lit(0)).withColumn("run", F.sum(fresh.cast("int")).over(doc.rowsBetween(W.unboundedPreceding, 0)))
-    once = runs.dropDuplicates(["doc_id", "run", "start"])  # of repeated rows
-    passages = once.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.sum("length").alias("length"), F.count(F.lit(1)).alias("n_chunks"),
-        F.min(F.struct("start", "first_doc_id", "first_start")).alias("at"), F.max("last").alias("last"),
-    )
-    whole = (F.col("start") == 0) & F.col("last")
-    number = lambda c: F.when(F.col(c) != _NONE, F.col(c))
-    return passages.filter((F.col("length") >= least) | whole).select(
-        number("doc_id").alias("doc_id"), "start", "length", "n_chunks", number("at.first_doc_id").alias("first_doc_id"), F.col("at.first_start").alias("first_start"), whole.alias("whole")
+    return _passages(docs, least).select(
+        doc_id_of("none", "id").alias("doc_id"), "start", (F.col("end") - F.col("start")).alias("length"), doc_id_of("of.none", "of.id").alias("first_doc_id"), F.col("of.start").alias("first_start"), "whole"
     )
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """`docs` with repeated passages cut out of the texts; characters that a cut parts leave with it."""
+    """`docs` with repeated passages cut out of the texts; characters that a cut parts leave with it.
+
+    All rows and columns stay. Rows without doc_id, or with one that others have too, lose what their own text
+    repeats only; rows that repeat a document lose the same passages. Null and empty texts, and an empty table, stay.
+    """
     ship(docs.sparkSession)
-    spans = repeats(docs, least).groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"))
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("key"))
-    joined = rows.join(spans, F.col("key").eqNullSafe(F.col("id")), "left")
+    spans = _passages(docs, least).groupBy(*WHO).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *identity())
+    joined = rows.join(spans, same_document(rows, spans), "left").select("row", "spans")
 
     @F.pandas_udf("string")
     def cut_out(text, spans):
@@ -131,7 +149,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
             data, out, at = t.encode(), [], 0
             for x in s:
                 out.append(data[at : x["start"]])
-                at = max(at, x["start"] + x["length"])
+                at = max(at, x["end"])
             return b"".join([*out, data[at:]]).decode("utf-8", "ignore")
 
         return text.combine(spans, one)

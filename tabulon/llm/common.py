@@ -1,7 +1,8 @@
-"""What the corpus operators share: cutting lineage, shipping code to executors, word and shingle rules."""
+"""What the corpus operators share: cutting lineage, shipping code to executors, telling documents apart, ranks."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -15,6 +16,12 @@ from pyspark.sql.window import Window as W
 #: The characters that separate words, as a regular-expression class body.
 BLANK = r"\x20\x09-\x0D"
 
+#: Rows of a table (some 100 bytes each at most) that is broadcast; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+#: What `identity` makes.
+WHO = ["none", "id", "mark"]
+
 _shipped: set[str] = set()
 
 
@@ -63,6 +70,48 @@ def tidy(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of written tables, in whichever file system it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release() -> None:
+    """Give what a Python worker has freed back to the system: the worker stays for later tasks and stages."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df` (cut), for a broadcast if its rows are counted to be few; else as it is, for a join by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def identity(text: str | Column = "text") -> list[Column]:
+    """none, id, mark: which document a row is.
+
+    id is the doc_id, and mark a hash of the text, so that rows that repeat a doc_id with other texts are other
+    documents; a row without doc_id (none, which orders last) has a second hash of its text as id. Rows that
+    share all three repeat a document.
+    """
+    doc, content = F.col("doc_id").cast("long"), text_of(text)
+    return [doc.isNull().alias("none"), F.coalesce(doc, F.xxhash64(content)).alias("id"), F.hash(content).alias("mark")]
+
+
+def same_document(left: DataFrame, right: DataFrame) -> Column:
+    return (left["none"] == right["none"]) & (left["id"] == right["id"]) & (left["mark"] == right["mark"])
+
+
+def doc_id_of(none: str | Column, id_: str | Column) -> Column:
+    """The doc_id of an identity; null where there is none."""
+    return F.when(~(F.col(none) if isinstance(none, str) else none), F.col(id_) if isinstance(id_, str) else id_)
+
+
 def text_of(col: str | Column = "text") -> Column:
     """A text, null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

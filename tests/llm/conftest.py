@@ -23,7 +23,7 @@ def corpus(seed=3, n=60):
         base = " ".join(words(random.Random(5), 120)).split(" ")
         base[10 + k] = "changed"
         texts.append(" ".join(base))
-    texts += [texts[3], texts[3] + "  ", texts[3].replace(" ", "\t ", 1), texts[4].upper(), None, "", " \n\t ", "one", "ONE", "two words", "été Ünïcode 中文 \U0001f600", "1234 5678", "!!! ???"]
+    texts += [texts[3], texts[3] + "  ", texts[3].replace(" ", "\t ", 1), texts[4].upper(), None, "", " \n\t ", "one", "ONE", "two words", "été Ünïcode 中文 \U0001f600", "1234 5678", "!!! ???", "one <|endoftext|> two"]
     texts.append("\n".join(" ".join(words(rng, 12)) for _ in range(1500)))
     rows = [(k, t, ["en", "de", None][k % 3], ["a", "a", "a", "b", None][k % 5], None, "x", 7, 8, "dot") for k, t in enumerate(texts)]
     rows += [rows[3], rows[3], (None, texts[3], "en", "a", 1, None, None, None, None), (None, "alone without id", None, "c", None, None, None, None, None)]

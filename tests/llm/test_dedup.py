@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 from tabulon.llm import chunk_dedup, components, exact_dedup, line_winnow, minhash_forest
-from tabulon.llm.common import distributed_rank
+from tabulon.llm.common import distributed_rank, identity
 
 
 def plain_components(sets, similar=80):
@@ -148,29 +148,70 @@ def test_chunks_resist_insertions():
     assert len(cut(data) - cut(data[:3000] + b"inserted" + data[3000:])) <= 3
 
 
-def test_repeats(docs, rows):
-    texts = {r[0]: (r[1] or "").encode() for r in rows if r[0] is not None}
-    first, found = {}, {k: plain_chunks(t) for k, t in sorted(texts.items())}
+def documents(df):
+    """(none, id, mark) to text: the documents in their order."""
+    return dict(sorted({(r.none, r.id, r.mark): r.text for r in df.select(*identity(), "text").collect()}.items()))
+
+
+def doc_id(who):
+    return None if who[0] else who[1]
+
+
+def awkward(spark):
+    """Rows without id and with one that others have too, which share passages with others or nothing."""
+    rng = random.Random(12)
+    line = lambda: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8))) for _ in range(9))
+    shared, own = [line() for _ in range(5)], [[line() for _ in range(10)] for _ in range(6)]
+    texts = [(None, shared + own[0]), (None, own[1][:3] + shared), (None, own[2]), (2, own[3]), (2, own[4][:4] + shared + own[4][4:]), (2, own[4][:4] + shared + own[4][4:]), (1, ["short"]), (5, ["short"]), (None, []), (7, own[5] * 2)]
+    return spark.createDataFrame([(k, "\n".join(t), "x", 1) for k, t in texts] + [(None, None, "x", 1)], "doc_id long, text string, mark string, start int")
+
+
+def plain_blocks(data, least):
+    parts = plain_chunks(data)
+    out = []
+    for i, (a, _) in enumerate(parts):
+        end = next((b for _, b in parts[i:] if b - a >= least), None)
+        out += [(a, end)] if end else []
+    if parts and not out:
+        return [(0, len(data))]
+    return out if not out or out[-1][1] == len(data) else [*out, (out[-1][0], len(data))]
+
+
+def test_blocks():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 20, 47, 48, 49, 90, 700, 3000):
+        data = bytes(rng.integers(97, 123, n, dtype=np.uint8))
+        a, b = chunk_dedup.blocks(data)
+        assert list(zip(a.tolist(), b.tolist())) == plain_blocks(data, chunk_dedup.LEAST)
+        covered = {i for x, y in zip(a.tolist(), b.tolist()) for i in range(x, y)}
+        assert covered == set(range(n))
+
+
+def plain_repeats(texts):
+    first, found = {}, {k: plain_blocks((t or "").encode(), chunk_dedup.LEAST) for k, t in texts.items()}
     for k, parts in found.items():
         for a, b in parts:
-            first.setdefault(texts[k][a:b], (k, a))
-    expected = set()
+            first.setdefault(texts[k].encode()[a:b], (k, a))
+    out = []
     for k, parts in found.items():
-        run = []
-        for a, b in [*parts, (0, 0)]:
-            if b and first[texts[k][a:b]] != (k, a):
-                run.append((a, b))
+        run, data = None, (texts[k] or "").encode()
+        for a, b in [x for x in parts if first[data[x[0] : x[1]]] != (k, x[0])]:
+            if run and a <= run[1]:
+                run[1] = max(run[1], b)
                 continue
-            if run:
-                size = run[-1][1] - run[0][0]
-                if size >= chunk_dedup.LEAST or size == len(texts[k]):
-                    expected.add((k, run[0][0], size, len(run), *first[texts[k][run[0][0] : run[0][1]]], size == len(texts[k])))
-            run = []
-    got = chunk_dedup.repeats(docs).collect()
-    assert {tuple(r) for r in got if r.doc_id is not None} == expected and expected
-    shared = {r.doc_id for r in got}
+            run = [a, b, *first[data[a:b]]]
+            out.append((k, run))
+    return sorted((repr(doc_id(k)), a, b - a, repr(doc_id(of)), at, (a, b) == (0, len(texts[k].encode()))) for k, (a, b, of, at) in out)
+
+
+def test_repeats(spark, docs, rows):
+    for df in (docs, awkward(spark)):
+        got = chunk_dedup.repeats(df).collect()
+        expected = plain_repeats(documents(df))
+        assert sorted((repr(r.doc_id), r.start, r.length, repr(r.first_doc_id), r.first_start, r.whole) for r in got) == expected and expected
+    shared = {r.doc_id for r in chunk_dedup.repeats(docs).collect()}
     assert set(range(9, 60, 9)) <= shared  # the passage of 70 words
-    assert {r.first_doc_id for r in got if r.doc_id is None} == {3}
+    assert 9 not in {r.doc_id for r in chunk_dedup.repeats(docs.filter("doc_id in (9, 10)")).collect()}
 
 
 def test_passages_of_51_short_words(spark):
@@ -185,76 +226,124 @@ def test_passages_of_51_short_words(spark):
     assert len(found & set(range(1, 1600, 2))) >= 0.98 * 800 and not found & set(range(0, 1600, 2))
 
 
-def test_without_repeats(docs, rows):
+def test_without_repeats(spark, docs, rows):
     out = chunk_dedup.without_repeats(docs)
     texts = {r.doc_id: r.text for r in out.collect() if r.doc_id is not None}
     assert out.columns == docs.columns and texts[1] == rows[1][1] and texts[68] == "" and len(texts[9]) < len(rows[9][1]) - 200
-
-
-def plain_runs(texts):
+    df = awkward(spark)
+    left = chunk_dedup.without_repeats(df)
+    assert left.columns == df.columns and left.count() == df.count()
+    gone = defaultdict(list)
+    texts = documents(df)
+    for who, text in texts.items():
+        gone[doc_id(who)].append(text)
+    untouched = [t for t in (r.text for r in df.collect()) if t and t not in ("short",) and all(sum(line in (u or "") for u in texts.values()) == 1 and t.count(line) == 1 for line in t.split("\n"))]
+    after = [r.text for r in left.collect()]
+    assert len(untouched) == 2 and all(t in after for t in untouched)  # a row without id, and one of a repeated id
+
+
+def plain_covered(texts, gram, window):
+    """(document, line) to the earliest place that shows it, by fingerprints and all their earlier places."""
+    lines = {k: [y for x in (t or "").split("\n") if (y := re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x))] for k, t in texts.items()}
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    hashes, prints, first = {}, {}, {}
-    for k, t in sorted(texts.items()):
-        lines = [y for x in (t or "").split("\n") if (y := re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x))]
-        hashes[k] = h = [signed(xxhash.xxh64(x.encode(), seed=42).intdigest()) for x in lines]
-        g = []
-        for i in range(len(h) - 1):
-            seed = xxhash.xxh64(struct.pack("<q", h[i]), seed=42).intdigest()
-            g.append(signed(xxhash.xxh64(struct.pack("<q", h[i + 1]), seed=seed).intdigest()))
-        at = {i + max(j for j in range(len(g[i : i + 2])) if g[i + j] == min(g[i : i + 2])) for i in range(max(len(g) - 2, 0) + 1)} if g else set()
-        prints[k] = [(g[p], p) for p in sorted(at)]
-        for x, p in prints[k]:
-            first.setdefault(x, (k, p))
-    out = set()
-    for k, found in prints.items():
-        last, gone = {}, {}
-        for x, p in found:
-            d, q = (k, last[x]) if x in last else first[x]
-            last[x] = p
-            if (d, q) == (k, p):
-                continue
-            a, b, h, o = p, p + 2, hashes[k], hashes[d]
-            a -= a > 0 and q > 0 and h[a - 1] == o[q - 1]
-            b += b < len(h) and q + 2 < len(o) and h[b] == o[q + 2]
+    prints = []
+    for k, found in lines.items():
+        pairs = [(signed(xxhash.xxh64(x.encode(), seed=42).intdigest()), murmur(x.encode())) for x in found]
+        hashes = []
+        for i in range(len(pairs) - gram + 1):
+            seed = 42
+            for a, b in pairs[i : i + gram]:
+                seed = xxhash.xxh64(struct.pack("<q", a), seed=seed).intdigest()
+                seed = xxhash.xxh64(struct.pack("<i", b), seed=seed).intdigest()
+            hashes.append(signed(seed))
+        at = {i + max(j for j in range(len(w)) if w[j] == min(w)) for i in range(max(len(hashes) - window, 0) + 1) if (w := hashes[i : i + window])}
+        prints += [(k, p) for p in sorted(at)]
+    out = {}
+    for k, p in prints:
+        for q, at in [(q, d) for d, q in prints if (d, q) < (k, p) and lines[d][q : q + gram] == lines[k][p : p + gram]]:
+            shift, mine, other = q - p, lines[k], lines[at]
+            same = lambda i: 0 <= i < len(mine) and 0 <= i + shift < len(other) and mine[i] == other[i + shift]  # noqa: B023, E731
+            a, b = p, p + gram
+            while p - a < window - 1 and same(a - 1):
+                a -= 1
+            while b - p - gram < window - 1 and same(b):
+                b += 1
             for i in range(a, b):
-                gone[i] = min(gone.get(i, (1 << 62, 0)), (d, p - q))
-        for i in sorted(gone):
-            if i - 1 not in gone:
-                n = 1
-                while i + n in gone:
-                    n += 1
-                out.add((k, i, n, gone[i][0], i - gone[i][1]))
+                out[(k, i)] = min(out.get((k, i), (at, i + shift)), (at, i + shift))
     return out
 
 
-def test_repeated_runs(spark, docs, rows):
-    texts = {r[0]: r[1] for r in rows if r[0] is not None}
-    assert {tuple(r) for r in line_winnow.repeated_runs(docs).collect() if r.doc_id is not None} == plain_runs(texts)
+def murmur(data, seed=42):
+    """The 32-bit hash of Spark's hash() of a text: blocks of 4 bytes, then single signed bytes."""
+    mask = (1 << 32) - 1
+
+    def mix(h, k):
+        k = k * 0xCC9E2D51 & mask
+        k = (k << 15 | k >> 17) * 0x1B873593 & mask
+        h ^= k
+        return ((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64 & mask
+
+    h, whole = seed, len(data) - len(data) % 4
+    for i in range(0, whole, 4):
+        h = mix(h, struct.unpack_from("<I", data, i)[0])
+    for b in data[whole:]:
+        h = mix(h, (b - 256 if b > 127 else b) & mask)
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+@pytest.mark.parametrize("gram, window", [(1, 1), (2, 2), (1, 3), (3, 2)])
+def test_covered_lines(spark, docs, gram, window):
     block = "alpha beta\ngamma\n\n delta \nepsilon"
-    made = {0: f"first\n{block}\nlast", 1: f"other\nthing\n{block}", 2: "x\n" * 7, 3: f"{block}\n{block}", 4: "", 5: None, 6: "gamma"}
-    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
-    got = {tuple(r) for r in line_winnow.repeated_runs(df).collect()}
-    assert got == plain_runs(made) and {(1, 2, 4, 0, 1), (3, 0, 8, 0, 1)} <= got
-    left = {r.doc_id: r.text for r in line_winnow.without_repeats(df).collect()}
-    assert left[0] == made[0] and left[1] == "other\nthing" and left[3] == "" and left[5] is None and left[2].count("x") < 7
+    rng = random.Random(gram * 7 + window)
+    made = {0: f"first\n{block}\nlast", 1: f"other\nthing\n{block}", 2: "x\n" * 7, 3: f"{block}\n{block}", 4: "", 5: None, 6: "gamma", 7: "f1\nf2\nz", 8: "a\nu\nf1\nf2", 9: "b\nu\nf1\nf2\nc", 10: "u"}
+    made |= {k: "\n".join(f"line {rng.randint(0, 9)}" for _ in range(rng.randint(0, 9))) for k in range(20, 70)}
+    small = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    for df in (small, awkward(spark), docs.filter("length(text) < 3000 or text is null")):
+        got = {((r.none, r.id, r.mark), r.line): ((r.of.none, r.of.id, r.of.mark), r.of.line) for r in line_winnow.covered_lines(df, gram, window).collect()}
+        assert got == plain_covered(documents(df), gram, window) and got
 
 
-def test_every_line_that_stood_before(spark, docs, rows, tmp_path):
+def test_every_line_that_stood_before(spark, docs, tmp_path):
+    """The query against all earlier lines, and its SQL."""
+    import duckdb
+
     from tabulon.llm.queries import op6_line_winnowing
 
-    # single lines, a one-line text, and runs whose end lines stood elsewhere with other neighbours
-    made = {0: "f1\nf2\nz", 1: "a\nu\nf1\nf2", 2: "b\nu\nf1\nf2\nc", 3: "d\nz\ne", 4: "u", 5: "u\nu", 6: "alone"}
-    for texts, df in ((made, spark.createDataFrame(list(made.items()), "doc_id long, text string")), ({r[0]: r[1] for r in rows if r[0] is not None}, docs)):
-        before, expected = set(), set()
-        for k, t in sorted(texts.items()):
+    made = {0: "f1\nf2\nz", 1: "a\nu\nf1\nf2", 2: "b\nu\nf1\nf2\nc", 3: "d\nz\ne", 4: "u", 5: "u\nu", 6: "alone", 7: None, 8: ""}
+    for k, df in enumerate((spark.createDataFrame(list(made.items()), "doc_id long, text string"), docs.select("doc_id", "text"), awkward(spark).select("doc_id", "text"))):
+        before, expected = {}, []
+        texts = documents(df)
+        for who, t in texts.items():
+            run = None
             for i, x in enumerate(y for z in (t or "").split("\n") if (y := re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", z))):
-                expected |= {(k, i)} if x in before else set()
-                before.add(x)
-        folder = str(tmp_path / str(len(texts)))
-        df.select("doc_id", "text").write.parquet(f"{folder}/documents.parquet")
-        got = op6_line_winnowing(spark, folder).collect()
-        assert {(r.doc_id, k) for r in got if r.doc_id is not None for k in range(r.first_line, r.first_line + r.n_lines)} == expected and expected
-        assert all(r.n_lines > 0 and (r.of_doc_id, r.of_line) < (r.doc_id, r.first_line) for r in got if r.doc_id is not None)
+                if x in before and run and run[1] + run[2] == i:
+                    run[2] += 1
+                elif x in before:
+                    expected.append(run := [repr(doc_id(who)), i, 1, repr(doc_id(before[x][0])), before[x][1]])
+                before.setdefault(x, (who, i))
+        folder = str(tmp_path / str(k))
+        df.write.parquet(f"{folder}/documents.parquet")
+        got = [(repr(r.doc_id), r.first_line, r.n_lines, repr(r.of_doc_id), r.of_line) for r in op6_line_winnowing(spark, folder).collect()]
+        assert sorted(got) == sorted(map(tuple, expected)) and expected
+        if k == 0:
+            con = duckdb.connect()
+            con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+            assert sorted((repr(a), b, c, repr(d), e) for a, b, c, d, e in con.execute(line_winnow.ORACLE).fetchall()) == sorted(got)
+
+
+def test_texts_without_repeated_lines(spark):
+    made = {0: "a1\nb\nc", 1: "x\n b \n\nc\ny", 2: "a1\nb\nc", 3: None, 4: "", 5: "c\nnew"}
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_winnow.without_repeats(df, 1, 1).collect()} == {0: made[0], 1: "x\ny", 2: "", 3: None, 4: "", 5: "new"}
+    df = awkward(spark)
+    left = line_winnow.without_repeats(df)
+    before, after = [r.text for r in df.collect()], [r.text for r in left.collect()]
+    assert left.columns == df.columns and len(before) == len(after)
+    assert sum(t in after for t in before if t and len(t.split("\n")) == 10) == 2  # a row without id, and one of a repeated id
 
 
 def test_components(spark):
