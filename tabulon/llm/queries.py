@@ -76,6 +76,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tabulon.llm import exact_dedup, license_scan, minhash_forest, mixing
+    from tabulon.llm import exact_dedup, license_scan, line_winnow, minhash_forest, mixing
 
-    return {"op1_minhash_forest": minhash_forest.ORACLE, "op2_license_rules": license_scan.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op5_source_mixing": mixing.ORACLE}
+    return {"op1_minhash_forest": minhash_forest.ORACLE, "op2_license_rules": license_scan.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op5_source_mixing": mixing.ORACLE, "op6_line_winnowing": line_winnow.ORACLE}
