@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabulon.llm.common import cut, ship
+from tabulon.llm.common import cut, release, ship
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -42,23 +42,26 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 #: What keeps a text from being encoded in parts: white space other than spaces and line ends, and spaces beside white space.
 _ODD = ["  ", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 
+WORD_BYTES = 64 << 20  # that a Python worker keeps of words and their ids
+
 
 class Encoder:
-    """Texts to token ids (little-endian unsigned 32-bit, as bytes), by the words that were met before.
+    """Texts to the tokenizer's ids (little-endian unsigned 32-bit, as bytes), by the words that were met before.
 
     The vocabulary's pattern never takes a space or line end after another character into one match, so a
     text that has only single spaces between words gives the same ids as its parts between spaces. Other
-    texts are encoded whole.
+    texts, and those that hold one of the vocabulary's added tokens, are encoded whole. What is kept of words is
+    bounded by its bytes.
     """
 
-    def __init__(self, vocabulary: str, words: int = 800_000):
+    def __init__(self, vocabulary: str, room: int = WORD_BYTES):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-        self.whole.encode_special_tokens = True
+        self.odd = [*_ODD, *(t.content for t in self.whole.get_added_tokens_decoder().values())]
         self.ranks = self._ranks(public_tokenizers, vocabulary)
-        self.words, self.seen, self.first = words, {}, {}
+        self.room, self.held, self.seen, self.first = room, 0, {}, {}
 
     @staticmethod
     def _ranks(public, vocabulary):
@@ -77,12 +80,17 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def keep(self, words: dict[str, bytes], word: str, ids: bytes) -> None:
+        words[word] = ids
+        self.held += 200 + 2 * len(word) + len(ids)  # with the objects' and the table's own bytes
+
     def learn(self, parts: set[str]) -> None:
         """Encode new parts, each with a space before it, in one run; their ends show where each begins."""
-        new = list(parts.difference(self.seen))
-        if len(self.seen) + len(new) > self.words:
+        if self.held > self.room:
             self.seen.clear()
-            new = list(parts)
+            self.first.clear()
+            self.held = 0
+        new = list(parts.difference(self.seen))
         if not new:
             return
         if not hasattr(self, "bytes_of"):
@@ -93,14 +101,14 @@ class Encoder:
         at = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in spaced])) + 1
         raw, begin = ids.tobytes(), 0
         for part, end in zip(new, (at * 4).tolist()):
-            self.seen[part] = raw[begin:end]
+            self.keep(self.seen, part, raw[begin:end])
             begin = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.ranks is None:
             return [self.ids(t) for t in texts]
         # a text that ends with a space has an empty last part, which isn't one
-        split = [None if t[-1:] == " " or any(map(t.__contains__, _ODD)) else t.split(" ") for t in texts]
+        split = [None if t[-1:] == " " or any(map(t.__contains__, self.odd)) else t.split(" ") for t in texts]
         rest = [None if s is None else s[1:] for s in split]
         self.learn(set().union(*filter(None, rest)))
         out, ids_of = [], self.seen.__getitem__
@@ -109,9 +117,7 @@ class Encoder:
                 out.append(self.ids(text))
                 continue
             if parts[0] not in self.first:
-                if len(self.first) > self.words // 10:
-                    self.first.clear()
-                self.first[parts[0]] = array("I", self.ranks.encode_ordinary(parts[0])).tobytes()
+                self.keep(self.first, parts[0], array("I", self.ranks.encode_ordinary(parts[0])).tobytes())
             out.append(self.first[parts[0]] + b"".join(map(ids_of, others)))
         return out
 
@@ -153,6 +159,7 @@ def _pieces(vocabulary: str, capacity: int, end_id: int, rows: int = 256):
                         nth[length] += 1
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
+        release()
 
     return run
 

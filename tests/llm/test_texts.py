@@ -231,9 +231,18 @@ def test_pack_documents(docs, rows, empty):
 
 
 def test_word_cache_gives_the_tokenizers_ids():
-    e = packing.Encoder("byte_bpe_50k", words=20)
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    e = packing.Encoder("byte_bpe_50k", room=4000)
     texts = ["", " ", "a", " a", "a ", "a  b", "a\n\nb", "a \nb", "a\n b", "a\tb", "it's don't  x", "<|endoftext|> is text", "é 中 文 x", "x y z " * 30 + "end", "one two three\nfour five. six", "\n", "a\x1cb c", "Ａ１ ²"]
-    assert e.encode(texts) == [e.ids(t) for t in texts] and e.encode(texts[::-1]) == [e.ids(t) for t in texts[::-1]]
+    plain = Tokenizer.from_file(path("byte_bpe_50k.json"))  # as the file has it, added tokens included
+    ids = [np.array(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert e.encode(texts) == ids and e.encode(texts[::-1]) == ids[::-1]
+    assert plain.encode("one <|endoftext|> two", add_special_tokens=False).ids == [505, 220, 50256, 734] == np.frombuffer(e.encode(["one <|endoftext|> two"])[0], dtype="<u4").tolist()
+    for k in range(200):  # what is kept stays bounded
+        e.encode([" ".join(f"word{k}x{i}" for i in range(40))])
+        assert e.held < 4000 + 41 * 400
 
 
 def test_quotes():
