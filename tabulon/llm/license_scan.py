@@ -2,7 +2,8 @@
 
 A text is cut into sentences, each normalised to its lower-case letters and digits; known sentences get their
 identifiers, and the sequence of a document's identifiers is matched against ordered rules. Of rules that match
-in one place the longest counts.
+in one place the longest counts. Sentences and rules are parameters; those here are the texts and notices of common
+public licences, and references to them, which are built from names and phrases.
 """
 
 from __future__ import annotations
@@ -14,97 +15,170 @@ from pyspark.sql.window import Window as W
 from tabulon.llm.common import BLANK, text_of
 
 # Sentences of public licences and notices, normalised.
-SENTENCES = [
+TEXTS = [
     ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("mit-notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit-as-is", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
     ("mit-liability", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
-    ("mit-reference", "released under the mit license"),
-    ("mit-reference", "licensed under the mit license"),
-    ("mit-reference", "this project is licensed under the mit license"),
-    ("spdx-mit", "spdx license identifier mit"),
-    ("apache-2-reference", "licensed under the apache license version 2 0"),
     ("apache-2-grant", "licensed under the apache license version 2 0 the license"),
     ("apache-2-comply", "you may not use this file except in compliance with the license"),
     ("apache-2-copy", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2-copy", "you may obtain a copy of the license at https www apache org licenses license 2 0"),
     ("apache-2-as-is", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("apache-2-limits", "see the license for the specific language governing permissions and limitations under the license"),
-    ("spdx-apache-2", "spdx license identifier apache 2 0"),
     ("bsd-grant", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd-source", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("bsd-binary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("bsd-endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("bsd-reference", "licensed under the bsd license"),
-    ("gpl-3-reference", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl-hope", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
-    ("gpl-details", "see the gnu general public license for more details"),
-    ("spdx-gpl-3", "spdx license identifier gpl 3 0 or later"),
-    ("mpl-2-reference", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-reference", "licensed under cc by 4 0"),
-    ("cc-by-sa-reference", "licensed under cc by sa 4 0"),
-    ("cc-by-nc-reference", "licensed under cc by nc 4 0"),
-    ("cc-by-nc-nd-reference", "licensed under cc by nc nd 4 0"),
+    ("bsd-as-is", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("bsd-liability", "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("isc-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib-as-is", "this software is provided as is without any express or implied warranty"),
+    ("zlib-liability", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib-grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("unlicense-domain", "this is free and unencumbered software released into the public domain"),
+    ("unlicense-grant", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("mpl-2-terms", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2-copy", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    ("epl-2-terms", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"),
+    ("bsl-1-reference", "distributed under the boost software license version 1 0"),
+    ("gnu-received", "if not see https www gnu org licenses"),
+    ("gnu-received", "if not see http www gnu org licenses"),
     ("all-rights", "all rights reserved"),
 ]
 
 # Rules in their order, with the licence that each tells of.
-RULES = [
+TEXT_RULES = [
     ("mit-text", "MIT", ["mit-grant", "mit-notice", "mit-as-is", "mit-liability"]),
     ("mit-text-short", "MIT", ["mit-grant", "mit-notice", "mit-as-is"]),
     ("mit-grant", "MIT", ["mit-grant"]),
-    ("mit-reference", "MIT", ["mit-reference"]),
-    ("mit-spdx", "MIT", ["spdx-mit"]),
     ("apache-2-header", "Apache-2.0", ["apache-2-grant", "apache-2-comply", "apache-2-copy", "apache-2-as-is", "apache-2-limits"]),
     ("apache-2-header-short", "Apache-2.0", ["apache-2-grant", "apache-2-comply"]),
-    ("apache-2-reference", "Apache-2.0", ["apache-2-reference"]),
-    ("apache-2-spdx", "Apache-2.0", ["spdx-apache-2"]),
-    ("bsd-3-text", "BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
-    ("bsd-2-text", "BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
-    ("bsd-reference", "BSD", ["bsd-reference"]),
-    ("gpl-3-notice", "GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-details"]),
-    ("gpl-3-grant", "GPL-3.0-or-later", ["gpl-free"]),
-    ("gpl-3-reference", "GPL-3.0", ["gpl-3-reference"]),
-    ("gpl-3-spdx", "GPL-3.0-or-later", ["spdx-gpl-3"]),
-    ("mpl-2-reference", "MPL-2.0", ["mpl-2-reference"]),
-    ("cc-by", "CC-BY-4.0", ["cc-by-reference"]),
-    ("cc-by-sa", "CC-BY-SA-4.0", ["cc-by-sa-reference"]),
-    ("cc-by-nc", "CC-BY-NC-4.0", ["cc-by-nc-reference"]),
-    ("cc-by-nc-nd", "CC-BY-NC-ND-4.0", ["cc-by-nc-nd-reference"]),
+    ("bsd-3-text", "BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is", "bsd-liability"]),
+    ("bsd-3-conditions", "BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("bsd-2-text", "BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liability"]),
+    ("bsd-2-conditions", "BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("isc-grant", "ISC", ["isc-grant"]),
+    ("zlib-text", "Zlib", ["zlib-as-is", "zlib-liability", "zlib-grant"]),
+    ("unlicense-text", "Unlicense", ["unlicense-domain", "unlicense-grant"]),
+    ("unlicense-domain", "Unlicense", ["unlicense-domain"]),
+    ("mpl-2-header", "MPL-2.0", ["mpl-2-terms", "mpl-2-copy"]),
+    ("mpl-2-terms", "MPL-2.0", ["mpl-2-terms"]),
+    ("epl-2-terms", "EPL-2.0", ["epl-2-terms"]),
+    ("bsl-1-reference", "BSL-1.0", ["bsl-1-reference"]),
     ("all-rights-reserved", "Proprietary", ["all-rights"]),
 ]
 
-#: Each known sentence has one of these, so texts without them need no cutting up.
-HINTS = "licen[cs]e|permi(t|ssion)|warrant|copyright|liable|redistribut|all rights reserved|general public|software"
+# How licences are called.
+NAMES = [
+    ("MIT", ["mit license", "mit licence"]), ("Apache-2.0", ["apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache license v2 0"]),
+    ("BSD", ["bsd license"]), ("BSD-2-Clause", ["bsd 2 clause license", "2 clause bsd license", "simplified bsd license"]), ("BSD-3-Clause", ["bsd 3 clause license", "3 clause bsd license", "new bsd license"]),
+    ("GPL-2.0", ["gnu general public license version 2", "gnu general public license v2 0", "gnu gpl v2", "gplv2"]), ("GPL-3.0", ["gnu general public license version 3", "gnu general public license v3 0", "gnu gpl v3", "gplv3"]),
+    ("LGPL-2.1", ["gnu lesser general public license version 2 1", "gnu lgpl v2 1"]), ("LGPL-3.0", ["gnu lesser general public license version 3", "gnu lgpl v3"]), ("AGPL-3.0", ["gnu affero general public license version 3", "gnu agpl v3"]),
+    ("MPL-2.0", ["mozilla public license version 2 0", "mozilla public license 2 0", "mpl 2 0"]), ("EPL-2.0", ["eclipse public license 2 0", "eclipse public license version 2 0"]), ("ISC", ["isc license"]), ("Zlib", ["zlib license"]),
+    ("BSL-1.0", ["boost software license"]), ("Unlicense", ["unlicense"]), ("CC0-1.0", ["cc0 1 0 universal", "cc0 1 0", "creative commons zero v1 0 universal license"]), ("WTFPL", ["wtfpl"]),
+]
+PHRASES = ["licensed under", "released under", "distributed under", "available under"]
+SUBJECTS = ["this project is", "this work is", "this software is"]
+CC_PARTS = {"by": "attribution", "nc": "noncommercial", "nd": "noderivatives", "sa": "sharealike"}
+CC_KINDS = ["by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"]
+GNU = [("GPL", "gnu general public license", ["2", "3"]), ("LGPL", "gnu lesser general public license", ["2 1", "3"]), ("AGPL", "gnu affero general public license", ["3"])]
+SPDX = ["MIT", "MIT-0", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "WTFPL", "CC0-1.0", "Artistic-2.0"]
+
+
+def spelled(name: str) -> str:
+    """A name as sentences are normalised."""
+    return " ".join("".join(c if c.isalnum() else " " for c in name.lower()).split())
+
+
+def known_tables() -> tuple[list[tuple[str, str]], list[tuple[str, str, list[str]]]]:
+    """(sentence identifier, words) and (rule, licence, identifiers): the texts, and what names, phrases and versions give."""
+    sentences, rules = {w: s for s, w in TEXTS}, list(TEXT_RULES)
+
+    def add(identifier: str, words: str) -> None:
+        sentences.setdefault(words, identifier)
+
+    names = {k: list(v) for k, v in NAMES}
+    for kind in CC_KINDS:
+        for version in ("3.0", "4.0"):
+            long = " ".join(CC_PARTS[x] for x in kind.split("-"))
+            names[f"CC-{kind.upper()}-{version}"] = [f"cc {spelled(kind)} {spelled(version)}", f"creative commons {long} {spelled(version)} international license", f"creative commons {long} {spelled(version)} license"]
+    for licence, called in names.items():
+        key = f"{licence.lower()}-reference"
+        rules.append((key, licence, [key]))
+        for name in called:
+            for phrase in PHRASES:
+                for subject in ("", *SUBJECTS):
+                    add(key, f"{subject} {phrase} {name}".strip())
+                    add(key, f"{subject} {phrase} the {name}".strip())
+    for short, name, versions in GNU:
+        add(f"{short.lower()}-details", f"see the {name} for more details")
+        for version in versions:
+            number = version.replace(" ", ".") if " " in version else f"{version}.0"
+            for which, kind in ((f"version {version} of the license", "only"), (f"either version {version} of the license or at your option any later version", "or-later")):
+                key = f"{short.lower()}-{number}-{kind}"
+                for work in ("program", "library", "software", "file"):
+                    add(key, f"this {work} is free software you can redistribute it and or modify it under the terms of the {name} as published by the free software foundation {which}")
+                licence = f"{short}-{number}-{kind}"
+                rules += [(f"{key}-notice", licence, [key, "gnu-hope", f"{short.lower()}-details"]), (f"{key}-grant", licence, [key])]
+                rules.append((f"{licence.lower()}-spdx", licence, [f"spdx-{licence.lower()}"]))
+                add(f"spdx-{licence.lower()}", f"spdx license identifier {spelled(licence)}")
+    for work in ("program", "library", "software", "file"):
+        add("gnu-hope", f"this {work} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose")
+    for licence in [*SPDX, *(f"CC-{k.upper()}-4.0" for k in CC_KINDS)]:
+        rules.append((f"{licence.lower()}-spdx", licence, [f"spdx-{licence.lower()}"]))
+        add(f"spdx-{licence.lower()}", f"spdx license identifier {spelled(licence)}")
+    return [(s, w) for w, s in sentences.items()], rules
+
+
+SENTENCES, RULES = known_tables()
+
+
+def hints(sentences: list[tuple[str, str]]) -> str:
+    """A pattern of few words, one of which is in each sentence: a lower-cased text without any can't hold a known sentence."""
+    left, chosen = {w for _, w in sentences}, []
+    while left:
+        counts: dict[str, int] = {}
+        for words in left:
+            parts = words.split()
+            for x in {p for p in parts if len(p) >= 6} or {max(parts, key=len)}:
+                counts[x] = counts.get(x, 0) + 1
+        best = max(sorted(counts), key=counts.get)
+        chosen.append(best)
+        left = {w for w in left if best not in w}
+    return "|".join(chosen)
+
+
 SENTENCE_END = f"[.!?:;]+[{BLANK}]+"
 #: For cutting 3: a sentence end as marked, or lines without letters and digits.
 BLANK_LINE = "\u0001|\n[^A-Za-z0-9\u0001\n]*\n"
 SPAN = 3  # parts of a known sentence at most
 
 
-def sentence_ids(docs: DataFrame) -> DataFrame:
+def sentence_ids(docs: DataFrame, sentences: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, row, cutting, at, last (the numbers of its first and last part), sentence: the known sentences of each row of `docs`.
 
     cutting 1 takes line ends and sentence ends as ends of a part; cutting 2 sentence ends only, for texts whose
     sentences run over lines; cutting 3 sentence ends and lines without letters and digits, so that a heading
     above a wrapped text stays apart. A known sentence may have marks inside: up to `SPAN` neighbouring parts
-    make one. An identifier takes the place of each known sentence.
+    make one. An identifier takes the place of each known sentence. `sentences` are (identifier, words).
     """
     spark = docs.sparkSession
-    known = spark.createDataFrame(SENTENCES, "sentence string, words string")
-    hinted = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).filter(F.lower("text").rlike(HINTS))
+    sentences = SENTENCES if sentences is None else sentences
+    known = spark.createDataFrame(sentences, "sentence string, words string")
+    hinted = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).filter(F.lower("text").rlike(hints(sentences)))
     marked = F.regexp_replace("text", SENTENCE_END, "\u0001")
     by_line = F.split(F.regexp_replace(marked, "[\u0001\n]", "\n"), "\n")
     cuttings = F.array(*[F.struct(F.lit(k).alias("cutting"), c.alias("parts")) for k, c in enumerate((by_line, F.split(marked, "\u0001"), F.split(marked, BLANK_LINE)), 1)])
     # the id numbers rows that share a doc_id; a checkpoint isn't needed, as it is used in one pass
     rows = hinted.withColumn("row", F.xxhash64("text")).select("doc_id", "row", F.inline(cuttings))
     parts = rows.withColumn("parts", F.transform("parts", lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))))
-    placed = parts.select("doc_id", "row", "cutting", "parts", F.posexplode("parts").alias("at", "part")).filter("part != ''")
-    # runs that end in an empty part would repeat a shorter run
-    ends = F.filter(F.sequence(F.col("at"), F.least(F.col("at") + SPAN, F.size("parts")) - 1), lambda i: F.get("parts", i) != "")
-    runs = placed.select("doc_id", "row", "cutting", "at", "parts", F.explode(ends).alias("last"))
-    words = F.array_join(F.filter(F.slice("parts", F.col("at") + 1, F.col("last") - F.col("at") + 1), lambda x: x != ""), " ")
-    return runs.select("doc_id", "row", "cutting", "at", "last", words.alias("words")).join(F.broadcast(known), "words").drop("words")
+    # whole runs are made inside the row, so that no list of parts is repeated for each of them; runs that begin or end in an empty part would repeat a shorter run
+    words = lambda i, j: F.array_join(F.filter(F.slice("parts", i + 1, j - i + 1), lambda x: x != ""), " ")
+    ends = lambda i: F.filter(F.sequence(i, F.least(i + SPAN, F.size("parts")) - 1), lambda j: F.get("parts", j) != "")
+    begins = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.get("parts", i) != "")
+    runs = F.flatten(F.transform(begins, lambda i: F.transform(ends(i), lambda j: F.struct(i.alias("at"), j.alias("last"), words(i, j).alias("words")))))
+    return parts.select("doc_id", "row", "cutting", F.inline(runs)).join(F.broadcast(known), "words").drop("words")
 
 
 def _outermost(seq: Column) -> Column:
@@ -115,29 +189,36 @@ def _outermost(seq: Column) -> Column:
     return F.filter(seq, lambda s, i: ~F.exists(near(i), lambda o: inside(s, o)))
 
 
-def licenses(docs: DataFrame, gap: int = 2) -> DataFrame:
-    """A row for each licence that a document tells of: doc_id, license, rule, place (its first sentence's number), n_sentences.
+def licenses(docs: DataFrame, gap: int = 2, sentences: list[tuple[str, str]] | None = None, rules: list[tuple[str, str, list[str]]] | None = None) -> DataFrame:
+    """A row for each place in which a document tells of a licence: doc_id, license, rule, place (its first sentence's number), n_sentences.
 
     A rule matches identifiers that follow each other in its order, with less than `gap` other parts between
-    two. A match inside a longer one doesn't count. Of the cuttings the one with most known sentences
-    counts, the first if equal. A row that is repeated counts once. Null and empty texts have none; an empty
-    table gives no rows. Other columns are not read.
+    two. A match inside a longer one doesn't count. For each licence, the cutting counts that shows most sentences of
+    it, the first if equal. A row that is repeated counts once; rows that share a doc_id but not the text each count.
+    Null and empty texts have none; an empty table gives no rows. Other columns are not read. `sentences`
+    (identifier, words) and `rules` (name, licence, identifiers) may be others than the tables here.
     """
     spark = docs.sparkSession
-    rules = spark.createDataFrame([(k, *r, r[2][0]) for k, r in enumerate(RULES)], "nth int, rule string, license string, ids array<string>, first string")
-    found = sentence_ids(docs).distinct().groupBy("doc_id", "row", "cutting").agg(F.array_sort(F.collect_list(F.struct("at", "last", "sentence"))).alias("seq"))
+    rules = RULES if rules is None else rules
+    longest = max((len(r[2]) for r in rules), default=1)
+    listed = spark.createDataFrame([(*r, r[2][0]) for r in rules], "rule string, license string, ids array<string>, first string")
+    found = sentence_ids(docs, sentences).distinct().groupBy("doc_id", "row", "cutting").agg(F.array_sort(F.collect_list(F.struct("at", "last", "sentence"))).alias("seq"))
     found = found.withColumn("seq", _outermost(F.col("seq")))
-    best = found.groupBy("doc_id", "row").agg(F.max(F.struct(F.size("seq").alias("n"), (-F.col("cutting")).alias("c"), "seq")).alias("best"))
-    placed = best.select("doc_id", "row", F.col("best.seq").alias("seq"), F.posexplode("best.seq").alias("k", "here")).select("*", F.col("here.sentence").alias("first"))
-    window = F.slice("seq", F.col("k") + 1, F.size("ids"))
+    # as many sentences as a rule may have, not all, go with each
+    ahead = F.transform("seq", lambda x, k: F.struct(k.alias("k"), x["at"].alias("place"), x["sentence"].alias("first"), F.slice("seq", k + 1, longest).alias("ahead")))
+    placed = found.select("doc_id", "row", "cutting", F.inline(ahead))
+    window = F.slice("ahead", F.lit(1), F.size("ids"))
     near = F.forall(F.sequence(F.lit(1), F.size("ids")), lambda i: (i == 1) | (F.get(window, i - 1)["at"] - F.get(window, i - 2)["last"] <= gap))
-    matched = placed.join(F.broadcast(rules), "first").filter((F.transform(window, lambda s: s["sentence"]) == F.col("ids")) & near)
-    spans = matched.select("doc_id", "row", "license", "rule", F.col("here.at").alias("place"), F.col("k"), (F.col("k") + F.size("ids")).alias("past"))
+    matched = placed.join(F.broadcast(listed), "first").filter((F.transform(window, lambda s: s["sentence"]) == F.col("ids")) & near)
+    spans = matched.select("doc_id", "row", "cutting", "license", "rule", "place", "k", (F.col("k") + F.size("ids")).alias("past"))
     # a longer match starts earlier, or at the same place and ends later
-    order = W.partitionBy("doc_id", "row").orderBy("k", F.desc("past"), "rule")
+    order = W.partitionBy("doc_id", "row", "cutting").orderBy("k", F.desc("past"), "rule")
     furthest = F.max("past").over(order.rowsBetween(W.unboundedPreceding, -1))
     outer = spans.withColumn("before", F.coalesce(furthest, F.lit(0))).filter(F.col("past") > F.col("before"))
-    return outer.select("doc_id", "license", "rule", "place", (F.col("past") - F.col("k")).alias("n_sentences"))
+    n = (F.col("past") - F.col("k")).alias("n_sentences")
+    hits = outer.groupBy("doc_id", "row", "license", "cutting").agg(F.sum(n).alias("n"), F.collect_list(F.struct("rule", "place", n)).alias("hits"))
+    best = hits.groupBy("doc_id", "row", "license").agg(F.max(F.struct("n", (-F.col("cutting")).alias("c"), "hits")).alias("best"))
+    return best.select("doc_id", "license", F.inline("best.hits"))
 
 
 def _values(rows: list[tuple]) -> str:
@@ -149,25 +230,40 @@ ORACLE = rf"""
 WITH known(sentence, words) AS (VALUES {_values(SENTENCES)}),
 rules(rule, license, ids) AS (VALUES {_values(RULES)}),
 marked AS (
-  SELECT doc_id, hash(text) AS r, regexp_replace(text, '{SENTENCE_END}', chr(1), 'g') AS t
-  FROM documents WHERE regexp_matches(lower(text), '{HINTS}')
+  SELECT doc_id, hash(text) AS r, regexp_replace(text, '{SENTENCE_END}', chr(1), 'g') AS t FROM documents
 ), cuts AS (
   SELECT doc_id, r, 1 AS c, string_split(replace(t, chr(1), chr(10)), chr(10)) AS parts FROM marked
   UNION ALL SELECT doc_id, r, 2, string_split(t, chr(1)) FROM marked
+  UNION ALL SELECT doc_id, r, 3, string_split(regexp_replace(t, '\n[^A-Za-z0-9\x01\n]*\n', chr(1), 'g'), chr(1)) FROM marked
+), lists AS (
+  SELECT DISTINCT doc_id, r, c, list_transform(parts, lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS ps FROM cuts
 ), parts AS (
-  SELECT doc_id, r, c, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS place FROM cuts
+  SELECT doc_id, r, c, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS place FROM lists
+), ahead AS (
+  SELECT *, lead(p) OVER w AS q, lead(p, 2) OVER w AS s FROM parts WINDOW w AS (PARTITION BY doc_id, r, c ORDER BY place)
+), runs AS (
+  SELECT doc_id, r, c, place, place AS past_place, p AS words FROM ahead WHERE p != ''
+  UNION ALL SELECT doc_id, r, c, place, place + 1, p || ' ' || q FROM ahead WHERE p != '' AND q != ''
+  UNION ALL SELECT doc_id, r, c, place, place + 2, concat_ws(' ', p, nullif(q, ''), s) FROM ahead WHERE p != '' AND s != ''
 ), ids AS (
-  SELECT DISTINCT doc_id, r, c, place, sentence FROM parts JOIN known ON trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) = words
+  SELECT DISTINCT doc_id, r, c, place, past_place, sentence FROM runs JOIN known USING (words)
+), outermost AS (
+  SELECT * FROM ids s WHERE NOT EXISTS (SELECT 1 FROM ids o WHERE o.doc_id = s.doc_id AND o.r = s.r AND o.c = s.c
+    AND o.place <= s.place AND o.past_place >= s.past_place AND o.past_place - o.place > s.past_place - s.place)
 ), seqs AS (
-  SELECT doc_id, r, c, list(sentence ORDER BY place) AS seq, list(place ORDER BY place) AS locs FROM ids GROUP BY ALL
-), best AS (
-  SELECT * FROM seqs QUALIFY row_number() OVER (PARTITION BY doc_id, r ORDER BY len(seq) DESC, c) = 1
+  SELECT doc_id, r, c, list(sentence ORDER BY place, past_place, sentence) AS seq, list(place ORDER BY place, past_place, sentence) AS locs,
+    list(past_place ORDER BY place, past_place, sentence) AS ends FROM outermost GROUP BY ALL
 ), places AS (
-  SELECT *, unnest(range(1, len(seq) + 1)) AS k FROM best
+  SELECT *, unnest(range(1, len(seq) + 1)) AS k FROM seqs
 ), spans AS (
-  SELECT doc_id, r, license, rule, locs[k] AS place, k, k + len(ids) AS past FROM places JOIN rules ON seq[k:k + len(ids) - 1] = ids
-  WHERE len(list_filter(range(k + 1, k + len(ids)), lambda i: locs[i] - locs[i - 1] > 2)) = 0
+  SELECT doc_id, r, c, license, rule, locs[k] AS place, k, k + len(ids) AS past FROM places JOIN rules ON seq[k] = ids[1] AND seq[k:k + len(ids) - 1] = ids
+  WHERE len(list_filter(range(k + 1, k + len(ids)), lambda i: locs[i] - ends[i - 1] > 2)) = 0
+), hits AS (
+  SELECT * FROM spans
+  QUALIFY past > coalesce(max(past) OVER (PARTITION BY doc_id, r, c ORDER BY k, past DESC, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+), best AS (
+  SELECT doc_id, r, license, c FROM hits GROUP BY doc_id, r, license, c
+  QUALIFY row_number() OVER (PARTITION BY doc_id, r, license ORDER BY sum(past - k) DESC, c) = 1
 )
-SELECT doc_id, license, rule, place::INT AS place, (past - k)::INT AS n_sentences FROM spans
-QUALIFY past > coalesce(max(past) OVER (PARTITION BY doc_id, r ORDER BY k, past DESC, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+SELECT doc_id, license, rule, place::INT AS place, (past - k)::INT AS n_sentences FROM hits JOIN best USING (doc_id, r, license, c)
 """
