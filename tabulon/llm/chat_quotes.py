@@ -2,8 +2,9 @@
 
 A message's lines are parsed for quote marks. What a message says itself, and each passage that it quotes at some
 level, are normalised and hashed, as wholes, as paragraphs and as lines. Quoted hashes are joined with what messages say
-themselves; the earlier message that most of a quotation's hashes lead to is its origin. A conversation's messages
-are then ordered so that replies follow what they answer, without the quotations.
+themselves; the earlier message that most of a quotation's hashes lead to is its origin. Another conversation's
+message is one only by passages of `LEAST` characters at least: `ok` and `thanks` say nothing of where they are from.
+A conversation's messages are then ordered so that replies follow what they answer, without the quotations.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ _INTRO = re.compile(r"^\s*(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el
 _BLANKS = re.compile(r"\s+")
 
 FREQUENT = 16  # messages that say a hash, from where it is joined by sets
+LEAST = 24  # characters, once normalised, of what can be from another conversation
+LONG = b"\x01"  # the first byte of their hashes
 
 MESSAGES = "conv_id long, turn long, role string, content string, n_quotes int, said array<binary>, quoted array<struct<depth:int,passage:int,units:array<binary>>>"
 
@@ -44,11 +47,11 @@ def normalised(text: str) -> str:
 
 
 def units(lines: list[str]) -> list[bytes]:
-    """Hashes of a passage as a whole, of its paragraphs and of its lines."""
+    """Hashes of a passage as a whole, of its paragraphs and of its lines; the first byte tells which have `LEAST` characters."""
     whole = normalised("\n".join(lines))
     paragraphs = [normalised(p) for p in re.split(r"\n\s*\n", "\n".join(lines))]
     every = dict.fromkeys(x for x in [whole, *paragraphs, *map(normalised, lines)] if x)
-    return [hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=16).digest() for x in every]
+    return [(LONG if len(x) >= LEAST else b"\x00") + hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=16).digest() for x in every]
 
 
 def parse(text: str | None) -> tuple[str, list[bytes], list[tuple[int, int, list[bytes]]]]:
@@ -94,6 +97,10 @@ def messages(conversations: DataFrame) -> DataFrame:
     return cut(conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(_parsed, MESSAGES))
 
 
+def _is_long(unit: str | Column) -> Column:
+    return F.substring(unit, 1, 1) == F.lit(LONG)
+
+
 def _two_firsts(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """Of each key the greatest row by `order` (which ends in -conv, -turn; named c and t), and the greatest of another conversation."""
     top = F.struct(*order)
@@ -105,8 +112,9 @@ def _two_firsts(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
 def quote_links(parsed: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """conv_id, turn, depth, passage, of_conv_id, of_turn, shared: the origin of each passage that a message quotes.
 
-    The origin is an earlier message of the same conversation that shares most hashes, else a message of another
-    conversation that does; of equal ones the first. Hashes that at most `frequent` messages say are joined with
+    The origin is an earlier message of the same conversation that shares most hashes, else the message of another
+    conversation that shares most long ones (there is no time between conversations, so none is earlier); of equal
+    ones the first. Hashes that at most `frequent` messages say are joined with
     all of these. The others of a message or passage are its common set: equal sets are joined once, and of a
     message set the first place in a conversation and the first two of all conversations stand for the rest, as
     no later place can be the origin. So counts are exact, and common phrases meet no more rows than there are
@@ -125,13 +133,15 @@ def quote_links(parsed: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     said_sets = cut(marked_said.filter("common is not null").groupBy(*place).agg(of_set.alias("said_set")))
     quoted_sets = cut(marked_quoted.filter("common is not null").groupBy(*quote).agg(of_set.alias("quoted_set")))
 
-    earlier = (F.col("conv_id") != F.col("of_conv_id")) | (F.col("of_turn") < F.col("turn"))
+    apart = F.col("conv_id") != F.col("of_conv_id")
+    earlier = F.when(apart, _is_long("unit")).otherwise(F.col("of_turn") < F.col("turn"))
     rare = marked_quoted.filter("common is null").drop("common").join(marked_said.filter("common is null").drop("common"), (F.col("unit") == F.col("u")) & earlier)
     counted = rare.groupBy(*quote, *place).agg(F.count(F.lit(1)).alias("n"))
     same = lambda left, right, names: reduce(lambda x, y: x & y, [left[c].eqNullSafe(right[c]) for c in names])
     with_said = counted.join(said_sets, same(counted, said_sets, place), "left").select(*[counted[c] for c in counted.columns], "said_set")
     with_both = with_said.join(quoted_sets, same(with_said, quoted_sets, quote), "left").select(*[with_said[c] for c in with_said.columns], "quoted_set")
-    both = F.coalesce(F.size(F.array_intersect("said_set", "quoted_set")), F.lit(0))
+    met = F.array_intersect("said_set", "quoted_set")
+    both = F.size(F.filter(met, lambda u: ~apart | _is_long(u)))
     by_rare = with_both.select(*quote, *place, (F.col("n") + F.when(F.col("said_set").isNull() | F.col("quoted_set").isNull(), 0).otherwise(both)).alias("shared"))
 
     inside = cut(said_sets.groupBy("of_conv_id", "said_set").agg(F.min("of_turn").alias("of_turn")))
@@ -142,7 +152,7 @@ def quote_links(parsed: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     back = [(-F.col("of_conv_id")).alias("c"), (-F.col("of_turn")).alias("t")]
     places = _two_firsts(inside, "said_set", back).select("said_set", (-F.col("c")).alias("of_conv_id"), (-F.col("t")).alias("of_turn"))
     kinds = quoted_sets.select("quoted_set").distinct()
-    met = kinds.select("quoted_set", F.explode("quoted_set").alias("unit")).join(places.select(*place, "said_set", F.explode("said_set").alias("u")), key)
+    met = kinds.select("quoted_set", F.explode(F.filter("quoted_set", _is_long)).alias("unit")).join(places.select(*place, "said_set", F.explode("said_set").alias("u")), key)
     sizes = met.groupBy("quoted_set", *place, "said_set").agg(F.count(F.lit(1)).alias("shared"))
     tops = _two_firsts(sizes, "quoted_set", [F.col("shared"), *back]).select(F.col("quoted_set").alias("kind"), "shared", (-F.col("c")).alias("of_conv_id"), (-F.col("t")).alias("of_turn"))
     by_there = quoted_sets.join(tops, (F.col("quoted_set") == F.col("kind")) & (F.col("conv_id") != F.col("of_conv_id"))).select(*quote, *place, "shared")
@@ -242,7 +252,11 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     )
 
 
-def threads(ordered: DataFrame) -> DataFrame:
-    """conversation, messages (array of role and content, in order): for conversations that fit into a row."""
+def threads(ordered: DataFrame, most: int = 1000) -> DataFrame:
+    """conversation, part, messages (array of role and content, in order): rows of `most` messages at most, the parts from 0.
+
+    A null content stays null. An empty table gives no rows.
+    """
     listed = F.array_sort(F.collect_list(F.struct("position", "role", "content")))
-    return ordered.groupBy("conversation").agg(F.transform(listed, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+    parts = ordered.groupBy("conversation", F.expr(f"int(position div {most})").alias("part"))
+    return parts.agg(F.transform(listed, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
