@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm.common import shared_folder
+from tabulon.llm.common import drop_folder, shared_folder
 from tabulon.llm.exact_dedup import exact_dedup
 from tabulon.llm.langid_mixture import in_known_language
 from tabulon.llm.minhash_forest import near_dedup
@@ -20,7 +20,7 @@ from tabulon.llm.packing import pack_documents
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose language can't be told."""
+    """Rejects documents without a letter, and those that the known languages explain less than half of."""
     return in_known_language(docs)
 
 
@@ -51,9 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of documents. What a stage wrote is deleted once the next has read it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            drop_folder(spark, f"{folder}/{before}")
+        before = name
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    drop_folder(spark, folder)  # the last stage reads its checkpoint only
+    return out

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabulon.llm.common import BLANK, cut, ship, text_of
+from tabulon.llm.common import BLANK, WHO, cut, doc_id_of, identity, release, same_document, ship, small, text_of
 
 
 def normalised(text: str | Column = "text") -> Column:
@@ -24,8 +24,8 @@ def normalised(text: str | Column = "text") -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (SHA-256 of the normalised text), row_tag: a number for each row; cut."""
-    return cut(docs.select(F.col("doc_id").cast("long"), F.unhex(F.sha2(normalised(), 256)).alias("digest"), F.monotonically_increasing_id().alias("row_tag")))
+    """none, id, mark, digest (SHA-256 of the normalised text), row_tag: a number for each row; cut."""
+    return cut(docs.select(*identity(), F.unhex(F.sha2(normalised(), 256)).alias("digest"), F.monotonically_increasing_id().alias("row_tag")))
 
 
 def _summary(counters: int):
@@ -41,6 +41,7 @@ def _summary(counters: int):
                 least = sorted(held.values(), reverse=True)[counters]
                 held = {k: n - least for k, n in held.items() if n > least}
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["digest", "estimate"])
+        release()
 
     return run
 
@@ -58,16 +59,16 @@ def heavy_hitters(keys: DataFrame, share: float) -> DataFrame:
     return found.groupBy("digest").agg(F.sum("estimate").alias("estimate")).filter(F.col("estimate") >= F.lit(total * share / 2)).select("digest")
 
 
-def exact_groups(docs: DataFrame, share: float = 0.001, tags: DataFrame | None = None) -> DataFrame:
-    """A row for each document: doc_id, keep_id, group_size, kept, text_sha256, row_tag, digest, same.
+def exact_groups(docs: DataFrame, share: float = 0.001) -> DataFrame:
+    """A row for each row of `docs`: doc_id, keep_id, group_size, kept, text_sha256; none, id, mark (`identity`), winner (whether it repeats the row that stays, or is it).
 
     Texts are equal when identical after each run of blanks became one space; null counts as empty. Of equal
-    texts the row with the smallest doc_id stays (a null doc_id after all others); if a row is repeated, one
-    of them stays. `same`: rows of the same text and doc_id. An empty table gives no rows.
+    texts the row with the smallest doc_id stays (null doc_ids after all others, in some fixed order); if a row is
+    repeated, one of them stays. An empty table gives no rows. Other columns are not read.
     """
-    tagged = tags if tags is not None else digests(docs)
+    tagged = digests(docs)
     heavy = cut(heavy_hitters(tagged.select("digest"), share))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_tag").alias("tag"))
+    order = F.struct(*WHO, "row_tag")
     heavy_rows = tagged.join(F.broadcast(heavy), "digest", "left_semi")
     winners = cut(heavy_rows.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size")))  # 2/share rows at most
     by_map = tagged.join(F.broadcast(winners), "digest")
@@ -75,26 +76,26 @@ def exact_groups(docs: DataFrame, share: float = 0.001, tags: DataFrame | None =
     whole = W.partitionBy("digest")
     by_shuffle = rest.withColumn("first", F.min(order).over(whole)).withColumn("group_size", F.count(F.lit(1)).over(whole))
     return by_map.unionByName(by_shuffle).select(
-        "doc_id", F.col("first.id").alias("keep_id"), "group_size", (F.col("row_tag") == F.col("first.tag")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"), "row_tag", "digest",
+        doc_id_of("none", "id").alias("doc_id"), doc_id_of("first.none", "first.id").alias("keep_id"), "group_size", (F.col("row_tag") == F.col("first.row_tag")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"), *WHO, (F.struct(*WHO) == F.struct(*[f"first.{c}" for c in WHO])).alias("winner"),
     )
 
 
 def exact_dedup(docs: DataFrame, share: float = 0.001) -> DataFrame:
     """The rows of `docs` that stay, with the columns of `docs`.
 
-    Of rows with the same text and doc_id one stays, whichever its other columns are.
+    Ids of dropped documents meet the rows, by a broadcast while they are few; texts aren't shuffled then. Of rows with
+    the same text and doc_id one stays, whichever its other columns are. Null and empty texts are equal; of rows
+    without doc_id one stays if no row with one has the text. An empty table stays empty.
     """
-    dropped = exact_groups(docs, share).filter(~F.col("kept"))
+    lost = cut(exact_groups(docs, share).filter(~F.col("kept")).groupBy(*WHO).agg(F.max("winner").alias("repeated")))
     # as a struct, the columns of `docs` can't clash with those of the join
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.unhex(F.sha2(normalised(), 256)).alias("key"), F.col("doc_id").cast("long").alias("id"))
-    # a dropped row is a copy with another doc_id, or one of several with the winner's
-    winner = F.coalesce(F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False))
-    lost = dropped.groupBy("digest", F.col("doc_id").alias("lost")).agg(F.max(winner).alias("repeated"))
-    joined = rows.join(lost, (F.col("key") == F.col("digest")) & F.col("id").eqNullSafe(F.col("lost")), "left")
-    single = joined.filter(F.col("digest").isNull())
-    repeated = joined.filter(F.col("repeated")).dropDuplicates(["key", "id"])
-    return single.unionByName(repeated).select("row.*")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *identity())
+    single = rows.join(small(lost), same_document(rows, lost), "left_anti").select("row")
+    repeated = lost.filter("repeated")
+    if not repeated.isEmpty():  # rows that repeat the one that stays
+        single = single.unionByName(rows.join(small(repeated), same_document(rows, repeated), "left_semi").dropDuplicates(WHO).select("row"))
+    return single.select("row.*")
 
 
 ORACLE = r"""

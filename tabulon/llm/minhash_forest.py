@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabulon.llm.common import cut, ship
+from tabulon.llm.common import WHO, cut, doc_id_of, identity, release, same_document, ship, small
 from tabulon.llm.components import components, joined
 
 TREES, DEPTH, LEAST = 14, 6, 3
@@ -79,10 +79,11 @@ def _sign(words: int, rows: int = 512):
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 few = batch.slice(at, rows)
-                sets = [shingles(t.as_py() or b"", words) for t in few.column(1)]
+                sets = [shingles(t.as_py() or b"", words) for t in few.column(3)]
                 keys = pa.array([_key(s) for s in sets], pa.binary())
                 signs = pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([few.column(0), pa.array([len(s) for s in sets], pa.int64()), keys, signs], names=["doc_id", "n_shingles", "key", "sign"])
+                yield pa.RecordBatch.from_arrays([*few.columns[:3], pa.array([len(s) for s in sets], pa.int64()), keys, signs], names=[*WHO, "n_shingles", "key", "sign"])
+        release()
 
     return run
 
@@ -94,6 +95,7 @@ def _sets(words: int, rows: int = 512):
                 sets = [shingles(t.as_py() or b"", words) for t in batch.column(0).slice(at, rows)]
                 values = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), values], names=["key", "grams"])
+        release()
 
     return run
 
@@ -180,11 +182,10 @@ def _neighbours(similar: int):
 
 def _sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """node, grams: the shingle sets of some classes, each from the text of one of its documents; cut."""
-    wanted = cut(nodes.join(classes.select("node", "key", "first_id"), "node"))
-    ids = wanted.select(F.col("first_id").alias("_first_id")).distinct()
-    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc_id"), F.col("text").cast("binary").alias("text"))
-    texts = texts.join(ids, F.col("_doc_id") == F.col("_first_id"), "left_semi").select("text")
+    wanted = cut(nodes.join(classes.select("node", "key", "first.*"), "node"))
+    ids = wanted.select(*WHO)
+    texts = docs.select(*identity(), F.col("text").cast("binary").alias("text"))
+    texts = texts.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, same_document(texts, ids), "left_semi").select("text")
     found = texts.mapInArrow(_sets(words), "key binary, grams array<long>").dropDuplicates(["key"])
     return cut(found.join(wanted.select("key", "node"), "key").select("node", "grams"))
 
@@ -209,9 +210,9 @@ def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, sim
 
 def _open_regions(members: DataFrame, found: DataFrame) -> DataFrame:
     """region, a, root of the members of regions that hold more than one component; cut."""
-    labelled = members.join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    several = labelled.groupBy("region").agg((F.min("root") != F.max("root")).alias("several")).filter("several").select("region")
-    return cut(labelled.join(several, "region"))
+    labelled = cut(members.join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a")))
+    several = cut(labelled.groupBy("region").agg((F.min("root") != F.max("root")).alias("several")).filter("several").select("region"))
+    return cut(labelled.join(small(several), "region"))
 
 
 def _block_links(similar: int):
@@ -248,7 +249,8 @@ def _rest_links(left: DataFrame, classes: DataFrame, docs: DataFrame, words: int
     parts = sized.groupBy("region", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
     tops = parts.groupBy("region").agg(F.max(F.struct("rows", "root", "n")).alias("top"), F.sum("n").alias("n"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    dealt = left.join(tops.select("region", F.col("top.root").alias("top"), blocks(F.col("n")).alias("of_rows"), blocks(F.col("n") - F.col("top.n")).alias("of_asks")), "region")
+    tops = cut(tops.select("region", F.col("top.root").alias("top"), blocks(F.col("n")).alias("of_rows"), blocks(F.col("n") - F.col("top.n")).alias("of_asks")))
+    dealt = left.join(small(tops), "region")
     own = lambda n: F.pmod(F.xxhash64("a"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asks = dealt.filter(F.col("root") != F.col("top")).select("region", "a", "root", F.lit(True).alias("query"), own("of_asks").alias("i"), every("of_rows").alias("j"))
@@ -259,57 +261,62 @@ def _rest_links(left: DataFrame, classes: DataFrame, docs: DataFrame, words: int
 
 
 def near_classes(docs: DataFrame, words: int = 5, similar: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(a row for each row of docs: doc_id, tag, n_shingles, key; classes: key, node, first_id; node to root of linked classes)."""
+    """(a row for each row of docs: none, id, mark, n_shingles, key; classes: key, node, first (its first document); node to root of linked classes)."""
     ship(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = cut(texts.mapInArrow(_sign(words), "doc_id long, n_shingles long, key binary, sign binary").withColumn("tag", F.monotonically_increasing_id()))
+    texts = docs.select(*identity(), F.col("text").cast("binary").alias("text"))
+    signed = cut(texts.mapInArrow(_sign(words), "none boolean, id long, mark int, n_shingles long, key binary, sign binary").withColumn("tag", F.monotonically_increasing_id()))
     some = signed.filter(F.col("key").isNotNull())
-    kinds = some.groupBy("key").agg(F.min("tag").alias("node"), F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign"))
-    classes = cut(kinds)
-    named = classes.filter(F.col("first_id").isNotNull())
-    trees = named.select("node", F.col("n_shingles").alias("n"), "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    classes = cut(some.groupBy("key").agg(F.min("tag").alias("node"), F.min(F.struct(*WHO)).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign")))
+    trees = classes.select("node", F.col("n_shingles").alias("n"), "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     forest = trees.select("tree", F.expr(f"substring(sign, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("prefix"), "node", "n")
     ordered = forest.repartitionByRange("tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
     found = cut(ordered.mapInArrow(_neighbours(similar), "a long, b long, region binary"))
     pairs = found.filter(F.col("region").isNull()).select("a", "b").unionByName(_across(found))
-    roots = components(links(pairs, named, docs, words, similar))
+    roots = components(links(pairs, classes, docs, words, similar))
     members = found.filter(F.col("b").isNull()).select("region", "a")
     left = _open_regions(members, roots)
     if not left.isEmpty():
-        roots = joined(roots, _rest_links(left, named, docs, words, similar))
+        roots = joined(roots, _rest_links(left, classes, docs, words, similar))
     return signed, classes, cut(roots)
 
 
+def _marked(docs: DataFrame, words: int, similar: int) -> DataFrame:
+    """none, id, mark, n_shingles, component (none, id and mark of the first document that links reach)."""
+    signed, classes, roots = near_classes(docs, words, similar)
+    linked = classes.select("key", "node", "first").join(roots, "node")
+    smallest = linked.groupBy("root").agg(F.min("first").alias("component"))
+    by_key = linked.join(smallest, "root").select("key", "component").unionByName(
+        classes.join(roots.select("node"), "node", "left_anti").select("key", F.col("first").alias("component"))
+    )
+    out = signed.select(*WHO, "n_shingles", "key").join(by_key, "key", "left")
+    return out.select(*WHO, "n_shingles", F.when(F.col("key").isNull(), F.struct(*WHO)).otherwise(F.col("component")).alias("component"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similar: int = 80) -> DataFrame:
     """A row for each row of `docs`: doc_id, n_shingles, component_id, kept.
 
     Words are what blanks separate after lower-casing A-Z; a document's set is that of its distinct shingles of
     `words` words, or all its words as one shingle if it has fewer. Documents are linked if their sets share
-    `similar` % of their union. component_id is the smallest doc_id reachable over links. A document without
-    words has no shingles and no links. A row without doc_id links copies of its set only, and is never kept
-    unless alone without an id: its component_id is null then. Of a repeated row each is marked alike. An empty
-    table gives no rows. Other columns are not read.
+    `similar` % of their union. component_id is the smallest doc_id reachable over links, and its document is kept. A
+    document without words has no shingles and no links. Documents without doc_id come after all others, in some
+    fixed order: component_id is null where links reach no others. Rows that share a doc_id but not the text are
+    documents of their own; rows that share both are marked alike. An empty table gives no rows. Other columns are
+    not read.
     """
-    signed, classes, roots = near_classes(docs, words, similar)
-    linked = classes.select("key", "node", "first_id").join(roots, "node")
-    smallest = linked.groupBy("root").agg(F.min("first_id").alias("component"))
-    by_key = linked.join(smallest, "root").select("key", "component").unionByName(
-        classes.join(roots.select("node"), "node", "left_anti").select("key", F.col("first_id").alias("component"))
-    )
-    out = signed.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    first = F.struct(*WHO) == F.col("component")
+    return _marked(docs, words, similar).select(doc_id_of("none", "id").alias("doc_id"), "n_shingles", doc_id_of("component.none", "component.id").alias("component_id"), first.alias("kept"))
 
 
 def near_dedup(docs: DataFrame, words: int = 5, similar: int = 80) -> DataFrame:
     """The rows of `docs` that near_duplicates keeps, one document of each component, with the columns of `docs`.
 
-    Rows without a doc_id can't be told apart: all of them leave if one does. Repeated rows stay or leave together.
+    Ids of dropped documents meet the rows, by a broadcast while they are few; texts aren't shuffled then. Rows that
+    share doc_id and text stay or leave together; documents without words all stay. An empty table stays empty.
     """
-    dropped = near_duplicates(docs, words, similar).filter(~F.col("kept")).select(F.col("doc_id").alias("lost")).distinct()
+    dropped = cut(_marked(docs, words, similar).filter(F.struct(*WHO) != F.col("component")).select(*WHO).distinct())
     # as a struct, the columns of `docs` can't clash with those of the join
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    return rows.join(dropped, F.col("id").eqNullSafe(F.col("lost")), "left_anti").select("row.*")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *identity())
+    return rows.join(small(dropped), same_document(rows, dropped), "left_anti").select("row.*")
 
 
 #: An exact join over all shingles; fit for small tables.

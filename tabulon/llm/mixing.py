@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabulon.llm.common import BLANK, cut, text_of
+from tabulon.llm.common import BLANK, WHO, cut, distributed_rank, doc_id_of, identity, same_document, small, text_of
 
 WEIGHTS = (1, 2, 3)
 MOST = 3  # copies of a document
@@ -54,20 +54,20 @@ def offset(seed: str) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix", salts: int = 256) -> DataFrame:
-    """A row for each row of `docs`: doc_id, source, size, source_size, target, copies, taken.
+    """A row for each row of `docs`: doc_id, source, size, source_size, target, copies, taken; none, id, mark (`identity`).
 
     Rank within a source goes by (bits of the size, salt of the doc_id, size, doc_id), so that a source of any
-    share is ranked in many parts, whose counts are summed up before them. A null text has size 0. Of repeated
-    rows, and of rows with a null doc_id, each counts; which of equal rows gets a copy makes no difference.
-    Where all sizes are 0, targets are 0 and nothing is taken. An empty table gives no rows.
+    share is ranked in many parts, whose counts are summed up before them; a row without doc_id takes a hash of its
+    text for it. A null text has size 0. Of repeated rows each counts; which of equal rows gets a copy makes no
+    difference. Where all sizes are 0, targets are 0 and nothing is taken. An empty table gives no rows.
     """
-    sizes = cut(docs.select(F.col("doc_id").cast("long"), "source", words().alias("size")))
-    salt = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 4), 16, 10).cast("int") % salts
+    sizes = cut(docs.select(*identity(), "source", words().alias("size")))
+    salt = F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 4), 16, 10).cast("int") % salts
     dealt = sizes.withColumn("bits", F.length(F.bin("size"))).withColumn("salt", salt)
     blocks = dealt.groupBy("source", "bits", "salt").agg(F.count(F.lit(1)).alias("n"))  # at most 64 * salts for each source
     before = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("bits", "salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = blocks.select(F.col("source").alias("b_source"), F.col("bits").alias("b_bits"), F.col("salt").alias("b_salt"), before.alias("before"))
-    inside = W.partitionBy("source", "bits", "salt").orderBy("size", F.col("doc_id").isNull(), "doc_id")
+    inside = W.partitionBy("source", "bits", "salt").orderBy("size", *WHO)
     same_block = F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bits") == F.col("b_bits")) & (F.col("salt") == F.col("b_salt"))
     ranked = dealt.withColumn("inside", F.row_number().over(inside)).join(offsets, same_block).withColumn("rank", F.col("before") + F.col("inside"))
     targets = source_targets(sizes, weights, most).withColumn("from", offset(seed)).withColumnRenamed("source", "t_source")
@@ -75,26 +75,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     mixed = ranked.join(targets, F.col("source").eqNullSafe(F.col("t_source"))).withColumn("share", share)
     crossed = lambda k: F.floor(F.col("from") + F.col("share") * k)
     return mixed.withColumn("copies", crossed(F.col("rank")) - crossed(F.col("rank") - 1)).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        doc_id_of("none", "id").alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *WHO
     )
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it, with the columns of `docs`.
 
-    Rows that share a doc_id share the copies that `mix` gives them: each gets as many as the next of them.
+    The numbers of copies meet the rows, by a broadcast while they are few; texts aren't shuffled then. Rows that
+    repeat a document share the copies that `mix` gives to all of them evenly. Null and empty texts take part with
+    size 0; rows without source are a source. An empty table stays empty.
     """
-    key = ["m_id", "m_source", "m_size"]
-    copies = mix(docs, weights, most, seed).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies")
-    # one row a key, but for repeated rows; those are told apart by a number
-    taken = copies.groupBy(*key).agg(F.array_sort(F.collect_list("copies")).alias("each"))
+    per = cut(mix(docs, weights, most, seed).groupBy(*WHO).agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies")).filter("copies > 0"))
     # as a struct, the columns of `docs` can't clash with those of the join
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").alias("source"), words().alias("size"))
-    same = F.col("id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size"))
-    once = rows.join(taken.filter(F.size("each") == 1), same).select("row", F.col("each")[0].alias("copies"))
-    number = F.row_number().over(W.partitionBy("id", "source", "size").orderBy(F.xxhash64("row.text")))
-    several = rows.join(taken.filter(F.size("each") > 1), same).select("row", F.get("each", number - 1).alias("copies"))
-    emitted = once.unionByName(several).filter(F.col("copies") > 0)
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *identity())
+    alone = per.filter("n = 1")
+    emitted = rows.join(small(alone), same_document(rows, alone)).select("row", "copies")
+    repeated = per.filter("n > 1")
+    if not repeated.isEmpty():
+        several = rows.join(small(repeated), same_document(rows, repeated)).select("row", rows["none"], rows["id"], rows["mark"], "n", "copies", F.monotonically_increasing_id().alias("tag"))
+        ranked = distributed_rank(cut(several), [F.col(c) for c in WHO], [F.col("tag")], "rank")
+        crossed = lambda k: F.expr(f"({k}) * copies div n")
+        emitted = emitted.unionByName(ranked.select("row", (crossed("rank + 1") - crossed("rank")).alias("copies")).filter("copies > 0"))
     return emitted.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
