@@ -1,9 +1,13 @@
 """Media columns: motion JPEG in AVI, its index, its frames and its shots.
 
-A payload is stored without loss in the unit of baseline JPEG, the quantised coefficient: each block holds 63
-payload bytes as its AC coefficients, and 0 as its DC difference. With one Huffman code of one bit for the pair
-(no zeros before, 8 bits), a coefficient takes 9 bits, its 8 magnitude bits are the byte itself, and a block takes 71
-bytes, so that whole frames are coded and decoded by array operations. All quantisers are 1.
+`media_clips` reads a column of AVI files: their RIFF index (or, where there is none, their movie list), the video
+stream's frames by the decoder in `jpeg`, and the clips between cuts.
+
+`text_media` makes such files of texts. A payload is stored without loss in the unit of baseline JPEG, the quantised
+coefficient: each block holds 63 payload bytes as its AC coefficients, and 0 as its DC difference. With one Huffman
+code of one bit for the pair (no zeros before, 8 bits), a coefficient takes 9 bits, its 8 magnitude bits are the byte
+itself, and a block takes 71 bytes, so that whole frames are coded and decoded by array operations. All quantisers are
+1. Frames with exactly this header take that way; all others take the general decoder.
 """
 
 from __future__ import annotations
@@ -18,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import ship
+from tabulon.llm import jpeg
+from tabulon.llm.common import release, ship
 
 SIDE = 32  # pixels of a frame's side
 BLOCKS = (SIDE // 8) ** 2
@@ -27,24 +32,6 @@ RATE = 25  # frames a second
 AT_ONCE = 1024  # frames that are coded or decoded together
 
 
-# Fixed values of the JPEG format: the order in which a block's coefficients are stored.
-ZIGZAG = np.array([
-    0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28,
-    35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63,
-])
-
-
-def _dct() -> np.ndarray:
-    """From 64 coefficients (by rows of frequencies) to 64 samples."""
-    x, u = np.meshgrid(np.arange(8), np.arange(8))
-    one = np.cos((2 * x + 1) * u * np.pi / 16) / 2
-    one[0] /= np.sqrt(2)
-    return np.kron(one, one)
-
-
-_INVERSE = _dct()[ZIGZAG]
-
-
 def _segment(mark: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, mark, len(body) + 2) + body
 
@@ -89,7 +76,7 @@ def decode_frames(frames: list[bytes]) -> tuple[bytes, np.ndarray]:
     values = np.packbits(bits[:, 1:].reshape(-1, 63, 9)[:, :, 1:].reshape(-1, 8), axis=1).reshape(-1, 63)
     levels = values.astype(np.float64)
     levels[values < 128] -= 255  # a leading 0 marks a negative coefficient
-    samples = np.clip(np.rint(levels @ _INVERSE[1:] + 128), 0, 255).astype(np.uint8)
+    samples = np.clip(np.rint(levels @ jpeg.INVERSE[1:] + 128), 0, 255).astype(np.uint8)  # the direct ones are 0
     return values.tobytes(), samples.reshape(len(frames), -1)
 
 
@@ -113,37 +100,85 @@ def write_avi(payload: bytes) -> bytes:
     return _chunk(b"RIFF", b"".join([b"AVI ", head, _chunk(b"plen", struct.pack("<Q", len(payload))), _chunk(b"LIST", b"".join(movie)), _chunk(b"idx1", b"".join(index))]))
 
 
-def read_avi(data: bytes) -> tuple[list[bytes], float, int]:
-    """The frames that the index lists, frames a second, the payload's length."""
-    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
-        raise ValueError("not an AVI file")
-    at, end, movie, index, rate, length = 12, 8 + struct.unpack_from("<I", data, 4)[0], None, b"", 0.0, 0
+def _listed(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, bytes, int, int]]:
+    """(name, kind of a list, place of the body, its size) of the chunks between two places; a list's body begins after its kind."""
     while at + 8 <= end:
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        kind = data[at + 8 : at + 12]
-        if name == b"LIST" and kind == b"movi":
-            movie = at + 8
-        elif name == b"LIST" and kind == b"hdrl":
-            rate = 1e6 / struct.unpack_from("<I", data, data.index(b"avih", at) + 8)[0]
+        inner = name in (b"LIST", b"RIFF")
+        yield name, data[at + 8 : at + 12] if inner else b"", at + (12 if inner else 8), size - (4 if inner else 0)
+        at += 8 + size + (size & 1)
+
+
+def _movie(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(name, place of the body, size) of the chunks of a movie list, records inside included."""
+    for name, kind, body, size in _listed(data, at, min(end, len(data))):
+        if kind == b"rec ":
+            yield from _movie(data, body, body + size)
+        elif not kind:
+            yield name, body, size
+
+
+def read_avi(data: bytes) -> tuple[list[bytes], float, int | None]:
+    """The video stream's frames by the index, frames a second, and the payload's length (None in files that aren't ours).
+
+    Of several video streams the first counts; sound, text and palette chunks are passed over. Offsets of an index count
+    from the movie list or from the file's start. A file without an index is read through its movie lists. An empty
+    chunk repeats the frame before it.
+    """
+    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
+        raise ValueError("not an AVI file")
+    movies, index, rate, length, stream, streams = [], None, 0.0, None, None, 0
+    parts = [(name, kind, body, size) for _, form, at, n in _listed(data, 0, len(data)) if form in (b"AVI ", b"AVIX") for name, kind, body, size in _listed(data, at, min(at + n, len(data)))]
+    for name, kind, body, size in parts:
+        if kind == b"movi":
+            movies.append((body - 4, body, body + size))
         elif name == b"idx1":
-            index = data[at + 8 : at + 8 + size]
+            index = data[body : body + size]
         elif name == b"plen":
-            length = struct.unpack_from("<Q", data, at + 8)[0]
-        at += 8 + size + (size & 1)
-    frames = []
-    for k in range(0, len(index), 16):
-        name, _, place, size = struct.unpack_from("<4sIII", index, k)
-        if name != b"00dc" or data[movie + place : movie + place + 4] != name:
-            raise ValueError("the index doesn't fit the frames")
-        frames.append(data[movie + place + 8 : movie + place + 8 + size])
+            length = struct.unpack_from("<Q", data, body)[0]
+        elif kind == b"hdrl":
+            for inner, of, at, n in _listed(data, body, body + size):
+                if inner == b"avih":
+                    rate = rate or 1e6 / max(struct.unpack_from("<I", data, at)[0], 1)
+                elif of == b"strl":
+                    head = next((x for x in _listed(data, at, at + n) if x[0] == b"strh"), None)
+                    if head and stream is None and data[head[2] : head[2] + 4] == b"vids":
+                        stream, (scale, ticks) = streams, struct.unpack_from("<II", data, head[2] + 20)
+                        rate = ticks / scale if scale and ticks else rate
+                    streams += 1
+    if stream is None or not movies or not rate:
+        raise ValueError("no video stream")
+    names, frames = (b"%02ddc" % stream, b"%02ddb" % stream), []
+    if index:
+        found, base = [], None
+        for k in range(0, len(index) - 15, 16):
+            name, _, place, size = struct.unpack_from("<4sIII", index, k)
+            if name not in names:
+                continue
+            if base is None:
+                base = movies[0][0] if data[movies[0][0] + place : movies[0][0] + place + 4] == name else 0
+            if data[base + place : base + place + 4] != name:
+                raise ValueError("the index doesn't fit the frames")
+            found.append((base + place + 8, size))
+    else:
+        found = [(body, size) for _, at, end in movies for name, body, size in _movie(data, at, end) if name in names]
+    for at, size in found:
+        if size or frames:
+            frames.append(data[at : at + size] if size else frames[-1])
+    if not frames:
+        raise ValueError("the video stream has no frames")
     return frames, rate, length
 
 
-def shots(samples: np.ndarray, times: float = 3.0, around: int = 8, least: float = 0.15) -> list[tuple[int, int]]:
-    """(first frame, frames) of each shot: cuts where the difference of neighbouring histograms is over `least`, and over its neighbourhood's mean by `times` its deviation."""
+def histograms(samples: np.ndarray) -> np.ndarray:
+    """Shares of 16 levels of light in the frames (rows of bytes)."""
     n = len(samples)
     rows = np.repeat(np.arange(n), samples.shape[1]) * 16 + (samples >> 4).ravel()
-    shares = np.bincount(rows, minlength=16 * n).reshape(n, 16) / samples.shape[1]
+    return np.bincount(rows, minlength=16 * n).reshape(n, 16) / samples.shape[1]
+
+
+def shots(shares: np.ndarray, times: float = 3.0, around: int = 8, least: float = 0.15) -> list[tuple[int, int]]:
+    """(first frame, frames) of each shot: cuts where the difference of neighbouring histograms is over `least`, and over its neighbourhood's mean by `times` its deviation."""
     d = np.abs(np.diff(shares, axis=0)).sum(axis=1) / 2
     sums, squares = (np.concatenate(([0.0], np.cumsum(x))) for x in (d, d * d))
     k = np.arange(len(d))
@@ -152,17 +187,23 @@ def shots(samples: np.ndarray, times: float = 3.0, around: int = 8, least: float
     mean = (sums[high] - sums[low] - d) / others
     deviation = np.sqrt(np.maximum((squares[high] - squares[low] - d * d) / others - mean * mean, 0))
     cuts = np.flatnonzero((d > least) & (d > mean + times * deviation + 1e-9)) + 1
-    bounds = [0, *cuts.tolist(), n]
+    bounds = [0, *cuts.tolist(), len(shares)]
     return [(a, b - a) for a, b in zip(bounds, bounds[1:])]
 
 
 def clips(data: bytes) -> tuple[bytes, list[tuple[int, float, float, int]]]:
-    """The payload of an AVI file, and its clips: number, start and end in seconds, frames."""
+    """The payload of an AVI file (empty if it isn't ours), and its clips: number, start and end in seconds, frames."""
     frames, rate, length = read_avi(data)
-    decoded = [decode_frames(frames[k : k + AT_ONCE]) for k in range(0, len(frames), AT_ONCE)]
-    samples = np.concatenate([s for _, s in decoded])
-    found = shots(samples)
-    return b"".join(p for p, _ in decoded)[:length], [(k, a / rate, (a + n) / rate, n) for k, (a, n) in enumerate(found)]
+    payload, shares = [], []
+    if all(f[: len(_HEAD)] == _HEAD for f in frames):
+        for k in range(0, len(frames), AT_ONCE):
+            held, samples = decode_frames(frames[k : k + AT_ONCE])
+            payload.append(held)
+            shares.append(histograms(samples))
+    else:  # of the first component, the light
+        shares = [histograms(jpeg.decode(f)[0].reshape(1, -1)) for f in frames]
+    found = shots(np.concatenate(shares))
+    return b"".join(payload)[: length or 0], [(k, a / rate, (a + n) / rate, n) for k, (a, n) in enumerate(found)]
 
 
 def padded(text: str | None) -> bytes:
@@ -184,6 +225,7 @@ def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [dict(zip(("clip", "start_s", "end_s", "frames"), c)) for c in clips(data)[1]]
             size = len((text or "").encode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary()), pa.array([found], kind)], names=["doc_id", "n_bytes", "media", "clips"])
+    release()
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,6 +240,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             feature = ";".join(f"{a:.2f}-{b:.2f}" for _, a, b, _ in found)
             rows.append((doc, len((text or "").encode("utf-8", "surrogatepass")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(found)))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
+    release()
 
 
 def text_media(docs: DataFrame) -> DataFrame:
@@ -207,10 +250,37 @@ def text_media(docs: DataFrame) -> DataFrame:
 
 
 def clip_rows(media: DataFrame) -> DataFrame:
-    """A row for each clip of text_media's rows: doc_id, clip, start_s, end_s, frames."""
+    """A row for each clip of text_media's rows: doc_id, clip, start_s, end_s, frames. Repeated rows have theirs each; an empty table gives none."""
     return media.select("doc_id", F.inline("clips"))
 
 
+CLIP = "key {}, clip int, start_s double, end_s double, frames int, error string"
+
+
+def _clip_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k, media in enumerate(batch.column(1)):
+            try:
+                rows = [(*c, None) for c in clips(media.as_py() or b"")[1]]
+            except (ValueError, struct.error) as error:
+                rows = [(None, None, None, None, str(error) or "broken")]
+            kinds = (pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.string())
+            key = batch.column(0).take(pa.array([k] * len(rows)))
+            yield pa.RecordBatch.from_arrays([key, *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], names=["key", "clip", "start_s", "end_s", "frames", "error"])
+    release()
+
+
+def media_clips(df: DataFrame, key: str, column: str) -> DataFrame:
+    """A row for each clip of the AVI files in `column`: key, clip, start_s, end_s, frames, error.
+
+    A file that can't be read, or null, has one row that says why. Keys may be null or repeated; repeated rows have
+    their clips each. An empty table gives no rows. Other columns are not read.
+    """
+    ship(df.sparkSession)
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{column}`").cast("binary").alias("media"))
+    return rows.mapInArrow(_clip_rows, CLIP.format(rows.schema["key"].dataType.simpleString()))
+
+
 def media_digests(docs: DataFrame) -> DataFrame:
     """What the stored media give when read back, without the media: a row for each row of `docs`.
 

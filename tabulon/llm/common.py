@@ -25,9 +25,15 @@ WHO = ["none", "id", "mark"]
 _shipped: set[str] = set()
 
 
+#: Bytes and rows of a batch that goes to Python, at most: what a worker and the JVM hold at once.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application; Spark's own file server carries it."""
+    """Give the executors this package, once for each application (Spark's own file server carries it), and bound the batches."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent.parent

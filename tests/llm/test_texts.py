@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.llm import avi_media, chat_quotes, langid_mixture, license_scan, mixing, packing
+from tabulon.llm import avi_media, chat_quotes, jpeg, langid_mixture, license_scan, mixing, packing
 
 
 def test_media_round_trip():
@@ -27,7 +28,7 @@ def test_frames_decode_as_their_coefficients_say():
     _, samples = avi_media.decode_frames(avi_media.encode_frames(payload))
     coefficients = np.zeros((8, 8))
     for k, b in enumerate(payload[:63], 1):
-        coefficients[divmod(avi_media.ZIGZAG[k], 8)] = b if b > 127 else b - 255
+        coefficients[divmod(jpeg.ZIGZAG[k], 8)] = b if b > 127 else b - 255
     c = lambda u: np.sqrt(0.5) if u == 0 else 1
     for y, x in ((0, 0), (3, 5), (7, 7)):
         value = sum(c(u) * c(v) / 4 * coefficients[v, u] * np.cos((2 * x + 1) * u * np.pi / 16) * np.cos((2 * y + 1) * v * np.pi / 16) for u in range(8) for v in range(8))
@@ -36,14 +37,160 @@ def test_frames_decode_as_their_coefficients_say():
 
 def test_shots():
     dark, light = np.full((10, 1024), 20, dtype=np.uint8), np.full((6, 1024), 200, dtype=np.uint8)
-    assert avi_media.shots(np.concatenate([dark, light, dark])) == [(0, 10), (10, 6), (16, 10)]
-    assert avi_media.shots(dark[:1]) == [(0, 1)] and avi_media.shots(dark) == [(0, 10)]
+    of = lambda *x: avi_media.shots(avi_media.histograms(np.concatenate(x)))
+    assert of(dark, light, dark) == [(0, 10), (10, 6), (16, 10)] and of(dark[:1]) == [(0, 1)] and of(dark) == [(0, 10)]
+
+
+def coded(values, sampling, quantiser, interval, size, rng):
+    """A JPEG image with codes of its own: symbols in a random order, 8 bits each for AC and 4 or 5 for DC."""
+    height, width = size
+    segment = lambda mark, body: struct.pack(">BBH", 0xFF, mark, len(body) + 2) + body
+    dc, ac = rng.permutation(12).tolist(), [s for s in rng.permutation(256).tolist() if s & 15 <= 10][:200]
+    ac += [s for s in (0, 0xF0) if s not in ac]
+    ac_codes, dc_codes = {s: f"{k:08b}" for k, s in enumerate(ac)}, {s: f"{k:05b}" for k, s in enumerate(dc)}
+    lengths = lambda n, at: bytes(n if k == at else 0 for k in range(1, 17))
+    head = b"\xff\xd8" + segment(0xE0, b"JFIF\0") + segment(0xDB, b"\x01" + bytes(quantiser)) + segment(0xFE, b"a comment")
+    head += segment(0xC0, struct.pack(">BHHB", 8, height, width, len(sampling)) + b"".join(bytes([k + 1, h << 4 | v, 1]) for k, (h, v) in enumerate(sampling)))
+    head += segment(0xC4, b"\x01" + lengths(len(dc), 5) + bytes(dc)) + segment(0xC4, b"\x12" + lengths(len(ac), 8) + bytes(ac))
+    head += segment(0xDD, struct.pack(">H", interval)) if interval else b""
+    head += segment(0xDA, bytes([len(sampling)]) + b"".join(bytes([k + 1, 0x12]) for k in range(len(sampling))) + b"\0\x3f\0")
+    number = lambda v: "" if not v else f"{v if v > 0 else v + (1 << abs(v).bit_length()) - 1:0{abs(v).bit_length()}b}"
+    units, out, bits, before, held, n = list(values), b"", "", [0] * len(sampling), 0, 0
+
+    def flush():
+        nonlocal bits
+        bits += "1" * (-len(bits) % 8)
+        raw = bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+        bits = ""
+        return raw
+
+    for unit in units:
+        if interval and held == interval:
+            out += flush() + bytes([0xFF, 0xD0 + n % 8])
+            held, n, before = 0, n + 1, [0] * len(sampling)
+        held += 1
+        for component, blocks in enumerate(unit):
+            for block in blocks:
+                diff = int(block[0]) - before[component]
+                before[component] = int(block[0])
+                bits += dc_codes[abs(diff).bit_length()] + number(diff)
+                zeros, last = 0, max([k for k in range(1, 64) if block[k]], default=0)
+                for k in range(1, last + 1):
+                    v = int(block[k])
+                    if not v:
+                        zeros += 1
+                        continue
+                    while zeros > 15 or (zeros << 4 | abs(v).bit_length()) not in ac_codes:
+                        assert zeros > 15
+                        bits, zeros = bits + ac_codes[0xF0], zeros - 16
+                    bits += ac_codes[zeros << 4 | abs(v).bit_length()] + number(v)
+                    zeros = 0
+                if last < 63:
+                    bits += ac_codes[0]
+    return head + out + flush() + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("sampling, interval, size", [([(1, 1)], 0, (16, 24)), ([(2, 2), (1, 1), (1, 1)], 0, (19, 35)), ([(2, 1), (1, 1), (1, 1)], 3, (24, 33)), ([(1, 1)] * 3, 2, (8, 8))])
+def test_jpeg_images_of_others(sampling, interval, size):
+    """Own Huffman codes and quantisers, several components, restarts: planes against the transform's definition."""
+    rng = np.random.default_rng(len(sampling) + interval)
+    most_h, most_v = max(h for h, _ in sampling), max(v for _, v in sampling)
+    down, across = -(-size[0] // (8 * most_v)), -(-size[1] // (8 * most_h))
+    units = []
+    for _ in range(down * across):
+        unit = []
+        for h, v in sampling:
+            blocks = np.where(rng.random((h * v, 64)) < 0.06, rng.integers(-7, 8, (h * v, 64)), 0)
+            blocks[:, 0] = rng.integers(-60, 60, h * v)
+            unit.append(blocks)
+        units.append(unit)
+    quantiser = rng.integers(1, 9, 64).tolist()
+    while True:  # codes that have all symbols that are needed
+        try:
+            image = coded(units, sampling, quantiser, interval, size, rng)
+            break
+        except AssertionError:
+            continue
+    planes = jpeg.decode(image)
+    basis = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.125) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
+    for c, (h, v) in enumerate(sampling):
+        whole = np.zeros((down * v * 8, across * h * 8))
+        for n, unit in enumerate(units):
+            y, x = divmod(n, across)
+            for k, block in enumerate(unit[c]):
+                grid = np.zeros(64)
+                grid[jpeg.ZIGZAG] = block * quantiser
+                dy, dx = divmod(k, h)
+                whole[(y * v + dy) * 8 : (y * v + dy) * 8 + 8, (x * h + dx) * 8 : (x * h + dx) * 8 + 8] = basis.T @ grid.reshape(8, 8) @ basis + 128
+        rows, columns = -(-size[0] * v // most_v), -(-size[1] * h // most_h)
+        assert planes[c].shape == (rows, columns)
+        assert np.abs(planes[c] - np.clip(whole[:rows, :columns], 0, 255)).max() <= 0.5001
+    with pytest.raises(ValueError):
+        jpeg.decode(image[: len(image) * 2 // 3])
+    with pytest.raises(ValueError):
+        jpeg.decode(image.replace(b"\xff\xc0", b"\xff\xc2", 1))
+
+
+def grey(level, rng):
+    block = np.zeros((1, 64), dtype=int)
+    block[0, 0] = level
+    while True:
+        try:
+            return coded([[block], [block]], [(1, 1)], [8] * 64, 0, (8, 16), rng)
+        except (AssertionError, KeyError):
+            continue
+
+
+def foreign_avi(frames, kind):
+    """An AVI file as other writers make it: sound first, records, padding chunks, offsets from the file's start, or no index."""
+    chunk = lambda name, body: name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
+    header = lambda what, scale, rate: chunk(b"strh", what + struct.pack("<IHHIIIIIIII4H", 0, 0, 0, 0, scale, rate, 0, 0, 0, 0, 0, 0, 0, 0, 0))
+    head = chunk(b"LIST", b"hdrl" + chunk(b"avih", struct.pack("<14I", 100_000, *[0] * 13)) + chunk(b"LIST", b"strl" + header(b"auds\0\0\0\0", 1, 8000)) + chunk(b"LIST", b"strl" + header(b"vidsMJPG", 100, 1250)))
+    before, movie, index = chunk(b"JUNK", b"x" * 7), b"movi", []
+    start = 12 + len(head) + len(before) + 8
+    for f in frames:
+        inner = b"rec " if kind == "records" else b""
+        at = len(movie) + (12 if inner else 0)
+        for name, body in ((b"00wb", b"sound"), (b"01dc", f)):
+            index.append((name, (start if kind == "absolute" else 0) + at, len(body)))
+            inner += chunk(name, body)
+            at += len(chunk(name, body))
+        movie += chunk(b"LIST", inner) if kind == "records" else inner
+    tail = b"" if kind in ("records", "no index") else chunk(b"idx1", b"".join(struct.pack("<4sIII", n, 16, p, s) for n, p, s in index))
+    return chunk(b"RIFF", b"AVI " + head + before + chunk(b"LIST", movie) + tail)
+
+
+def test_avi_files_of_others(spark):
+    rng = np.random.default_rng(5)
+    frames = [grey(-60, rng)] * 6 + [grey(50, rng)] * 3 + [b""] * 2 + [grey(0, rng)] * 4
+    expected = [(0, 0.0, 0.48, 6), (1, 0.48, 0.88, 5), (2, 0.88, 1.2, 4)]
+    made = {kind: foreign_avi(frames, kind) for kind in ("relative", "absolute", "records", "no index")}
+    for data in made.values():
+        payload, found = avi_media.clips(data)
+        assert payload == b"" and [(a, pytest.approx(b), pytest.approx(c), n) for a, b, c, n in found] == expected
+    rows = [*made.items(), (None, made["relative"]), ("junk", b"RIFFxxxxWAVE"), ("none", None), ("cut", made["relative"][:400]), ("own", avi_media.write_avi(b"y" * 64 * 100)), ("own", avi_media.write_avi(b"y" * 64 * 100))]
+    df = spark.createDataFrame(rows, "name string, media binary").selectExpr("name as clip", "media as error")
+    got = avi_media.media_clips(df, "clip", "error").collect()
+    by = Counter((r.key, r.error is None) for r in got)
+    assert by[("relative", True)] == by[(None, True)] == 3 and by[("own", True)] == 4 and all(by[(k, False)] == 1 and by[(k, True)] == 0 for k in ("junk", "none", "cut"))
+    assert avi_media.media_clips(df.limit(0), "clip", "error").count() == 0
+
+
+def test_media_are_baseline_jpeg():
+    """What is written, read by the general decoder."""
+    payload = bytes(np.random.default_rng(8).integers(0, 256, 64 * 90, dtype=np.uint8))
+    frames, _, length = avi_media.read_avi(avi_media.write_avi(payload))
+    _, samples = avi_media.decode_frames(frames)
+    assert length == len(payload)
+    for image, row in zip(frames, samples):
+        plane = jpeg.decode(image)[0]
+        assert (plane.reshape(4, 8, 4, 8).swapaxes(1, 2).reshape(-1) == row).all()
 
 
 def test_broken_media():
     data = avi_media.write_avi(b"x" * 64)
-    for bad in (b"", b"RIFF" + data[4:8] + b"WAVE" + data[12:], data.replace(b"00dc", b"01wb", 1)):
-        with pytest.raises((ValueError, Exception)):
+    for bad in (b"", b"RIFF" + data[4:8] + b"WAVE" + data[12:], data.replace(b"00dc", b"01wb", 1), data[:300]):
+        with pytest.raises((ValueError, struct.error)):
             avi_media.clips(bad)
 
 
