@@ -1,10 +1,11 @@
 """Substring deduplication by content-defined chunks.
 
-A gear hash rolls over the bytes of a text; a chunk ends where the hash of the last `WINDOW` bytes is below a
-threshold, so chunks depend on the bytes around their ends only, and an insertion changes the chunks that it
-touches. As short chunks are equal by chance or habit, the unit that is deduplicated is a block: from each chunk on,
-the fewest chunks that have `least` bytes together. Blocks of all texts meet by a digest of 96 bits; the first
-occurrence stays. Neighbouring blocks that occurred before make a repeated passage.
+A gear hash rolls over the bytes of a text; a chunk ends where the hash of the last `WINDOW` bytes is the least within
+`REACH` bytes on either side, so chunks depend on the bytes around their ends only, and an insertion changes the
+chunks that it touches. Such ends lie more evenly than those below a threshold, so fewer chunks find as short passages.
+As short chunks are equal by chance or habit, the unit that is deduplicated is a block: from each chunk on, the
+fewest chunks that have `least` bytes together. Blocks of all texts meet by a digest of 96 bits; the first occurrence
+stays. Neighbouring blocks that occurred before make a repeated passage.
 """
 
 from __future__ import annotations
@@ -14,34 +15,45 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabulon.llm.common import WHO, cut, doc_id_of, identity, release, same_document, ship, tidy
+from tabulon.llm.common import WHO, cut, doc_id_of, identity, release, same_document, ship, small, tidy
 
-WINDOW, MEAN, MOST = 16, 24, 512  # bytes: that decide on an end, of a chunk on average, of a chunk at most
+WINDOW, REACH, MOST = 16, 18, 512  # bytes: that a hash is of, on either side of an end, of a chunk at most
 LEAST = 48  # bytes of a block
 
 #: One random 32-bit number for each byte.
 _GEAR = np.random.default_rng(77).integers(0, 1 << 32, 256, dtype=np.uint32)
-_LIMIT = np.uint32((1 << 17) // MEAN)
 
 
-def chunk_ends(data: bytes, at_once: int = 1 << 22) -> np.ndarray:
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` neighbours."""
+    some, k = values, 1
+    while 2 * k <= width:
+        some, k = np.minimum(some[:-k], some[k:]), 2 * k
+    n = len(values) - width + 1
+    return np.minimum(some[:n], some[width - k : width - k + n])
+
+
+def chunk_ends(data: bytes, at_once: int = 1 << 20) -> np.ndarray:
     """Where chunks end (exclusive), ascending; the last is the text's length."""
     n, found = len(data), []
-    raw = np.frombuffer(data, dtype=np.uint8)
+    raw, beyond = np.frombuffer(data, dtype=np.uint8), np.full(REACH, 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, n, at_once):
-        begin = max(0, at - WINDOW + 1)
-        h = _GEAR[raw[begin : at + at_once]]
+        low = max(0, at - REACH)
+        begin = max(0, low - WINDOW + 1)
+        h = _GEAR[raw[begin : at + at_once + REACH]]
         step = 1
         while step < WINDOW:  # after each pass, h holds twice as many bytes
             h[step:] += h[:-step] << np.uint32(step)
             step *= 2
-        # the upper 17 bits depend on the whole window
-        ends = np.flatnonzero((h >> np.uint32(15)) < _LIMIT) + begin + 1
-        found.append(ends[ends > at])
+        h = h[low - begin :]
+        around = _least(np.concatenate((beyond, h, beyond)), REACH)
+        # the first of equal ones; a text of one byte over and over has none
+        ends = np.flatnonzero((h < around[: len(h)]) & (h <= around[REACH + 1 : REACH + 1 + len(h)])) + low + 1
+        found.append(ends[(ends > at) & (ends <= at + at_once)])
     ends = np.concatenate([*found, [n]]) if n else np.empty(0, dtype=np.int64)
     if n and len(ends) > 1 and ends[-2] == n:
         ends = ends[:-1]
@@ -63,57 +75,76 @@ def blocks(data: bytes, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     return (a, b) if b[-1] == len(data) else (np.append(a, a[-1]), np.append(b, len(data)))
 
 
-SCHEMA = "digest long, check int, none boolean, id long, mark int, start int, length int, last boolean"
+#: span: start, length and whether the block ends its text, in one number that orders as the start does, as blocks are many.
+SCHEMA = "digest long, check int, none boolean, id long, mark int, span long"
+_LENGTHS = 20  # bits of the span below the start
+
+
+def _start(span: str | Column) -> Column:
+    return F.shiftright(span, _LENGTHS)
+
+
+def _length(span: str | Column) -> Column:
+    return F.shiftright(span, 1).bitwiseAND((1 << _LENGTHS - 1) - 1)
+
+
+def _last(span: str | Column) -> Column:
+    return (F.col(span) if isinstance(span, str) else span).bitwiseAND(1) == 1
 
 
 def _blocks(least: int, rows: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+        kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64())
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 few = batch.slice(at, rows)
-                digests, counts, starts, ends_, lasts = [], [], [], [], []
+                digests, counts, spans = [], [], []
                 for text in few.column(3):
                     data = text.as_py() or b""
                     a, b = blocks(data, least)
                     digests += [digest(data[x:y]) for x, y in zip(a.tolist(), b.tolist())]
                     counts.append(len(a))
-                    starts.append(a)
-                    ends_.append(b)
-                    lasts.append(b == len(data))
+                    spans.append(a << _LENGTHS | b - a << 1 | (b == len(data)))
                 if not digests:
                     continue
                 raw = np.frombuffer(b"".join(digests), dtype="<i8, <i4, <i4")
                 who = [np.repeat(c.to_numpy(zero_copy_only=False), counts) for c in (few.column(0), few.column(1), few.column(2))]
-                a, b = np.concatenate(starts), np.concatenate(ends_)
-                columns = (raw["f0"], raw["f1"], *who, a, b - a, np.concatenate(lasts))
+                columns = (raw["f0"], raw["f1"], *who, np.concatenate(spans))
                 yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
         release()
 
     return run
 
 
-def text_blocks(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """digest, check, none, id, mark, start, length, last (whether it ends its text): a row for each block."""
-    ship(docs.sparkSession)
-    return docs.select(*identity(), F.col("text").cast("binary").alias("text")).mapInArrow(_blocks(least), SCHEMA)
+def lean_identity(docs: DataFrame) -> DataFrame:
+    """none, id, mark, text (as bytes) of `docs`; mark is 0 where no other row has the doc_id, so that it needs no room in shuffles."""
+    twice = cut(docs.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("twice")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("twice"))
+    rows = docs.select(*identity(), F.col("text").cast("binary").alias("text")).join(small(twice), F.col("id") == F.col("twice"), "left")
+    return rows.select("none", "id", F.when(F.col("none") | F.col("twice").isNotNull(), F.col("mark")).otherwise(0).alias("mark"), "text")
+
+
+def text_blocks(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """digest, check, none, id, mark, span: a row for each block of lean_identity's texts."""
+    ship(rows.sparkSession)
+    return rows.mapInArrow(_blocks(least), SCHEMA)
 
 
-def _passages(docs: DataFrame, least: int) -> DataFrame:
-    """none, id, mark, start, end, of (place of its first block's first occurrence), whole."""
-    place = F.struct(*WHO, "start")
+def _passages(rows: DataFrame, least: int) -> DataFrame:
+    """none, id, mark, start, end, of (place of its first block's first occurrence), whole: of lean_identity's rows."""
+    place = F.struct(*WHO, "span")
     # counts and first places form on the map side: a block that half of the texts share is one row a task. Blocks are
     # computed again for the join, which costs less than to write them, about the size of the texts
-    found = text_blocks(docs, least)
+    found = text_blocks(rows, least)
     firsts = cut(found.groupBy("digest", "check").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     tidy(firsts)  # the shuffle's files aren't needed any more
-    again = found.join(firsts, ["digest", "check"]).filter(place != F.col("first")).select(*WHO, "start", (F.col("start") + F.col("length")).alias("end"), "last", "first")
-    doc = W.partitionBy(*WHO).orderBy("start", "end")
-    fresh = F.coalesce(F.col("start") > F.max("end").over(doc.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
+    again = found.join(firsts, ["digest", "check"]).filter(place != F.col("first")).select(*WHO, "span", "first")
+    doc = W.partitionBy(*WHO).orderBy("span")
+    end = _start("span") + _length("span")
+    fresh = F.coalesce(_start("span") > F.max(end).over(doc.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
     runs = again.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(doc.rowsBetween(W.unboundedPreceding, 0)))
-    passages = runs.groupBy(*WHO, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("start", "first")).alias("at"), F.max("last").alias("last"))
-    return passages.select(*WHO, "start", "end", F.col("at.first").alias("of"), ((F.col("start") == 0) & F.col("last")).alias("whole"))
+    passages = runs.groupBy(*WHO, "run").agg(F.min(_start("span")).alias("start"), F.max(end).alias("end"), F.min(F.struct("span", "first")).alias("at"), F.max(_last("span")).alias("last"))
+    return passages.select(*WHO, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("at.first").alias("of"), ((F.col("start") == 0) & F.col("last")).alias("whole"))
 
 
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -125,8 +156,8 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     but not the text are documents of their own; rows that share both are one. Null and empty texts have no blocks;
     an empty table gives no rows. Other columns are not read.
     """
-    return _passages(docs, least).select(
-        doc_id_of("none", "id").alias("doc_id"), "start", (F.col("end") - F.col("start")).alias("length"), doc_id_of("of.none", "of.id").alias("first_doc_id"), F.col("of.start").alias("first_start"), "whole"
+    return _passages(lean_identity(docs), least).select(
+        doc_id_of("none", "id").alias("doc_id"), "start", (F.col("end") - F.col("start")).alias("length"), doc_id_of("of.none", "of.id").alias("first_doc_id"), _start("of.span").cast("int").alias("first_start"), "whole"
     )
 
 
@@ -137,7 +168,8 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     repeats only; rows that repeat a document lose the same passages. Null and empty texts, and an empty table, stay.
     """
     ship(docs.sparkSession)
-    spans = _passages(docs, least).groupBy(*WHO).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    full = docs.select(*identity(), F.col("text").cast("binary").alias("text"))
+    spans = _passages(full, least).groupBy(*WHO).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *identity())
     joined = rows.join(spans, same_document(rows, spans), "left").select("row", "spans")
 
