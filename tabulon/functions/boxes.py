@@ -45,12 +45,18 @@ def zero_based(values: Column) -> Column:
     return _struct(v[0] - 1, v[1] - 1, v[2], v[3])
 
 
-def clamped(values: Column, width: Column, height: Column) -> Column:
-    """Rounded (half to even) and inside the image; null if nothing is left."""
-    v = [F.bround(F.get(values, F.lit(k))) for k in range(4)]
+def clamped(values: Column | list[Column], width: Column, height: Column) -> Column:
+    """Rounded (half to even) and inside the image; null if nothing is left. `values` is an array, or four columns, which stay in generated code."""
+    if isinstance(values, Column):
+        ok, each = finite(values), [F.get(values, F.lit(k)) for k in range(4)]
+    else:
+        ok, each = F.lit(True), values
+        for v in values:
+            ok = ok & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    v = [F.bround(x) for x in each]
     x1, x2 = (F.greatest(F.lit(0), F.least(v[k], width)).cast("int") for k in (0, 2))
     y1, y2 = (F.greatest(F.lit(0), F.least(v[k], height)).cast("int") for k in (1, 3))
-    return F.when(finite(values) & (x2 > x1) & (y2 > y1), _struct(x1, y1, x2, y2))
+    return F.when(ok & (x2 > x1) & (y2 > y1), _struct(x1, y1, x2, y2))
 
 
 def padded(box: Column, width: Column, height: Column, share: float = 0.15) -> Column:

@@ -78,3 +78,16 @@ def problem(label: Column, key_known: Column, side: str) -> Column:
 def display(value: Column) -> Column:
     """An empty value as `not assessed`."""
     return F.coalesce(F.nullif(value, F.lit("")), F.lit("not assessed"))
+
+
+def html_escaped(value: Column) -> Column:
+    """A text for HTML: the five characters that mean something there as references."""
+    out = F.replace(value, F.lit("&"), F.lit("&amp;"))
+    for mark, name in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    return out
+
+
+def title(value: Column) -> Column:
+    """An attribute's name for people: `body_type` as `Body Type`."""
+    return F.initcap(F.translate(value, "_", " "))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,13 +37,31 @@ def ascii_key(value: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(value.cast("string")), "[^a-z0-9]", ""), F.lit(""))
 
 
-def _fold(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode(), na_action="ignore")
+@functools.cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Characters beyond ASCII whose compatibility decomposition has one ASCII letter or digit, these, and those with several."""
+    one, to, several = [], [], {}
+    for code in range(128, sys.maxunicode + 1):
+        if 0xD800 <= code < 0xE000:
+            continue
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        kept = "".join(c for c in plain if c.isalnum())
+        if len(kept) == 1:
+            one.append(chr(code))
+            to.append(kept)
+        elif kept:
+            several[chr(code)] = kept
+    return "".join(one), "".join(to), several
 
 
 def folded_key(value: Column) -> Column:
-    """As ascii_key, after accents are taken off, which needs Python."""
-    return ascii_key(F.pandas_udf(_fold, "string")(value.cast("string")))
+    """As ascii_key, after accents and other forms of ASCII letters and digits became these (NFKD)."""
+    one, to, several = _folds()
+    text = value.cast("string")
+    names = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spread = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(names, c), c)), "")
+    text = F.when(text.rlike("[" + "".join(several) + "]"), spread).otherwise(text)
+    return ascii_key(F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(text, one, to)).otherwise(text))
 
 
 def alias(value: Column, names: dict[str, str]) -> Column:
@@ -55,11 +74,11 @@ def _true(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def make_matches(truth: Column, said: Column, key=ascii_key) -> Column:
+def make_matches(truth: Column, said: Column, key=folded_key) -> Column:
     return _true(alias(key(truth), MAKES) == alias(key(said), MAKES))
 
 
-def body_matches(truth: Column, said: Column, key=ascii_key) -> Column:
+def body_matches(truth: Column, said: Column, key=folded_key) -> Column:
     return _true(alias(key(truth), BODIES) == alias(key(said), BODIES))
 
 
@@ -67,7 +86,7 @@ def colour_matches(truth: Column, said: Column) -> Column:
     """Whether the true colour is among the words of what was said, by aliases."""
     names = F.create_map(*[F.lit(x) for pair in COLOURS.items() for x in pair])
     words = F.transform(F.regexp_extract_all(F.lower(said), F.lit("([a-z]+)"), 1), lambda w: F.coalesce(F.try_element_at(names, w), w))
-    return _true(ascii_key(truth).isNotNull() & F.array_contains(words, alias(F.trim(F.lower(truth)), COLOURS)))
+    return _true(folded_key(truth).isNotNull() & F.array_contains(words, alias(F.trim(F.lower(truth)), COLOURS)))
 
 
 def _without_suffix(key: Column) -> Column:
@@ -77,7 +96,7 @@ def _without_suffix(key: Column) -> Column:
     return out
 
 
-def model_matches(truth: Column, said: Column, make: Column | None = None, key=ascii_key) -> Column:
+def model_matches(truth: Column, said: Column, make: Column | None = None, key=folded_key) -> Column:
     """Equal names, or equal once the make before and one body type after the true name are gone."""
     g, p = key(truth), key(said)
     short = g

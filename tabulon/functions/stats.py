@@ -37,3 +37,26 @@ def softmax(scores: Column) -> Column:
 def argmax(scores: Column) -> Column:
     """Position (from 0) of the first largest."""
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+
+
+def luminance(red: Column, green: Column, blue: Column) -> Column:
+    """Relative luminance of a colour whose parts are between 0 and 1: black text fits on what has more than 0.179."""
+    linear = lambda c: F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
+    return linear(red) * 0.2126 + linear(green) * 0.7152 + linear(blue) * 0.0722
+
+
+# Mean and deviation of the channels that image models are trained with.
+CHANNELS = ((0.485, 0.229), (0.456, 0.224), (0.406, 0.225))
+
+
+def normalised(channel: Column, k: int) -> Column:
+    """A byte of an image's channel (0 red, 1 green, 2 blue) as models expect it."""
+    mean, deviation = CHANNELS[k]
+    return (channel / 255.0 - mean) / deviation
+
+
+def quantiles(df, column: str, shares: list[float]):
+    """q0, q1, ...: exact quantiles by linear interpolation, in one row. Values are counted first, so that each comes once with its number."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    found = counts.agg(F.percentile("value", [float(s) for s in shares], F.col("n")).alias("q"))
+    return found.select(*[F.col("q")[k].alias(f"q{k}") for k in range(len(shares))])

@@ -95,24 +95,44 @@ def frozen_split(frame: DataFrame, official: DataFrame, label: str, test_content
     """rule, n: how many rows of a frozen split break each rule; a sound split gives no rows."""
     fields = [key, content, *columns, "experiment_split"]
     require_columns(frame, *dict.fromkeys([*fields, label]))
-    rule = lambda name, df: df.agg(F.lit(name).alias("rule"), F.count(F.lit(1)).alias("n"))
     empty = F.lit(False)
     for c in fields:
         empty = empty | F.col(c).isNull()
-    of = lambda s: frame.filter(F.col("experiment_split") == s).select(label)
-    found = [
-        rule("missing value", frame.filter(empty)),
-        rule("repeated key", frame.groupBy(key).count().filter("count > 1")),
-        rule("repeated content", frame.groupBy(content).count().filter("count > 1")),
-        rule("not train or validation of official train", frame.filter(~(F.col("split").eqNullSafe("train") & F.coalesce(F.col("experiment_split").isin("train", "validation"), F.lit(False))))),
-        rule("content of the official test", frame.join(test_contents.select(content).distinct(), content, "left_semi")),
-        rule("differs from the manifest", reconcile(frame, official, key, columns)),
-        rule("class in one part only", of("train").subtract(of("validation")).union(of("validation").subtract(of("train")))),
-    ]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.filter("n > 0")
+    of = F.col("experiment_split")
+    fits = F.col("split").eqNullSafe("train") & F.coalesce(of.isin("train", "validation"), F.lit(False))
+    # the rules on single rows go with the groups of a content; the others need a table of their own
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    contents = frame.groupBy(content).agg(F.count(F.lit(1)).alias("n"), F.count_if(empty).alias("empty"), F.count_if(~fits).alias("unfit")).join(test_contents.select(content).distinct().withColumn("_test", F.lit(1)), content, "left")
+    first = contents.agg(n("empty").alias("missing value"), F.count_if(F.col("n") > 1).alias("repeated content"), n("unfit").alias("not train or validation of official train"), n(F.col("n") * F.col("_test")).alias("content of the official test"))
+    keys = frame.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated key"))
+    sides = frame.groupBy(label).agg(F.max(of.eqNullSafe("train")).alias("t"), F.max(of.eqNullSafe("validation")).alias("v")).agg(F.count_if(F.col("t") != F.col("v")).alias("class in one part only"))
+    differs = reconcile(frame, official, key, columns).agg(F.count(F.lit(1)).alias("differs from the manifest"))
+    row = first.crossJoin(F.broadcast(keys)).crossJoin(F.broadcast(sides)).crossJoin(F.broadcast(differs))  # one row each
+    return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(f"`{c}`").alias("n")) for c in row.columns]))).filter("n > 0")
+
+
+def missing_files(df: DataFrame, path: str, files: DataFrame) -> DataFrame:
+    """The rows of `df` whose path `files` (path) doesn't list."""
+    listed = files.select(F.col("path").alias("_listed")).distinct()
+    return df.join(listed, F.col(path) == F.col("_listed"), "left_anti")
+
+
+def existing_files(df: DataFrame, path: str, files: DataFrame) -> DataFrame:
+    """The rows of `df` whose path `files` (path) lists."""
+    listed = files.select(F.col("path").alias("_listed")).distinct()
+    return df.join(listed, F.col(path) == F.col("_listed"), "left_semi")
+
+
+def preflight(df: DataFrame, path: str, files: DataFrame) -> DataFrame:
+    """`df`, if all of its images can be used: paths that lead up or are empty, and files that aren't there, are counted and refused before any is read."""
+    climbs = F.array_contains(F.split(F.translate(F.col(path), "\\", "/"), "/"), "..") | (F.trim(F.col(path)) == "")
+    bad = F.coalesce(climbs, F.lit(True))
+    reason = lambda rows, why: rows.select(F.col(path).alias("path"), F.lit(why).alias("reason"))
+    unusable = reason(df.filter(bad), "unusable path").unionByName(reason(missing_files(df.filter(~bad), path, files), "missing file"))
+    n = unusable.count()
+    if n:
+        raise RefusedInput(f"{n} images are missing or unusable, such as {[tuple(r) for r in unusable.limit(3).collect()]}")
+    return df
 
 
 def body_label_matches(identifier: Column, label: Column, name: Column) -> Column:

@@ -16,6 +16,7 @@ from tabulon.errors import RefusedInput, UnusableRows
 from tabulon.functions.labels import normaliser, problem, raw_label
 from tabulon.functions.stats import ratio
 from tabulon.schemas import CLASSES, require_columns
+from tabulon.session import shared_folder
 
 TOLERANCE = 1e-12
 
@@ -63,24 +64,56 @@ def observed_collisions(rows: DataFrame, column: str, classes: DataFrame, adapte
     return several.join(F.broadcast(classes.select("display_label")), "display_label", "left_semi")
 
 
+#: What classify adds.
+VERDICT = ["target_id", "prediction_id", "reason", "raw_target", "raw_prediction"]
+
+
 def classify(rows: DataFrame, classes: DataFrame, target: str, prediction: str, adapter: str = "none") -> DataFrame:
-    """`rows` with target_id, prediction_id and reason; reason is null where both are classes."""
+    """`rows` with target_id, prediction_id, reason, raw_target and raw_prediction; reason is null where both are classes.
+
+    A table that has columns of these names already is refused, so that none of the user's is lost.
+    """
+    clash = [c for c in rows.columns if c.lower() in VERDICT]
+    if clash:
+        raise RefusedInput(f"columns {clash} have names that the classification adds")
     adapt = normaliser(adapter)
-    out = rows.withColumns({"_t": raw_label(F.col(target)), "_p": raw_label(F.col(prediction))})
-    ids = lambda k: F.broadcast(classes.select(F.col("display_label").alias(f"_{k}_label"), F.col("class_id").alias(f"{k}_id")))
-    out = out.join(ids("target"), adapt(F.col("_t")) == F.col("_target_label"), "left").join(ids("prediction"), adapt(F.col("_p")) == F.col("_prediction_label"), "left")
-    why = F.concat_ws("; ", problem(F.col("_t"), F.col("target_id").isNotNull(), "target"), problem(F.col("_p"), F.col("prediction_id").isNotNull(), "prediction"))
-    return out.withColumn("reason", F.nullif(why, F.lit(""))).drop("_target_label", "_prediction_label")
+    out = rows.withColumns({"raw_target": raw_label(F.col(f"`{target}`")), "raw_prediction": raw_label(F.col(f"`{prediction}`"))})
+    ids = lambda k: F.broadcast(classes.select(F.col("display_label").alias(f"__{k}"), F.col("class_id").alias(f"{k}_id")))  # noqa: E731  (a row for each declared class, which the driver has listed)
+    out = out.join(ids("target"), adapt(F.col("raw_target")) == F.col("__target"), "left").join(ids("prediction"), adapt(F.col("raw_prediction")) == F.col("__prediction"), "left")
+    why = F.concat_ws("; ", problem(F.col("raw_target"), F.col("target_id").isNotNull(), "target"), problem(F.col("raw_prediction"), F.col("prediction_id").isNotNull(), "prediction"))
+    return out.withColumn("reason", F.nullif(why, F.lit(""))).drop("__target", "__prediction")
+
+
+def classified_pairs(rows: DataFrame, classes: DataFrame, target: str, prediction: str, adapter: str = "none") -> DataFrame:
+    """As classify, of the different pairs of labels, with n: how many rows have each. Labels are looked at once a pair, not once a row."""
+    pairs = rows.groupBy(F.col(f"`{target}`").alias("target"), F.col(f"`{prediction}`").alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
+    return classify(pairs, classes, "target", "prediction", adapter)
 
 
 def excluded(classified: DataFrame, *keep: str) -> DataFrame:
     """The rows that can't be scored: `keep`, target, prediction, reason."""
-    return classified.filter("reason IS NOT NULL").select(*keep, F.col("_t").alias("target"), F.col("_p").alias("prediction"), "reason")
+    return classified.filter("reason IS NOT NULL").select(*keep, F.col("raw_target").alias("target"), F.col("raw_prediction").alias("prediction"), "reason")
+
+
+def with_position(rows: DataFrame, order: list[str | Column] | None = None, name: str = "row_position") -> DataFrame:
+    """`rows` with their number from 0: in `order`, or as they are stored. No task holds more than a partition.
+
+    The table is written to the shared checkpoint folder first, so that numbers don't change between uses.
+    """
+    shared_folder(rows.sparkSession)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+    kept = ranged.withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    counts = kept.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))  # a row for each partition
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(counts.select("__part", before.alias("__before")))
+    return kept.join(offsets, part == F.col("__part")).withColumn(name, F.col("__before") + inside).drop("__at", "__part", "__before")
 
 
 def cells(classified: DataFrame) -> DataFrame:
-    """target_id, prediction_id, n of the scorable rows."""
-    return classified.filter("reason IS NULL").groupBy("target_id", "prediction_id").agg(F.count(F.lit(1)).alias("n"))
+    """target_id, prediction_id, n of the scorable rows, of classify's rows or classified_pairs' pairs."""
+    n = F.sum("n") if classified.columns[:3] == ["target", "prediction", "n"] else F.count(F.lit(1))
+    return classified.filter("reason IS NULL").groupBy("target_id", "prediction_id").agg(n.alias("n"))
 
 
 def dense(cell: DataFrame, classes: DataFrame) -> DataFrame:
@@ -165,13 +198,18 @@ def cross_check(cell: DataFrame, classes: DataFrame) -> dict[str, object]:
 
 
 def row_metrics(classified: DataFrame, classes: DataFrame) -> DataFrame:
-    """accuracy and macro F1 from rows, not from cells: another plan for the cross-check."""
-    scored = classified.filter("reason IS NULL")
-    one = lambda c: F.count_if(F.col(c) == F.col("class_id"))
-    counted = scored.crossJoin(F.broadcast(classes.select("class_id"))).groupBy("class_id").agg(
-        one("target_id").alias("s"), one("prediction_id").alias("p"), F.count_if((F.col("target_id") == F.col("class_id")) & (F.col("prediction_id") == F.col("class_id"))).alias("h"), F.count(F.lit(1)).alias("rows")
-    )
-    return counted.agg(ratio(F.sum("h"), F.max("rows")).alias("accuracy"), F.avg(ratio(2 * F.col("h"), F.col("s") + F.col("p"))).alias("macro_f1"))
+    """accuracy and macro F1 from rows, not from cells: another plan for the cross-check. Each row counts once for its target's class and once for its prediction's."""
+    t, p = F.col("target_id"), F.col("prediction_id")
+    side = lambda of, s, q: F.struct(of.alias("class_id"), F.lit(s).alias("s"), F.lit(q).alias("p"), (t == p).cast("int").alias("h"))
+    sides = classified.filter("reason IS NULL").select(F.inline(F.array(side(t, 1, 0), side(p, 0, 1))))
+    counted = sides.groupBy("class_id").agg(F.sum("s").alias("s"), F.sum("p").alias("p"), F.sum(F.col("h") * F.col("s")).alias("h"))
+    every = classes.select("class_id").join(F.broadcast(counted), "class_id", "left").na.fill(0)  # a row for each class
+    return every.agg(ratio(F.sum("h"), F.sum("s")).alias("accuracy"), F.avg(ratio(2 * F.col("h"), F.col("s") + F.col("p"))).alias("macro_f1"))
+
+
+def by_recall(classed: DataFrame) -> DataFrame:
+    """per_class's rows, those with the lowest recall first, by name if equal."""
+    return classed.orderBy("recall", "class")
 
 
 def evaluate(rows: DataFrame, classes: Sequence[str], target: str = "target", prediction: str = "prediction", allow_unusable: bool = False, id_column: str | None = None, expected_rows: int | None = None, adapter: str = "none") -> dict[str, DataFrame]:
@@ -183,13 +221,31 @@ def evaluate(rows: DataFrame, classes: Sequence[str], target: str = "target", pr
             merged = observed_collisions(rows, column, table, adapter).limit(5).collect()
             if merged:
                 raise RefusedInput(f"spellings in {column!r} would merge under {adapter!r}: {[list(r.spellings) for r in merged]}")
-    classified = classify(rows, table, target, prediction, adapter).persist()
-    bad = excluded(classified, *([id_column] if id_column else []))
-    reasons = {r.reason: r.n for r in bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(1000).collect()}
-    if reasons and not allow_unusable:
-        raise UnusableRows(f"{sum(reasons.values())} rows can't be scored: {dict(list(reasons.items())[:5])}", reasons)
-    cell = cells(classified)
+    pairs = classified_pairs(rows, table, target, prediction, adapter).persist()  # a row for each pair of labels
+    try:
+        by_reason = pairs.filter("reason IS NOT NULL").groupBy("reason").agg(F.sum("n").alias("n"))
+        unusable = by_reason.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+        if unusable and not allow_unusable:
+            listed = by_reason.orderBy(F.desc("n"), "reason").limit(1000).collect()  # the most frequent; the number above counts all
+            reasons = {r.reason: r.n for r in listed}
+            raise UnusableRows(f"{unusable} rows can't be scored: {dict(list(reasons.items())[:5])}", reasons, unusable)
+        cell = rows.sparkSession.createDataFrame(cells(pairs).collect(), "target_id int, prediction_id int, n long")  # classes squared at most
+    finally:
+        pairs.unpersist()
     if cell.isEmpty():
         raise RefusedInput("no row is left to score")
+    bad = excluded(classify(rows, table, target, prediction, adapter), *([id_column] if id_column else []))
     classed = per_class(cell, table)
     return {"summary": summary(classed), "per_class": classed.drop("hits").orderBy("class_index"), "cells": dense(cell, table), "excluded": bad, "mapping": table}
+
+
+def evaluate_matrix(spark: SparkSession, classes: Sequence[str], cell: DataFrame, listed: Sequence[str], expected_rows: int | None = None) -> dict[str, DataFrame]:
+    """The evaluation of a finished matrix over `listed`; refused unless these are the declared classes in their order, and the counts sum to `expected_rows`."""
+    if list(classes) != list(listed):
+        raise RefusedInput("the matrix lists other classes, or another order")
+    total = cell.agg(F.sum("n")).first()[0]
+    if expected_rows is not None and total != expected_rows:
+        raise RefusedInput(f"the matrix counts {total} rows, not {expected_rows}")
+    table = class_table(spark, classes)
+    classed = per_class(cell, table)
+    return {"summary": summary(classed), "per_class": classed.drop("hits").orderBy("class_index"), "cells": dense(cell, table), "mapping": table}

@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import re
+import sys
 import time
 from collections.abc import Callable, Iterable
 from pathlib import Path
@@ -14,12 +15,26 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.errors import RefusedInput
+from tabulon.errors import RefusedInput, UnusableRows
 from tabulon.functions.labels import TEST_LIKE, TRAIN_LIKE
 
 SPLITS = ("train", "test")
-# What a record of a frozen run must state.
-FROZEN_FIELDS = ("task", "dataset", "split_column", "split_value", "checkpoint_sha256", "class_order_sha256", "membership_sha256", "selected_rows_sha256", "code_hashes", "seed")
+# What a record of a frozen run must state, and the schema that it must name.
+FROZEN_SCHEMA = "36127.frozen_protocol/v1"
+FROZEN_FIELDS = (
+    "task", "dataset", "transform_id", "image_size", "checkpoint_sha256", "class_order_sha256", "membership_source_sha256", "code_hashes", "split_file_sha256",
+    "split_column", "split_value", "label_column", "key_column", "sample_size", "seed", "selected_count", "selected_rows_sha256",
+)
+# What a model's file must hold, how its images may be prepared, and the networks that are known.
+CHECKPOINT_FIELDS = ("state_dict", "classes", "config", "synthetic")
+CONFIG_FIELDS = ("task", "architecture", "image_size", "preprocessing")
+TRANSFORMS = {
+    "OpenCV whole-crop resize 224x224, RGB, ImageNet mean/std": ("whole_crop_square_resize_imagenet_v1", 224),
+    "OpenCV whole-crop square resize, RGB, ImageNet mean/std": ("whole_crop_square_resize_imagenet_v1", 224),
+}
+ARCHITECTURES = ("resnet18", "tiny_cnn")
+# Words in the message of an error that may pass.
+TRANSIENT = ("429", "quota", "resource", "503", "unavailable")
 
 
 def sha256_of(path: str) -> str:
@@ -116,23 +131,127 @@ def class_order_digest(classes: list[str]) -> str:
     return hashlib.sha256(json.dumps(list(classes), ensure_ascii=False).encode()).hexdigest()
 
 
-def require_frozen(record: dict[str, Any], context: dict[str, Any], fields: Iterable[str] = FROZEN_FIELDS) -> None:
-    """Refuses a record that isn't frozen, lacks a field, or differs from the run; its code hashes must name the same files."""
+def require_frozen(record: Any, context: dict[str, Any], fields: Iterable[str] = FROZEN_FIELDS, schema: str = FROZEN_SCHEMA) -> None:
+    """Refuses a record that isn't an object of the schema, isn't frozen, lacks a field, or differs from the run; its code hashes must name the same files."""
+    if not isinstance(record, dict):
+        raise RefusedInput("a freeze record must be an object")
+    if record.get("schema") != schema:
+        raise RefusedInput(f"the record's schema is {record.get('schema')!r}, not {schema!r}")
     if record.get("status") != "frozen":
         raise RefusedInput(f"the record's status is {record.get('status')!r}, not 'frozen'")
     missing = [f for f in fields if f not in record]
     if missing:
         raise RefusedInput(f"the record lacks {missing}")
-    if set(record.get("code_hashes", {})) != set(context.get("code_hashes", {})):
+    given, real = record.get("code_hashes"), context.get("code_hashes", {})
+    if not isinstance(given, dict) or set(given) != set(real):
         raise RefusedInput("the record's code hashes name other files")
-    differs = [f for f in fields if record[f] != context.get(f)]
+    differs = [f for f in fields if f != "code_hashes" and record[f] != context.get(f)] + [f"code_hashes.{k}" for k in sorted(real) if given[k] != real[k]]
     if differs:
         raise RefusedInput(f"the record differs in {differs[:6]}")
 
 
+def require_checkpoint(payload: Any) -> dict[str, Any]:
+    """The payload of a model's file (read by whichever framework), if it has the parts, the configuration and different class names."""
+    if not isinstance(payload, dict):
+        raise RefusedInput("a checkpoint must hold an object")
+    for name, held, needed in (("checkpoint", payload, CHECKPOINT_FIELDS), ("configuration", payload.get("config"), CONFIG_FIELDS)):
+        if not isinstance(held, dict):
+            raise RefusedInput(f"the {name} must be an object")
+        missing = [f for f in needed if f not in held]
+        if missing:
+            raise RefusedInput(f"the {name} lacks {missing}")
+    classes = payload["classes"]
+    if not isinstance(classes, (list, tuple)) or not classes or not all(isinstance(c, str) and c for c in classes) or len(set(classes)) < len(classes):
+        raise RefusedInput("the classes must be different texts that aren't empty")
+    return payload
+
+
+def require_transform(config: dict[str, Any]) -> dict[str, Any]:
+    """declared, transform_id and image_size of a configuration whose preparation of images and network are known and agree."""
+    declared = config["preprocessing"]
+    if declared not in TRANSFORMS:
+        raise RefusedInput(f"unknown preprocessing {declared!r}")
+    name, size = TRANSFORMS[declared]
+    if config["image_size"] != size:
+        raise RefusedInput(f"an image size of {config['image_size']} doesn't fit {name}, which has {size}")
+    if config["architecture"] not in ARCHITECTURES:
+        raise RefusedInput(f"unknown architecture {config['architecture']!r}")
+    return {"declared": declared, "transform_id": name, "image_size": size}
+
+
+def intake(payload: Any, task: str, digest: str, expected: str | None = None, mapping: list[str] | None = None, load: Callable[[dict[str, Any]], int] | None = None) -> dict[str, Any]:
+    """What a freeze record needs of a model's file that may be used; refused like require_checkpoint and require_transform, or if hash, task or class order differ, or it is synthetic.
+
+    `load` puts the payload into its network and counts the parameters; an error of its own is a refusal too.
+    """
+    if expected and digest.lower() != expected.lower():
+        raise RefusedInput("the file isn't the one that was agreed on")
+    config = require_checkpoint(payload)["config"]
+    if config["task"] != task:
+        raise RefusedInput(f"the checkpoint is for {config['task']!r}, not {task!r}")
+    transform = require_transform(config)
+    if payload["synthetic"]:
+        raise RefusedInput("the checkpoint is synthetic")
+    classes = list(payload["classes"])
+    if mapping is not None and list(mapping) != classes:
+        raise RefusedInput("the class list isn't the checkpoint's, in its order")
+    try:
+        parameters = load(payload) if load else None
+    except Exception as error:
+        raise RefusedInput(f"the state doesn't load: {error}") from error
+    values = {"task": task, "transform_id": transform["transform_id"], "image_size": transform["image_size"], "checkpoint_sha256": digest, "class_order_sha256": class_order_digest(classes)}
+    return {"status": "acceptable", "architecture": config["architecture"], "classes": len(classes), "tensors": len(payload["state_dict"]), "parameters": parameters, "freeze_record_values": values}
+
+
+def verdict(call: Callable[[], dict[str, Any]], out: Callable[[str], None] = print, err: Callable[[str], None] = lambda text: print(text, file=sys.stderr)) -> int:
+    """0 where `call` gives a report, which is told as JSON; 2 where it refuses, 1 on any other error, both told as JSON and as a line for people. Writes no file."""
+    try:
+        found, code = call(), 0
+    except UnusableRows as error:
+        found, code = {"status": "failed", "error": str(error), "detail": {"rows": error.rows, "reasons": error.reasons}}, 2
+    except RefusedInput as error:
+        found, code = {"status": "failed", "error": str(error)}, 2
+    except Exception as error:
+        found, code = {"status": "failed", "error": failure(error)}, 1
+    out(json.dumps(found, indent=2, ensure_ascii=False))
+    if code:
+        err(f"error: {found['error']}")
+    return code
+
+
+def read_json(spark: SparkSession, path: str) -> Any:
+    """A JSON document, through Spark's own reader, so from any store; refused if it isn't one."""
+    try:
+        return json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+    except json.JSONDecodeError as error:
+        raise RefusedInput(f"{path} is no JSON: {error}") from error
+
+
+def require_proof(proof: dict[str, Any], checkpoint_sha256: str, score: dict[str, Any], baseline: dict[str, Any]) -> None:
+    """Refuses to report a run whose reload and recount aren't proved, whose checkpoint has changed, or whose baseline has other classes or rows."""
+    if not proof.get("fresh_process_cpu_reload_passed") or not proof.get("predictions_csv_metrics_verified"):
+        raise RefusedInput("the run isn't verified")
+    if proof.get("checkpoint_sha256") != checkpoint_sha256:
+        raise RefusedInput("the checkpoint has changed since the run was verified")
+    if any(score.get(k) != baseline.get(k) for k in ("classes", "rows")):
+        raise RefusedInput("score and baseline are of other classes or rows")
+
+
+def source_snapshot(files: Iterable[str], folder: str) -> dict[str, str]:
+    """The SHA-256 of source files by name, after copies of them were put into a fresh folder, with the hashes as JSON."""
+    target, hashes = fresh_folder(folder), {}
+    for path in map(Path, files):
+        if path.name in hashes:
+            raise RefusedInput(f"two sources are called {path.name!r}")
+        (target / path.name).write_bytes(path.read_bytes())
+        hashes[path.name] = sha256_of(str(path))
+    write_new(folder, "source_hashes.json", json.dumps(hashes, indent=2))
+    return hashes
+
+
 def draft_record(context: dict[str, Any]) -> dict[str, Any]:
     """A record of a run to be approved; never frozen."""
-    return {**context, "status": "draft"}
+    return {"schema": FROZEN_SCHEMA, **context, "status": "draft"}
 
 
 def fresh_folder(path: str) -> Path:
@@ -169,7 +288,10 @@ def run_metadata(config: dict[str, Any]) -> dict[str, Any]:
             versions[name] = importlib.metadata.version(name)
         except importlib.metadata.PackageNotFoundError:
             versions[name] = "not installed"
-    return {"timestamp_utc": datetime.now(UTC).isoformat(), "python": platform.python_version(), "platform": platform.platform(), "packages": versions, "config": config, "pid": os.getpid()}
+    return {
+        "timestamp_utc": datetime.now(UTC).isoformat(), "command": sys.argv, "seed": config.get("seed"), "python": platform.python_version(), "platform": platform.platform(),
+        "packages": versions, "config": config, "pid": os.getpid(),
+    }
 
 
 def overlay(config: dict[str, Any], record: dict[str, Any], keys: Iterable[str] = ("seed", "device")) -> dict[str, Any]:
@@ -177,13 +299,18 @@ def overlay(config: dict[str, Any], record: dict[str, Any], keys: Iterable[str]
     return config | {k: record[k] for k in keys if k in record}
 
 
-def with_retry(call: Callable[[], Any], retries: int = 5, first: float = 5.0, most: float = 60.0, transient: Callable[[Exception], bool] | None = None, sleep: Callable[[float], None] = time.sleep) -> Any:
-    """The call's result; after a transient error again, after twice the wait each time."""
+def is_transient(error: Exception) -> bool:
+    """Whether an error may pass: limits of rate or quota, and services that are down."""
+    return any(word in str(error).lower() for word in TRANSIENT)
+
+
+def with_retry(call: Callable[[], Any], retries: int = 5, first: float = 5.0, most: float = 60.0, transient: Callable[[Exception], bool] = is_transient, sleep: Callable[[float], None] = time.sleep) -> Any:
+    """The call's result; after a transient error again, after twice the wait each time. Other errors aren't tried again."""
     for k in range(retries):
         try:
             return call()
         except Exception as error:
-            if k == retries - 1 or (transient is not None and not transient(error)):
+            if k == retries - 1 or not transient(error):
                 raise
             sleep(min(first * 2**k, most))
     raise RefusedInput("no retries")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -9,6 +10,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +24,31 @@ SCORED = "struct<label:string,score:double,status:string,error:string>"
 
 @dataclass(frozen=True)
 class Predictor:
-    """`load` makes, once for each Python worker, a function from a batch of inputs to (label, score) pairs."""
+    """`load` makes a function from a batch of inputs to (label, score) pairs, once for each Python worker: later tasks of a worker use it again.
+
+    `version` tells apart predictors of one task; without it, that is done by a digest of `load` with all that it holds.
+    """
 
     task: str
     load: Callable[[], Callable[[list[Any]], list[tuple[str | None, float | None]]]]
     status: str = "predicted"
+    version: str = ""
+    transform: Callable[[Any], Any] | None = None  # of each input, before the call
+
+    def __post_init__(self):
+        if not self.version:
+            object.__setattr__(self, "version", hashlib.sha256(cloudpickle.dumps((self.load, self.transform))).hexdigest())
+
+
+#: By task and version, in a worker: this module's own, so it outlives a task.
+_loaded: dict[tuple[str, str], Any] = {}
 
 
-_loaded: dict[int, Any] = {}
+def loaded(predictor: Predictor) -> Any:
+    key = (predictor.task, predictor.version)
+    if key not in _loaded:
+        _loaded[key] = predictor.load()
+    return _loaded[key]
 
 
 def registry(predictors: dict[str, Predictor]) -> dict[str, Predictor]:
@@ -45,16 +64,17 @@ def score(df: DataFrame, column: str, predictor: Predictor, out: str = "scored")
 
     @F.pandas_udf(SCORED)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        call = _loaded.setdefault(id(predictor), None) or predictor.load()
-        _loaded[id(predictor)] = call
+        from tabulon.operators import scoring  # the worker's own module, not a copy that came with the function
+
+        call, prepare = scoring.loaded(predictor), predictor.transform or (lambda v: v)
         for values in batches:
             try:
-                rows = [(label, s, predictor.status, "") for label, s in call(list(values))]
+                rows = [(label, s, predictor.status, "") for label, s in call([prepare(v) for v in values])]
             except Exception:
                 rows = []
                 for v in values:  # one by one, to keep the others
                     try:
-                        rows.append((*call([v])[0], predictor.status, ""))
+                        rows.append((*call([prepare(v)])[0], predictor.status, ""))
                     except Exception as error:
                         rows.append((None, None, "failed", failure(error)))
             yield pd.DataFrame(rows, columns=["label", "score", "status", "error"])
@@ -255,12 +275,22 @@ def comparison(df: DataFrame, local: str = "attribute_profile", other: str = "vl
 
 # ---------------------------------------------------------------- what remote models are asked
 
-# The body types that an answer may name.
+# The classes of a detector that are vehicles.
+VEHICLES = ["car", "truck", "bus"]
+
+
+def vehicle_boxes(found: DataFrame, label: str = "class_name") -> DataFrame:
+    """The boxes of a detector's output that are vehicles, without their class."""
+    return found.filter(F.col(label).isin(VEHICLES)).drop(label)
+
+
+# The colours and body types that an answer may name.
+COLOUR_NAMES = ["black", "silver", "white", "red", "blue", "brown", "yellow", "champagne", "green", "purple"]
 BODY_TYPES = ["sedan", "SUV", "hatchback", "sports", "MPV", "fastback", "estate", "hardtop convertible", "minibus", "convertible", "pickup", "crossover"]
 
 PROMPTS = {
     "raw": "Name the make, model, body type and colour of the vehicle in this image, as a JSON object with these four keys; null for what can't be seen.",
-    "constrained": "Name the make, model, body type and colour of the vehicle in this image, as a JSON object with these four keys; null for what can't be seen. The body type is one of: " + ", ".join(BODY_TYPES) + ".",
+    "constrained": "Name the make, model, body type and colour of the vehicle in this image, as a JSON object with these four keys; null for what can't be seen. The body type is one of: " + ", ".join(BODY_TYPES) + ". The colour is one of: " + ", ".join(COLOUR_NAMES) + ".",
 }
 
 

@@ -52,14 +52,39 @@ def require_two_each(df: DataFrame, split: DataFrame, label: str) -> None:
         raise RefusedInput(f"not enough rows for classes {few}")
 
 
+#: Hex digits of the hash by which rows are counted before any are ranked: 65,536 buckets of a class.
+_DIGITS = 4
+
+
+def first_by_hash(df: DataFrame, by: list[str], seed: int | str, key: str, share: Column) -> DataFrame:
+    """`df` with chosen: whether a row is among the first of its group by hash; `share` says how many, of the group's number of rows `_n`.
+
+    Buckets of the hash are counted, so that all rows of earlier buckets are chosen as they are and only the rows of
+    one bucket of a group are ranked: no task gets a whole group.
+    """
+    rows = df.withColumn("_hash", hashed(seed, F.col(key))).withColumn("_bucket", F.substring("_hash", 1, _DIGITS))
+    counts = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    whole = W.partitionBy(*by)
+    before = F.coalesce(F.sum("_c").over(whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    left = counts.withColumns({"_n": F.sum("_c").over(whole), "_before": before}).withColumn("_left", share.cast("long") - F.col("_before"))
+    found = left.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_bucket").alias("_b"), "_c", "_left")
+    same = F.col("_bucket") == F.col("_b")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    joined = rows.join(found, same).drop("_b", *[f"_by{k}" for k in range(len(by))])
+    sure = joined.filter((F.col("_left") <= 0) | (F.col("_left") >= F.col("_c"))).withColumn("chosen", F.col("_left") > 0)
+    order = W.partitionBy(*by, "_bucket").orderBy("_hash", key)
+    cut = joined.filter((F.col("_left") > 0) & (F.col("_left") < F.col("_c"))).withColumn("chosen", F.row_number().over(order) <= F.col("_left"))
+    return sure.unionByName(cut).drop("_hash", "_bucket", "_c", "_left")
+
+
 def stratified_split(df: DataFrame, label: str, fraction: float, seed: int | str, key: str) -> DataFrame:
     """`df` with experiment_split: test stays, and of each train class `fraction` (rounded, 1 at least) is for validation."""
     if not 0 < fraction < 1:
         raise RefusedInput("the fraction must be between 0 and 1")
-    train = _ranked(df.filter(F.col("split") == "train"), label, seed, key)
-    n = F.count(F.lit(1)).over(W.partitionBy(label))
-    part = F.when(F.col("_rank") <= F.greatest(F.lit(1), F.round(n * fraction)), "validation").otherwise("train")
-    return train.withColumn("experiment_split", part).drop("_rank").unionByName(df.filter(F.col("split") == "test").withColumn("experiment_split", F.lit("test")))
+    train = first_by_hash(df.filter(F.col("split") == "train"), [label], seed, key, F.greatest(F.lit(1), F.round(F.col("_n") * fraction)))
+    part = F.when(F.col("chosen"), "validation").otherwise("train")
+    return train.withColumn("experiment_split", part).drop("chosen").unionByName(df.filter(F.col("split") == "test").withColumn("experiment_split", F.lit("test")))
 
 
 def group_split(df: DataFrame, group: str, fraction: float, seed: int | str) -> DataFrame:
@@ -67,14 +92,14 @@ def group_split(df: DataFrame, group: str, fraction: float, seed: int | str) ->
     if not 0 < fraction < 1:
         raise RefusedInput("the fraction must be between 0 and 1")
     of = lambda s: df.filter(F.col("split") == s)
-    if not of("train").filter(F.col(group).isNull()).isEmpty():
+    parts = df.filter(F.col("split").isin("train", "test")).groupBy(group).agg(F.max(F.col("split") == "train").alias("train"), F.max(F.col("split") == "test").alias("test"))
+    wrong = parts.agg(F.max(F.col(group).isNull() & F.col("train")), F.max(F.col("train") & F.col("test") & F.col(group).isNotNull())).first()
+    if wrong[0]:
         raise RefusedInput("rows have no group")
-    if not of("train").select(group).intersect(of("test").select(group)).isEmpty():
+    if wrong[1]:
         raise RefusedInput("a group is in train and in test")
-    groups = of("train").select(group).distinct()
-    n = groups.count()
-    # a share of the groups in order of their hashes: top-k, which Spark does without a sort of all
-    held = groups.orderBy(hashed(seed, F.col(group)), group).limit(-(-int(n * fraction * 1_000_000) // 1_000_000)).withColumn("_held", F.lit(True))
+    groups = parts.filter("train").select(group).withColumn("_all", F.lit(0))
+    held = first_by_hash(groups, ["_all"], seed, group, F.ceil(F.round(F.col("_n") * fraction, 6))).filter("chosen").select(group, F.lit(True).alias("_held"))
     train = of("train").join(held, group, "left").withColumn("experiment_split", F.when(F.col("_held"), "validation").otherwise("train")).drop("_held")
     return train.unionByName(of("test").withColumn("experiment_split", F.lit("test")))
 

@@ -105,7 +105,7 @@ def _classes(spark: SparkSession) -> DataFrame:
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.cells(evaluate.classify(predictions(spark, sf_dir), _classes(spark), "target", "prediction"))
+    return evaluate.cells(evaluate.classified_pairs(predictions(spark, sf_dir), _classes(spark), "target", "prediction"))
 
 
 def _rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
@@ -165,7 +165,7 @@ def matrix_layout(spark, sf_dir):
 def majority_baseline(spark, sf_dir):
     """G8, G16."""
     guessed = evaluate.majority(predictions(spark, sf_dir).select("target"), "target")
-    counted = evaluate.cells(evaluate.classify(guessed, _classes(spark), "target", "prediction"))
+    counted = evaluate.cells(evaluate.classified_pairs(guessed, _classes(spark), "target", "prediction"))
     told = _rounded(evaluate.summary(evaluate.per_class(counted, _classes(spark))).select("rows", "correct", "accuracy", "macro_f1"), "accuracy", "macro_f1")
     return told.crossJoin(F.broadcast(guessed.select("prediction").limit(1)))
 
@@ -194,7 +194,8 @@ def excluded_rows(spark, sf_dir):
 @query(f"WITH {_CLASSIFIED} SELECT reason, count(*) AS n FROM classified WHERE reason IS NOT NULL GROUP BY 1")
 def exclusion_reasons(spark, sf_dir):
     """A20, G2."""
-    return excluded_rows(spark, sf_dir).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    pairs = evaluate.classified_pairs(messy(spark, sf_dir), evaluate.class_table(spark, PRIORITIES), "target", "prediction")
+    return pairs.filter("reason IS NOT NULL").groupBy("reason").agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {_CLASSIFIED} SELECT target, prediction, count(*) AS n FROM classified WHERE reason IS NULL GROUP BY ALL")
@@ -202,7 +203,7 @@ def scorable_cells(spark, sf_dir):
     """A19, G9."""
     classes = evaluate.class_table(spark, PRIORITIES)
     name = lambda k: F.element_at(F.array(*map(F.lit, PRIORITIES)), F.col(f"{k}_id") + 1).alias(k)
-    return evaluate.cells(evaluate.classify(messy(spark, sf_dir), classes, "target", "prediction")).select(name("target"), name("prediction"), "n")
+    return evaluate.cells(evaluate.classified_pairs(messy(spark, sf_dir), classes, "target", "prediction")).select(name("target"), name("prediction"), "n")
 
 
 @query(f"""WITH {_CLASSIFIED}, s AS (SELECT {_RAW.format("target")} AS t, trim({_RAW.format("prediction")}) AS p FROM messy)
@@ -211,7 +212,7 @@ def stripped_cells(spark, sf_dir):
     """X2, A17, A19 with the adapter `strip`."""
     classes = evaluate.class_table(spark, PRIORITIES, "strip")
     name = lambda k: F.element_at(F.array(*map(F.lit, PRIORITIES)), F.col(f"{k}_id") + 1).alias(k)
-    return evaluate.cells(evaluate.classify(messy(spark, sf_dir), classes, "target", "prediction", "strip")).select(name("target"), name("prediction"), "n")
+    return evaluate.cells(evaluate.classified_pairs(messy(spark, sf_dir), classes, "target", "prediction", "strip")).select(name("target"), name("prediction"), "n")
 
 
 @query("SELECT * FROM (VALUES (0, 'Hyundai ', 'Hyundai', true), (1, 'Lamorghini ', 'Lamorghini', true), (2, 'Honda', 'Honda', false)) t(class_id, raw_label, display_label, changed)")
@@ -242,7 +243,7 @@ _LABELS = "SELECT doc_id, quality::VARCHAR AS target, (1 - toxic)::VARCHAR AS pr
 def off_diagonal_confusions(spark, sf_dir):
     """F9, T1."""
     rows = table(spark, sf_dir, "labels").select(F.col("quality").cast("string").alias("target"), (1 - F.col("toxic")).cast("string").alias("prediction"))
-    cell = evaluate.confusions(evaluate.cells(evaluate.classify(rows, evaluate.class_table(spark, ["0", "1"]), "target", "prediction")))
+    cell = evaluate.confusions(evaluate.cells(evaluate.classified_pairs(rows, evaluate.class_table(spark, ["0", "1"]), "target", "prediction")))
     return cell.select(F.col("target_id").cast("string").alias("target"), F.col("prediction_id").cast("string").alias("prediction"), "n").orderBy(F.desc("n"), "target", "prediction")
 
 
@@ -327,10 +328,11 @@ def key_union(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")).unionByName(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))).distinct()
 
 
-@query("SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT doc_id AS key FROM documents EXCEPT SELECT doc_id FROM labels")
 def key_difference(spark, sf_dir):
     """U4, J5, F3."""
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).subtract(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")))
+    keys = lambda name: table(spark, sf_dir, name).select(F.col("doc_id").alias("key"))
+    return keys("documents").subtract(keys("labels"))
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)) = 0 AS subset, (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)) = 0 AND (SELECT count(*) FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)) = 0 AS equal")
@@ -563,11 +565,10 @@ def clean_model(spark, sf_dir):
     return table(spark, sf_dir, "part").select(k, matching.clean_make(make).alias("make"), matching.clean_model(F.trim(raw), make).alias("model"))
 
 
-@query()
+@query("SELECT doc_id, nullif(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g'), '') AS key FROM documents")
 def unicode_fold(spark, sf_dir):
-    """Accents need Python, so there is no SQL."""
-    text = F.substring("text", 1, 40)  # a stand-in for a label, not a shortcut: labels are short
-    return table(spark, sf_dir, "documents").select("doc_id", matching.folded_key(text).alias("key"))
+    """X6."""
+    return table(spark, sf_dir, "documents").select("doc_id", matching.folded_key(F.col("text")).alias("key"))
 
 
 @query("""SELECT page_id, CASE WHEN regexp_matches(url, '/[a-z]+/[0-9]+') THEN regexp_extract(url, '([a-z]+/[0-9]+)', 1) END AS relative_key, lower(url) AS folded, 'image/jpeg' AS mime FROM pages""")
@@ -676,16 +677,17 @@ def seed_spread(spark, sf_dir):
   round(quantile_cont(l_extendedprice, 0.75), 4) AS q3, max(l_extendedprice) AS max FROM lineitem""")
 def descriptive_stats(spark, sf_dir):
     """G23, G7, R8."""
-    c = F.col("l_extendedprice")
-    q = lambda p, n: F.round(F.percentile(c, F.lit(p)), 4).alias(n)
-    return table(spark, sf_dir, "lineitem").agg(F.count(c).alias("n"), F.round(F.avg(c), 4).alias("mean"), F.min(c).alias("min"), q(0.25, "q1"), q(0.5, "median"), q(0.75, "q3"), F.max(c).alias("max"))
+    c, rows = F.col("l_extendedprice"), table(spark, sf_dir, "lineitem")
+    whole = rows.agg(F.count(c).alias("n"), F.round(F.avg(c), 4).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"))
+    quarters = stats.quantiles(rows, "l_extendedprice", [0.25, 0.5, 0.75]).select(*[F.round(f"q{k}", 4).alias(n) for k, n in enumerate(("q1", "median", "q3"))])
+    return whole.crossJoin(F.broadcast(quarters))  # one row each
 
 
 @query("""WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS b FROM orders) SELECT o_orderkey, o_totalprice FROM orders, q WHERE o_totalprice < a - 0.2 * (b - a) OR o_totalprice > b + 0.2 * (b - a)""")
 def iqr_outliers(spark, sf_dir):
     """G23; a fifth of the range, as the stand-in has no far outliers."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    q = orders.agg(F.percentile("o_totalprice", F.lit(0.25)).alias("a"), F.percentile("o_totalprice", F.lit(0.75)).alias("b"))  # one row
+    q = stats.quantiles(orders, "o_totalprice", [0.25, 0.75]).toDF("a", "b")  # one row
     gap = 0.2 * (F.col("b") - F.col("a"))
     return orders.crossJoin(F.broadcast(q)).filter((F.col("o_totalprice") < F.col("a") - gap) | (F.col("o_totalprice") > F.col("b") + gap)).select("o_orderkey", "o_totalprice")
 
@@ -748,7 +750,7 @@ _BOX = "b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity - 5.5 AS x1
 def box_algebra(spark, sf_dir):
     """M1-M7, M23."""
     q, d = F.col("l_quantity"), F.col("l_discount") * 100
-    values = F.array(q - 5.5, d, q + F.col("l_tax") * 100 + 0.5, d + 10 * F.col("l_linenumber") + 0.5)
+    values = [q - 5.5, d, q + F.col("l_tax") * 100 + 0.5, d + 10 * F.col("l_linenumber") + 0.5]
     rows = table(spark, sf_dir, "lineitem").select(boxes.clamped(values, F.lit(40), F.lit(30)).alias("box")).filter("box IS NOT NULL")
     wide = rows.withColumn("p", boxes.padded(F.col("box"), F.lit(40), F.lit(30))).withColumn("aspect", boxes.aspect(F.col("box.x2") - F.col("box.x1"), F.col("box.y2") - F.col("box.y1")))
     return wide.select("box.*", F.col("p.x1").alias("px1"), F.col("p.x2").alias("px2"), "aspect").groupBy("x1", "y1", "x2", "y2", "px1", "px2", "aspect").agg(F.count(F.lit(1)).alias("n"))
@@ -843,7 +845,11 @@ def archive_integrity(spark, sf_dir):
     return found.select(F.col("name").alias("page_id"), "actual_bytes", "status")
 
 
-@query()
+_HASHED = "SELECT sha256('[\"' || c_custkey || '\",\"None\",\"' || coalesce(c_mktsegment, 'None') || '\",\"None\"]') AS h FROM customer"
+_PARTS = [f"('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT" for k in range(8)]
+
+
+@query(f"WITH r AS ({_HASHED}) SELECT sha256(concat_ws('|', count(*), {', '.join(f'bit_xor({p})' for p in _PARTS)}, {', '.join(f'sum({p})' for p in _PARTS)})) AS sha256, count(*) AS rows FROM r")
 def rowset_digest(spark, sf_dir):
     """One digest of all rows."""
     rows = table(spark, sf_dir, "customer")
@@ -861,16 +867,23 @@ def centroid_predictions(spark, sf_dir):
     return _rounded(scoring.nearest_centroid(rows, "vec_id", "embedding", scoring.centroids(rows, "embedding", "label"), "label"), "distance", places=4)
 
 
-@query("""WITH s AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: exp(x::DOUBLE - list_max(embedding[1:4])::DOUBLE)) AS e FROM embeddings)
+@query("""WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE)) AS e FROM embeddings)
   SELECT vec_id, list_position(e, list_max(e)) - 1 AS best, round(list_max(e) / list_sum(e), 6) AS score FROM s""")
 def softmax_scores(spark, sf_dir):
     """M13."""
-    scores = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    scores = F.transform("embedding", lambda x: x.cast("double"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", scores.alias("s"))
     return _rounded(rows.select("vec_id", stats.argmax(F.col("s")).alias("best"), F.array_max(stats.softmax(F.col("s"))).alias("score")), "score")
 
 
-@query()
+@query("""WITH c AS (SELECT p_partkey, p_partkey * 37 % 256 AS r, p_partkey * 91 % 256 AS g, p_partkey * 53 % 256 AS b FROM part),
+  m AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS d FROM c),
+  h AS (SELECT *, CASE WHEN d = 0 THEN 0 WHEN v = r THEN (g - b)::DOUBLE / d * 60 WHEN v = g THEN (b - r)::DOUBLE / d * 60 + 120 ELSE (r - g)::DOUBLE / d * 60 + 240 END AS degrees,
+    CASE WHEN v = 0 THEN 0 ELSE round_even(d::DOUBLE / v * 255, 0) END AS s FROM m),
+  k AS (SELECT *, round_even(CASE WHEN degrees < 0 THEN degrees + 360 ELSE degrees END / 2, 0) % 180 AS hue FROM h)
+  SELECT p_partkey, CASE WHEN v <= 45 THEN 'black' WHEN v >= 205 AND s <= 45 THEN 'white' WHEN s <= 50 THEN 'grey' WHEN hue >= 10 AND hue < 20 THEN 'orange' WHEN hue >= 20 AND hue < 35 THEN 'yellow'
+    WHEN hue >= 35 AND hue < 85 THEN 'green' WHEN hue >= 85 AND hue < 130 THEN 'blue' WHEN hue >= 130 AND hue < 160 THEN 'purple' WHEN hue >= 160 AND hue < 170 THEN 'pink' ELSE 'red' END AS label,
+    1.0::DOUBLE AS confidence, 'baseline_estimate' AS status, 560 AS evaluated_pixels FROM k""")
 def hsv_colour(spark, sf_dir):
     """Images made from numbers, as there are no image tables."""
     k = F.col("p_partkey")
@@ -881,8 +894,13 @@ def hsv_colour(spark, sf_dir):
     return seen.select("p_partkey", "colour.label", "colour.confidence", "colour.status", "colour.evaluated_pixels")
 
 
-@query()
+@query("""WITH s AS (SELECT * FROM part WHERE p_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY sha256('42|' || p_partkey), p_partkey) <= 2)
+  SELECT '{"contents":[{"role":"user","parts":[{"fileData":{"mimeType":"image/png","fileUri":"gs://bucket/images/' || printf('train_%04d', p_partkey) || '.png"}},{"text":"What is it?"}]},{"role":"model","parts":[{"text":"{\\"make\\":\\"'
+    || p_brand || '\\",\\"model\\":\\"' || p_name || '\\",\\"body_type\\":\\"' || p_type || '\\"}"}]}]}' AS value FROM s""")
 def tuning_jsonl(spark, sf_dir):
-    """K4, L7."""
+    """K4, L7, M20."""
     rows = split.sample_per_class(table(spark, sf_dir, "part"), "p_type", 2, 42, "p_partkey").withColumn("image_path", F.concat(F.lit("a/b/"), F.col("p_partkey").cast("string"), F.lit(".png")))
     return tables.tuning_examples(rows, "What is it?", "gs://bucket", "train", "p_brand", "p_name", "p_type", order="p_partkey")
+
+
+from tabulon.plans import files_and_gates as _more  # noqa: E402, F401  (registers its queries here)

@@ -30,8 +30,8 @@ def require_confirmed(split_name: str, confirmed: bool = False) -> None:
         raise RefusedInput(f"split {split_name!r} needs a confirmation")
 
 
-def write_report(found: dict[str, DataFrame], folder: str, config: dict[str, Any]) -> Path:
-    """metrics.json, per_class, matrix, mapping, excluded, environment.json, README.md of evaluate()'s tables.
+def write_report(found: dict[str, DataFrame], folder: str, config: dict[str, Any], log: list[str] | None = None) -> Path:
+    """metrics.json, per_class, matrix, mapping, excluded, warnings.json, environment.json, run_log.txt, README.md of evaluate()'s tables.
 
     All but the excluded rows are of the classes' size and go through the driver; those are written where they are.
     """
@@ -44,7 +44,11 @@ def write_report(found: dict[str, DataFrame], folder: str, config: dict[str, Any
     write_csv(matrix_table(found["cells"], found["mapping"]), str(target / "matrix"), single=True)
     write_csv(found["mapping"].orderBy("class_id"), str(target / "mapping"), single=True)
     write_csv(found["excluded"], str(target / "excluded"))
-    write_new(folder, "environment.json", json.dumps(run_metadata(config), indent=2))
+    metadata = run_metadata(config)
+    warnings = [f"{k}: {', '.join(row[k])}" for k in ("classes_with_zero_support", "classes_never_predicted") if row[k]]
+    write_new(folder, "warnings.json", json.dumps(warnings, ensure_ascii=False, indent=2))
+    write_new(folder, "environment.json", json.dumps(metadata, indent=2))
+    write_new(folder, "run_log.txt", "\n".join([f"started: {metadata['timestamp_utc']}", f"command: {metadata['command']}", "", *(log or []), f"rows: {row['rows']}, correct: {row['correct']}"]) + "\n")
     lines = [f"# Evaluation of {config.get('task', 'labels')}", "", f"{row['correct']} of {row['rows']} rows are right.", "", *[f"- {k}: {row[k]}" for k in ("accuracy", "macro_f1", "weighted_f1")]]
     write_new(folder, "README.md", "\n".join(lines) + "\n")
     return target

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabulon.errors import RefusedInput
 from tabulon.functions.labels import csv_value
+from tabulon.operators.gates import read_json
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -67,12 +68,8 @@ def class_list(payload: Any) -> list[str]:
     return payload
 
 
-def read_classes(path: str) -> list[str]:
-    with open(path, encoding="utf-8") as file:
-        try:
-            return class_list(json.load(file))
-        except json.JSONDecodeError as error:
-            raise RefusedInput(f"{path} is no JSON: {error}") from error
+def read_classes(spark: SparkSession, path: str) -> list[str]:
+    return class_list(read_json(spark, path))
 
 
 def checked_count(value: Any) -> int:
@@ -100,8 +97,7 @@ def matrix_cells(spark: SparkSession, classes: list[str], matrix: list[list[Any]
 def read_matrix(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
     """Classes and cells of a confusion matrix in JSON (classes, confusion_matrix) or CSV (class names before the rows and above)."""
     if path.lower().endswith(".json"):
-        with open(path, encoding="utf-8") as file:
-            payload = json.load(file)
+        payload = read_json(spark, path)
         if not isinstance(payload, dict) or not {"classes", "confusion_matrix"} <= set(payload):
             raise RefusedInput("a matrix in JSON needs classes and confusion_matrix")
         return payload["classes"], matrix_cells(spark, payload["classes"], payload["confusion_matrix"])
@@ -141,8 +137,9 @@ def _colons(ddl: str) -> str:
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """CSV with a header into a fresh folder; `single` for tables that are known to be small."""
-    (df.coalesce(1) if single else df).write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header into a fresh folder, blanks around values kept; `single` for tables that are known to be small."""
+    writer = (df.coalesce(1) if single else df).write.mode("errorifexists").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def matrix_table(cell: DataFrame, classes: DataFrame) -> DataFrame:

@@ -53,6 +53,17 @@ def test_refusals(spark):
             E.class_table(spark, classes)
 
 
+def test_all_unusable_rows_are_counted(spark):
+    with pytest.raises(UnusableRows) as error:
+        E.evaluate(rows(spark, [(f"z{k}", "a") for k in range(1500)] + [("a", "a")]), ["a"])
+    assert error.value.rows == 1500 and str(error.value).startswith("1500 rows") and len(error.value.reasons) == 1000
+
+
+def test_names_of_the_classification(spark):
+    with pytest.raises(RefusedInput):
+        E.evaluate(rows(spark, [("a", "a")]).selectExpr("*", "1 as Reason"), ["a"])
+
+
 def test_adapters(spark):
     classes = ["Hyundai ", "Lamorghini ", "Honda"]
     pairs = [("Hyundai ", "Hyundai "), ("Honda", "Lamorghini ")]
@@ -114,7 +125,7 @@ def test_report(spark, tmp_path):
     found = E.evaluate(rows(spark, [("a", "a"), ("a", "b"), ("z", "b")]), ["a", "b"], allow_unusable=True)
     folder = report.write_report(found, str(tmp_path / "out"), {"task": "make", "seed": 1})
     assert json.loads((folder / "metrics.json").read_text())["accuracy"] == 0.5
-    assert sorted(p.name for p in folder.iterdir()) == ["README.md", "environment.json", "excluded", "mapping", "matrix", "metrics.json", "per_class"]
+    assert sorted(p.name for p in folder.iterdir()) == ["README.md", "environment.json", "excluded", "mapping", "matrix", "metrics.json", "per_class", "run_log.txt", "warnings.json"]
     with pytest.raises(RefusedInput):
         report.write_report(found, str(tmp_path / "out"), {})
     report.require_confirmed("latest")

@@ -38,11 +38,39 @@ def test_matching(spark):
     assert one(spark, matching.make_matches(F.lit("BWM"), F.lit("BMW"))) and not one(spark, matching.make_matches(F.lit("BMW"), F.lit(None).cast("string")))
     assert one(spark, matching.body_matches(F.lit("estate"), F.lit("Station Wagon")))
     assert one(spark, matching.colour_matches(F.lit("Silver"), F.lit("grey and white"))) and not one(spark, matching.colour_matches(F.lit(""), F.lit("red")))
+    assert one(spark, matching.make_matches(F.lit("Citroën"), F.lit("citroen"))) and one(spark, matching.make_matches(F.lit("Skoda"), F.lit("Škoda"))) and one(spark, matching.model_matches(F.lit("Mégane"), F.lit("MEGANE")))
     assert one(spark, matching.folded_key(F.lit("Citroën É5"))) == "citroene5" and one(spark, matching.folded_key(F.lit("中"))) is None
     assert one(spark, matching.clean_model(F.lit("BWM 5 Series GT"), F.lit("BWM"))) == "5 Series GT" and one(spark, matching.clean_model(F.lit("Audi"), F.lit("Audi"))) == "Audi"
     assert one(spark, matching.clean_model(F.lit("AVEO couple"), F.lit("x"))) == "AVEO" and one(spark, matching.clean_make(F.lit(" Buck "))) == "Buick"
 
 
+def test_folded_keys_are_those_of_the_decomposition(spark):
+    import unicodedata
+
+    texts = [chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0x1D400, 0x1D800)] + ["ﬁat ½ Ⅷ ㎏", "e\u0301a\u030a", "ΑΒΓ", "ǅ", "İi", "K"]
+    found = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", matching.folded_key(F.col("t")).alias("key")).collect()
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower() if c.isalnum()) or None
+    assert [(texts[r.k], r.key) for r in found if r.key != plain(texts[r.k])] == []
+
+
+def test_first_by_hash(spark):
+    rows = [(k, "big" if k % 3 else "small", None) for k in range(4000)]
+    df = spark.createDataFrame(rows, "k long, label string, _b string")
+    got = split.first_by_hash(df.drop("_b"), ["label"], 5, "k", F.round(F.col("_n") * 0.3)).collect()
+    for label in ("big", "small"):
+        own = sorted((hashlib.sha256(f"5|{r[0]}".encode()).hexdigest(), r[0]) for r in rows if r[1] == label)
+        assert {r.k for r in got if r.label == label and r.chosen} == {k for _, k in own[: round(len(own) * 0.3)]}
+    assert len(got) == 4000
+
+
+def test_positions(spark):
+    from tabulon.operators.evaluate import with_position
+
+    df = spark.range(1000).repartition(7)
+    assert [r.row_position for r in with_position(df, ["id"]).orderBy("id").collect()] == list(range(1000))
+    assert sorted(r.row_position for r in with_position(df).collect()) == list(range(1000)) and with_position(df.limit(0), ["id"]).count() == 0
+
+
 def test_boxes(spark):
     box = lambda t: one(spark, boxes.parsed(F.lit(t)))
     assert tuple(box("(0.5, 1.5, 10, 2.5)")) == (0, 2, 10, 2)
@@ -146,8 +174,11 @@ def test_membership(spark, tmp_path):
 
 def test_freeze_records():
     context = {f: f for f in gates.FROZEN_FIELDS} | {"code_hashes": {"x.py": "1"}}
-    gates.require_frozen(context | {"status": "frozen"}, context)
-    for bad in (gates.draft_record(context), context | {"status": "frozen", "seed": 2}, context | {"status": "frozen", "code_hashes": {}}, {"status": "frozen"}):
+    frozen = context | {"schema": gates.FROZEN_SCHEMA, "status": "frozen"}
+    gates.require_frozen(frozen, context)
+    assert len(gates.FROZEN_FIELDS) == 17
+    bad_hashes = ({}, {"x.py": "2"}, {"x.py": "1", "y.py": "1"}, None)
+    for bad in (gates.draft_record(context), frozen | {"seed": 2}, *(frozen | {"code_hashes": h} for h in bad_hashes), {"status": "frozen"}, frozen | {"schema": "v2"}, [], *({k: v for k, v in frozen.items() if k != f} for f in gates.FROZEN_FIELDS)):
         with pytest.raises(RefusedInput):
             gates.require_frozen(bad, context)
 
@@ -169,7 +200,7 @@ def test_output_guards(tmp_path):
 
 
 def test_retry():
-    waits, calls = [], iter([ValueError("a"), ValueError("b"), None])
+    waits, calls = [], iter([ValueError("429 too many"), ValueError("Service Unavailable"), None])
 
     def call():
         if error := next(calls):
@@ -178,7 +209,8 @@ def test_retry():
 
     assert gates.with_retry(call, sleep=waits.append) == 5 and waits == [5.0, 10.0]
     with pytest.raises(KeyError):
-        gates.with_retry(lambda: {}["x"], transient=lambda e: isinstance(e, ValueError), sleep=waits.append)
+        gates.with_retry(lambda: {}["x"], sleep=waits.append)  # such an error doesn't pass
+    assert len(waits) == 2
 
 
 def test_zip_index(spark, tmp_path):
@@ -189,12 +221,23 @@ def test_zip_index(spark, tmp_path):
     spark.dataSource.register(zip_index.ZipIndex)
     got = spark.read.format("zip_index").option("paths", str(tmp_path / "a.zip")).load()
     assert {(r.name, r.expected_bytes, r.expected_crc32) for r in got.collect()} == {("d/é.txt", 5, zlib.crc32(b"hello")), ("b.bin", 1000, zlib.crc32(b"\0" * 1000))}
-    for name in ("/x", "../x", "a/../../x", "c:x"):
+    for name in ("/x", "../x", "a/../../x", "c:x", "a\\x", "a/.."):
         with pytest.raises(RefusedInput):
             zip_index.safe_name(name)
     (tmp_path / "no.zip").write_bytes(struct.pack("<4s", b"none"))
     with open(tmp_path / "no.zip", "rb") as f, pytest.raises(RefusedInput):
         list(zip_index.members(f))
+    with open(tmp_path / "a.zip", "rb") as f:
+        assert list(zip_index.first_members(f, 1)) == [("d/é.txt", b"hello")]
+    whole = (tmp_path / "a.zip").read_bytes()
+    (tmp_path / "comment.zip").write_bytes(whole[:-2] + struct.pack("<H", 28) + b"PK\x05\x06 not the end" + b"x" * 12)
+    with open(tmp_path / "comment.zip", "rb") as f:
+        assert len(list(zip_index.members(f))) == 2
+    at = whole.rindex(b"PK\x05\x06")
+    for k, v in ((4, 1), (10, 9), (12, 5)):  # another disk, other numbers of members and bytes
+        (tmp_path / "bad.zip").write_bytes(whole[: at + k] + struct.pack("<H", v) + whole[at + k + 2 :])
+        with open(tmp_path / "bad.zip", "rb") as f, pytest.raises(RefusedInput):
+            list(zip_index.members(f))
     files = spark.createDataFrame([("b.bin", bytearray(1000)), ("d/é.txt", bytearray(b"hallo"))], "name string, content binary")
     listed = got.unionByName(spark.createDataFrame([("a", "lost", 1, 1)], got.schema))
     assert {r.name: r.status for r in audit.integrity(listed, files).collect()} == {"b.bin": "ok", "d/é.txt": "mismatch", "lost": "missing"}
@@ -225,6 +268,18 @@ def test_predictors(spark):
     got = scoring.score(spark.createDataFrame([("a",), ("bad",), ("b",)], "v string").coalesce(1), "v", p).collect()
     assert [(r.scored.label, r.scored.status) for r in got] == [("A", "predicted"), (None, "failed"), ("B", "predicted")]
     assert scoring.registry({"make": p})
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted():
+        calls.add(1)
+        return lambda values: [(v, 1.0) for v in values]
+
+    many = spark.range(600).selectExpr("string(id) as v").repartition(12)
+    several = [scoring.Predictor("make", counted, version=str(k)) for k in range(2)]
+    for q in several:
+        assert scoring.score(many, "v", q).select("scored.label").distinct().count() == 600
+    assert 2 <= calls.value <= 2 * 4 * 2  # once a worker, not once for each of 24 tasks (a worker may be started anew)
+    assert scoring.Predictor("make", load).version != scoring.Predictor("make", counted, transform=str).version
     for bad in ({"model": p}, {"wheels": scoring.Predictor("wheels", load)}):
         with pytest.raises(RefusedInput):
             scoring.registry(bad)
