@@ -58,7 +58,7 @@ def folded_key(value: Column) -> Column:
     """As ascii_key, after accents and other forms of ASCII letters and digits became these (NFKD)."""
     one, to, several = _folds()
     text = value.cast("string")
-    names = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    names = F.map_from_arrays(*[F.split(F.lit(" ".join(x)), " ") for x in (several, several.values())])  # a constant
     spread = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(names, c), c)), "")
     text = F.when(text.rlike("[" + "".join(several) + "]"), spread).otherwise(text)
     return ascii_key(F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(text, one, to)).otherwise(text))
@@ -90,10 +90,8 @@ def colour_matches(truth: Column, said: Column) -> Column:
 
 
 def _without_suffix(key: Column) -> Column:
-    out = key
-    for s in BODY_SUFFIXES:  # none ends another, so one applies at most
-        out = F.when(key.endswith(s) & (F.length(key) > len(s)), key.substr(F.lit(1), F.length(key) - len(s))).otherwise(out)
-    return out
+    """A key without the body type at its end, if something is left; none ends another, so one applies at most."""
+    return F.regexp_replace(key, f"(?<=.)({'|'.join(BODY_SUFFIXES)})$", "")
 
 
 def model_matches(truth: Column, said: Column, make: Column | None = None, key=folded_key) -> Column:
