@@ -42,7 +42,7 @@ def _folds() -> tuple[str, str, dict[str, str]]:
     """Characters beyond ASCII whose compatibility decomposition has one ASCII letter or digit, these, and those with several."""
     one, to, several = [], [], {}
     for code in range(128, sys.maxunicode + 1):
-        if 0xD800 <= code < 0xE000:
+        if not unicodedata.decomposition(chr(code)):
             continue
         plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
         kept = "".join(c for c in plain if c.isalnum())
