@@ -71,11 +71,26 @@ def op10_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_ordered(_docs(spark, sf_dir, "conversations"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabulon.llm.hard_negatives import mined
+
+    return mined(_docs(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabulon.llm.filter_audit import filter_audit
+
+    return filter_audit(_docs(spark, sf_dir), _docs(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tabulon.llm import exact_dedup, license_scan, line_winnow, minhash_forest, mixing
+    from tabulon.llm import exact_dedup, filter_audit, hard_negatives, license_scan, line_winnow, minhash_forest, mixing
 
-    return {"op1_minhash_forest": minhash_forest.ORACLE, "op2_license_rules": license_scan.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op5_source_mixing": mixing.ORACLE, "op6_line_winnowing": line_winnow.ORACLE}
+    return {
+        "op1_minhash_forest": minhash_forest.ORACLE, "op2_license_rules": license_scan.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op5_source_mixing": mixing.ORACLE,
+        "op6_line_winnowing": line_winnow.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op13_filter_audit": filter_audit.ORACLE,
+    }
