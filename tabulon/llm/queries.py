@@ -77,6 +77,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mined(_docs(spark, sf_dir, "embeddings"))
 
 
+def op12_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabulon.llm.run_index import long_repeats
+
+    return long_repeats(_docs(spark, sf_dir))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabulon.llm.filter_audit import filter_audit
 
@@ -88,9 +94,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tabulon.llm import exact_dedup, filter_audit, hard_negatives, license_scan, line_winnow, minhash_forest, mixing
+    from tabulon.llm import exact_dedup, filter_audit, hard_negatives, license_scan, line_winnow, minhash_forest, mixing, run_index
 
     return {
         "op1_minhash_forest": minhash_forest.ORACLE, "op2_license_rules": license_scan.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op5_source_mixing": mixing.ORACLE,
-        "op6_line_winnowing": line_winnow.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op13_filter_audit": filter_audit.ORACLE,
+        "op6_line_winnowing": line_winnow.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_run_index": run_index.ORACLE, "op13_filter_audit": filter_audit.ORACLE,
     }
