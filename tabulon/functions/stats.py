@@ -53,10 +53,3 @@ def normalised(channel: Column, k: int) -> Column:
     """A byte of an image's channel (0 red, 1 green, 2 blue) as models expect it."""
     mean, deviation = CHANNELS[k]
     return (channel / 255.0 - mean) / deviation
-
-
-def quantiles(df, column: str, shares: list[float]):
-    """q0, q1, ...: exact quantiles by linear interpolation, in one row. Values are counted first, so that each comes once with its number."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    found = counts.agg(F.percentile("value", [float(s) for s in shares], F.col("n")).alias("q"))
-    return found.select(*[F.col("q")[k].alias(f"q{k}") for k in range(len(shares))])

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions import boxes, labels, matching, paths, stats
-from tabulon.operators import audit, evaluate, gates, runs, scoring, split
+from tabulon.operators import audit, evaluate, gates, quantiles, runs, scoring, split, training
+from tabulon.session import fresh_path
 from tabulon.sources import manifests, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -450,6 +451,66 @@ def best_epoch_running(spark, sf_dir):
     return split.running_best(history)
 
 
+def _training_sql(epochs: int, rate: float, decay: float) -> str:
+    """Full-batch AdamW of a softmax head from zeros, an epoch after the other."""
+    steps = ["""e AS (SELECT vec_id, label, embedding, vec_id % 5 = 0 AS held FROM embeddings), k AS (SELECT unnest(range(10))::INT AS c),
+  x AS (SELECT vec_id, label, held, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM e UNION ALL SELECT vec_id, label, held, 0, 1 FROM e),
+  w0 AS (SELECT i, c, 0::DOUBLE AS w, 0::DOUBLE AS m, 0::DOUBLE AS s FROM (SELECT DISTINCT i FROM x), k)"""]
+    for t in range(1, epochs + 1):
+        scores = lambda n, w, held: f"{n} AS (SELECT vec_id, label, c, exp(sum(v * w)) AS z FROM x JOIN {w} USING (i) WHERE {held} GROUP BY ALL)"
+        steps += [
+            scores(f"z{t}", f"w{t - 1}", "NOT held"), f"p{t} AS (SELECT vec_id, label, c, z / sum(z) OVER (PARTITION BY vec_id) AS p FROM z{t})",
+            f"l{t} AS (SELECT avg(-ln(p)) AS loss, count(*) AS n FROM p{t} WHERE c = label)",
+            f"g{t} AS (SELECT i, c, sum(v * (p - (c = p{t}.label)::INT)) / (SELECT n FROM l{t}) AS g FROM x JOIN p{t} USING (vec_id) GROUP BY ALL)",
+            f"m{t} AS (SELECT i, c, w, 0.9 * m + 0.1 * g AS m, 0.999 * s + 0.001 * g * g AS s FROM w{t - 1} JOIN g{t} USING (i, c))",
+            f"w{t} AS (SELECT i, c, w - {rate} * (m / (1 - 0.9::DOUBLE ^ {t}) / (sqrt(s / (1 - 0.999::DOUBLE ^ {t})) + 1e-8) + {decay} * w) AS w, m, s FROM m{t})",
+            scores(f"h{t}", f"w{t}", "held"), f"a{t} AS (SELECT label, arg_max(c, z) AS said FROM h{t} GROUP BY vec_id, label)",
+            f"f{t} AS (SELECT avg(coalesce(2.0 * tp / nullif(n, 0), 0)) AS f1 FROM (SELECT c, count(*) FILTER (label = c AND said = c) AS tp, count(*) FILTER (label = c) + count(*) FILTER (said = c) AS n FROM k, a{t} GROUP BY c))",
+            f"r{t} AS (SELECT {t} AS epoch, loss, n, (SELECT avg((said = label)::INT) FROM a{t}) AS accuracy, (SELECT f1 FROM f{t}) AS f1 FROM l{t})",
+        ]
+    every = " UNION ALL ".join(f"SELECT * FROM r{t}" for t in range(1, epochs + 1))
+    return f"""WITH {", ".join(steps)}, r AS ({every}) SELECT epoch, 'all' AS phase, n AS rows, round(loss, 6) AS train_loss, round(accuracy, 6) AS validation_accuracy, round(f1, 6) AS validation_macro_f1,
+  coalesce(f1 > max(f1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM r"""
+
+
+@query(_training_sql(4, 0.05, 0.01))
+def training_history(spark, sf_dir):
+    """A softmax classifier of the vectors, each epoch with its figures and whether it is the best so far."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    fit, held = rows.filter("vec_id % 5 != 0"), rows.filter("vec_id % 5 = 0")
+    schedule = training.Schedule(epochs=4, head_rate=0.05, decay=0.01)
+    found = training.train(fit, held, [str(k) for k in range(10)], schedule, training.Network(), fresh_path(spark, "training"), "embedding", "label")
+    told = split.running_best(found.history).drop("best_before")
+    return _rounded(told, "train_loss", "validation_accuracy", "validation_macro_f1")
+
+
+@query("SELECT t.epoch::INT AS epoch, CASE WHEN t.epoch <= 2 THEN 'head' ELSE 'all' END AS phase, count(*) AS rows, t.epoch > 3 AS after_restart FROM embeddings, range(1, 5) t(epoch) WHERE vec_id % 5 != 0 GROUP BY ALL")
+def training_resumed(spark, sf_dir):
+    """A hidden layer stays as it is for two epochs; the run is stopped after the third, and goes on with the same figures as one that isn't stopped."""
+
+    class Stopped(Exception):
+        pass
+
+    def stop(epoch):
+        if epoch == 3:
+            raise Stopped
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    fit, held, names = rows.filter("vec_id % 5 != 0"), rows.filter("vec_id % 5 = 0"), [str(k) for k in range(10)]
+    schedule, network, folder = training.Schedule(epochs=4, head_epochs=2, steps=2, head_rate=0.05, trunk_rate=0.02), training.Network(hidden=16, seed=7), fresh_path(spark, "training")
+    run = lambda where, after: training.train(fit, held, names, schedule, network, where, "embedding", "label", after)
+    later: list[int] = []
+    try:
+        run(folder, stop)
+    except Stopped:
+        pass
+    found = run(folder, later.append)
+    whole = run(fresh_path(spark, "training"), lambda epoch: None).history
+    figures = ["train_loss", "validation_accuracy", "validation_macro_f1"]
+    same = _rounded(found.history, *figures, places=9).intersect(_rounded(whole, *figures, places=9))
+    return same.select("epoch", "phase", "rows", F.col("epoch").isin(later).alias("after_restart"))
+
+
 # ---------------------------------------------------------------- joins and membership
 
 
@@ -676,20 +737,23 @@ def seed_spread(spark, sf_dir):
 @query("""SELECT count(*) AS n, round(avg(l_extendedprice), 4) AS mean, min(l_extendedprice) AS min, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.5), 4) AS median,
   round(quantile_cont(l_extendedprice, 0.75), 4) AS q3, max(l_extendedprice) AS max FROM lineitem""")
 def descriptive_stats(spark, sf_dir):
-    """G23, G7, R8."""
-    c, rows = F.col("l_extendedprice"), table(spark, sf_dir, "lineitem")
-    whole = rows.agg(F.count(c).alias("n"), F.round(F.avg(c), 4).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"))
-    quarters = stats.quantiles(rows, "l_extendedprice", [0.25, 0.5, 0.75]).select(*[F.round(f"q{k}", 4).alias(n) for k, n in enumerate(("q1", "median", "q3"))])
-    return whole.crossJoin(F.broadcast(quarters))  # one row each
+    """G23, G7."""
+    found = quantiles.description(table(spark, sf_dir, "lineitem"), "l_extendedprice")
+    return _rounded(found, "mean", "q1", "median", "q3", places=4).drop("sd")
+
+
+@query("""SELECT l_returnflag, count(*) AS n, round(avg(l_quantity * l_discount), 4) AS mean, round(stddev_samp(l_quantity * l_discount), 4) AS sd, round(min(l_quantity * l_discount), 4) AS min,
+  round(quantile_cont(l_quantity * l_discount, 0.25), 4) AS q1, round(quantile_cont(l_quantity * l_discount, 0.5), 4) AS median, round(quantile_cont(l_quantity * l_discount, 0.75), 4) AS q3, round(max(l_quantity * l_discount), 4) AS max FROM lineitem GROUP BY 1""")
+def timing_table(spark, sf_dir):
+    """What timings of trials are told by, for each group; quantities stand for milliseconds."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_quantity") * F.col("l_discount")).alias("milliseconds"))
+    return _rounded(quantiles.description(rows, "milliseconds", ["l_returnflag"]), "mean", "sd", "min", "q1", "median", "q3", "max", places=4)
 
 
 @query("""WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS b FROM orders) SELECT o_orderkey, o_totalprice FROM orders, q WHERE o_totalprice < a - 0.2 * (b - a) OR o_totalprice > b + 0.2 * (b - a)""")
 def iqr_outliers(spark, sf_dir):
     """G23; a fifth of the range, as the stand-in has no far outliers."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    q = stats.quantiles(orders, "o_totalprice", [0.25, 0.75]).toDF("a", "b")  # one row
-    gap = 0.2 * (F.col("b") - F.col("a"))
-    return orders.crossJoin(F.broadcast(q)).filter((F.col("o_totalprice") < F.col("a") - gap) | (F.col("o_totalprice") > F.col("b") + gap)).select("o_orderkey", "o_totalprice")
+    return quantiles.outliers(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 0.2)
 
 
 @query("SELECT CASE WHEN l_quantity < 1 THEN 0 WHEN l_quantity >= 51 THEN 11 ELSE floor((l_quantity - 1) / 5)::BIGINT + 1 END AS bin, count(*) AS n FROM lineitem GROUP BY 1")
