@@ -55,13 +55,13 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 
 
 def folded_key(value: Column) -> Column:
-    """As ascii_key, after accents and other forms of ASCII letters and digits became these (NFKD)."""
+    """As ascii_key, after accents and other forms of ASCII letters and digits became these (NFKD). Only texts with other characters are folded."""
     one, to, several = _folds()
     text = value.cast("string")
     names = F.map_from_arrays(*[F.split(F.lit(" ".join(x)), " ") for x in (several, several.values())])  # a constant
     spread = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(names, c), c)), "")
-    text = F.when(text.rlike("[" + "".join(several) + "]"), spread).otherwise(text)
-    return ascii_key(F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(text, one, to)).otherwise(text))
+    whole = F.when(text.rlike("[" + "".join(several) + "]"), spread).otherwise(text)
+    return F.when(text.rlike("[^\\x00-\\x7F]"), ascii_key(F.translate(whole, one, to))).otherwise(ascii_key(text))
 
 
 def alias(value: Column, names: dict[str, str]) -> Column:

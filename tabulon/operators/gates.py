@@ -19,8 +19,7 @@ from tabulon.errors import RefusedInput, UnusableRows
 from tabulon.functions.labels import TEST_LIKE, TRAIN_LIKE
 
 SPLITS = ("train", "test")
-# What a record of a frozen run must state, and the schema that it must name.
-FROZEN_SCHEMA = "36127.frozen_protocol/v1"
+# What a record of a frozen run must state.
 FROZEN_FIELDS = (
     "task", "dataset", "transform_id", "image_size", "checkpoint_sha256", "class_order_sha256", "membership_source_sha256", "code_hashes", "split_file_sha256",
     "split_column", "split_value", "label_column", "key_column", "sample_size", "seed", "selected_count", "selected_rows_sha256",
@@ -131,7 +130,7 @@ def class_order_digest(classes: list[str]) -> str:
     return hashlib.sha256(json.dumps(list(classes), ensure_ascii=False).encode()).hexdigest()
 
 
-def require_frozen(record: Any, context: dict[str, Any], fields: Iterable[str] = FROZEN_FIELDS, schema: str = FROZEN_SCHEMA) -> None:
+def require_frozen(record: Any, context: dict[str, Any], schema: str, fields: Iterable[str] = FROZEN_FIELDS) -> None:
     """Refuses a record that isn't an object of the schema, isn't frozen, lacks a field, or differs from the run; its code hashes must name the same files."""
     if not isinstance(record, dict):
         raise RefusedInput("a freeze record must be an object")
@@ -249,9 +248,9 @@ def source_snapshot(files: Iterable[str], folder: str) -> dict[str, str]:
     return hashes
 
 
-def draft_record(context: dict[str, Any]) -> dict[str, Any]:
+def draft_record(context: dict[str, Any], schema: str) -> dict[str, Any]:
     """A record of a run to be approved; never frozen."""
-    return {"schema": FROZEN_SCHEMA, **context, "status": "draft"}
+    return {"schema": schema, **context, "status": "draft"}
 
 
 def fresh_folder(path: str) -> Path:

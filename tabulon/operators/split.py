@@ -56,35 +56,41 @@ def require_two_each(df: DataFrame, split: DataFrame, label: str) -> None:
 _DIGITS = 4
 
 
-def first_by_hash(df: DataFrame, by: list[str], seed: int | str, key: str, share: Column) -> DataFrame:
-    """`df` with chosen: whether a row is among the first of its group by hash; `share` says how many, of the group's number of rows `_n`.
+def first_by_hash(df: DataFrame, by: list[str], seed: int | str, key: str, share: Column, name: str = "chosen") -> DataFrame:
+    """`df` with `name`: whether a row is among the first of its group by hash; `share` says how many, of the group's number of rows `_n`.
 
     Buckets of the hash are counted, so that all rows of earlier buckets are chosen as they are and only the rows of
-    one bucket of a group are ranked: no task gets a whole group.
+    one bucket of a group are ranked: no task gets a whole group. A row without key goes by a hash of all it holds; a
+    column of `df` called `name` is refused, others can't clash.
     """
-    rows = df.withColumn("_hash", hashed(seed, F.col(key))).withColumn("_bucket", F.substring("_hash", 1, _DIGITS))
-    counts = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    whole = W.partitionBy(*by)
+    if name.lower() in [c.lower() for c in df.columns]:
+        raise RefusedInput(f"there is a column {name} already")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    content = F.coalesce(F.col(f"`{key}`").cast("string"), F.to_json(row, {"ignoreNullFields": "false"}))
+    groups = [f"_by{k}" for k in range(len(by))]
+    rows = df.select(row.alias("row"), hashed(seed, content).alias("_hash"), content.alias("_key"), *[F.col(f"`{c}`").alias(g) for c, g in zip(by, groups)]).withColumn("_bucket", F.substring("_hash", 1, _DIGITS))
+    counts = rows.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    whole = W.partitionBy(*groups)
     before = F.coalesce(F.sum("_c").over(whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     left = counts.withColumns({"_n": F.sum("_c").over(whole), "_before": before}).withColumn("_left", share.cast("long") - F.col("_before"))
-    found = left.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_bucket").alias("_b"), "_c", "_left")
+    found = left.select(*[F.col(g).alias(f"{g}_of") for g in groups], F.col("_bucket").alias("_b"), "_c", "_left")
     same = F.col("_bucket") == F.col("_b")
-    for k, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
-    joined = rows.join(found, same).drop("_b", *[f"_by{k}" for k in range(len(by))])
-    sure = joined.filter((F.col("_left") <= 0) | (F.col("_left") >= F.col("_c"))).withColumn("chosen", F.col("_left") > 0)
-    order = W.partitionBy(*by, "_bucket").orderBy("_hash", key)
-    cut = joined.filter((F.col("_left") > 0) & (F.col("_left") < F.col("_c"))).withColumn("chosen", F.row_number().over(order) <= F.col("_left"))
-    return sure.unionByName(cut).drop("_hash", "_bucket", "_c", "_left")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"{g}_of"))
+    joined = rows.join(found, same)
+    sure = joined.filter((F.col("_left") <= 0) | (F.col("_left") >= F.col("_c"))).select("row", (F.col("_left") > 0).alias("_chosen"))
+    order = W.partitionBy(*groups, "_bucket").orderBy("_hash", "_key")
+    some = joined.filter((F.col("_left") > 0) & (F.col("_left") < F.col("_c"))).select("row", (F.row_number().over(order) <= F.col("_left")).alias("_chosen"))
+    return sure.unionByName(some).select("row.*", F.col("_chosen").alias(name))
 
 
 def stratified_split(df: DataFrame, label: str, fraction: float, seed: int | str, key: str) -> DataFrame:
-    """`df` with experiment_split: test stays, and of each train class `fraction` (rounded, 1 at least) is for validation."""
+    """`df` with experiment_split: test stays, and of each train class `fraction` (rounded, 1 at least) is for validation. Rows of a null class, or without key, are split as others are."""
     if not 0 < fraction < 1:
         raise RefusedInput("the fraction must be between 0 and 1")
-    train = first_by_hash(df.filter(F.col("split") == "train"), [label], seed, key, F.greatest(F.lit(1), F.round(F.col("_n") * fraction)))
-    part = F.when(F.col("chosen"), "validation").otherwise("train")
-    return train.withColumn("experiment_split", part).drop("chosen").unionByName(df.filter(F.col("split") == "test").withColumn("experiment_split", F.lit("test")))
+    held = "experiment_split"
+    train = first_by_hash(df.filter(F.col("split") == "train"), [label], seed, key, F.greatest(F.lit(1), F.round(F.col("_n") * fraction)), held)
+    return train.withColumn(held, F.when(F.col(held), "validation").otherwise("train")).unionByName(df.filter(F.col("split") == "test").withColumn(held, F.lit("test")))
 
 
 def group_split(df: DataFrame, group: str, fraction: float, seed: int | str) -> DataFrame:
@@ -98,9 +104,11 @@ def group_split(df: DataFrame, group: str, fraction: float, seed: int | str) ->
         raise RefusedInput("rows have no group")
     if wrong[1]:
         raise RefusedInput("a group is in train and in test")
-    groups = parts.filter("train").select(group).withColumn("_all", F.lit(0))
-    held = first_by_hash(groups, ["_all"], seed, group, F.ceil(F.round(F.col("_n") * fraction, 6))).filter("chosen").select(group, F.lit(True).alias("_held"))
-    train = of("train").join(held, group, "left").withColumn("experiment_split", F.when(F.col("_held"), "validation").otherwise("train")).drop("_held")
+    groups = parts.filter("train").select(F.col(group).alias("of"))
+    held = first_by_hash(groups, [], seed, "of", F.ceil(F.round(F.col("_n") * fraction, 6))).filter("chosen").select("of")
+    # as a struct, the columns of `df` can't clash with those of the join
+    rows = of("train").select(F.struct("*").alias("row"), F.col(group).alias("group"))
+    train = rows.join(held, F.col("group") == F.col("of"), "left").select("row.*", F.when(F.col("of").isNotNull(), "validation").otherwise("train").alias("experiment_split"))
     return train.unionByName(of("test").withColumn("experiment_split", F.lit("test")))
 
 

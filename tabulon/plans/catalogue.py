@@ -434,6 +434,16 @@ def stratified_split(spark, sf_dir):
     return split.stratified_split(manifest(spark, sf_dir), "lang", 0.25, 3, "doc_id").select("doc_id", "lang", "experiment_split")
 
 
+@query("""WITH m AS (SELECT CASE WHEN doc_id % 3 > 0 THEN lang END AS lang, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents),
+  c AS (SELECT lang, split, count(*) AS n FROM m GROUP BY ALL), v AS (SELECT lang, n, greatest(1, round(n * 0.2))::BIGINT AS k FROM c WHERE split = 'train')
+  SELECT lang, 'test' AS experiment_split, n FROM c WHERE split = 'test' UNION ALL SELECT lang, 'validation', k FROM v UNION ALL SELECT lang, 'train', n - k FROM v WHERE n > k""")
+def split_without_keys(spark, sf_dir):
+    """A3: rows without key or class, of which none is lost."""
+    k = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(F.when(k % 7 > 0, k).alias("doc_id"), F.when(k % 3 > 0, F.col("lang")).alias("lang"), F.when(k % 5 == 0, "test").otherwise("train").alias("split"), "text")
+    return split.stratified_split(rows, "lang", 0.2, 3, "doc_id").groupBy("lang", "experiment_split").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""WITH c AS (SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey % 5 = 4 THEN 'test' ELSE 'train' END AS split FROM customer),
   g AS (SELECT c_nationkey, row_number() OVER (ORDER BY sha256('2|' || c_nationkey), c_nationkey) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT c_nationkey FROM c WHERE split = 'train'))
   SELECT c_custkey, CASE WHEN split = 'test' THEN 'test' WHEN k <= ceil(n * 0.25) THEN 'validation' ELSE 'train' END AS experiment_split FROM c LEFT JOIN g USING (c_nationkey)""")

@@ -289,7 +289,7 @@ def _refusals(spark: SparkSession, sf_dir: str) -> list[tuple[str, bool, object]
     folder = tempfile.mkdtemp(prefix="tabulon-gates-")  # the driver's own: what these gates guard
     gates.write_new(folder, "a.txt", "x")
     context = {f: f for f in gates.FROZEN_FIELDS} | {"code_hashes": {"x.py": "1"}}
-    frozen = context | {"schema": gates.FROZEN_SCHEMA, "status": "frozen"}
+    frozen = context | {"schema": "frozen_run/1", "status": "frozen"}
     config = CHECKPOINT["config"]
     proof = {"fresh_process_cpu_reload_passed": True, "predictions_csv_metrics_verified": True, "checkpoint_sha256": "ab"}
     path = fresh_path(spark, "proof")
@@ -321,10 +321,10 @@ def _refusals(spark: SparkSession, sf_dir: str) -> list[tuple[str, bool, object]
         ("A26 split against members", True, lambda: gates.require_membership(rows.filter("split = 'test'"), "doc_id", members, "train")),
         ("A27 sample of train", False, lambda: sample("train", 5)),
         ("A27 sample of test", True, lambda: sample("test", 5)),
-        ("A28 frozen record", False, lambda: gates.require_frozen(frozen, context)),
-        ("A28 other schema", True, lambda: gates.require_frozen(frozen | {"schema": "x"}, context)),
-        ("A28 other label column", True, lambda: gates.require_frozen(frozen | {"label_column": "x"}, context)),
-        ("A29 draft", True, lambda: gates.require_frozen(gates.draft_record(context), context)),
+        ("A28 frozen record", False, lambda: gates.require_frozen(frozen, context, "frozen_run/1")),
+        ("A28 other schema", True, lambda: gates.require_frozen(frozen | {"schema": "x"}, context, "frozen_run/1")),
+        ("A28 other label column", True, lambda: gates.require_frozen(frozen | {"label_column": "x"}, context, "frozen_run/1")),
+        ("A29 draft", True, lambda: gates.require_frozen(gates.draft_record(context, "frozen_run/1"), context, "frozen_run/1")),
         ("A30 files there", False, lambda: audit.preflight(listed, "path", listed)),
         ("A30 files missing", True, lambda: audit.preflight(listed, "path", listed.limit(1))),
         ("A30 path upwards", True, lambda: audit.preflight(listed.select(F.concat(F.lit("../"), "path").alias("path")), "path", listed)),

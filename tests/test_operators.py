@@ -53,6 +53,23 @@ def test_folded_keys_are_those_of_the_decomposition(spark):
     assert [(texts[r.k], r.key) for r in found if r.key != plain(texts[r.k])] == []
 
 
+def test_split_without_keys_or_with_odd_names(spark):
+    """Rows of null keys and classes stay, equal rows too, and columns may have any name."""
+    rows = [(k if k % 20 else None, "train" if k % 4 else "test", "a" if k % 3 else None, k) for k in range(200)] + [(None, "train", "a", 5)] * 3
+    df = spark.createDataFrame(rows, "k long, split string, label string, row int").withColumnsRenamed({}).selectExpr("k", "split", "label", "row", "1 AS chosen", "2 AS _n", "3 AS _hash", "4 AS _rank", "5 AS _bucket", "6 AS `of`", "7 AS `a.b`")
+    got = split.stratified_split(df, "label", 0.25, 3, "k")
+    assert got.columns == [*df.columns, "experiment_split"] and got.drop("experiment_split").exceptAll(df).count() == 0 and got.count() == len(rows)
+    for label in ("a", None):
+        n = sum(r[1] == "train" and r[2] == label for r in rows)
+        assert got.filter(F.col("label").eqNullSafe(F.lit(label)) & (F.col("experiment_split") == "validation")).count() == max(1, int(n * 0.25 + 0.5))
+    again = split.stratified_split(df.repartition(7), "label", 0.25, 3, "k")
+    assert again.exceptAll(got).count() == 0
+    groups = split.group_split(df.filter("k IS NOT NULL").withColumn("g", F.concat(F.col("split"), (F.col("k") % 9).cast("string"))), "g", 0.3, 1)
+    assert groups.count() == df.filter("k IS NOT NULL").count() and groups.filter("experiment_split = 'validation'").select("g").distinct().count() == 3
+    with pytest.raises(RefusedInput):
+        split.stratified_split(df.withColumn("experiment_split", F.lit(1)), "label", 0.25, 3, "k")
+
+
 def test_first_by_hash(spark):
     rows = [(k, "big" if k % 3 else "small", None) for k in range(4000)]
     df = spark.createDataFrame(rows, "k long, label string, _b string")
@@ -174,13 +191,13 @@ def test_membership(spark, tmp_path):
 
 def test_freeze_records():
     context = {f: f for f in gates.FROZEN_FIELDS} | {"code_hashes": {"x.py": "1"}}
-    frozen = context | {"schema": gates.FROZEN_SCHEMA, "status": "frozen"}
-    gates.require_frozen(frozen, context)
+    frozen = context | {"schema": "run/1", "status": "frozen"}
+    gates.require_frozen(frozen, context, "run/1")
     assert len(gates.FROZEN_FIELDS) == 17
     bad_hashes = ({}, {"x.py": "2"}, {"x.py": "1", "y.py": "1"}, None)
-    for bad in (gates.draft_record(context), frozen | {"seed": 2}, *(frozen | {"code_hashes": h} for h in bad_hashes), {"status": "frozen"}, frozen | {"schema": "v2"}, [], *({k: v for k, v in frozen.items() if k != f} for f in gates.FROZEN_FIELDS)):
+    for bad in (gates.draft_record(context, "run/1"), frozen | {"seed": 2}, *(frozen | {"code_hashes": h} for h in bad_hashes), {"status": "frozen"}, frozen | {"schema": "v2"}, [], *({k: v for k, v in frozen.items() if k != f} for f in gates.FROZEN_FIELDS)):
         with pytest.raises(RefusedInput):
-            gates.require_frozen(bad, context)
+            gates.require_frozen(bad, context, "run/1")
 
 
 def test_digests(spark):
