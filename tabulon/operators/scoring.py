@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import io
 from collections.abc import Callable, Iterator
@@ -10,13 +11,17 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulon.errors import RefusedInput
 from tabulon.functions.labels import display
+from tabulon.functions.stats import CHANNELS
 from tabulon.operators.gates import failure, with_retry
+from tabulon.sources import png
 
 TASKS = ("make", "model", "body_type", "colour")
 SCORED = "struct<label:string,score:double,status:string,error:string>"
@@ -154,28 +159,43 @@ def hsv(rgb: np.ndarray) -> np.ndarray:
     return np.stack([np.rint(hue) % 180, np.rint(saturation), value], axis=-1).astype(np.uint8)
 
 
+def colour_table(rules: ColourRules) -> tuple[list[str], np.ndarray]:
+    """(names, a name's number for each hue, saturation and value): the rules, told once for all colours there are."""
+    names = ["red", "black", "white", "grey", *[n for n, _, _ in rules.hues]]
+    of_hue = np.zeros(256, dtype=np.uint8)
+    for name, begin, end in rules.hues:
+        of_hue[begin:end] = names.index(name)
+    table = np.repeat(np.repeat(of_hue[:, None, None], 256, axis=1), 256, axis=2)
+    table[:, : rules.grey_saturation + 1, :] = names.index("grey")
+    table[:, : rules.white_saturation + 1, rules.white_value :] = names.index("white")
+    table[:, :, : rules.black_value + 1] = names.index("black")
+    return names, table
+
+
+_tables = functools.cache(colour_table)
+
+
 def estimate_colour(rgb: np.ndarray, rules: ColourRules = ColourRules()) -> dict[str, Any]:
     """label, confidence, status, evaluated_pixels, class_distribution: shares of colours in an image's middle, rounded to 6 places; of equal ones the first in the alphabet."""
-    if not (0 <= rules.left < rules.right <= 1 and 0 <= rules.top < rules.bottom <= 1):
+    region = (rules.left, rules.right, rules.top, rules.bottom)
+    if min(region) < 0 or max(region) > 1 or rules.left >= rules.right or rules.top >= rules.bottom:
         raise RefusedInput("the region's limits must rise between 0 and 1")
-    h, w = rgb.shape[:2]
-    middle = rgb[int(h * rules.top) : max(int(h * rules.bottom), 1), int(w * rules.left) : max(int(w * rules.right), 1)]
-    n = middle.shape[0] * middle.shape[1]
-    if n < rules.least_pixels:
-        return {"label": None, "confidence": None, "status": "insufficient_pixels", "evaluated_pixels": n, "class_distribution": {}}
-    hue, saturation, value = np.moveaxis(hsv(middle).astype(int), -1, 0)
-    black = value <= rules.black_value
-    white = ~black & (value >= rules.white_value) & (saturation <= rules.white_saturation)
-    grey = ~black & ~white & (saturation <= rules.grey_saturation)
-    names = [x[0] for x in rules.hues]
-    found = np.select([black, white, grey, *[(hue >= a) & (hue < b) for _, a, b in rules.hues]], ["black", "white", "grey", *names], "red")
-    shares = {str(k): round(int(c) / n, 6) for k, c in zip(*np.unique(found, return_counts=True))}
-    top = max(sorted(shares), key=shares.get)
-    return {"label": top, "confidence": shares[top], "status": "baseline_estimate", "evaluated_pixels": n, "class_distribution": shares}
+    rows, columns = (slice(int(n * a), max(int(n * b), 1)) for n, a, b in ((rgb.shape[0], rules.top, rules.bottom), (rgb.shape[1], rules.left, rules.right)))
+    pixels = rgb[rows, columns].reshape(-1, 3)
+    told = {"label": None, "confidence": None, "status": "insufficient_pixels", "evaluated_pixels": len(pixels), "class_distribution": {}}
+    if len(pixels) >= rules.least_pixels:
+        names, table = _tables(rules)
+        counts = np.bincount(table[tuple(hsv(pixels).T)], minlength=len(names))
+        shares = {name: round(int(n) / len(pixels), 6) for n, name in sorted(zip(counts, names), key=lambda x: x[1]) if n}
+        label = max(shares, key=shares.get)
+        told |= {"label": label, "confidence": shares[label], "status": "baseline_estimate", "class_distribution": shares}
+    return told
 
 
 def decode(content: bytes) -> np.ndarray:
-    """RGB bytes of an image: binary PPM here, other formats where Pillow is installed."""
+    """RGB bytes of an image: binary PPM and PNG here, other formats where Pillow is installed."""
+    if content.startswith(png.MARK):
+        return png.decode(content)
     if content[:2] == b"P6":
         parts = content.split(maxsplit=4)
         if parts[3] == b"255":
@@ -184,7 +204,7 @@ def decode(content: bytes) -> np.ndarray:
     try:
         from PIL import Image
     except ImportError as error:
-        raise NotImplementedError("images other than PPM need Pillow") from error
+        raise NotImplementedError("images other than PPM and PNG need Pillow") from error
     return np.asarray(Image.open(io.BytesIO(content)).convert("RGB"))
 
 
@@ -234,6 +254,43 @@ def inspect_images(df: DataFrame, content: str = "content", box: str | None = No
     return seen.withColumn(out, F.when((i["status"] == "ok") & ~fits, outside).otherwise(i))
 
 
+#: Bytes of arrays that a batch from Python holds, at most (one image's at least).
+BATCH_BYTES = 8 << 20
+
+
+def image_arrays(df: DataFrame, size: int, content: str = "content", box: str | None = None, out: str = "array") -> DataFrame:
+    """`df` with pixels (size * size * 3 normalised numbers, by rows, columns and channels), width, height, error.
+
+    Of an image, or of the part inside its box (struct of x1, y1, x2, y2, 0-based and half-open, clamped to the image), areas become
+    pixels of the wanted size. An image that can't be read, or a box without a pixel, says why.
+    """
+    mean, deviation = (np.array(x) for x in zip(*CHANNELS))
+    kinds = df.select(F.col(f"`{content}`").alias("content"), (F.col(box) if box else F.lit(None).cast("struct<x1:int,y1:int,x2:int,y2:int>")).alias("box"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    few = max(1, BATCH_BYTES // (size * size * 12))
+
+    def one(content, box):
+        try:
+            rgb = decode(bytes(content))
+            if box is not None:
+                (x1, x2), (y1, y2) = ((max(0, min(n, a)), max(0, min(n, b))) for n, a, b in ((rgb.shape[1], box["x1"], box["x2"]), (rgb.shape[0], box["y1"], box["y2"])))
+                if x1 >= x2 or y1 >= y2:
+                    raise ValueError("the box holds no pixel")
+                rgb = rgb[y1:y2, x1:x2]
+            return ((png.resized(rgb, size, size) / 255 - mean) / deviation).astype(np.float32).ravel(), rgb.shape[1], rgb.shape[0], ""
+        except Exception as error:
+            return None, None, None, failure(error)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, few):
+                some = batch.slice(at, few)
+                pixels, width, height, errors = zip(*map(one, some.column(0).to_pylist(), some.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([some.column(2), pa.array(pixels, pa.list_(pa.float32())), pa.array(width, pa.int32()), pa.array(height, pa.int32()), pa.array(errors, pa.string())], names=["row", "pixels", "width", "height", "error"])
+
+    schema = T.StructType([kinds.schema["row"], *T._parse_datatype_string("pixels array<float>, width int, height int, error string").fields])
+    return kinds.mapInArrow(run, schema).select("row.*", F.struct("pixels", "width", "height", "error").alias(out))
+
+
 # ---------------------------------------------------------------- vehicles
 
 
