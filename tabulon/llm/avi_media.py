@@ -262,7 +262,7 @@ def _clip_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, media in enumerate(batch.column(1)):
             try:
                 rows = [(*c, None) for c in clips(media.as_py() or b"")[1]]
-            except (ValueError, struct.error) as error:
+            except (ValueError, struct.error, IndexError, KeyError, OverflowError, MemoryError) as error:
                 rows = [(None, None, None, None, str(error) or "broken")]
             kinds = (pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.string())
             key = batch.column(0).take(pa.array([k] * len(rows)))

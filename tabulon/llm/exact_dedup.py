@@ -59,14 +59,20 @@ def heavy_hitters(keys: DataFrame, share: float) -> DataFrame:
     return found.groupBy("digest").agg(F.sum("estimate").alias("estimate")).filter(F.col("estimate") >= F.lit(total * share / 2)).select("digest")
 
 
+#: Copies of a text that one task may get by the shuffle, and the least share of rows that summaries look for (2 / LEAST counters a task).
+COPIES, LEAST = 500_000, 1e-6
+
+
 def exact_groups(docs: DataFrame, share: float = 0.001) -> DataFrame:
     """A row for each row of `docs`: doc_id, keep_id, group_size, kept, text_sha256; none, id, mark (`identity`), winner (whether it repeats the row that stays, or is it).
 
     Texts are equal when identical after each run of blanks became one space; null counts as empty. Of equal
     texts the row with the smallest doc_id stays (null doc_ids after all others, in some fixed order); if a row is
-    repeated, one of them stays. An empty table gives no rows. Other columns are not read.
+    repeated, one of them stays. An empty table gives no rows. Other columns are not read. Digests of more than `share` of the
+    rows, or of more than `COPIES` rows, are the heavy ones.
     """
     tagged = digests(docs)
+    share = max(LEAST, min(share, COPIES / max(1, tagged.count())))
     heavy = cut(heavy_hitters(tagged.select("digest"), share))
     order = F.struct(*WHO, "row_tag")
     heavy_rows = tagged.join(F.broadcast(heavy), "digest", "left_semi")

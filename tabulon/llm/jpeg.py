@@ -130,11 +130,22 @@ def _block(bits: _Bits, out: list[int], before: int, dc: list[int], ac: list[int
     return before
 
 
+#: Samples of an image, at most: a broken header may ask for any number.
+MOST = 1 << 26
+
+
 def decode(image: bytes, shared: bytes = b"") -> list[np.ndarray]:
-    """The planes (rows x columns of bytes) of an image's components, each in its own size.
+    """The planes (rows x columns of bytes) of an image's components, each in its own size; a ValueError for whatever is broken.
 
     `shared` are segments (DHT, DQT) that count before the image's own, for frames that leave theirs out.
     """
+    try:
+        return _decode(image, shared)
+    except (IndexError, KeyError, struct.error, OverflowError, TypeError, MemoryError) as error:
+        raise ValueError(f"a broken image: {type(error).__name__}: {error}") from error
+
+
+def _decode(image: bytes, shared: bytes) -> list[np.ndarray]:
     quantisers, codes, interval, frame, planes = {}, {}, 0, None, {}
     for mark, body, end in [*tables(shared), *segments(image)]:
         if mark == 0xDB:
@@ -151,8 +162,10 @@ def decode(image: bytes, shared: bytes = b"") -> list[np.ndarray]:
         elif mark in (0xC0, 0xC1):
             depth, height, width, n = struct.unpack_from(">BHHB", body)
             parts = {body[6 + 3 * k]: (body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)}
-            if depth != 8 or not height or not width or not all(a and b for a, b, _ in parts.values()):
+            if depth != 8 or not height or not width or not parts or not all(0 < a < 5 and 0 < b < 5 for a, b, _ in parts.values()):
                 raise ValueError("not an image of bytes")
+            if (height + 64) * (width + 64) * len(parts) > MOST:
+                raise ValueError("an image of too many samples")
             frame = (height, width, parts, max(a for a, _, _ in parts.values()), max(b for _, b, _ in parts.values()))
         elif 0xC2 <= mark <= 0xCF and mark not in (0xC8, 0xCC):
             raise ValueError("not a baseline image")

@@ -1,13 +1,13 @@
 """Line deduplication by winnowing.
 
 Neighbouring lines make a gram; of each window of neighbouring grams the smallest hash (the last one if equal) is a
-fingerprint, so two texts that share `gram + window - 1` lines in a row share a fingerprint among them. Fingerprints of
-all documents meet by hash, and the earliest place of each is kept. A match extends both ways over the lines that a
-window can leave between the end of a run and its nearest fingerprint: besides a gram's hash, those of the gram with
-the 1, 2, ... lines before or after it are joined, each with its own earliest place, so a line is covered wherever
-any earlier place has it, not just the gram's first. Runs of covered lines are the later repeats that are to be
-deleted. With a gram and a window of one line (the query's) each line is its own fingerprint: every line that stood
-before is covered, one-line texts and lines that stand alone included.
+fingerprint, so two texts that share `gram + window - 1` lines in a row, a stretch, share the fingerprint of that
+stretch at the same line of it. Fingerprints of all documents meet by hash, and only places whose fingerprint comes
+back go on. There matches are extended both ways, over every stretch that has the fingerprint, and the stretches meet
+by a hash of all their lines; the earliest place of each stays. As each stretch of a longer common run is met in this
+way, matches reach as far as they go. Stretches that stood before, touching or overlapping, are a run, which is to be
+deleted. So exactly the repeats of at least `gram + window - 1` lines are found: three lines by default, single ones with a
+gram and a window of one.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql.window import Window as W
 
 from tabulon.llm.common import BLANK, WHO, cut, doc_id_of, identity, same_document, text_of
 
-GRAM, WINDOW = 2, 2
+GRAM, WINDOW = 1, 3
 
 
 def lines(text: str | Column = "text") -> Column:
@@ -33,55 +33,57 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     return cut(docs.select(*identity(), hashes.alias("h")).filter(F.size("h") > 0))
 
 
-def fingerprints(hashed: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """none, id, mark, pos, reach, a, b: the fingerprints, by the first line of their gram.
-
-    a and b are hashes of the gram (reach 0), or of the gram with -reach lines before it or reach lines after it.
-    """
-    long_enough = hashed.filter(F.size("h") >= gram)
+def stretches(hashed: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """none, id, mark, h, place (of a fingerprint's gram), print (its hash), starts (of the stretches whose fingerprint it is): a row for each fingerprint."""
+    long_enough = hashed.filter(F.size("h") >= gram + window - 1)
     grams = F.transform(F.sequence(F.lit(0), F.size("h") - gram), lambda i: F.xxhash64(F.slice("h", i + 1, gram)))
     some = lambda i: F.slice("grams", i + 1, window)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("grams") - window, F.lit(0)))
-    least = F.transform(starts, lambda i: (i + F.size(some(i)) - F.array_position(F.reverse(some(i)), F.array_min(some(i)))).cast("int"))
-    chosen = F.array_distinct(least) if window > 1 else starts
-    at = long_enough.withColumn("grams", grams).select(*WHO, "h", F.explode(chosen).alias("pos"))
-    inside = lambda k: (F.col("pos") + k >= 0) & (F.col("pos") + gram + k <= F.size("h"))
-    around = at.select(*WHO, "h", "pos", F.explode(F.filter(F.sequence(F.lit(1 - window), F.lit(window - 1)), inside)).alias("reach"))
-    held = F.slice("h", F.col("pos") + 1 + F.least("reach", F.lit(0)), F.abs("reach") + gram)
-    return around.select(*WHO, "pos", "reach", F.xxhash64(held, "reach").alias("a"), F.hash(held, "reach").alias("b"))
-
-
-def covered_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """none, id, mark, line, of (none, id, mark and line of the earliest place that shows it): each line that stood before, once."""
-    prints = fingerprints(line_hashes(docs), gram, window)
-    place = F.struct(*WHO, "pos")
-    # one row for each fingerprint and task meets; a written table on this side lets Spark split the other where a fingerprint is frequent
-    firsts = cut(prints.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    again = prints.join(firsts, ["a", "b"]).filter(place != F.col("first")).select(*WHO, "pos", "reach", "first")
-    whole = F.sequence(F.col("pos"), F.col("pos") + (gram - 1))
-    at = F.when(F.col("reach") == 0, whole).otherwise(F.array(F.col("pos") + F.col("reach") + F.when(F.col("reach") > 0, gram - 1).otherwise(0)))
-    shown = again.select(*WHO, "pos", "first", F.explode(at).alias("line"))
-    of = F.struct("first.none", "first.id", "first.mark", (F.col("first.pos") + F.col("line") - F.col("pos")).alias("line"))
-    # by document, as the runs need it; a document's lines are no more than its text
-    return shown.select(*WHO, "line", of.alias("of")).repartition(*WHO).groupBy(*WHO, "line").agg(F.min("of").alias("of"))
+    least = F.transform(F.sequence(F.lit(0), F.size("grams") - window), lambda i: F.struct((i + window - F.array_position(F.reverse(some(i)), F.array_min(some(i)))).cast("int").alias("place"), i.alias("start")))
+    # the stretches of a fingerprint follow each other
+    at = long_enough.withColumn("grams", grams).withColumn("least", least)
+    begins = F.filter("least", lambda x, i: (i == 0) | (x["place"] != F.get("least", i - 1)["place"]))
+    found = at.withColumn("begins", begins).select(*WHO, "h", "grams", F.posexplode("begins").alias("k", "at"), F.col("begins"))
+    end = F.coalesce(F.get("begins", F.col("k") + 1)["start"], F.size("h") - (gram + window - 2))
+    return found.select(*WHO, "h", F.col("at.place").alias("place"), F.get("grams", F.col("at.place")).alias("print"), F.col("at.start").alias("start"), (end - F.col("at.start")).alias("n"))
+
+
+def covered(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """none, id, mark, start, of (none, id, mark, start of the earliest place): each stretch that stood before, once."""
+    size = gram + window - 1
+    prints = stretches(line_hashes(docs), gram, window)
+    # counts and first places form before rows are shuffled; a written table on this side lets Spark split the other where a hash is frequent
+    again = cut(prints.groupBy("print").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("print"))
+    around = prints.join(again, "print").select(*WHO, "h", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("start"))
+    lines_of = F.slice("h", F.col("start") + 1, size)
+    whole = cut(around.select(*WHO, "start", F.xxhash64(lines_of).alias("a"), F.hash(lines_of).alias("b")))
+    place = F.struct(*WHO, "start")
+    firsts = cut(whole.groupBy("a", "b").agg(F.min(place).alias("of"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"))
+    later = whole.join(firsts, ["a", "b"]).filter(place != F.col("of"))
+    # rows that repeat a document become one before they are shuffled
+    return later.groupBy(*WHO, "start").agg(F.min("of").alias("of"))
 
 
 def _runs(docs: DataFrame, gram: int, window: int) -> DataFrame:
     """none, id, mark, first_line, n_lines, of: the runs of covered lines."""
-    numbered = covered_lines(docs, gram, window).withColumn("run", F.col("line") - F.row_number().over(W.partitionBy(*WHO).orderBy("line")))
-    return numbered.groupBy(*WHO, "run").agg(F.min("line").alias("first_line"), F.count(F.lit(1)).cast("int").alias("n_lines"), F.min_by("of", "line").alias("of")).drop("run")
+    size = gram + window - 1
+    doc = W.partitionBy(*WHO).orderBy("start")  # a document has no more stretches than lines
+    fresh = F.coalesce(F.col("start") > F.lag("start").over(doc) + size, F.lit(True)).cast("int")
+    numbered = covered(docs, gram, window).withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(doc.rowsBetween(W.unboundedPreceding, 0)))
+    found = numbered.groupBy(*WHO, "run").agg(F.min("start").alias("first_line"), F.max("start").alias("last"), F.min_by("of", "start").alias("of"))
+    return found.select(*WHO, "first_line", (F.col("last") + size - F.col("first_line")).cast("int").alias("n_lines"), "of")
 
 
 def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """A row for each run of lines that is to be deleted: doc_id, first_line, n_lines, of_doc_id, of_line.
 
+    A run is made of stretches of `gram + window - 1` lines that stood before; shorter repeats stay, texts of fewer lines too.
     Lines are counted from 0 among those that hold more than blanks. of_doc_id and of_line say where the run's
-    first line stands earliest: in a document with a smaller doc_id (null ones come last, in some fixed order) or
+    first stretch stands earliest: in a document with a smaller doc_id (null ones come last, in some fixed order) or
     before in the same one. Rows that share a doc_id but not the text are documents of their own; rows that share
     both are one. Null and empty texts have no lines; an empty table gives no rows. Other columns are not read.
     """
     return _runs(docs, gram, window).select(
-        doc_id_of("none", "id").alias("doc_id"), "first_line", "n_lines", doc_id_of("of.none", "of.id").alias("of_doc_id"), F.col("of.line").alias("of_line")
+        doc_id_of("none", "id").alias("doc_id"), "first_line", "n_lines", doc_id_of("of.none", "of.id").alias("of_doc_id"), F.col("of.start").alias("of_line")
     )
 
 
@@ -102,16 +104,23 @@ def without_repeats(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) ->
     return joined.withColumn("row", F.col("row").withField("text", text)).select("row.*")
 
 
-#: For the query: every line that stood before, with its earliest place.
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """`repeated_runs` of single lines: every line that stood before is in a run, one-line texts and lines that stand alone included."""
+    return repeated_runs(docs, 1, 1)
+
+
+#: For the query: every three lines in a row that stood before.
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda x: x != '') AS ls FROM documents
 ), l AS (
-  SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) - 1 AS pos FROM d
+  SELECT doc_id, unnest(list_transform(range(len(ls) - 2), lambda i: md5(array_to_string(ls[i + 1:i + 3], chr(10))))) AS x, unnest(range(len(ls) - 2)) AS pos FROM d WHERE len(ls) >= 3
 ), f AS (
   SELECT doc_id, pos, first_value(doc_id) OVER w AS of_doc_id, first_value(pos) OVER w AS of_line FROM l WINDOW w AS (PARTITION BY x ORDER BY doc_id, pos)
+), g AS (
+  SELECT *, pos > coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 3, -1) AS fresh FROM f WHERE doc_id != of_doc_id OR pos != of_line
 ), r AS (
-  SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM f WHERE doc_id != of_doc_id OR pos != of_line
+  SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM g
 )
-SELECT doc_id, min(pos)::INT AS first_line, count(*)::INT AS n_lines, arg_min(of_doc_id, pos) AS of_doc_id, arg_min(of_line, pos)::INT AS of_line FROM r GROUP BY doc_id, run
+SELECT doc_id, min(pos)::INT AS first_line, (max(pos) + 3 - min(pos))::INT AS n_lines, arg_min(of_doc_id, pos) AS of_doc_id, arg_min(of_line, pos)::INT AS of_line FROM r GROUP BY doc_id, run
 """

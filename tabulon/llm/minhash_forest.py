@@ -33,6 +33,8 @@ SMALL = 16  # documents of a region in which all are compared
 AGREE = 46
 #: Ids of at most so many candidates (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Rows of a range of the sorted orders, on average.
+RANGE = 250_000
 #: Hashes (8 bytes each) of a block's queries, and of its other rows, when what a region parted is made good.
 BLOCK = 2_000_000
 
@@ -216,7 +218,7 @@ def _open_regions(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _block_links(similar: int):
-    """Links between the queries and the other rows of a block whose components differ."""
+    """Links between the queries and the other rows of a block that join components; what two joined ones have more of is left out."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         asks, rows = block[block["query"]], block[~block["query"]]
@@ -226,15 +228,24 @@ def _block_links(similar: int):
         values = np.concatenate(rows["grams"].to_list())
         order = np.argsort(values, kind="stable")
         values, owner = values[order], np.repeat(np.arange(len(rows)), sizes)[order]
-        nodes, roots, out = rows["a"].to_numpy(), rows["root"].to_numpy(), []
+        nodes, roots, out, joins = rows["a"].to_numpy(), rows["root"].to_numpy(), [], {}
+
+        def top(root):
+            while (up := joins.get(root, root)) != root:
+                joins[root] = root = joins.get(up, up)
+            return root
+
         for a, root, grams in zip(asks["a"], asks["root"], asks["grams"]):
             low, high = np.searchsorted(values, grams, "left"), np.searchsorted(values, grams, "right")
             n = high - low
             at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
             shared = np.bincount(owner[at], minlength=len(rows))
-            for k in np.flatnonzero((shared * 100 >= similar * (sizes + len(grams) - shared)) & (roots != root)):
-                out.append((min(a, nodes[k]), max(a, nodes[k])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
+            near = np.flatnonzero((shared * 100 >= similar * (sizes + len(grams) - shared)) & (roots != root))
+            for k in near[np.unique(roots[near], return_index=True)[1]]:  # one of each component
+                if (one := top(root)) != (other := top(roots[k])):
+                    joins[one] = other
+                    out.append((min(a, nodes[k]), max(a, nodes[k])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -269,7 +280,9 @@ def near_classes(docs: DataFrame, words: int = 5, similar: int = 80) -> tuple[Da
     classes = cut(some.groupBy("key").agg(F.min("tag").alias("node"), F.min(F.struct(*WHO)).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign")))
     trees = classes.select("node", F.col("n_shingles").alias("n"), "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     forest = trees.select("tree", F.expr(f"substring(sign, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("prefix"), "node", "n")
-    ordered = forest.repartitionByRange("tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
+    # a range is held in memory at once
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-TREES * classes.count() // RANGE))
+    ordered = forest.repartitionByRange(ranges, "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
     found = cut(ordered.mapInArrow(_neighbours(similar), "a long, b long, region binary"))
     pairs = found.filter(F.col("region").isNull()).select("a", "b").unionByName(_across(found))
     roots = components(links(pairs, classes, docs, words, similar))

@@ -57,12 +57,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     """A row for each row of `docs`: doc_id, source, size, source_size, target, copies, taken; none, id, mark (`identity`).
 
     Rank within a source goes by (bits of the size, salt of the doc_id, size, doc_id), so that a source of any
-    share is ranked in many parts, whose counts are summed up before them; a row without doc_id takes a hash of its
-    text for it. A null text has size 0. Of repeated rows each counts; which of equal rows gets a copy makes no
+    share is ranked in many parts, whose counts are summed up before them; rows without doc_id are salted by their
+    place in the table, as their texts may be equal. A null text has size 0. Of repeated rows each counts; which of equal rows gets a copy makes no
     difference. Where all sizes are 0, targets are 0 and nothing is taken. An empty table gives no rows.
     """
     sizes = cut(docs.select(*identity(), "source", words().alias("size")))
-    salt = F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 4), 16, 10).cast("int") % salts
+    own = F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 4), 16, 10).cast("int") % salts
+    salt = F.when(F.col("none"), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(own)
     dealt = sizes.withColumn("bits", F.length(F.bin("size"))).withColumn("salt", salt)
     blocks = dealt.groupBy("source", "bits", "salt").agg(F.count(F.lit(1)).alias("n"))  # at most 64 * salts for each source
     before = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("bits", "salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

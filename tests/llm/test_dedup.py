@@ -3,12 +3,12 @@
 import hashlib
 import random
 import re
-import struct
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
-import xxhash
+from pyspark.sql import functions as F
 
 from tabulon.llm import chunk_dedup, components, exact_dedup, line_winnow, minhash_forest
 from tabulon.llm.common import distributed_rank, identity
@@ -245,97 +245,66 @@ def test_without_repeats(spark, docs, rows):
     assert len(untouched) == 2 and all(t in after for t in untouched)  # a row without id, and one of a repeated id
 
 
-def plain_covered(texts, gram, window):
-    """(document, line) to the earliest place that shows it, by fingerprints and all their earlier places."""
-    lines = {k: [y for x in (t or "").split("\n") if (y := re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x))] for k, t in texts.items()}
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    prints = []
-    for k, found in lines.items():
-        pairs = [(signed(xxhash.xxh64(x.encode(), seed=42).intdigest()), murmur(x.encode())) for x in found]
-        hashes = []
-        for i in range(len(pairs) - gram + 1):
-            seed = 42
-            for a, b in pairs[i : i + gram]:
-                seed = xxhash.xxh64(struct.pack("<q", a), seed=seed).intdigest()
-                seed = xxhash.xxh64(struct.pack("<i", b), seed=seed).intdigest()
-            hashes.append(signed(seed))
-        at = {i + max(j for j in range(len(w)) if w[j] == min(w)) for i in range(max(len(hashes) - window, 0) + 1) if (w := hashes[i : i + window])}
-        prints += [(k, p) for p in sorted(at)]
-    out = {}
-    for k, p in prints:
-        for q, at in [(q, d) for d, q in prints if (d, q) < (k, p) and lines[d][q : q + gram] == lines[k][p : p + gram]]:
-            shift, mine, other = q - p, lines[k], lines[at]
-            same = lambda i: 0 <= i < len(mine) and 0 <= i + shift < len(other) and mine[i] == other[i + shift]  # noqa: B023, E731
-            a, b = p, p + gram
-            while p - a < window - 1 and same(a - 1):
-                a -= 1
-            while b - p - gram < window - 1 and same(b):
-                b += 1
-            for i in range(a, b):
-                out[(k, i)] = min(out.get((k, i), (at, i + shift)), (at, i + shift))
-    return out
-
-
-def murmur(data, seed=42):
-    """The 32-bit hash of Spark's hash() of a text: blocks of 4 bytes, then single signed bytes."""
-    mask = (1 << 32) - 1
-
-    def mix(h, k):
-        k = k * 0xCC9E2D51 & mask
-        k = (k << 15 | k >> 17) * 0x1B873593 & mask
-        h ^= k
-        return ((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64 & mask
-
-    h, whole = seed, len(data) - len(data) % 4
-    for i in range(0, whole, 4):
-        h = mix(h, struct.unpack_from("<I", data, i)[0])
-    for b in data[whole:]:
-        h = mix(h, (b - 256 if b > 127 else b) & mask)
-    h ^= len(data)
-    h = (h ^ h >> 16) * 0x85EBCA6B & mask
-    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
-    h ^= h >> 16
-    return h - (1 << 32) if h >> 31 else h
-
-
-@pytest.mark.parametrize("gram, window", [(1, 1), (2, 2), (1, 3), (3, 2)])
-def test_covered_lines(spark, docs, gram, window):
+def plain_runs(texts, size):
+    """Runs of lines in stretches of `size` lines that stand earlier, in the order of documents and lines."""
+    first, out = {}, []
+    split = lambda t: [y for x in (t or "").split("\n") if (y := re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x))]
+    for who, t in texts.items():
+        own, run = split(t), None
+        for k in range(len(own) - size + 1):
+            x = tuple(own[k : k + size])
+            if x in first:
+                if run and k <= run[1] + run[2]:
+                    run[2] = k + size - run[1]
+                else:
+                    out.append(run := [repr(doc_id(who)), k, size, repr(doc_id(first[x][0])), first[x][1]])
+            first.setdefault(x, (who, k))
+    return sorted(map(tuple, out))
+
+
+@pytest.mark.parametrize("gram, window", [(1, 1), (2, 2), (1, 3), (3, 2), (1, 5)])
+def test_repeated_runs(spark, docs, gram, window):
+    """Every maximal run of the guaranteed length, however long, and nothing else."""
     block = "alpha beta\ngamma\n\n delta \nepsilon"
     rng = random.Random(gram * 7 + window)
     made = {0: f"first\n{block}\nlast", 1: f"other\nthing\n{block}", 2: "x\n" * 7, 3: f"{block}\n{block}", 4: "", 5: None, 6: "gamma", 7: "f1\nf2\nz", 8: "a\nu\nf1\nf2", 9: "b\nu\nf1\nf2\nc", 10: "u"}
-    made |= {k: "\n".join(f"line {rng.randint(0, 9)}" for _ in range(rng.randint(0, 9))) for k in range(20, 70)}
+    made |= {k: "\n".join(f"line {rng.randint(0, 3)}" for _ in range(rng.randint(0, 12))) for k in range(20, 70)}
+    made |= {k: "\n".join(f"long {n}" for n in range(k, k + 40)) for k in (100, 120, 130)}
     small = spark.createDataFrame(list(made.items()), "doc_id long, text string")
     for df in (small, awkward(spark), docs.filter("length(text) < 3000 or text is null")):
-        got = {((r.none, r.id, r.mark), r.line): ((r.of.none, r.of.id, r.of.mark), r.of.line) for r in line_winnow.covered_lines(df, gram, window).collect()}
-        assert got == plain_covered(documents(df), gram, window) and got
+        got = [(repr(r.doc_id), r.first_line, r.n_lines, repr(r.of_doc_id), r.of_line) for r in line_winnow.repeated_runs(df, gram, window).collect()]
+        assert sorted(got) == plain_runs(documents(df), gram + window - 1)
 
 
-def test_every_line_that_stood_before(spark, docs, tmp_path):
-    """The query against all earlier lines, and its SQL."""
+def test_query_of_repeated_runs(spark, tmp_path):
+    """The query and its SQL; the functions for single lines."""
     import duckdb
 
     from tabulon.llm.queries import op6_line_winnowing
 
-    made = {0: "f1\nf2\nz", 1: "a\nu\nf1\nf2", 2: "b\nu\nf1\nf2\nc", 3: "d\nz\ne", 4: "u", 5: "u\nu", 6: "alone", 7: None, 8: ""}
-    for k, df in enumerate((spark.createDataFrame(list(made.items()), "doc_id long, text string"), docs.select("doc_id", "text"), awkward(spark).select("doc_id", "text"))):
-        before, expected = {}, []
-        texts = documents(df)
-        for who, t in texts.items():
-            run = None
-            for i, x in enumerate(y for z in (t or "").split("\n") if (y := re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", z))):
-                if x in before and run and run[1] + run[2] == i:
-                    run[2] += 1
-                elif x in before:
-                    expected.append(run := [repr(doc_id(who)), i, 1, repr(doc_id(before[x][0])), before[x][1]])
-                before.setdefault(x, (who, i))
-        folder = str(tmp_path / str(k))
-        df.write.parquet(f"{folder}/documents.parquet")
-        got = [(repr(r.doc_id), r.first_line, r.n_lines, repr(r.of_doc_id), r.of_line) for r in op6_line_winnowing(spark, folder).collect()]
-        assert sorted(got) == sorted(map(tuple, expected)) and expected
-        if k == 0:
-            con = duckdb.connect()
-            con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
-            assert sorted((repr(a), b, c, repr(d), e) for a, b, c, d, e in con.execute(line_winnow.ORACLE).fetchall()) == sorted(got)
+    made = {0: "f1\nf2\nz\nq", 1: "a\nf1\nf2\nz\nq\nf1\nf2\nz", 2: "b\nf2\nz\nq\nc", 3: "d\nz\nq", 4: "u\n" * 6, 5: "u\nu", 7: None, 8: ""}
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.first_line, r.n_lines, r.of_doc_id, r.of_line) for r in op6_line_winnowing(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(line_winnow.ORACLE).fetchall()) == [(1, 1, 7, 0, 0), (2, 1, 3, 0, 1), (4, 1, 5, 4, 0)]
+    assert sorted((r.doc_id, r.first_line, r.n_lines) for r in line_winnow.repeated_lines(df).collect()) == [(1, 1, 7), (2, 1, 3), (3, 1, 2), (4, 1, 5), (5, 0, 2)]
+
+
+def test_many_equal_rows_without_id(spark):
+    """They are one document: no window gets them all."""
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a\nb\nc\nd\na\nb\nc").alias("text"))
+    assert [tuple(r) for r in line_winnow.repeated_runs(rows).collect()] == [(None, 4, 3, None, 0)]
+
+
+def test_links_of_joined_components():
+    """Two components of many equal sets need one link, not one for each pair."""
+    sets = [np.arange(50, dtype=np.int64)] * 60
+    block = pd.DataFrame({"query": [True] * 60 + [False] * 60, "a": list(range(120)), "root": [0] * 60 + [60] * 60, "grams": sets * 2})
+    assert len(minhash_forest._block_links(80)(block)) == 1
+    three = pd.DataFrame({"query": [True] * 3 + [False] * 6, "a": list(range(9)), "root": [0, 1, 2, 3, 3, 4, 4, 5, 5], "grams": [np.arange(50, dtype=np.int64)] * 9})
+    assert len(minhash_forest._block_links(80)(three)) == 5
 
 
 def test_texts_without_repeated_lines(spark):
