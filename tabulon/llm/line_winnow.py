@@ -27,38 +27,38 @@ def lines(text: str | Column = "text") -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
-def line_hashes(docs: DataFrame) -> DataFrame:
-    """none, id, mark, h: two hashes of each line, 96 bits together; cut."""
+def line_hashes(docs: DataFrame, gram: int = GRAM) -> DataFrame:
+    """none, id, mark, h (two hashes of each line, 96 bits together), grams (a hash of each gram); cut."""
     hashes = F.transform(lines(), lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b")))
-    return cut(docs.select(*identity(), hashes.alias("h")).filter(F.size("h") > 0))
+    hashed = cut(docs.select(*identity(), hashes.alias("h")).filter(F.size("h") >= gram))
+    if gram == 1:
+        return hashed.withColumn("grams", F.col("h.a"))
+    # written once more: what reads single grams would else compute all of them each time
+    return cut(hashed.withColumn("grams", F.transform(F.sequence(F.lit(0), F.size("h") - gram), lambda i: F.xxhash64(F.slice("h", i + 1, gram)))))
 
 
 def stretches(hashed: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """none, id, mark, h, place (of a fingerprint's gram), print (its hash), starts (of the stretches whose fingerprint it is): a row for each fingerprint."""
-    long_enough = hashed.filter(F.size("h") >= gram + window - 1)
-    grams = F.transform(F.sequence(F.lit(0), F.size("h") - gram), lambda i: F.xxhash64(F.slice("h", i + 1, gram)))
+    """none, id, mark, start, print (the hash of its fingerprint), fresh (whether the stretch before has another fingerprint), a, b (hashes of its lines): a row for each stretch."""
+    size = gram + window - 1
     some = lambda i: F.slice("grams", i + 1, window)
-    least = F.transform(F.sequence(F.lit(0), F.size("grams") - window), lambda i: F.struct((i + window - F.array_position(F.reverse(some(i)), F.array_min(some(i)))).cast("int").alias("place"), i.alias("start")))
-    # the stretches of a fingerprint follow each other
-    at = long_enough.withColumn("grams", grams).withColumn("least", least)
-    begins = F.filter("least", lambda x, i: (i == 0) | (x["place"] != F.get("least", i - 1)["place"]))
-    found = at.withColumn("begins", begins).select(*WHO, "h", "grams", F.posexplode("begins").alias("k", "at"), F.col("begins"))
-    end = F.coalesce(F.get("begins", F.col("k") + 1)["start"], F.size("h") - (gram + window - 2))
-    return found.select(*WHO, "h", F.col("at.place").alias("place"), F.get("grams", F.col("at.place")).alias("print"), F.col("at.start").alias("start"), (end - F.col("at.start")).alias("n"))
+    place = lambda i: i + window - F.array_position(F.reverse(some(i)), F.array_min(some(i)))  # noqa: E731  (of the window's last smallest gram)
+    lines_of = lambda i: F.slice("h", i + 1, size)
+    one = lambda i: F.struct(
+        i.alias("start"), F.array_min(some(i)).alias("print"), F.when(i == 0, True).otherwise(place(F.greatest(i - 1, F.lit(0))) != place(i)).alias("fresh"), F.xxhash64(lines_of(i)).alias("a"), F.hash(lines_of(i)).alias("b")
+    )
+    return hashed.filter(F.size("h") >= size).select(*WHO, F.inline(F.transform(F.sequence(F.lit(0), F.size("h") - size), one)))
 
 
 def covered(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """none, id, mark, start, of (none, id, mark, start of the earliest place): each stretch that stood before, once."""
-    size = gram + window - 1
-    prints = stretches(line_hashes(docs), gram, window)
+    found = stretches(line_hashes(docs, gram), gram, window)
     # counts and first places form before rows are shuffled; a written table on this side lets Spark split the other where a hash is frequent
-    again = cut(prints.groupBy("print").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("print"))
-    around = prints.join(again, "print").select(*WHO, "h", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("start"))
-    lines_of = F.slice("h", F.col("start") + 1, size)
-    whole = cut(around.select(*WHO, "start", F.xxhash64(lines_of).alias("a"), F.hash(lines_of).alias("b")))
+    again = cut(found.filter("fresh").groupBy("print").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("print"))
+    # from fingerprints that come back, matches extend over all stretches that have them
+    around = cut(found.join(again, "print").select(*WHO, "start", "a", "b"))
     place = F.struct(*WHO, "start")
-    firsts = cut(whole.groupBy("a", "b").agg(F.min(place).alias("of"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"))
-    later = whole.join(firsts, ["a", "b"]).filter(place != F.col("of"))
+    firsts = cut(around.groupBy("a", "b").agg(F.min(place).alias("of"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"))
+    later = around.join(firsts, ["a", "b"]).filter(place != F.col("of"))
     # rows that repeat a document become one before they are shuffled
     return later.groupBy(*WHO, "start").agg(F.min("of").alias("of"))
 
