@@ -236,15 +236,20 @@ def require_proof(proof: dict[str, Any], checkpoint_sha256: str, score: dict[str
         raise RefusedInput("score and baseline are of other classes or rows")
 
 
-def source_snapshot(files: Iterable[str], folder: str) -> dict[str, str]:
-    """The SHA-256 of source files by name, after copies of them were put into a fresh folder, with the hashes as JSON."""
-    target, hashes = fresh_folder(folder), {}
+def source_snapshot(spark: SparkSession, files: Iterable[str], folder: str) -> dict[str, str]:
+    """The SHA-256 of source files by name, after copies of them were put into a fresh folder of any store, with the hashes as JSON."""
+    from tabulon.sources import store
+
+    paths, hashes = {}, {}
     for path in map(Path, files):
-        if path.name in hashes:
+        if path.name in paths:
             raise RefusedInput(f"two sources are called {path.name!r}")
-        (target / path.name).write_bytes(path.read_bytes())
-        hashes[path.name] = sha256_of(str(path))
-    write_new(folder, "source_hashes.json", json.dumps(hashes, indent=2))
+        paths[path.name] = path
+    store.fresh_folder(spark, folder)
+    for name, path in paths.items():
+        store.write_new(spark, folder, name, path.read_bytes())
+        hashes[name] = sha256_of(str(path))
+    store.write_new(spark, folder, "source_hashes.json", json.dumps(hashes, indent=2))
     return hashes
 
 
@@ -253,28 +258,6 @@ def draft_record(context: dict[str, Any], schema: str) -> dict[str, Any]:
     return {"schema": schema, **context, "status": "draft"}
 
 
-def fresh_folder(path: str) -> Path:
-    """The folder, made if need be; refused if it holds anything."""
-    folder = Path(path)
-    if folder.exists() and any(folder.iterdir()):
-        raise RefusedInput(f"{path} isn't empty")
-    folder.mkdir(parents=True, exist_ok=True)
-    return folder
-
-
-def write_new(root: str, name: str, text: str) -> Path:
-    """A new file inside `root`; refused if it is there, or would be outside."""
-    target = (Path(root) / name).resolve()
-    if not target.is_relative_to(Path(root).resolve()):
-        raise RefusedInput(f"{name!r} leads out of {root!r}")
-    try:
-        with open(target, "x", encoding="utf-8") as file:
-            file.write(text)
-    except FileExistsError as error:
-        raise RefusedInput(f"{target} is there already") from error
-    return target
-
-
 def run_metadata(config: dict[str, Any]) -> dict[str, Any]:
     """When, where and with what a run took place."""
     import importlib.metadata

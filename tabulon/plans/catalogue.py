@@ -216,12 +216,6 @@ def stripped_cells(spark, sf_dir):
     return evaluate.cells(evaluate.classified_pairs(messy(spark, sf_dir), classes, "target", "prediction", "strip")).select(name("target"), name("prediction"), "n")
 
 
-@query("SELECT * FROM (VALUES (0, 'Hyundai ', 'Hyundai', true), (1, 'Lamorghini ', 'Lamorghini', true), (2, 'Honda', 'Honda', false)) t(class_id, raw_label, display_label, changed)")
-def label_mapping(spark, sf_dir):
-    """A17, X2, S13."""
-    return evaluate.class_table(spark, tables.class_list({"Hyundai ": 0, "Lamorghini ": 1, "Honda": 2}), "strip")
-
-
 @query(f"""WITH m AS ({_MESSY}), s AS (SELECT DISTINCT prediction AS raw, trim(prediction) AS display_label FROM m WHERE trim(prediction) IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'))
   SELECT display_label, string_agg('[' || raw || ']', '' ORDER BY raw) AS spellings FROM s GROUP BY 1 HAVING count(*) > 1""")
 def observed_collisions(spark, sf_dir):

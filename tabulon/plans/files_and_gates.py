@@ -5,21 +5,22 @@ Tables are written to fresh folders of the shared checkpoint folder and read aga
 
 from __future__ import annotations
 
+import io
 import json
-import os
-import tempfile
 import zipfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tabulon.errors import RefusedInput
 from tabulon.functions import labels, stats
-from tabulon.operators import audit, evaluate, gates, runs, scoring
+from tabulon.operators import audit, evaluate, gates, remote, runs, scoring, suppression
 from tabulon.plans.catalogue import _PRED, CLASSES, _cells, _classes, _rounded, manifest, predictions, query, table
 from tabulon.session import fresh_path
-from tabulon.sources import manifests, tables, zip_index
+from tabulon.sources import bundle, manifests, mat, png, report, store, tables, zip_index
 
 
 def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,20 +151,93 @@ def collected_runs(spark, sf_dir):
     return found.select("run", "kind", F.col("event_id").cast("long").alias("event_id"), "error")
 
 
-@query("SELECT 'r' || n_regionkey || '/' || n_name || '.txt' AS name, length(n_name) * (n_nationkey + 1)::BIGINT AS expected_bytes FROM nation")
+def _bundle(rows: DataFrame, name: str) -> str:
+    """A fresh folder of the shared one with the files of `rows` (name, content)."""
+    spark = rows.sparkSession
+    folder = fresh_path(spark, name)
+    spark.dataSource.register(bundle.FileBundle)
+    rows.write.format("file_bundle").mode("append").save(folder)
+    return folder
+
+
+@query("""SELECT 'r' || n_regionkey || '.zip' AS archive, n_name || '.txt' AS name, length(n_name) * (n_nationkey + 1)::BIGINT AS expected_bytes, true AS sampled FROM nation""")
 def zip_members(spark, sf_dir):
-    """An archive's directory, and its first members by their headers."""
-    folder = fresh_path(spark, "zip").removeprefix("file:")
-    os.makedirs(folder, exist_ok=True)
-    path = f"{folder}/nations.zip"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-        for r in table(spark, sf_dir, "nation").collect():  # a dimension of 25 rows
-            out.writestr(f"r{r.n_regionkey}/{r.n_name}.txt", r.n_name * (r.n_nationkey + 1))
-    spark.dataSource.register(zip_index.ZipIndex)
-    listed = spark.read.format("zip_index").option("paths", path).load().select("name", "expected_bytes")
-    with open(path, "rb") as file:
-        first = spark.createDataFrame([(name, len(data)) for name, data in zip_index.first_members(file)], "name string, expected_bytes long")
-    return listed.intersect(first)
+    """Directories of archives, read in parts by a table function, and members by the headers before them; both must tell the same."""
+
+    def packed(rows):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as out:
+            for r in rows.sort_values("n_nationkey").itertuples():
+                out.writestr(f"{r.n_name}.txt", r.n_name * (r.n_nationkey + 1))
+        return pd.DataFrame({"name": [f"r{rows.n_regionkey.iloc[0]}.zip"], "content": [data.getvalue()]})
+
+    folder = _bundle(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").groupBy("n_regionkey").applyInPandas(packed, "name string, content binary"), "zip")
+    archives = manifests.listing(spark, folder, "*.zip").select("path", F.element_at(F.split("path", "/"), -1).alias("archive"))
+
+    def sampled(batches):
+        for batch in batches:
+            for path, archive in zip(batch.path, batch.archive):
+                with store.opened(path) as file:
+                    yield pd.DataFrame([(archive, name, len(data)) for name, data in zip_index.first_members(file)], columns=["archive_", "name_", "n"])
+
+    listed = zip_index.archive_members(archives, "path", 3)
+    first = archives.mapInPandas(sampled, "archive_ string, name_ string, n long")
+    same = (F.col("archive") == F.col("archive_")) & (F.col("name") == F.col("name_"))
+    told = F.coalesce((F.col("n") == F.col("expected_bytes")) & F.col("error").isNull(), F.lit(False))
+    return listed.join(first, same, "full").select(F.coalesce("archive", "archive_").alias("archive"), F.coalesce("name", "name_").alias("name"), "expected_bytes", told.alias("sampled"))
+
+
+@query("""SELECT 'n' || n_regionkey || '.mat' AS file, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INT AS id, n_name AS name, n_nationkey FROM nation""")
+def mat_lookups(spark, sf_dir):
+    """Names in cells of MATLAB files, each a partition, half of them deflated, joined by their place."""
+
+    def stored(rows):
+        region = int(rows.n_regionkey.iloc[0])
+        return pd.DataFrame({"name": [f"n{region}.mat"], "content": [mat.cell_file({"names": rows.sort_values("n_nationkey").n_name.tolist()}, region % 2 == 1)]})
+
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    folder = _bundle(nations.groupBy("n_regionkey").applyInPandas(stored, "name string, content binary"), "mat")
+    spark.dataSource.register(mat.MatFile)
+    paths = ",".join(f"{folder}/n{k}.mat" for k in sorted(r[0] for r in nations.select("n_regionkey").distinct().collect()))  # a row for each region
+    found = spark.read.format("mat_file").option("paths", paths).load().filter("variable = 'names'")
+    lookup = found.select(F.element_at(F.split("file", "/"), -1).alias("file"), F.get("place", F.lit(0)).alias("id"), F.col("text").alias("name"))
+    nth = F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    numbered = nations.select(F.concat(F.lit("n"), F.col("n_regionkey").cast("string"), F.lit(".mat")).alias("file"), nth.alias("id"), "n_nationkey")
+    return lookup.join(numbered, ["file", "id"], "full").select("file", "id", "name", "n_nationkey")
+
+
+@query(f"WITH {_PRED} SELECT class_index, class, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, support, predicted, 10::BIGINT AS files FROM scored")
+def report_bundle(spark, sf_dir):
+    """A report written as one bundle, a second one into its folder refused, and its table of classes read again."""
+    found = evaluate.evaluate(predictions(spark, sf_dir), CLASSES)
+    folder = report.write_report(found, fresh_path(spark, "report"), {"task": "flags", "seed": 1})
+    try:
+        report.write_report(found, folder, {})
+    except RefusedInput:
+        files = manifests.listing(spark, folder).count() + 1
+    names = "class_index int, class string, precision double, recall double, f1 double, support long, predicted long"
+    read = tables.read_csv(spark, f"{folder}/per_class.csv", "class_index int, class string, display_class string, precision double, recall double, f1 double, support long, predicted long", [x.split()[0] for x in names.split(", ")])
+    return _rounded(read, "precision", "recall", "f1").withColumn("files", F.lit(files).cast("long"))
+
+
+@query("SELECT r_name AS subject, CASE WHEN r_regionkey % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS exposures, CASE WHEN r_regionkey % 2 = 0 THEN 'second' ELSE 'first' END || r_regionkey AS last_job, CASE WHEN r_regionkey = 3 THEN 'failed' ELSE 'succeeded' END AS status, true AS refused FROM region")
+def exposures(spark, sf_dir):
+    """Test sets evaluated once or twice, of which the ledger tells; without a confirmation the second time is refused."""
+    ledger, refused = store.Ledger(spark, fresh_path(spark, "ledger")), []
+    run = lambda r, job, **kw: store.evaluated(ledger, r.r_name, f"{job}{r.r_regionkey}", "2024-01-01T00:00:00+00:00", lambda: 1 // (r.r_regionkey - 3), **kw)
+    for r in table(spark, sf_dir, "region").collect():  # a dimension of five rows
+        try:
+            run(r, "first")
+        except ZeroDivisionError:
+            pass
+        try:
+            run(r, "more")
+        except RefusedInput:
+            refused.append(r.r_name)
+        if r.r_regionkey % 2 == 0:
+            run(r, "second", confirmed=True)
+    jobs = ledger.jobs().select(F.col("job").alias("last_job"), "status")
+    return ledger.exposures().join(jobs, "last_job").select("subject", "exposures", "last_job", "status", F.col("subject").isin(refused).alias("refused"))
 
 
 # ---------------------------------------------------------------- images, models, remote calls
@@ -181,6 +255,76 @@ def image_checks(spark, sf_dir):
     return scoring.inspect_images(rows, box="bbox").select("p_partkey", "image.status", "image.width", "image.height")
 
 
+@query("""WITH i AS (SELECT p_partkey AS k, (p_partkey * 37 % 256)::DOUBLE / 255 AS r, (p_partkey * 91 % 256)::DOUBLE / 255 AS g, (p_partkey * 53 % 256)::DOUBLE / 255 AS b, p_partkey % 11 != 0 AS fine FROM part)
+  SELECT k AS p_partkey, CASE WHEN fine THEN round((r - 0.485::DOUBLE) / 0.229::DOUBLE, 4) END AS red, CASE WHEN fine THEN round((g - 0.456::DOUBLE) / 0.224::DOUBLE, 4) END AS green,
+  CASE WHEN fine THEN round((b - 0.406::DOUBLE) / 0.225::DOUBLE, 4) END AS blue, CASE WHEN fine THEN 12 END AS numbers, CASE WHEN fine THEN '' ELSE 'ValueError: a chunk is cut off or damaged' END AS error FROM i""")
+def png_arrays(spark, sf_dir):
+    """PNG images of each filter, the part inside a box as an array of one size; broken ones say why."""
+
+    @F.pandas_udf("binary")
+    def drawn(keys: pd.Series) -> pd.Series:
+        def one(k):
+            rgb = np.full((5, 6, 3), 9, dtype=np.uint8)
+            rgb[1:4, 2:5] = k * 37 % 256, k * 91 % 256, k * 53 % 256
+            data = png.encode(rgb, k % 5)
+            return data[:-20] if k % 11 == 0 else data
+
+        return keys.map(one)
+
+    box = F.struct(F.lit(2).alias("x1"), F.lit(1).alias("y1"), F.lit(5).alias("x2"), F.lit(4).alias("y2"))
+    rows = _part(spark, sf_dir).select("p_partkey", drawn("p_partkey").alias("content"), box.alias("box"))
+    pixels = F.col("array.pixels")
+    mean = lambda k: F.aggregate(F.filter(pixels, lambda v, i: i % 3 == k), F.lit(0.0), lambda a, v: a + v.cast("double")) / 4
+    seen = scoring.image_arrays(rows, 2, box="box")
+    return _rounded(seen.select("p_partkey", mean(0).alias("red"), mean(1).alias("green"), mean(2).alias("blue"), F.when(pixels.isNotNull(), F.size(pixels)).alias("numbers"), "array.error"), "red", "green", "blue", places=4)
+
+
+@query("""SELECT 'img' || p_partkey AS key, CASE WHEN p_partkey % 10 = 3 OR p_partkey % 2 = 0 THEN 2 ELSE 1 END AS attempt, CASE WHEN p_partkey % 10 = 3 THEN 'ValueError: no image' ELSE '' END AS error,
+  CASE WHEN p_partkey % 10 = 3 THEN NULL WHEN p_partkey % 2 = 0 THEN 'later' ELSE 'm' || p_partkey % 3 END AS make_pred FROM part""")
+def remote_resumed(spark, sf_dir):
+    """A run in which half of the calls end in a limit, and a second that asks only for what has no answer; errors that pass are tried again at once."""
+    failed_once: set[str] = set()  # a worker's own
+
+    def first(image):
+        k = int(image[3:])
+        if k % 10 == 3:
+            raise ValueError("no image")
+        if k % 2 == 0:
+            raise RuntimeError("429 quota")
+        if k % 5 == 1 and image not in failed_once:
+            failed_once.add(image)
+            raise RuntimeError("503 unavailable")
+        return {"make": f"m{k % 3}"}, {"prompt": 1, "output": 1}
+
+    def second(image):
+        k = int(image[3:])
+        if k % 10 == 3:
+            raise ValueError("no image")
+        if k % 2:
+            raise RefusedInput("asked again")
+        return {"make": "later"}, {}
+
+    rows = _part(spark, sf_dir).select(F.concat(F.lit("img"), F.col("p_partkey").cast("string")).alias("image"))
+    folder = fresh_path(spark, "answers")
+    remote.ask(rows, "image", first, ["make"], folder, waves=1, retries=2, wait=0.0)
+    return remote.ask(rows, "image", second, ["make"], folder, waves=2, wait=0.0).select("key", "attempt", "error", "make_pred")
+
+
+_BOX = "greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1))"
+
+
+@query(f"""WITH b AS (SELECT p_partkey AS id, p_partkey % 40 AS image, p_partkey * 37 % 200 AS x1, p_partkey * 91 % 150 AS y1, p_partkey * 37 % 200 + 20 + p_partkey * 13 % 30 AS x2, p_partkey * 91 % 150 + 20 + p_partkey * 17 % 25 AS y2, p_partkey * 7919 % 100003 AS score FROM part),
+  l AS (SELECT image, list([{{'id': id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] ORDER BY score DESC) AS boxes FROM b GROUP BY 1),
+  k AS (SELECT image, list_reduce(boxes, lambda kept, x: CASE WHEN len(list_filter(kept, lambda a: 2 * {_BOX.format(a="a", b="x[1]")} > (a.x2 - a.x1) * (a.y2 - a.y1) + (x[1].x2 - x[1].x1) * (x[1].y2 - x[1].y1) - {_BOX.format(a="a", b="x[1]")})) > 0 THEN kept ELSE list_concat(kept, x) END) AS kept FROM l)
+  SELECT image, unnest(kept).id AS id FROM k""")
+def suppressed_boxes(spark, sf_dir):
+    """Of boxes that overlap by more than half the best stay."""
+    k = F.col("p_partkey")
+    x, y = k * 37 % 200, k * 91 % 150
+    boxes = _part(spark, sf_dir).select(k.alias("id"), (k % 40).alias("image"), x.alias("x1"), y.alias("y1"), (x + 20 + k * 13 % 30).alias("x2"), (y + 20 + k * 17 % 25).alias("y2"), (k * 7919 % 100003).alias("score"))
+    return suppression.suppressed(boxes, "image", "score").filter("kept").select("image", "id")
+
+
 @query("""SELECT 'img' || p_partkey AS image, CASE WHEN p_partkey % 10 = 0 THEN 'ValueError: no image img' || p_partkey ELSE '' END AS error, CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE p_partkey % 7 END AS prompt_tokens,
   CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE 1 END::BIGINT AS output_tokens, CASE WHEN p_partkey % 10 != 0 THEN 'm' || p_partkey % 3 END AS make_pred, CASE WHEN p_partkey % 10 != 0 AND p_partkey % 4 != 0 THEN 'x' END AS model_pred FROM part""")
 def remote_answers(spark, sf_dir):
@@ -268,13 +412,28 @@ def class_digest(spark, sf_dir):
     return spark.createDataFrame([(gates.class_order_digest(names), len(names))], "sha256 string, classes long")
 
 
-@query("SELECT 7 AS seed, 3 AS epochs, 'cpu' AS device, 'make,model' AS answered, true AS utc")
-def run_record(spark, sf_dir):
-    """N1, N5, N7, M25."""
-    config = gates.overlay({"seed": 1, "epochs": 3}, {"seed": 7, "device": "cpu", "epochs": 9})
-    told = gates.run_metadata(config)
-    answered = scoring.answerable(["make", "colour", "model"], "tuned")
-    return spark.createDataFrame([(told["seed"], told["config"]["epochs"], config["device"], ",".join(answered), told["timestamp_utc"].endswith("+00:00"))], "seed int, epochs int, device string, answered string, utc boolean")
+@query("SELECT event_type AS run, max(event_id) AS seed, 3 AS epochs, 'cpu' AS device, 'make,model' AS answered, true AS utc, 2 AS sources FROM events GROUP BY 1")
+def run_records(spark, sf_dir):
+    """For each run of a log the configuration with what its record overrides, the attributes that are asked for, and a snapshot of sources."""
+    found = []
+    for r in table(spark, sf_dir, "events").groupBy("event_type").agg(F.max("event_id").alias("seed")).collect():  # a row for each run
+        config = gates.overlay({"seed": 1, "epochs": 3}, {"seed": r.seed, "device": "cpu", "epochs": 9})
+        told = gates.run_metadata(config)
+        hashes = gates.source_snapshot(spark, [stats.__file__, labels.__file__], fresh_path(spark, "sources"))
+        answered = scoring.answerable(["make", "colour", "model"], "tuned")
+        found.append((r.event_type, told["seed"], told["config"]["epochs"], config["device"], ",".join(answered), told["timestamp_utc"].endswith("+00:00"), len(hashes)))
+    return spark.createDataFrame(found, "run string, seed long, epochs int, device string, answered string, utc boolean, sources int")
+
+
+@query("""WITH c AS (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN p_brand || ' ' ELSE p_brand END AS raw_label FROM part WHERE p_size % 2 = (right(p_brand, 1)::INT % 2)), n AS (SELECT raw_label, row_number() OVER (ORDER BY raw_label) - 1 AS class_id FROM c)
+  SELECT class_id::INT AS class_id, raw_label, trim(raw_label) AS display_label, raw_label != trim(raw_label) AS changed FROM n""")
+def label_mapping(spark, sf_dir):
+    """A list of classes with their numbers, in a file, whose labels have blanks around them."""
+    odd = F.substring("p_brand", -1, 1).cast("int") % 2
+    some = _part(spark, sf_dir).filter(F.col("p_size") % 2 == odd)
+    names = some.select(F.when(odd == 0, F.concat("p_brand", F.lit(" "))).otherwise(F.col("p_brand")).alias("raw")).distinct().groupBy().agg(F.array_sort(F.collect_set("raw")).alias("names"))  # class names
+    content = names.select(F.lit("classes.json").alias("name"), F.encode(F.to_json(F.map_from_arrays("names", F.sequence(F.lit(0), F.size("names") - 1))), "utf-8").alias("content"))
+    return evaluate.class_table(spark, tables.read_classes(spark, f"{_bundle(content, 'classes')}/classes.json"), "strip")
 
 
 CHECKPOINT = {
@@ -286,8 +445,8 @@ CHECKPOINT = {
 def _refusals(spark: SparkSession, sf_dir: str) -> list[tuple[str, bool, object]]:
     """(gate, whether it should refuse, call)."""
     rows = manifest(spark, sf_dir)
-    folder = tempfile.mkdtemp(prefix="tabulon-gates-")  # the driver's own: what these gates guard
-    gates.write_new(folder, "a.txt", "x")
+    folder = fresh_path(spark, "gates")
+    store.write_new(spark, folder, "a.txt", "x")
     context = {f: f for f in gates.FROZEN_FIELDS} | {"code_hashes": {"x.py": "1"}}
     frozen = context | {"schema": "frozen_run/1", "status": "frozen"}
     config = CHECKPOINT["config"]
@@ -336,13 +495,13 @@ def _refusals(spark: SparkSession, sf_dir: str) -> list[tuple[str, bool, object]
         ("A32 changed checkpoint", True, lambda: gates.require_proof(read, "cd", score, score)),
         ("A32 other rows", True, lambda: gates.require_proof(read, "ab", score, score | {"rows": 4})),
         ("K3 NaN", True, lambda: tables.strict_json({"a": float("nan")})),
-        ("K5 folder in use", True, lambda: gates.fresh_folder(folder)),
-        ("K6 file in use", True, lambda: gates.write_new(folder, "a.txt", "y")),
-        ("K6 out of the folder", True, lambda: gates.write_new(folder, "../a.txt", "y")),
+        ("K5 folder in use", True, lambda: store.fresh_folder(spark, folder)),
+        ("K6 file in use", True, lambda: store.write_new(spark, folder, "a.txt", "y")),
+        ("K6 out of the folder", True, lambda: store.write_new(spark, folder, "../a.txt", "y")),
         ("M10 fraction", True, lambda: tables.checked_count(0.5)),
         ("M10 whole number", False, lambda: tables.checked_count(1.0)),
         ("N6 failure told with 2", False, lambda: code(2, unusable)),
-        ("N8 snapshot into a folder in use", True, lambda: gates.source_snapshot([__file__], folder)),
+        ("N8 snapshot into a folder in use", True, lambda: gates.source_snapshot(spark, [__file__], folder)),
     ]
 
 

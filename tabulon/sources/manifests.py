@@ -65,15 +65,6 @@ def surveillance_manifest(files: DataFrame, colours: DataFrame, names: DataFrame
     return out.select("image_path", "surveillance_model_id", "make_name", "model_name", "web_nature_model_id", "color_id", "color_name", "split")
 
 
-def read_mat(path: str, name: str):
-    """A variable of a MATLAB file, where scipy is installed."""
-    try:
-        from scipy.io import loadmat
-    except ImportError as error:
-        raise NotImplementedError("MATLAB files need scipy") from error
-    return loadmat(path)[name]
-
-
 def viewpoints(df: DataFrame, column: str = "viewpoint") -> DataFrame:
     """viewpoint, name, n; a code without a name is `unknown-` and the code."""
     name = F.try_element_at(F.create_map(*[F.lit(x) for pair in VIEWPOINTS.items() for x in pair]), F.col(column).cast("int"))

@@ -158,3 +158,18 @@ def table(found: DataFrame, variable: str, columns: list[str]) -> DataFrame:
     value = F.coalesce("text", whole)
     cells = [F.max(F.when(F.get("place", F.lit(1)) == k, value)).alias(c) for k, c in enumerate(columns, 1)]
     return some.groupBy("file", F.get("place", F.lit(0)).alias("row")).agg(*cells).select("row", *columns)
+
+
+def _stored(kind: int, content: bytes) -> bytes:
+    return struct.pack("<II", kind, len(content)) + content + b"\0" * (-len(content) % 8)
+
+
+def cell_file(variables_: dict[str, list[str]], deflate: bool = False) -> bytes:
+    """A file of variables that are columns of texts, as cells."""
+    def matrix(kind: int, shape: tuple[int, int], body: bytes, name: str = "") -> bytes:
+        return _stored(_MATRIX, _stored(6, struct.pack("<II", kind, 0)) + _stored(5, struct.pack("<2i", *shape)) + _stored(1, name.encode("latin-1")) + body)
+
+    text = lambda t: matrix(_CHAR, (1, len(t.encode("utf-16-le")) // 2) if t else (0, 0), _stored(17, t.encode("utf-16-le")))
+    found = [matrix(_CELL, (len(texts), 1), b"".join(map(text, texts)), name) for name, texts in variables_.items()]
+    packed = [struct.pack("<II", _DEFLATED, len(z)) + z for z in map(zlib.compress, found)] if deflate else found
+    return b"MATLAB 5.0 MAT-file".ljust(124, b" ") + b"\0\1IM" + b"".join(packed)

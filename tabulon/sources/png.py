@@ -120,3 +120,18 @@ def _weights(n: int, to: int) -> np.ndarray:
 def resized(rgb: np.ndarray, height: int, width: int) -> np.ndarray:
     """Means of the areas that the new pixels cover, as numbers from 0 to 255."""
     return np.einsum("yh,hwc,xw->yxc", _weights(rgb.shape[0], height), rgb.astype(float), _weights(rgb.shape[1], width), optimize=True)
+
+
+def encode(rgb: np.ndarray, kind: int = 4) -> bytes:
+    """A PNG image of RGB bytes, with one of the five filters (0 none, 1 left, 2 above, 3 their mean, 4 the nearest of left, above and both)."""
+    height, width = rgb.shape[:2]
+    now = rgb.reshape(height, width * 3).astype(np.int16)
+    left, up, both = (np.zeros_like(now) for _ in range(3))
+    left[:, 3:], up[1:], both[1:, 3:] = now[:, :-3], now[:-1], now[:-1, :-3]
+    whole = left + up - both
+    near = [np.abs(whole - v) for v in (left, up, both)]
+    nearest = np.where((near[0] <= near[1]) & (near[0] <= near[2]), left, np.where(near[1] <= near[2], up, both))
+    lines = (now - (0, left, up, left + up >> 1, nearest)[kind]).astype(np.uint8)
+    raw = np.concatenate((np.full((height, 1), kind, dtype=np.uint8), lines), axis=1).tobytes()
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    return MARK + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")

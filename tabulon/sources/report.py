@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
+from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
 
 from tabulon.errors import RefusedInput
 from tabulon.functions.labels import GUARDED
 from tabulon.operators.evaluate import cross_check
-from tabulon.operators.gates import fresh_folder, run_metadata, write_new
-from tabulon.sources.tables import matrix_table, strict_json, write_csv
+from tabulon.operators.gates import run_metadata
+from tabulon.sources.bundle import FileBundle
+from tabulon.sources.store import in_use
+from tabulon.sources.tables import matrix_table, strict_json
 
 #: Told with every result.
 POLICY = {
@@ -30,28 +36,52 @@ def require_confirmed(split_name: str, confirmed: bool = False) -> None:
         raise RefusedInput(f"split {split_name!r} needs a confirmation")
 
 
-def write_report(found: dict[str, DataFrame], folder: str, config: dict[str, Any], log: list[str] | None = None) -> Path:
-    """metrics.json, per_class, matrix, mapping, excluded, warnings.json, environment.json, run_log.txt, README.md of evaluate()'s tables.
+def csv_text(columns: list[str], rows: list[tuple]) -> str:
+    """Rows as CSV with a header; null is empty, a text that needs it is quoted."""
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator="\n")
+    writer.writerow(columns)
+    writer.writerows(rows)
+    return out.getvalue()
 
-    All but the excluded rows are of the classes' size and go through the driver; those are written where they are.
+
+def _csv_files(columns: list[str], folder: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        for k, batch in enumerate(batches):
+            if len(batch):
+                rows = [tuple(None if pd.isna(v) else v for v in r) for r in batch.itertuples(index=False, name=None)]
+                yield pd.DataFrame({"name": [f"{folder}/{TaskContext.get().partitionId():06d}-{k:06d}.csv"], "content": [csv_text(columns, rows).encode()]})
+
+    return run
+
+
+def write_report(found: dict[str, DataFrame], folder: str, config: dict[str, Any], log: list[str] | None = None) -> str:
+    """metrics.json, per_class.csv, matrix.csv, mapping.csv, excluded/, warnings.json, environment.json, run_log.txt, README.md of evaluate()'s tables, as one bundle.
+
+    The folder may be in any store; it is refused if it holds anything, and a report that can't be written leaves nothing. All but the
+    excluded rows are of the classes' size and go through the driver; those are written by the tasks that have them.
     """
-    target = fresh_folder(folder)
+    spark = found["summary"].sparkSession
+    if in_use(spark, folder):
+        raise RefusedInput(f"{folder} isn't empty")
     row = found["summary"].first().asDict()
-    checked = cross_check(found["cells"], found["mapping"])
-    metrics = row | {"arithmetic_check": checked, "policy": POLICY}
-    write_new(folder, "metrics.json", strict_json(metrics))
-    write_csv(found["per_class"], str(target / "per_class"), single=True)
-    write_csv(matrix_table(found["cells"], found["mapping"]), str(target / "matrix"), single=True)
-    write_csv(found["mapping"].orderBy("class_id"), str(target / "mapping"), single=True)
-    write_csv(found["excluded"], str(target / "excluded"))
+    metrics = row | {"arithmetic_check": cross_check(found["cells"], found["mapping"]), "policy": POLICY}
+    small = {"per_class": found["per_class"], "matrix": matrix_table(found["cells"], found["mapping"]), "mapping": found["mapping"].orderBy("class_id")}
     metadata = run_metadata(config)
     warnings = [f"{k}: {', '.join(row[k])}" for k in ("classes_with_zero_support", "classes_never_predicted") if row[k]]
-    write_new(folder, "warnings.json", json.dumps(warnings, ensure_ascii=False, indent=2))
-    write_new(folder, "environment.json", json.dumps(metadata, indent=2))
-    write_new(folder, "run_log.txt", "\n".join([f"started: {metadata['timestamp_utc']}", f"command: {metadata['command']}", "", *(log or []), f"rows: {row['rows']}, correct: {row['correct']}"]) + "\n")
     lines = [f"# Evaluation of {config.get('task', 'labels')}", "", f"{row['correct']} of {row['rows']} rows are right.", "", *[f"- {k}: {row[k]}" for k in ("accuracy", "macro_f1", "weighted_f1")]]
-    write_new(folder, "README.md", "\n".join(lines) + "\n")
-    return target
+    files = {f"{name}.csv": csv_text(df.columns, [tuple(r) for r in df.collect()]) for name, df in small.items()} | {
+        "metrics.json": strict_json(metrics), "warnings.json": json.dumps(warnings, ensure_ascii=False, indent=2), "environment.json": json.dumps(metadata, indent=2),
+        "run_log.txt": "\n".join([f"started: {metadata['timestamp_utc']}", f"command: {metadata['command']}", "", *(log or []), f"rows: {row['rows']}, correct: {row['correct']}"]) + "\n",
+        "README.md": "\n".join(lines) + "\n", "excluded/columns.csv": csv_text(found["excluded"].columns, []),
+    }
+    told = spark.createDataFrame([(name, bytearray(text.encode())) for name, text in files.items()], "name string, content binary")
+    rows = found["excluded"].mapInPandas(_csv_files(found["excluded"].columns, "excluded"), "name string, content binary")
+    spark.dataSource.register(FileBundle)
+    told.coalesce(1).unionByName(rows).write.format("file_bundle").mode("append").save(folder)
+    return folder
 
 
 def read_config(path: str) -> dict[str, Any]:

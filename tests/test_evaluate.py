@@ -123,9 +123,12 @@ def test_report(spark, tmp_path):
     from tabulon.sources import report
 
     found = E.evaluate(rows(spark, [("a", "a"), ("a", "b"), ("z", "b")]), ["a", "b"], allow_unusable=True)
-    folder = report.write_report(found, str(tmp_path / "out"), {"task": "make", "seed": 1})
+    report.write_report(found, str(tmp_path / "out"), {"task": "make", "seed": 1})
+    folder = tmp_path / "out"
     assert json.loads((folder / "metrics.json").read_text())["accuracy"] == 0.5
-    assert sorted(p.name for p in folder.iterdir()) == ["README.md", "environment.json", "excluded", "mapping", "matrix", "metrics.json", "per_class", "run_log.txt", "warnings.json"]
+    assert sorted(p.name for p in folder.iterdir()) == ["README.md", "environment.json", "excluded", "mapping.csv", "matrix.csv", "metrics.json", "per_class.csv", "run_log.txt", "warnings.json"]
+    assert sorted(p.read_text() for p in (folder / "excluded").iterdir())[-1].startswith("target,prediction,reason\nz,b,")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"]
     with pytest.raises(RefusedInput):
         report.write_report(found, str(tmp_path / "out"), {})
     report.require_confirmed("latest")
