@@ -169,24 +169,25 @@ def _search(turn: np.ndarray, k: int, low: int | None, high: int | None):
                     keep = _best(a, score, ids[b], tags[b], k)
                     out.append((own[a[keep]], np.full(len(keep), -1), ids[b[keep]], tags[b[keep]], score[keep]))
                     continue
-                for n in range(max(map(len, positives[some]))):
-                    has = np.array([len(p) > n for p in positives[some]])
-                    tag = np.array([p[n]["tag"] if len(p) > n else -1 for p in positives[some]])
-                    top = np.array([p[n]["score"] if len(p) > n else 0 for p in positives[some]], dtype=np.int64)
-                    floor, cap = top * low / 100, top * high / 100
-                    wanted = has[:, None] & ~same & (most >= floor[:, None] - 1) & (least <= cap[:, None] + 1)
-                    sure = wanted & (most <= cap[:, None] - 1) & (least >= floor[:, None] + 1)
-                    wanted &= most >= _least_of_best(least, sure, k)[:, None]
-                    a, b = np.nonzero(wanted)
-                    under, over = block.further(part[a, b], a + at, b)
-                    inside = (over <= cap[a] - 1) & (under >= floor[a] + 1)
-                    fit = (over >= floor[a] - 1) & (under <= cap[a] + 1) & (over >= _pair_bounds(under, a, inside, len(part), k)[a])
-                    a, b = a[fit], b[fit]
-                    score = _products(block.q, block.x, a + at, b)
-                    right = (score * 100 >= top[a] * low) & (score * 100 <= top[a] * high)
-                    a, b, score = a[right], b[right], score[right]
-                    keep = _best(a, score, ids[b], tags[b], k)
-                    out.append((own[a[keep] + at], tag[a[keep]], ids[b[keep]], tags[b[keep]], score[keep]))
+                given = positives[some]
+                tops = np.array([[p[n]["score"] if n < len(p) else p[0]["score"] for n in range(max(map(len, given)))] for p in given], dtype=np.int64)
+                # of all positives together once; then each looks at what this leaves
+                wanted = ~same & (most >= tops.min(axis=1)[:, None] * (low / 100) - 1) & (least <= tops.max(axis=1)[:, None] * (high / 100) + 1)
+                a, b = np.nonzero(wanted)
+                under, over = block.further(part[a, b], a + at, b)
+                for n, top in enumerate(tops.T):
+                    has = np.array([n < len(p) for p in given])
+                    floor, cap = (top * low / 100)[a], (top * high / 100)[a]
+                    fit = has[a] & (over >= floor - 1) & (under <= cap + 1)
+                    inside = fit & (over <= cap - 1) & (under >= floor + 1)
+                    fit &= over >= _pair_bounds(under, a, inside, len(part), k)[a]
+                    x, y = a[fit], b[fit]
+                    score = _products(block.q, block.x, x + at, y)
+                    right = (score * 100 >= top[x] * low) & (score * 100 <= top[x] * high)
+                    x, y, score = x[right], y[right], score[right]
+                    keep = _best(x, score, ids[y], tags[y], k)
+                    tag = np.array([p[n]["tag"] if n < len(p) else -1 for p in given])
+                    out.append((own[x[keep] + at], tag[x[keep]], ids[y[keep]], tags[y[keep]], score[keep]))
         columns = [np.concatenate([o[c] for o in out]).astype(np.int64) if out else np.empty(0, dtype=np.int64) for c in range(5)]
         release()
         return pa.table([pa.array(c) for c in columns], names=[x.split()[0] for x in FOUND.split(", ")])
