@@ -74,13 +74,15 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float], by: Sequence[
     state = first.select(*on, "__rows", *[_state(r, no, no, F.lit(0), F.col("__rows"), no).alias(f"w{k}") for k, r in enumerate(ranks)]).filter("__rows > 0").checkpoint()
     few = state.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     w = [F.col(f"w{k}") for k in range(wants)]
+    whole = True  # in the first round all ranks are looked for among all rows: one sketch tells of each
     while state.filter(F.greatest(*[x["inside"] for x in w], F.lit(0)) > FEW).limit(1).count():
         grid = [j / GRID for j in range(GRID + 1)]
-        seen = _with(rows, state, on, few).groupBy(*on).agg(*[F.percentile_approx(F.when(_within(v, x), v), grid, F.lit(ACCURACY)).alias(f"g{k}") for k, x in enumerate(w)])
+        seen = _with(rows, state, on, few).groupBy(*on).agg(*[F.percentile_approx(F.when(_within(v, x), v), grid, F.lit(ACCURACY)).alias(f"g{k}") for k, x in enumerate(w[:1] if whole else w)])
         probed = state.join(seen, on) if on else state.crossJoin(F.broadcast(seen))
         at = lambda k: F.coalesce(F.try_divide(w[k]["rank"] - w[k]["below"], w[k]["inside"]), F.lit(0.0)) * GRID
-        near = lambda k, j: F.get(f"g{k}", F.greatest(F.lit(0), F.least(F.lit(GRID), F.floor(at(k)) + (0, 1, 2)[j] - (1, 0, 0)[j])).cast("int"))
+        near = lambda k, j: F.get("g0" if whole else f"g{k}", F.greatest(F.lit(0), F.least(F.lit(GRID), F.floor(at(k)) + (0, 1, 2)[j] - (1, 0, 0)[j])).cast("int"))
         probed = probed.select(*on, "__rows", *[f"w{k}" for k in range(wants)], *[near(k, j).alias(f"m{k}_{j}") for k in range(wants) for j in range(3)]).checkpoint()
+        whole = False
         counts = [c for k in range(wants) for j in range(3) for c in (F.count_if(v < F.col(f"m{k}_{j}")).alias(f"l{k}_{j}"), F.count_if(v == F.col(f"m{k}_{j}")).alias(f"e{k}_{j}"))]
         counted = _with(rows, probed, on, few).groupBy(*on).agg(*counts)
         both = probed.join(counted, on) if on else probed.crossJoin(F.broadcast(counted))
