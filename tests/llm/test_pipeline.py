@@ -46,3 +46,30 @@ def test_registered():
     names = list(entry.queries())
     assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
     assert len(P.STAGES) == 5 and P.ORACLE_SQL is None
+
+
+def test_stages_on_odd_rows(spark, docs, empty):
+    """Nulls in any column, empty texts, repeated rows, rows without id, and columns with odd names pass through all stages."""
+    for df, least in ((docs, 20), (empty, 0)):
+        for _, stage in P.STAGES[:-1]:
+            df = stage(spark, df, "").cache()
+            assert df.columns == docs.columns and df.count() >= least
+        pieces = P.STAGES[-1][1](spark, df, "")
+        assert pieces.count() >= least and (least == 0 or pieces.agg({"length": "max"}).first()[0] <= 2048)
+
+
+def test_a_failed_run_leaves_no_folder(spark, docs, tmp_path, monkeypatch):
+    from tabulon.llm.common import shared_folder
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+
+    def fails(spark, docs, sf_dir):
+        raise ValueError("stopped")
+
+    monkeypatch.setattr(P, "STAGES", [P.STAGES[1], ("fails", fails), P.STAGES[-1]])
+    with pytest.raises(ValueError, match="stopped"):
+        P.run(spark, str(tmp_path))
+    shared = shared_folder(spark).removeprefix("file:")
+    assert [x for x in os.listdir(shared) if x.startswith("pipeline-")] == []
+    monkeypatch.setattr(P, "STAGES", [P.STAGES[0], P.STAGES[-1]])
+    assert P.run(spark, str(tmp_path)).count() > 0 and [x for x in os.listdir(shared) if x.startswith("pipeline-")] == []
