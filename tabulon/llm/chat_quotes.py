@@ -17,7 +17,6 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tabulon.llm.common import cut, distributed_rank, ship, tidy
 from tabulon.llm.components import components
@@ -167,16 +166,22 @@ def _round(state: DataFrame, forward: bool) -> DataFrame:
 
     forward: a waiting link before whose origin no message of the conversation has a waiting link gets its level,
     one more than the highest there. Else: a waiting link after whose message none starts waits no more.
+
+    What a conversation's links tell is summed up before it meets them: the first or last turn that waits, and from which
+    turn on each level is reached. So a conversation that is quoted by very many is no group of theirs.
     """
-    end = lambda conv, turn, kind: F.struct(F.col(conv).alias("at"), F.col(turn).alias("t"), F.lit(kind).alias("kind"), F.struct(*state.columns).alias("link"))
-    events = state.select(F.inline(F.array(end("conv_id", "turn", 0), end("of_conv_id", "of_turn", 1))))
-    seen, kept = (0, 1) if forward else (1, 0)  # kind of the events that count, and of those that stay
-    order = W.partitionBy("at").orderBy(*(("t", "kind") if forward else (F.desc("t"), F.desc("kind")))).rowsBetween(W.unboundedPreceding, -1)
-    among = lambda c: F.max(F.when(F.col("kind") == seen, F.col(c))).over(order)
-    after = events.select("kind", "link.*", among("link.waits").alias("_w"), among("link.level").alias("_l")).filter(F.col("kind") == kept)
-    ready = F.col("waits") & ~F.coalesce("_w", F.lit(False))
-    level = F.when(ready, F.coalesce("_l", F.lit(0)) + 1).otherwise(F.col("level")) if forward else F.col("level")
-    return after.select("conv_id", "turn", "of_conv_id", "of_turn", level.alias("level"), (F.col("waits") & ~ready).alias("waits"))
+    if not forward:
+        told = state.filter("waits").groupBy(F.col("of_conv_id").alias("c")).agg(F.max("of_turn").alias("last"))
+        seen = state.join(told, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+        ready = F.col("waits") & (F.col("last").isNull() | (F.col("last") < F.col("turn")))
+        return seen.select("conv_id", "turn", "of_conv_id", "of_turn", "level", (F.col("waits") & ~ready).alias("waits"))
+    own = state.groupBy("conv_id", "level").agg(F.min(F.when(F.col("waits"), F.col("turn"))).alias("first"), F.min("turn").alias("from"))
+    told = own.groupBy(F.col("conv_id").alias("c")).agg(F.min("first").alias("first"), F.collect_list(F.struct(F.coalesce("level", F.lit(0)).alias("level"), "from")).alias("steps"))
+    seen = state.join(told, F.col("of_conv_id").eqNullSafe(F.col("c")), "left")
+    ready = F.col("waits") & (F.col("first").isNull() | (F.col("first") > F.col("of_turn")))
+    reached = F.array_max(F.transform(F.filter("steps", lambda x: x["from"] <= F.col("of_turn")), lambda x: x["level"]))
+    level = F.when(ready, F.coalesce(reached, F.lit(0)) + 1).otherwise(F.col("level"))
+    return seen.select("conv_id", "turn", "of_conv_id", "of_turn", level.alias("level"), (F.col("waits") & ~ready).alias("waits"))
 
 
 def _waiting(state: DataFrame) -> int:
