@@ -964,11 +964,11 @@ def hsv_colour(spark, sf_dir):
 
 @query("""WITH s AS (SELECT * FROM part WHERE p_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY sha256('42|' || p_partkey), p_partkey) <= 2)
   SELECT '{"contents":[{"role":"user","parts":[{"fileData":{"mimeType":"image/png","fileUri":"gs://bucket/images/' || printf('train_%04d', p_partkey) || '.png"}},{"text":"What is it?"}]},{"role":"model","parts":[{"text":"{\\"make\\":\\"'
-    || p_brand || '\\",\\"model\\":\\"' || p_name || '\\",\\"body_type\\":\\"' || p_type || '\\"}"}]}]}' AS value FROM s""")
+    || p_brand || '\\",\\"model\\":\\"' || p_name || '\\",\\"body_type\\":\\"' || p_type || '\\"}"}]}]}' AS value FROM s""".replace("What is it?", scoring.PROMPTS["raw"].replace("'", "''")))
 def tuning_jsonl(spark, sf_dir):
-    """K4, L7, M20."""
+    """K4, L7, M20, E6."""
     rows = split.sample_per_class(table(spark, sf_dir, "part"), "p_type", 2, 42, "p_partkey").withColumn("image_path", F.concat(F.lit("a/b/"), F.col("p_partkey").cast("string"), F.lit(".png")))
-    return tables.tuning_examples(rows, "What is it?", "gs://bucket", "train", "p_brand", "p_name", "p_type", order="p_partkey")
+    return tables.tuning_examples(rows, scoring.PROMPTS["raw"], "gs://bucket", "train", "p_brand", "p_name", "p_type", order="p_partkey")
 
 
 from tabulon.plans import files_and_gates as _more  # noqa: E402, F401  (registers its queries here)
