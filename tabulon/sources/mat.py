@@ -11,7 +11,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import posixpath
-from collections.abc import Iterator
 from typing import Any
 
 from pyspark.errors import PySparkException
@@ -165,8 +164,3 @@ def filesystem(path: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
-
-
-def blocks(file: Any, size: int = 1 << 20) -> Iterator[bytes]:
-    while data := file.read(size):
-        yield data
