@@ -2,17 +2,22 @@
 
 A text is cut into sentences, each normalised to its lower-case letters and digits; known sentences get their
 identifiers, and the sequence of a document's identifiers is matched against ordered rules. Of rules that match
-in one place the longest counts. Sentences and rules are parameters; those here are the texts and notices of common
-public licences, and references to them, which are built from names and phrases.
+in one place the longest counts. A sentence that isn't known gets the identifier of the known one that it is near
+to: an inverted index over the known sentences' five-word shingles gives the candidates. Sentences and rules are
+parameters; those here are the texts and notices of common public licences, and references to them, which are built
+from names and phrases.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabulon.llm.common import BLANK, text_of
+from tabulon.llm.common import BLANK, small, text_of
 
 # Sentences of public licences and notices, normalised.
 TEXTS = [
@@ -45,6 +50,53 @@ TEXTS = [
     ("gnu-received", "if not see https www gnu org licenses"),
     ("gnu-received", "if not see http www gnu org licenses"),
     ("all-rights", "all rights reserved"),
+    ("mit-0-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"),
+    ("ncsa-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("x11-name", "except as contained in this notice the name of the x consortium shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization from the x consortium"),
+    ("json-good", "the software shall be used for good not evil"),
+    ("apache-2-title", "apache license version 2 0 january 2004 http www apache org licenses"),
+    ("apache-2-title", "apache license version 2 0 january 2004"),
+    ("apache-2-terms", "terms and conditions for use reproduction and distribution"),
+    ("apache-2-means", "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document"),
+    ("apache-2-licensor", "licensor shall mean the copyright owner or entity authorized by the copyright owner that is granting the license"),
+    ("gnu-verbatim", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl-2-title", "gnu general public license version 2 june 1991"),
+    ("gpl-2-applies", "this general public license applies to most of the free software foundation s software and to any other program whose authors commit to using it"),
+    ("gpl-3-title", "gnu general public license version 3 29 june 2007"),
+    ("gpl-3-preamble", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-3-designed", "the licenses for most software and other practical works are designed to take away your freedom to share and change the works"),
+    ("lgpl-2.1-title", "gnu lesser general public license version 2 1 february 1999"),
+    ("lgpl-2.1-first", "this is the first released version of the lesser gpl"),
+    ("lgpl-3-title", "gnu lesser general public license version 3 29 june 2007"),
+    ("lgpl-3-incorporates", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below"),
+    ("agpl-3-title", "gnu affero general public license version 3 19 november 2007"),
+    ("agpl-3-preamble", "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software"),
+    ("gfdl-1.3-grant", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 3 or any later version published by the free software foundation"),
+    ("fsfap-grant", "copying and distribution of this file with or without modification are permitted in any medium without royalty provided the copyright notice and this notice are preserved"),
+    ("psf-between", "this license agreement is between the python software foundation psf and the individual or organization licensee accessing and otherwise using this software python in source or binary form and its associated documentation"),
+    ("psf-grant", "subject to the terms and conditions of this license agreement psf hereby grants licensee a nonexclusive royalty free world wide license to reproduce analyze test perform and or display publicly prepare derivative works distribute and otherwise use python alone or in any derivative version"),
+    ("cc0-laws", "the laws of most jurisdictions throughout the world automatically confer exclusive copyright and related rights defined below upon the creator and subsequent owner s each and all an owner of an original work of authorship and or a database each a work"),
+    ("mpl-2-covered", "covered software is provided under this license on an as is basis without warranty of any kind either expressed implied or statutory including without limitation warranties that the covered software is free of defects merchantable fit for a particular purpose or non infringing"),
+    ("epl-accompanying", "the accompanying program is provided under the terms of this eclipse public license agreement"),
+    ("epl-acceptance", "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"),
+    ("bsl-1-grant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("artistic-2-establishes", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("wtfpl-copy", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("0bsd-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc-grant", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("bsd-advert", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("postgresql-grant", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies"),
+    ("ofl-1.1-terms", "this font software is licensed under the sil open font license version 1 1"),
+    ("eupl-applies", "this european union public licence the eupl applies to the work as defined below which is provided under the terms of this licence"),
+    ("cddl-1-terms", "the contents of this file are subject to the terms of the common development and distribution license the license"),
+    ("ms-pl-governs", "this license governs use of the accompanying software"),
+    ("ms-pl-accept", "if you use the software you accept this license"),
+    ("openssl-includes", "this product includes software developed by the openssl project for use in the openssl toolkit http www openssl org"),
+    ("afl-3-terms", "licensed under the academic free license version 3 0"),
+    ("osl-3-terms", "licensed under the open software license version 3 0"),
+    ("upl-1-title", "the universal permissive license upl version 1 0"),
+    ("blue-oak-purpose", "this license gives everyone as much permission to work with this software as possible while protecting contributors from liability"),
+    ("beerware-retain", "as long as you retain this notice you can do whatever you want with this stuff"),
 ]
 
 # Rules in their order, with the licence that each tells of.
@@ -67,6 +119,53 @@ TEXT_RULES = [
     ("epl-2-terms", "EPL-2.0", ["epl-2-terms"]),
     ("bsl-1-reference", "BSL-1.0", ["bsl-1-reference"]),
     ("all-rights-reserved", "Proprietary", ["all-rights"]),
+    ("mit-0-grant", "MIT-0", ["mit-0-grant"]),
+    ("ncsa-grant", "NCSA", ["ncsa-grant"]),
+    ("x11-text", "X11", ["mit-grant", "mit-notice", "mit-as-is", "mit-liability", "x11-name"]),
+    ("x11-name", "X11", ["x11-name"]),
+    ("json-text", "JSON", ["mit-grant", "mit-notice", "json-good"]),
+    ("apache-2-text", "Apache-2.0", ["apache-2-title", "apache-2-terms"]),
+    ("apache-2-title", "Apache-2.0", ["apache-2-title"]),
+    ("apache-2-definitions", "Apache-2.0", ["apache-2-means", "apache-2-licensor"]),
+    ("apache-2-means", "Apache-2.0", ["apache-2-means"]),
+    ("gpl-2-title", "GPL-2.0", ["gpl-2-title"]),
+    ("gpl-2-preamble", "GPL-2.0", ["gpl-2-applies"]),
+    ("gpl-3-title", "GPL-3.0", ["gpl-3-title"]),
+    ("gpl-3-text", "GPL-3.0", ["gnu-verbatim", "gpl-3-preamble", "gpl-3-designed"]),
+    ("gpl-3-preamble-and-purpose", "GPL-3.0", ["gpl-3-preamble", "gpl-3-designed"]),
+    ("gpl-3-preamble", "GPL-3.0", ["gpl-3-preamble"]),
+    ("lgpl-2.1-title", "LGPL-2.1", ["lgpl-2.1-title"]),
+    ("lgpl-2.1-text", "LGPL-2.1", ["gnu-verbatim", "lgpl-2.1-first"]),
+    ("lgpl-2.1-first", "LGPL-2.1", ["lgpl-2.1-first"]),
+    ("lgpl-3-title", "LGPL-3.0", ["lgpl-3-title"]),
+    ("lgpl-3-incorporates", "LGPL-3.0", ["lgpl-3-incorporates"]),
+    ("agpl-3-title", "AGPL-3.0", ["agpl-3-title"]),
+    ("agpl-3-preamble", "AGPL-3.0", ["agpl-3-preamble"]),
+    ("gfdl-1.3-grant", "GFDL-1.3-or-later", ["gfdl-1.3-grant"]),
+    ("fsfap-grant", "FSFAP", ["fsfap-grant"]),
+    ("psf-text", "PSF-2.0", ["psf-between", "psf-grant"]),
+    ("psf-between", "PSF-2.0", ["psf-between"]),
+    ("psf-grant", "PSF-2.0", ["psf-grant"]),
+    ("cc0-laws", "CC0-1.0", ["cc0-laws"]),
+    ("mpl-2-covered", "MPL-2.0", ["mpl-2-covered"]),
+    ("epl-text", "EPL", ["epl-accompanying", "epl-acceptance"]),
+    ("epl-accompanying", "EPL", ["epl-accompanying"]),
+    ("bsl-1-grant", "BSL-1.0", ["bsl-1-grant"]),
+    ("artistic-2-establishes", "Artistic-2.0", ["artistic-2-establishes"]),
+    ("wtfpl-copy", "WTFPL", ["wtfpl-copy"]),
+    ("0bsd-grant", "0BSD", ["0bsd-grant"]),
+    ("bsd-4-conditions", "BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advert"]),
+    ("postgresql-grant", "PostgreSQL", ["postgresql-grant"]),
+    ("ofl-1.1-terms", "OFL-1.1", ["ofl-1.1-terms"]),
+    ("eupl-applies", "EUPL", ["eupl-applies"]),
+    ("cddl-1-terms", "CDDL-1.0", ["cddl-1-terms"]),
+    ("ms-pl-text", "MS-PL", ["ms-pl-governs", "ms-pl-accept"]),
+    ("openssl-includes", "OpenSSL", ["openssl-includes"]),
+    ("afl-3-terms", "AFL-3.0", ["afl-3-terms"]),
+    ("osl-3-terms", "OSL-3.0", ["osl-3-terms"]),
+    ("upl-1-title", "UPL-1.0", ["upl-1-title"]),
+    ("blue-oak-purpose", "BlueOak-1.0.0", ["blue-oak-purpose"]),
+    ("beerware-retain", "Beerware", ["beerware-retain"]),
 ]
 
 # How licences are called.
@@ -88,7 +187,7 @@ SPDX = ["MIT", "MIT-0", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "0B
 
 def spelled(name: str) -> str:
     """A name as sentences are normalised."""
-    return " ".join("".join(c if c.isalnum() else " " for c in name.lower()).split())
+    return re.sub("[^a-z0-9]+", " ", name.lower()).strip()
 
 
 def known_tables() -> tuple[list[tuple[str, str]], list[tuple[str, str, list[str]]]]:
@@ -103,6 +202,10 @@ def known_tables() -> tuple[list[tuple[str, str]], list[tuple[str, str, list[str
         for version in ("3.0", "4.0"):
             long = " ".join(CC_PARTS[x] for x in kind.split("-"))
             names[f"CC-{kind.upper()}-{version}"] = [f"cc {spelled(kind)} {spelled(version)}", f"creative commons {long} {spelled(version)} international license", f"creative commons {long} {spelled(version)} license"]
+        long = " ".join(CC_PARTS[x] for x in kind.split("-"))
+        key = f"cc-{kind}-4.0-accept"
+        rules.append((key, f"CC-{kind.upper()}-4.0", [key]))
+        add(key, f"by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons {long} 4 0 international public license public license")
     for licence, called in names.items():
         key = f"{licence.lower()}-reference"
         rules.append((key, licence, [key]))
@@ -134,39 +237,95 @@ def known_tables() -> tuple[list[tuple[str, str]], list[tuple[str, str, list[str
 SENTENCES, RULES = known_tables()
 
 
-def hints(sentences: list[tuple[str, str]]) -> str:
-    """A pattern of few words, one of which is in each sentence: a lower-cased text without any can't hold a known sentence."""
-    left, chosen = {w for _, w in sentences}, []
+GRAM = 5  # words of a shingle
+NEAR = 80  # per cent of the shingles of two sentences that both have, for them to be near
+
+
+def grams(words: str) -> list[str]:
+    """The different shingles of a sentence, in their order; one of fewer words has none, so nothing is near it."""
+    w = words.split()
+    return list(dict.fromkeys(" ".join(w[k : k + GRAM]) for k in range(len(w) - GRAM + 1)))
+
+
+def _covering(texts: set[str], least: int = 6) -> list[str]:
+    """Few words, one of which is in each text: of `least` letters, or its longest."""
+    left, chosen = set(texts), []
     while left:
-        counts: dict[str, int] = {}
+        counts: Counter[str] = Counter()
         for words in left:
             parts = words.split()
-            for x in {p for p in parts if len(p) >= 6} or {max(parts, key=len)}:
-                counts[x] = counts.get(x, 0) + 1
+            counts.update({p for p in parts if len(p) >= least} or {max(parts, key=len)})
         best = max(sorted(counts), key=counts.get)
         chosen.append(best)
         left = {w for w in left if best not in w}
-    return "|".join(chosen)
+    return chosen
+
+
+def probes(sentences: list[tuple[str, str]], near: int = NEAR) -> list[tuple[str, str]]:
+    """(shingle, words): the inverted index. Of a sentence's n shingles a near one has near % at least, so one of any n - that + 1 is in it.
+
+    Those are taken that hold a word of `hints` anyway, then those with the longest words, which other texts seldom have.
+    """
+    told, counts = _covering({w for _, w in sentences}), Counter(g for _, w in sentences for g in grams(w))
+    found = []
+    for _, words in sentences:
+        of = sorted(grams(words), key=lambda g: (not any(x in g for x in told), -max(map(len, g.split())), counts[g], g))
+        found += [(g, words) for g in of[: len(of) + near * len(of) // -100 + 1]]
+    return found
+
+
+def hints(sentences: list[tuple[str, str]], near: int | None = NEAR) -> str:
+    """A pattern of few words: a lower-cased text without any can't hold a known sentence, or (unless near is None) one that is near it."""
+    told = _covering({w for _, w in sentences})
+    if near is not None:
+        told += _covering({g for g, _ in probes(sentences, near) if not any(x in g for x in told)}, 8)
+    return "|".join(told)
 
 
 SENTENCE_END = f"[.!?:;]+[{BLANK}]+"
 #: For cutting 3: a sentence end as marked, or lines without letters and digits.
 BLANK_LINE = "\u0001|\n[^A-Za-z0-9\u0001\n]*\n"
-SPAN = 3  # parts of a known sentence at most
+SPAN = 3  # parts of a known sentence at most, if it is given without its marks
+
+
+def span_of(sentences: list[tuple[str, str]]) -> int:
+    """Into how many parts a known sentence may be cut: as many as its own marks make where it is given with them, `SPAN` at least."""
+    return max([SPAN, *(len(re.split(r"[.!?:;]+[\x20\x09-\x0D]+", w.strip())) for _, w in sentences)])
+
 
+def _shingles(words: Column) -> Column:
+    begins = lambda w: F.filter(F.sequence(F.lit(1), F.greatest(F.size(w) - GRAM + 1, F.lit(1))), lambda i: i + GRAM - 1 <= F.size(w))
+    of = lambda w: F.transform(begins(w), lambda i: F.array_join(F.slice(w, i, GRAM), " "))
+    return F.array_distinct(F.get(F.transform(F.array(F.split(words, " ")), of), 0))  # an array of one, so that the words are split once, not for each shingle
 
-def sentence_ids(docs: DataFrame, sentences: list[tuple[str, str]] | None = None) -> DataFrame:
-    """doc_id, row, cutting, at, last (the numbers of its first and last part), sentence: the known sentences of each row of `docs`.
+
+def _numbers(words: Column) -> Column:
+    return F.filter(F.split(words, " "), lambda x: x.rlike("[0-9]"))
+
+
+def sentence_ids(docs: DataFrame, sentences: list[tuple[str, str]] | None = None, near: int | None = NEAR) -> DataFrame:
+    """doc_id, row, cutting, at, last (the numbers of its first and last part), sentence, score: the known sentences of each row of `docs`.
 
     cutting 1 takes line ends and sentence ends as ends of a part; cutting 2 sentence ends only, for texts whose
     sentences run over lines; cutting 3 sentence ends and lines without letters and digits, so that a heading
-    above a wrapped text stays apart. A known sentence may have marks inside: up to `SPAN` neighbouring parts
-    make one. An identifier takes the place of each known sentence. `sentences` are (identifier, words).
+    above a wrapped text stays apart. A known sentence may have marks inside: neighbouring parts (`span_of`) make
+    one. An identifier takes the place of each known sentence. `sentences` are (identifier, words), of which equal
+    ones get the first's identifier.
+
+    score is 2 for the words of a known sentence. Parts with other words are near a known sentence of 80 to 125 % as
+    many words and the same numbers in the same order, if `near` % of the shingles of both are common; of several
+    the most similar counts, then the first in the alphabet, and score is the similarity. None: no near ones.
     """
     spark = docs.sparkSession
     sentences = SENTENCES if sentences is None else sentences
-    known = spark.createDataFrame(sentences, "sentence string, words string")
-    hinted = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).filter(F.lower("text").rlike(hints(sentences)))
+    span = span_of(sentences)
+    spelt: dict[str, str] = {}
+    for name, w in sentences:
+        spelt.setdefault(spelled(w), name)
+    sentences = [(name, w) for w, name in spelt.items() if w]
+    known = small(spark.createDataFrame(sentences, "sentence string, words string"))
+    told = hints(sentences, near)
+    hinted = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).filter(F.lower("text").rlike(told) if told else F.lit(False))
     marked = F.regexp_replace("text", SENTENCE_END, "\u0001")
     by_line = F.split(F.regexp_replace(marked, "[\u0001\n]", "\n"), "\n")
     cuttings = F.array(*[F.struct(F.lit(k).alias("cutting"), c.alias("parts")) for k, c in enumerate((by_line, F.split(marked, "\u0001"), F.split(marked, BLANK_LINE)), 1)])
@@ -175,35 +334,57 @@ def sentence_ids(docs: DataFrame, sentences: list[tuple[str, str]] | None = None
     parts = rows.withColumn("parts", F.transform("parts", lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))))
     # whole runs are made inside the row, so that no list of parts is repeated for each of them; runs that begin or end in an empty part would repeat a shorter run
     words = lambda i, j: F.array_join(F.filter(F.slice("parts", i + 1, j - i + 1), lambda x: x != ""), " ")
-    ends = lambda i: F.filter(F.sequence(i, F.least(i + SPAN, F.size("parts")) - 1), lambda j: F.get("parts", j) != "")
+    ends = lambda i: F.filter(F.sequence(i, F.least(i + span, F.size("parts")) - 1), lambda j: F.get("parts", j) != "")
     begins = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.get("parts", i) != "")
     runs = F.flatten(F.transform(begins, lambda i: F.transform(ends(i), lambda j: F.struct(i.alias("at"), j.alias("last"), words(i, j).alias("words")))))
-    return parts.select("doc_id", "row", "cutting", F.inline(runs)).join(F.broadcast(known), "words").drop("words")
+    named = parts.select("doc_id", "row", "cutting", F.inline(runs)).join(known, "words", "left")
+    place = ["doc_id", "row", "cutting", "at", "last"]
+    exact = F.col("sentence").isNotNull()
+    sizes = [len(w.split()) for _, w in sentences if grams(w)]
+    if near is None or not sizes:
+        return named.filter(exact).select(*place, "sentence", F.lit(2.0).alias("score")).distinct()
+    # only parts that could be near are cut into shingles; each shingle asks the index, and what it finds is compared once
+    n = F.size(F.split("words", " "))
+    could = F.col("words").rlike(told) & n.between((80 * min(sizes) + 99) // 100, 125 * max(sizes) // 100) & (n >= GRAM)
+    asked = named.filter(exact | could).select(*place, "words", "sentence", F.explode(F.when(exact, F.array(F.lit(""))).otherwise(_shingles(F.col("words")))).alias("gram"))
+    index = small(spark.createDataFrame(probes(sentences, near), "gram string, like string"))
+    pairs = asked.join(index, "gram", "left").filter(exact | F.col("like").isNotNull()).select(*place, "words", "sentence", "like").distinct()
+    listed = small(spark.createDataFrame([(name, w) for name, w in sentences if grams(w)], "name string, like string"))
+    met = pairs.join(listed, "like", "left")
+    both = F.size(F.array_intersect(_shingles(F.col("words")), _shingles(F.col("like"))))
+    either = F.size(_shingles(F.col("words"))) + F.size(_shingles(F.col("like"))) - both
+    alike = met.filter(exact | (F.size(F.split("like", " ")) * 80 <= n * 100) & (n * 100 <= F.size(F.split("like", " ")) * 125) & (_numbers(F.col("words")) == _numbers(F.col("like"))))
+    scored = alike.select(*place, "like", F.coalesce("sentence", "name").alias("name"), F.when(exact, 1).otherwise(both).alias("both"), F.when(exact, 1).otherwise(either).alias("either"), F.when(exact, 2.0).otherwise(both / either).alias("score"))
+    best = scored.filter(F.col("both") * 100 >= F.col("either") * near).groupBy(*place).agg(F.min(F.struct((-F.col("score")).alias("less"), "like", "name")).alias("best"))
+    return best.select(*place, F.col("best.name").alias("sentence"), (-F.col("best.less")).alias("score"))
 
 
-def _outermost(seq: Column) -> Column:
-    """The sentences of `seq` (in order of their first parts) that are not inside a longer one."""
-    around = 2 * SPAN * SPAN + 1  # further ones share no part
-    near = lambda i: F.slice(seq, F.greatest(i - SPAN * SPAN, F.lit(0)) + 1, around)
-    inside = lambda s, o: (o["at"] <= s["at"]) & (o["last"] >= s["last"]) & (o["last"] - o["at"] > s["last"] - s["at"])
-    return F.filter(seq, lambda s, i: ~F.exists(near(i), lambda o: inside(s, o)))
+def _outermost(seq: Column, span: int) -> Column:
+    """The sentences of `seq` (in order of their first parts): known ones that are not inside a longer one, and near ones that share no part with a known one or a nearer one, of equally near ones the first and shortest."""
+    around = 2 * span * span + 1  # further ones share no part
+    close = lambda i: F.slice(seq, F.greatest(i - span * span, F.lit(0)) + 1, around)
+    inside = lambda s, o: (s["score"] == 2) & (o["score"] == 2) & (o["at"] <= s["at"]) & (o["last"] >= s["last"]) & (o["last"] - o["at"] > s["last"] - s["at"])
+    before = lambda s, o: (o["at"] < s["at"]) | (o["at"] == s["at"]) & (o["last"] < s["last"])
+    beaten = lambda s, o: (s["score"] < 2) & (o["at"] <= s["last"]) & (o["last"] >= s["at"]) & ((o["score"] > s["score"]) | (o["score"] == s["score"]) & before(s, o))
+    return F.filter(seq, lambda s, i: ~F.exists(close(i), lambda o: inside(s, o) | beaten(s, o)))
 
 
-def licenses(docs: DataFrame, gap: int = 2, sentences: list[tuple[str, str]] | None = None, rules: list[tuple[str, str, list[str]]] | None = None) -> DataFrame:
+def licenses(docs: DataFrame, gap: int = 2, sentences: list[tuple[str, str]] | None = None, rules: list[tuple[str, str, list[str]]] | None = None, near: int | None = NEAR) -> DataFrame:
     """A row for each place in which a document tells of a licence: doc_id, license, rule, place (its first sentence's number), n_sentences.
 
     A rule matches identifiers that follow each other in its order, with less than `gap` other parts between
     two. A match inside a longer one doesn't count. For each licence, the cutting counts that shows most sentences of
     it, the first if equal. A row that is repeated counts once; rows that share a doc_id but not the text each count.
     Null and empty texts have none; an empty table gives no rows. Other columns are not read. `sentences`
-    (identifier, words) and `rules` (name, licence, identifiers) may be others than the tables here.
+    (identifier, words) and `rules` (name, licence, identifiers) may be others than the tables here. `near` as in
+    `sentence_ids`.
     """
     spark = docs.sparkSession
     rules = RULES if rules is None else rules
     longest = max((len(r[2]) for r in rules), default=1)
     listed = spark.createDataFrame([(*r, r[2][0]) for r in rules], "rule string, license string, ids array<string>, first string")
-    found = sentence_ids(docs, sentences).distinct().groupBy("doc_id", "row", "cutting").agg(F.array_sort(F.collect_list(F.struct("at", "last", "sentence"))).alias("seq"))
-    found = found.withColumn("seq", _outermost(F.col("seq")))
+    found = sentence_ids(docs, sentences, near).groupBy("doc_id", "row", "cutting").agg(F.array_sort(F.collect_list(F.struct("at", "last", "sentence", "score"))).alias("seq"))
+    found = found.withColumn("seq", _outermost(F.col("seq"), span_of(SENTENCES if sentences is None else sentences)))
     # as many sentences as a rule may have, not all, go with each
     ahead = F.transform("seq", lambda x, k: F.struct(k.alias("k"), x["at"].alias("place"), x["sentence"].alias("first"), F.slice("seq", k + 1, longest).alias("ahead")))
     placed = found.select("doc_id", "row", "cutting", F.inline(ahead))
@@ -245,11 +426,32 @@ marked AS (
   SELECT doc_id, r, c, place, place AS past_place, p AS words FROM ahead WHERE p != ''
   UNION ALL SELECT doc_id, r, c, place, place + 1, p || ' ' || q FROM ahead WHERE p != '' AND q != ''
   UNION ALL SELECT doc_id, r, c, place, place + 2, concat_ws(' ', p, nullif(q, ''), s) FROM ahead WHERE p != '' AND s != ''
+), texts AS (
+  SELECT words, string_split(words, ' ') AS ws FROM (SELECT DISTINCT words FROM runs WHERE words NOT IN (SELECT words FROM known))
+), sized AS (
+  SELECT words, len(ws) AS n, list_filter(ws, lambda x: regexp_matches(x, '[0-9]')) AS numbers, ws FROM texts WHERE len(ws) BETWEEN {GRAM} AND 200
+), likes AS (
+  SELECT sentence, words, string_split(words, ' ') AS ws FROM known
+), shingles AS (
+  SELECT DISTINCT words, unnest(list_transform(range(1, len(ws) - {GRAM - 2}), lambda i: array_to_string(ws[i:i + {GRAM - 1}], ' '))) AS g FROM sized
+), known_shingles AS (
+  SELECT DISTINCT words AS w, unnest(list_transform(range(1, len(ws) - {GRAM - 2}), lambda i: array_to_string(ws[i:i + {GRAM - 1}], ' '))) AS g FROM likes
+), shared AS (
+  SELECT words, w, count(*) AS common FROM shingles JOIN known_shingles USING (g) GROUP BY ALL
+), n_shingles AS (SELECT words, count(*) AS n FROM shingles GROUP BY words
+), n_known AS (SELECT w, count(*) AS n FROM known_shingles GROUP BY w
+), alike AS (
+  SELECT words, sentence, common / (a.n + b.n - common) AS score FROM shared JOIN n_shingles a USING (words) JOIN n_known b USING (w)
+  JOIN sized s USING (words) JOIN likes k ON k.words = w
+  WHERE common * 100 >= (a.n + b.n - common) * {NEAR} AND len(k.ws) * 80 <= s.n * 100 AND s.n * 100 <= len(k.ws) * 125
+    AND s.numbers = list_filter(k.ws, lambda x: regexp_matches(x, '[0-9]'))
+  QUALIFY row_number() OVER (PARTITION BY words ORDER BY score DESC, w) = 1
 ), ids AS (
-  SELECT DISTINCT doc_id, r, c, place, past_place, sentence FROM runs JOIN known USING (words)
+  SELECT DISTINCT doc_id, r, c, place, past_place, sentence, score FROM runs JOIN (SELECT words, sentence, 2.0::DOUBLE AS score FROM known UNION ALL FROM alike) USING (words)
 ), outermost AS (
-  SELECT * FROM ids s WHERE NOT EXISTS (SELECT 1 FROM ids o WHERE o.doc_id = s.doc_id AND o.r = s.r AND o.c = s.c
-    AND o.place <= s.place AND o.past_place >= s.past_place AND o.past_place - o.place > s.past_place - s.place)
+  SELECT * FROM ids s WHERE NOT EXISTS (SELECT 1 FROM ids o WHERE o.doc_id = s.doc_id AND o.r = s.r AND o.c = s.c AND (
+    (s.score = 2 AND o.score = 2 AND o.place <= s.place AND o.past_place >= s.past_place AND o.past_place - o.place > s.past_place - s.place)
+    OR (s.score < 2 AND o.place <= s.past_place AND o.past_place >= s.place AND (o.score > s.score OR o.score = s.score AND (o.place, o.past_place) < (s.place, s.past_place)))))
 ), seqs AS (
   SELECT doc_id, r, c, list(sentence ORDER BY place, past_place, sentence) AS seq, list(place ORDER BY place, past_place, sentence) AS locs,
     list(past_place ORDER BY place, past_place, sentence) AS ends FROM outermost GROUP BY ALL

@@ -347,14 +347,95 @@ def test_license_query_and_its_sql(spark, tmp_path):
     """The SQL has no filter before it: canonical, wrapped and odd texts, repeated rows and ties."""
     import duckdb
 
-    texts = list(LICENSES.values()) + list(WRAPPED.values()) + ["Released under the MIT License. Released under the MIT License", "a\n\n\nLicensed under the Apache License, Version 2.0. b", "LICENSED UNDER CC-BY 4.0\n\n-- \n\nreleased under the bsd license"]
+    near = [WRAPPED[3].replace("program", "package"), WRAPPED[6].replace("obtain", "get"), BSD.replace("CONTRIBUTORS", "REGENTS") % "", WRAPPED[5].replace("Software", "Module", 1)]
+    texts = list(LICENSES.values()) + list(WRAPPED.values()) + list(OPENINGS.values()) + near + ["Released under the MIT License. Released under the MIT License", "a\n\n\nLicensed under the Apache License, Version 2.0. b", "LICENSED UNDER CC-BY 4.0\n\n-- \n\nreleased under the bsd license"]
     spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     told = con.execute(license_scan.ORACLE)
     names = [d[0] for d in told.description]
     got = sorted(tuple(r[n] for n in names) for r in license_scan.licenses(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect())
-    assert got == sorted(told.fetchall()) and len(got) > 25
+    assert got == sorted(told.fetchall()) and len(got) > 35
+
+
+OPENINGS = {
+    "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n\n      \"License\" shall mean the terms and conditions for use, reproduction,\n      and distribution as defined by Sections 1 through 9 of this document.\n",
+    "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n",
+    "PSF-2.0": "1. This LICENSE AGREEMENT is between the Python Software Foundation\n(\"PSF\"), and the Individual or Organization (\"Licensee\") accessing and\notherwise using this software (\"Python\") in source or binary form and\nits associated documentation.\n",
+    "CC-BY-4.0": "By exercising the Licensed Rights (defined below), You accept and agree to be\nbound by the terms and conditions of this Creative Commons Attribution 4.0\nInternational Public License (\"Public License\"). To the extent",
+    "NCSA": WRAPPED[5].replace("deal\nin the", "deal with\nthe").split("The above")[0],
+    "MIT": WRAPPED[5].replace("to any person obtaining", "to any entity obtaining").split("The above")[0],
+}
+
+
+def test_openings_of_license_texts(spark):
+    df = spark.createDataFrame(list(enumerate(OPENINGS.values())), "doc_id long, text string")
+    found = {(r.doc_id, r.license) for r in license_scan.licenses(df).collect()}
+    assert found == set(enumerate(OPENINGS))
+
+
+def near_sentences(text, sentences):
+    """A plain version: each run of three parts of each cutting against each known sentence."""
+    end, found = r"[.!?:;]+[\x20\x09-\x0D]+", set()
+    marked = re.sub(end, "\x01", text)
+    cuttings = [re.split("[\x01\n]", marked), marked.split("\x01"), re.split("\x01|\n[^A-Za-z0-9\x01\n]*\n", marked)]
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    sentences = [(name, known, known.split(), shingles(known.split())) for name, known in sentences]
+    for c, cutting in enumerate(cuttings, 1):
+        parts = [re.sub("[^a-z0-9]+", " ", x.lower()).strip() for x in cutting]
+        for i in range(len(parts)):
+            for j in range(i, min(i + 3, len(parts))):
+                if not parts[i] or not parts[j]:
+                    continue
+                words, best = " ".join(x for x in parts[i : j + 1] if x), None
+                a, of = words.split(), shingles(words.split())
+                for name, known, b, there in sentences:
+                    if words == known:
+                        best = (-2.0, "", name)
+                    elif of and there and 80 * len(b) <= 100 * len(a) <= 125 * len(b) and [x for x in a if re.search("[0-9]", x)] == [x for x in b if re.search("[0-9]", x)]:
+                        both, either = len(of & there), len(of | there)
+                        if 100 * both >= 80 * either:
+                            best = min(best or (0, "", ""), (-both / either, known, name))
+                if best:
+                    found.add((c, i, j, best[2], -best[0]))
+    return found
+
+
+def test_near_sentences_against_a_plain_version(spark, empty):
+    """Words changed, dropped, repeated and moved, at every rate around the threshold."""
+    rng = random.Random(31)
+    texts = ["", "license", "license " * 3000]
+    for _ in range(150):
+        w = rng.choice(license_scan.TEXTS)[1].split()
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([["other"], [], [w[k], w[k]], ["7"], [w[k] + ".\n"], w[k : k + 1]])
+        texts.append("Before. " + " ".join(w) + rng.choice([". ", "\n\n", " ", "; "]) + "after it")
+    df = spark.createDataFrame([*enumerate(texts), (None, None), (3, texts[3])], "doc_id long, text string")
+    got, told = defaultdict(set), {k: near_sentences(t, license_scan.SENTENCES) for k, t in enumerate(texts)}
+    for r in license_scan.sentence_ids(df).collect():
+        got[r.doc_id].add((r.cutting, r["at"], r.last, r.sentence, r.score))
+    assert got == {k: v for k, v in told.items() if v}
+    scores = [s for v in told.values() for *_, s in v]
+    assert sum(s < 2 for s in scores) > 80 and min(scores) < 0.82
+    assert license_scan.sentence_ids(empty).count() == 0
+    exact = license_scan.sentence_ids(df, near=None).collect()
+    assert {(r.doc_id, r.cutting, r["at"], r.last, r.sentence) for r in exact} == {(k, *x[:4]) for k, v in told.items() for x in v if x[4] == 2}
+
+
+def test_near_sentences_keep_their_numbers_and_places(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version %s of the License, or (at your option) any later version."
+    texts = [gpl % 2, gpl % 4, (gpl % 3).replace("program", "package"), "All rights reserved. " + OPENINGS["MIT"]]
+    found = {(r.doc_id, r.rule, r.place) for r in license_scan.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {(0, "gpl-2.0-or-later-grant", 0), (2, "gpl-3.0-or-later-grant", 0), (3, "all-rights-reserved", 0), (3, "mit-grant", 3)}
+
+
+def test_sentences_of_many_parts(spark):
+    """A sentence given with its marks may be cut into as many parts as these make."""
+    whole = "Take it; share it; keep it; but never: ever: sell it."
+    df = spark.createDataFrame([(1, "Head. " + whole + " Tail."), (2, "take it share it keep it but never ever sell it")], "doc_id long, text string")
+    found = license_scan.licenses(df, sentences=[("all", whole)], rules=[("all", "OWN", ["all"])]).collect()
+    assert license_scan.span_of([("all", whole)]) == 6 and sorted((r.doc_id, r.rule, r.place) for r in found) == [(1, "all", 1), (2, "all", 0)]
 
 
 def test_license_tables():
