@@ -32,7 +32,7 @@ TRANSFORMS = {
     "OpenCV whole-crop square resize, RGB, ImageNet mean/std": ("whole_crop_square_resize_imagenet_v1", 224),
 }
 ARCHITECTURES = ("resnet18", "tiny_cnn")
-# Words in the message of an error that may pass.
+# Words in the message of an error that may pass; numbers among them are codes.
 TRANSIENT = ("429", "quota", "resource", "503", "unavailable")
 
 
@@ -281,9 +281,15 @@ def overlay(config: dict[str, Any], record: dict[str, Any], keys: Iterable[str]
     return config | {k: record[k] for k in keys if k in record}
 
 
-def is_transient(error: Exception) -> bool:
-    """Whether an error may pass: limits of rate or quota, and services that are down."""
-    return any(word in str(error).lower() for word in TRANSIENT)
+def is_transient(error: Exception, about: str = "") -> bool:
+    """Whether an error may pass: limits of rate or quota, and services that are down.
+
+    A code counts only as a word of its own (no part of img4290), and what the call was `about` doesn't count where the message names it, as a key may hold any word.
+    """
+    message = str(error).lower()
+    if about and about.lower() not in TRANSIENT:
+        message = re.sub(rf"(?<!\w){re.escape(about.lower())}(?!\w)", " ", message)
+    return any(re.search(rf"(?<!\w){word}(?!\w)", message) if word.isdigit() else word in message for word in TRANSIENT)
 
 
 def with_retry(call: Callable[[], Any], retries: int = 5, first: float = 5.0, most: float = 60.0, transient: Callable[[Exception], bool] = is_transient, sleep: Callable[[float], None] = time.sleep) -> Any:

@@ -51,10 +51,10 @@ def _calls(call: Callable[[str], tuple[dict[str, Any], dict[str, int]]], attribu
 
     def one(value: str) -> list[Any]:
         try:
-            profile, usage = with_retry(lambda: call(value), retries, first=wait)
+            profile, usage = with_retry(lambda: call(value), retries, first=wait, transient=lambda error: is_transient(error, value))
             return [value, "", False, usage.get("prompt", 0), usage.get("output", 0), *[profile.get(a) for a in attributes]]
         except Exception as error:
-            return [value, failure(error), is_transient(error), 0, 0, *[None for _ in attributes]]
+            return [value, failure(error), is_transient(error, value), 0, 0, *[None for _ in attributes]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(workers) as pool:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tabulon.errors import RefusedInput
 from tabulon.functions.labels import display
 from tabulon.functions.stats import CHANNELS
-from tabulon.operators.gates import failure, with_retry
+from tabulon.operators.gates import failure, is_transient, with_retry
 from tabulon.sources import png
 
 TASKS = ("make", "model", "body_type", "colour")
@@ -96,7 +96,7 @@ def remote(df: DataFrame, column: str, call: Callable[[str], tuple[dict[str, Any
             rows = []
             for value in batch[column]:
                 try:
-                    profile, usage = with_retry(lambda v=value: call(v), retries)
+                    profile, usage = with_retry(lambda v=value: call(v), retries, transient=lambda error, v=value: is_transient(error, str(v)))
                     rows.append([value, "", usage.get("prompt", 0), usage.get("output", 0), *[profile.get(a) for a in attributes]])
                 except Exception as error:
                     rows.append([value, failure(error), 0, 0, *[None for _ in attributes]])

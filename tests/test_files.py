@@ -5,6 +5,7 @@ import os
 import random
 import struct
 import threading
+import time
 import zipfile
 import zlib
 
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.errors import RefusedInput
-from tabulon.operators import remote, scoring, suppression
+from tabulon.operators import gates, remote, scoring, suppression
 from tabulon.sources import bundle, mat, png, store, zip_index
 
 
@@ -303,6 +304,21 @@ def test_a_limit_ends_the_run(spark, tmp_path):
     assert 0 < asked < 40 and remote.remaining(rows, "image", spark, folder).count() == 80
 
 
+def test_a_key_that_looks_like_a_code(spark, tmp_path):
+    """Errors that name their key don't pass because its digits or words are those of a limit, so each key is asked once and no wave is the last."""
+    rows = spark.createDataFrame([(k,) for k in ("img4290", "a-429.png", "resources/503", "img1503", "img7")], "image string")
+
+    def missing(value):
+        raise ValueError(f"no image {value}")
+
+    begin = time.monotonic()
+    told = scoring.remote(rows, "image", missing, ["make"]).collect()  # a retry would wait for 75 seconds
+    assert sorted(r.error for r in told) == sorted(f"ValueError: no image {r.image}" for r in told) and len(told) == 5 and time.monotonic() - begin < 60
+    asked = remote.ask(rows, "image", missing, ["make"], str(tmp_path / "log"), waves=4, wait=0.0)
+    assert asked.filter("NOT transient").count() == 5
+    assert gates.is_transient(RuntimeError("HTTP 429: img4290"), "img4290") and gates.is_transient(RuntimeError("(503)"), "503") and gates.is_transient(RuntimeError("Quota for a is used up"), "a")
+
+
 # ---------------------------------------------------------------- overlapping boxes
 
 
