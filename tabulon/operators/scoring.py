@@ -173,23 +173,41 @@ def colour_table(rules: ColourRules) -> tuple[list[str], np.ndarray]:
 
 
 _tables = functools.cache(colour_table)
+_CODE = np.array([1 << 16, 1 << 8, 1], dtype=np.int32)
 
 
-def estimate_colour(rgb: np.ndarray, rules: ColourRules = ColourRules()) -> dict[str, Any]:
-    """label, confidence, status, evaluated_pixels, class_distribution: shares of colours in an image's middle, rounded to 6 places; of equal ones the first in the alphabet."""
+def _middle(rgb: np.ndarray, rules: ColourRules) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of an image's middle: the number of pixels, its different colours, and how many pixels have each."""
     region = (rules.left, rules.right, rules.top, rules.bottom)
     if min(region) < 0 or max(region) > 1 or rules.left >= rules.right or rules.top >= rules.bottom:
         raise RefusedInput("the region's limits must rise between 0 and 1")
     rows, columns = (slice(int(n * a), max(int(n * b), 1)) for n, a, b in ((rgb.shape[0], rules.top, rules.bottom), (rgb.shape[1], rules.left, rules.right)))
     pixels = rgb[rows, columns].reshape(-1, 3)
-    told = {"label": None, "confidence": None, "status": "insufficient_pixels", "evaluated_pixels": len(pixels), "class_distribution": {}}
-    if len(pixels) >= rules.least_pixels:
-        names, table = _tables(rules)
-        counts = np.bincount(table[tuple(hsv(pixels).T)], minlength=len(names))
-        shares = {name: round(int(n) / len(pixels), 6) for n, name in sorted(zip(counts, names), key=lambda x: x[1]) if n}
-        label = max(shares, key=shares.get)
-        told |= {"label": label, "confidence": shares[label], "status": "baseline_estimate", "class_distribution": shares}
-    return told
+    return len(pixels), *np.unique(pixels.astype(np.int32) @ _CODE, return_counts=True)
+
+
+def _estimates(middles: list[tuple[int, np.ndarray, np.ndarray]], rules: ColourRules) -> list[dict[str, Any]]:
+    """The estimates of several images; their colours are classed together, as numpy's calls cost more than the pixels of small images."""
+    if not middles:
+        return []
+    names, table = _tables(rules)
+    codes = np.concatenate([colours for _, colours, _ in middles])
+    classes, found, at = table[tuple(hsv(np.stack([codes >> 16, codes >> 8 & 255, codes & 255], axis=-1)).T)], [], 0
+    for pixels, colours, times in middles:
+        told = {"label": None, "confidence": None, "status": "insufficient_pixels", "evaluated_pixels": pixels, "class_distribution": {}}
+        if pixels >= rules.least_pixels:
+            counts = np.bincount(classes[at : at + len(colours)], weights=times, minlength=len(names)).tolist()
+            shares = {name: round(int(n) / pixels, 6) for name, n in sorted(zip(names, counts)) if n}
+            label = max(shares, key=shares.get)
+            told |= {"label": label, "confidence": shares[label], "status": "baseline_estimate", "class_distribution": shares}
+        found.append(told)
+        at += len(colours)
+    return found
+
+
+def estimate_colour(rgb: np.ndarray, rules: ColourRules = ColourRules()) -> dict[str, Any]:
+    """label, confidence, status, evaluated_pixels, class_distribution: shares of colours in an image's middle, rounded to 6 places; of equal ones the first in the alphabet."""
+    return _estimates([_middle(rgb, rules)], rules)[0]
 
 
 def decode(content: bytes) -> np.ndarray:
@@ -208,6 +226,8 @@ def decode(content: bytes) -> np.ndarray:
     return np.asarray(Image.open(io.BytesIO(content)).convert("RGB"))
 
 
+#: Colours of images that are classed in one step, about: what it holds in memory.
+TOGETHER = 1 << 14
 COLOUR = "struct<label:string,confidence:double,status:string,evaluated_pixels:int,class_distribution:map<string,double>,error:string>"
 
 
@@ -216,12 +236,26 @@ def colours(df: DataFrame, content: str = "content", rules: ColourRules = Colour
 
     @F.pandas_udf(COLOUR)
     def run(values: pd.Series) -> pd.DataFrame:
-        rows = []
+        rows, places, middles, held = [], [], [], 0
+
+        def classed():
+            for place, told in zip(places, _estimates(middles, rules)):
+                rows[place] = told | {"error": ""}
+            places.clear()
+            middles.clear()
+
         for v in values:
+            rows.append({"label": None, "confidence": None, "status": "error", "evaluated_pixels": 0, "class_distribution": {}, "error": ""})
             try:
-                rows.append(estimate_colour(decode(v), rules) | {"error": ""})
+                middles.append(_middle(decode(v), rules))
+                places.append(len(rows) - 1)
+                held += len(middles[-1][1])
             except Exception as error:
-                rows.append({"label": None, "confidence": None, "status": "error", "evaluated_pixels": 0, "class_distribution": {}, "error": failure(error)})
+                rows[-1]["error"] = failure(error)
+            if held > TOGETHER:
+                classed()
+                held = 0
+        classed()
         return pd.DataFrame(rows, columns=["label", "confidence", "status", "evaluated_pixels", "class_distribution", "error"])
 
     return df.withColumn(out, run(F.col(content)))

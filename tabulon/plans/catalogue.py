@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import boxes, labels, matching, paths, stats
 from tabulon.operators import audit, evaluate, gates, quantiles, runs, scoring, split, training
-from tabulon.session import fresh_path
+from tabulon.session import dealt, fresh_path
 from tabulon.sources import manifests, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -958,7 +958,7 @@ def hsv_colour(spark, sf_dir):
     byte = lambda c: F.lpad(F.hex(c % 256), 2, "0")
     pixel = F.concat(byte(k * 37), byte(k * 91), byte(k * 53))
     image = F.concat(F.lit(b"P6\n40 40\n255\n"), F.unhex(F.repeat(pixel, F.lit(1600))))
-    seen = scoring.colours(table(spark, sf_dir, "part").select("p_partkey", image.alias("content")))
+    seen = scoring.colours(dealt(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", image.alias("content")))
     return seen.select("p_partkey", "colour.label", "colour.confidence", "colour.status", "colour.evaluated_pixels")
 
 

@@ -19,7 +19,7 @@ from tabulon.errors import RefusedInput
 from tabulon.functions import labels, stats
 from tabulon.operators import audit, evaluate, gates, remote, runs, scoring, suppression
 from tabulon.plans.catalogue import _PRED, CLASSES, _cells, _classes, _rounded, manifest, predictions, query, table
-from tabulon.session import fresh_path
+from tabulon.session import dealt, fresh_path
 from tabulon.sources import bundle, manifests, mat, png, report, store, tables, zip_index
 
 
@@ -251,7 +251,7 @@ def image_checks(spark, sf_dir):
     w = 10 + k % 3
     image = F.concat(F.encode(F.concat(F.lit("P6\n"), w.cast("string"), F.lit(" 12\n255\n")), "utf-8"), F.unhex(F.repeat(F.lit("0a141e"), (w * 12).cast("int"))))
     box = F.concat(F.lit("(1, 1, "), (w + F.when(k % 4 == 0, 5).otherwise(0)).cast("string"), F.lit(", 12)"))
-    rows = _part(spark, sf_dir).select(k, F.when(k % 5 == 0, F.lit(b"junk")).otherwise(image).alias("content"), box.alias("bbox"))
+    rows = dealt(_part(spark, sf_dir).select(k)).select(k, F.when(k % 5 == 0, F.lit(b"junk")).otherwise(image).alias("content"), box.alias("bbox"))
     return scoring.inspect_images(rows, box="bbox").select("p_partkey", "image.status", "image.width", "image.height")
 
 
@@ -336,7 +336,7 @@ def remote_answers(spark, sf_dir):
             raise ValueError(f"no image {image}")
         return {"make": f"m{k % 3}", "model": None if k % 4 == 0 else "x"}, {"prompt": k % 7, "output": 1}
 
-    rows = _part(spark, sf_dir).select(F.concat(F.lit("img"), F.col("p_partkey").cast("string")).alias("image"))
+    rows = dealt(_part(spark, sf_dir).select(F.concat(F.lit("img"), F.col("p_partkey").cast("string")).alias("image")))
     return scoring.remote(rows, "image", client, ["make", "model"])
 
 
@@ -349,7 +349,7 @@ def predictor_scores(spark, sf_dir):
         return lambda values: [(names[v], 0.5) for v in values]
 
     predictor = scoring.Predictor("make", load, transform=lambda k: 0 if k % 10 == 0 else k % 3 or 3)
-    return scoring.score(_part(spark, sf_dir).select("p_partkey"), "p_partkey", predictor).select("p_partkey", "scored.*")
+    return scoring.score(dealt(_part(spark, sf_dir).select("p_partkey")), "p_partkey", predictor).select("p_partkey", "scored.*")
 
 
 @query("SELECT event_type, count(*) AS boxes FROM events WHERE event_id % 5 IN (0, 2, 3) GROUP BY 1")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabulon.errors import RefusedInput
 from tabulon.functions import boxes, labels, matching, paths, stats
 from tabulon.operators import audit, gates, runs, scoring, split
+from tabulon.plans import catalogue
 from tabulon.sources import manifests, tables, zip_index
 
 
@@ -268,6 +269,33 @@ def test_colours(spark):
     assert [(r.status, r.width) for r in seen] == [("error", 40), ("error", None)]
 
 
+def test_colours_of_many_images(spark, monkeypatch, tmp_path):
+    """Images that are classed together get what each gets alone, broken ones between them too; small files are dealt out before they are worked on."""
+    rng = np.random.default_rng(5)
+    images = [rng.integers(0, 256, (rng.integers(8, 40), rng.integers(8, 40), 3), dtype=np.uint8) // np.uint8(rng.choice([1, 64])) for _ in range(60)] + [np.full((40, 40, 3), 128, dtype=np.uint8)]
+    ppm = [b"P6\n%d %d\n255\n" % (i.shape[1], i.shape[0]) + i.tobytes() for i in images]
+    rows = [(k, bytearray(b"junk") if k % 7 == 3 else bytearray(p)) for k, p in enumerate(ppm)]
+    got = {r.k: r.colour for r in scoring.colours(spark.createDataFrame(rows, "k int, content binary").coalesce(1)).collect()}
+    for k, image in enumerate(images):
+        if k % 7 == 3:
+            assert got[k].status == "error" and got[k].error and got[k].evaluated_pixels == 0
+            continue
+        rules = scoring.ColourRules()
+        pixels = image[int(len(image) * rules.top) : int(len(image) * rules.bottom), int(image.shape[1] * rules.left) : int(image.shape[1] * rules.right)].reshape(-1, 3)
+        names, table = scoring.colour_table(rules)
+        each = [names[n] for n in table[tuple(scoring.hsv(pixels).T)]]  # pixel by pixel
+        shares = {n: round(each.count(n) / len(each), 6) for n in sorted(set(each))} if len(each) >= 100 else {}
+        assert got[k].evaluated_pixels == len(pixels) and got[k].class_distribution == shares and got[k].error == "" and scoring.estimate_colour(image)["class_distribution"] == shares
+        assert got[k].label == (max(shares, key=shares.get) if shares else None)
+    calls = []
+    monkeypatch.setattr(scoring, "hsv", lambda c, f=scoring.hsv: calls.append(len(c)) or f(c))
+    middles = [scoring._middle(i, scoring.ColourRules()) for i in images]
+    assert len(scoring._estimates(middles, scoring.ColourRules())) == 61 and calls == [sum(len(m[1]) for m in middles)]
+    spark.range(10_000).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    tasks = catalogue.queries()["hsv_colour"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert [r["count"] for r in tasks] == [2500] * 4
+
+
 def test_predictors(spark):
     def load():
         def call(values):
