@@ -4,7 +4,8 @@ The best box stays, those that overlap it by more than a share of their union le
 that is the best of all the cells it touches has no better one near it, so all such boxes of all images are decided at
 once, and with them the boxes that they suppress. Cells are as large as the boxes in them, by powers of two, so a box
 touches a few, and only boxes of like size, which alone can overlap by much, meet. No pairs of undecided boxes are made: a crowded
-image or cell is a group that is reduced to its best box before it is shuffled.
+image or cell is a group that is reduced to its best box before it is shuffled. Of equal boxes only the best is decided on, as what
+keeps or suppresses it suppresses the others. Lists of ids are joined by a shuffle: they grow with the boxes, so the driver doesn't see them.
 """
 
 from __future__ import annotations
@@ -58,17 +59,18 @@ def suppressed(boxes: DataFrame, image: str, score: str, share: float = 0.5, sid
     rows = given.withColumn("id", F.monotonically_increasing_id()).checkpoint()
     order = F.struct((-F.col("score")).alias("worse"), *[F.col(f"box.{c}").alias(c) for c in _SIDES], F.col("id").alias("id"))
     on = ["none", "image", "level", "cx", "cy"]
-    left = rows.filter("fine").select(F.col("image").isNull().alias("none"), F.coalesce(F.col("image").cast("string"), F.lit("")).alias("image"), "box", order.alias("order"), "id")
-    kept = None
+    each = rows.filter("fine").select(F.col("image").isNull().alias("none"), F.coalesce(F.col("image").cast("string"), F.lit("")).alias("image"), "box", order.alias("order"), "id")
+    flat = (F.col("box.x2") - F.col("box.x1")) * (F.col("box.y2") - F.col("box.y1")) == 0  # overlaps nothing
+    alone = F.when(~(overlap(F.col("box"), F.col("box")) > share), F.col("id"))  # areas beyond the numbers there are
+    kept = each.filter(flat).select("id")
+    left = each.filter(~flat).groupBy("none", "image", "box", alone.alias("alone")).agg(F.min("order").alias("order")).select("none", "image", "box", "order", F.col("order.id").alias("id")).checkpoint()
     while not left.isEmpty():
         cells = _cells(left, more)
         best = cells.groupBy(*on).agg(F.min("order").alias("best"))
         first = cells.join(best, on).groupBy("id").agg(F.min(F.col("order") == F.col("best")).alias("first")).filter("first").select("id")
-        stay = left.join(first, "id", "left_semi").checkpoint()
-        kept = stay.select("id") if kept is None else kept.unionByName(stay.select("id"))
+        stay = left.join(first.hint("merge"), "id", "left_semi").checkpoint()
+        kept = kept.unionByName(stay.select("id"))
         near = _cells(stay.select("none", "image", F.col("box").alias("by"), F.col("box"), "id"), more).select(*on, "by", F.col("id").alias("of"))
         gone = cells.join(near, on).filter((F.col("id") == F.col("of")) | (overlap(F.col("box"), F.col("by")) > share)).select("id").distinct()
-        left = left.join(gone, "id", "left_anti").checkpoint()
-    if kept is None:
-        return rows.select("row.*", F.lit(None).cast("boolean").alias("kept"))
+        left = left.join(gone.hint("merge"), "id", "left_anti").checkpoint()
     return rows.join(kept.withColumn("stays", F.lit(True)), "id", "left").select("row.*", F.when(F.col("fine"), F.col("stays").isNotNull()).alias("kept"))

@@ -354,3 +354,18 @@ def test_crowded_image(spark):
     df = spark.range(60_000).select(F.lit(None).cast("string").alias("image"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(4.0).alias("x2"), F.lit(4.0).alias("y2"), F.lit(0.5).alias("score"))
     assert suppression.suppressed(df, "image", "score").groupBy("kept").count().orderBy("kept").collect() == [(False, 59_999), (True, 1)]
     assert suppression.suppressed(df.limit(0), "image", "score").count() == 0
+
+
+def test_copies_are_decided_once(spark, monkeypatch):
+    """The rounds see each different box once, whatever the number of its copies, and none of boxes without an area, which all stay."""
+    sizes = []
+    monkeypatch.setattr(suppression, "_cells", lambda rows, more, f=suppression._cells: sizes.append(rows.count()) or f(rows, more))
+    place = (F.col("id") % 12).cast("double")
+    flat = F.col("id") >= 6_000
+    df = spark.range(6_200).select("id", F.when(F.col("id") % 2 == 0, "a").alias("image"), place.alias("x1"), F.lit(0.0).alias("y1"), F.when(flat, place).otherwise(place + 10).alias("x2"), F.lit(10.0).alias("y2"), (F.col("id") % 1000).alias("score"))
+    got = {r.id: r.kept for r in suppression.suppressed(df, "image", "score").collect()}
+    assert max(sizes) == 12 and len(got) == 6_200 and all(got[k] for k in range(6_000, 6_200))
+    rows = [("a" if k % 2 == 0 else "b", (float(k % 12), 0.0, k % 12 + 10.0, 10.0), k % 1000, k) for k in range(6_000)]
+    where = {k: (image, box, score) for image, box, score, k in rows}
+    # of copies with equal scores any may stay
+    assert sorted(where[k] for k in got if k < 6_000 and got[k]) == sorted(where[k] for k in plain_suppression(rows, 0.5))
