@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 from typing import Any
 
 import pandas as pd
@@ -59,8 +60,21 @@ def _calls(call: Callable[[str], tuple[dict[str, Any], dict[str, int]]], attribu
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(workers) as pool:
             for batch in batches:
-                for at in range(0, len(batch), workers):  # no more than these wait for the client at once
-                    yield pd.DataFrame(list(pool.map(one, batch["key"].iloc[at : at + workers])), columns=columns)
+                # each worker takes the next key when it is through with one, so no more than these are under way
+                keys, told = iter(enumerate(batch["key"].tolist())), [None] * len(batch)
+                lock = Lock()
+
+                def work():
+                    while True:
+                        with lock:
+                            at, value = next(keys, (None, None))
+                        if at is None:
+                            return
+                        told[at] = one(value)
+
+                for done in [pool.submit(work) for _ in range(workers)]:
+                    done.result()
+                yield pd.DataFrame(told, columns=columns)
 
     return run
 

@@ -10,6 +10,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,6 +295,30 @@ def test_resumed_calls(spark, tmp_path):
     assert remote.ask(rows, "image", limited, ["make"], folder, waves=2, wait=0.0).filter("error != ''").count() == 0
 
 
+def test_calls_of_a_batch():
+    """A batch's answers are one frame in the order of its keys; no more calls than workers are under way, and a slow one holds up no other."""
+    now, most, held, lock = [0], [0], threading.Event(), threading.Lock()
+
+    def call(value):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        if value == "k0":
+            held.wait(30)  # until the batch's last key was asked
+        elif value == "k999":
+            held.set()
+        with lock:
+            now[0] -= 1
+        if value == "k7":
+            raise ValueError("bad image")
+        return {"make": value}, {"prompt": 1}
+
+    batches = [pd.DataFrame({"key": [f"k{k}" for k in range(1000)]}), pd.DataFrame({"key": []}), pd.DataFrame({"key": ["x"]})]
+    got = list(remote._calls(call, ["make"], 3, 2, 0.0)(iter(batches)))
+    assert [len(f) for f in got] == [1000, 0, 1] and held.is_set() and 1 < most[0] <= 3
+    assert list(got[0]["key"]) == list(batches[0]["key"]) and got[0]["error"].tolist()[7] == "ValueError: bad image" and got[0]["make_pred"].tolist()[8] == "k8"
+
+
 def test_a_limit_ends_the_run(spark, tmp_path):
     folder, rows = str(tmp_path / "log"), spark.createDataFrame([(f"i{k}",) for k in range(80)], "image string")
 
