@@ -272,7 +272,7 @@ def png_arrays(spark, sf_dir):
         return keys.map(one)
 
     box = F.struct(F.lit(2).alias("x1"), F.lit(1).alias("y1"), F.lit(5).alias("x2"), F.lit(4).alias("y2"))
-    rows = _part(spark, sf_dir).select("p_partkey", drawn("p_partkey").alias("content"), box.alias("box"))
+    rows = dealt(_part(spark, sf_dir).select("p_partkey")).select("p_partkey", drawn("p_partkey").alias("content"), box.alias("box"))
     pixels = F.col("array.pixels")
     mean = lambda k: F.aggregate(F.filter(pixels, lambda v, i: i % 3 == k), F.lit(0.0), lambda a, v: a + v.cast("double")) / 4
     seen = scoring.image_arrays(rows, 2, box="box")

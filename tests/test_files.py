@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tabulon.errors import RefusedInput
 from tabulon.operators import gates, remote, scoring, suppression
+from tabulon.plans import catalogue
 from tabulon.sources import bundle, mat, png, store, zip_index
 
 
@@ -219,6 +220,23 @@ def test_image_arrays(spark):
     assert np.allclose(png.resized(rgb, 4, 5).mean(axis=(0, 1)), rgb.mean(axis=(0, 1))) and np.allclose(png.resized(rgb, 12, 18)[::2, ::2], rgb)
 
 
+def test_resized_images(spark, monkeypatch, tmp_path):
+    """Sizes above and below what is kept of weights, against a sum over all pixels; weights of a size are told once, and a small file's images are dealt out."""
+    rng = np.random.default_rng(6)
+    for h, w, height, width in ((5, 7, 3, 4), (1, 1, 2, 2), (300, 40, 64, 8), (33, 200, 90, 100)):
+        rgb = rng.integers(0, 256, (h, w, 3), dtype=np.uint8)
+        want = np.einsum("yh,hwc,xw->yxc", png._weights(h, height), rgb.astype(float), png._weights(w, width))
+        assert np.allclose(png.resized(rgb, height, width), want) and np.allclose(png.resized(rgb[:, ::-1], height, width)[:, ::-1], want)
+    calls = []
+    monkeypatch.setattr(np, "linspace", lambda *a, f=np.linspace, **k: calls.append(a) or f(*a, **k))
+    for _ in range(50):
+        png.resized(np.zeros((6, 11, 3), dtype=np.uint8), 3, 5)
+    assert len(calls) == 2
+    spark.range(1000).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    tasks = catalogue.queries()["png_arrays"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert [r["count"] for r in tasks] == [250] * 4
+
+
 # ---------------------------------------------------------------- ledger
 
 
