@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ MAKE_FIXES = {"BWM": "BMW", "Benz": "Mercedes-Benz", "Buck": "Buick", "Chrey": "
 
 def ascii_key(value: Column) -> Column:
     """Lower-case ASCII letters and digits; null if none is left. For texts without accents equal to folded_key."""
-    return F.nullif(F.regexp_replace(F.lower(value.cast("string")), "[^a-z0-9]", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(F.lower(value.cast("string")), "[^a-z0-9]+", ""), F.lit(""))
 
 
 @functools.cache
@@ -54,13 +55,28 @@ def _folds() -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(to), several
 
 
+def _classes(chars: Iterable[str]) -> tuple[str, str]:
+    """Patterns of one of these characters and of one other: ranges, as patterns test the members of a class one after another; the first is told at once of what is below all of them."""
+    within, without, at = [], [], 0
+    for c in sorted(map(ord, chars)):
+        if within and c == at:
+            within[-1][1] = c
+        else:
+            within.append([c, c])
+            without.append([at, c - 1])
+        at = c + 1
+    told = ["".join(f"\\x{{{x:x}}}-\\x{{{y:x}}}" for x, y in ranges) for ranges in (within, [*without, [at, sys.maxunicode]])]
+    return f"[[^\\x00-\\x{{{within[0][0] - 1:x}}}]&&[{told[0]}]]", f"[{told[1]}]"
+
+
 def folded_key(value: Column) -> Column:
     """As ascii_key, after accents and other forms of ASCII letters and digits became these (NFKD). Only texts with other characters are folded."""
     one, to, several = _folds()
-    text = value.cast("string")
+    text, (wide, other) = value.cast("string"), _classes(several)
     names = F.map_from_arrays(*[F.split(F.lit(" ".join(x)), " ") for x in (several, several.values())])  # a constant
-    spread = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(names, c), c)), "")
-    whole = F.when(text.rlike("[" + "".join(several) + "]"), spread).otherwise(text)
+    pieces = F.regexp_extract_all(text, F.lit(f"{wide}|{other}+"), F.lit(0))  # these characters, and what lies between them
+    spread = F.array_join(F.transform(pieces, lambda c: F.coalesce(F.try_element_at(names, c), c)), "")
+    whole = F.when(text.rlike(wide), spread).otherwise(text)
     return F.when(text.rlike("[^\\x00-\\x7F]"), ascii_key(F.translate(whole, one, to))).otherwise(ascii_key(text))
 
 

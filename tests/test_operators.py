@@ -54,6 +54,28 @@ def test_folded_keys_are_those_of_the_decomposition(spark):
     assert [(texts[r.k], r.key) for r in found if r.key != plain(texts[r.k])] == []
 
 
+def test_folded_keys_of_long_texts(spark):
+    """Characters that become several, next to each other and in long texts; folding takes about as long as the plain key, not a step for each known character."""
+    import time
+    import unicodedata
+
+    several = list(matching._folds()[2])
+    texts = ["".join(several), "a".join(several), " é".join(several) + "z", "".join(f"{c}\U0001d400" for c in several), "½", "x½", "½x", "\U0001f12d\U0001f12d", "™ and ™"]
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower() if c.isalnum()) or None
+    found = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", matching.folded_key(F.col("t")).alias("key")).collect()
+    assert {r.k: r.key for r in found} == {k: plain(t) for k, t in enumerate(texts)}
+    long = spark.range(24).select(F.concat(F.when(F.col("id") % 2 == 0, "é").otherwise("™ é"), F.repeat(F.lit("some words of 3 parts "), F.lit(20_000))).alias("t")).persist()
+    long.count()
+
+    def took(key):
+        begin = time.perf_counter()
+        assert long.groupBy().agg(F.sum(F.length(key(F.col("t"))))).first()[0] > 0
+        return time.perf_counter() - begin
+
+    took(matching.folded_key)  # warm
+    assert min(took(matching.folded_key) for _ in range(2)) < 12 * max(took(matching.ascii_key), 0.2)
+
+
 def test_split_without_keys_or_with_odd_names(spark):
     """Rows of null keys and classes stay, equal rows too, and columns may have any name."""
     rows = [(k if k % 20 else None, "train" if k % 4 else "test", "a" if k % 3 else None, k) for k in range(200)] + [(None, "train", "a", 5)] * 3
