@@ -77,7 +77,7 @@ def folded_key(value: Column) -> Column:
     pieces = F.regexp_extract_all(text, F.lit(f"{wide}|{other}+"), F.lit(0))  # these characters, and what lies between them
     spread = F.array_join(F.transform(pieces, lambda c: F.coalesce(F.try_element_at(names, c), c)), "")
     whole = F.when(text.rlike(wide), spread).otherwise(text)
-    return F.when(text.rlike("[^\\x00-\\x7F]"), ascii_key(F.translate(whole, one, to))).otherwise(ascii_key(text))
+    return ascii_key(F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(whole, one, to)).otherwise(text))  # inside of the branches a key's steps would be taken twice
 
 
 def alias(value: Column, names: dict[str, str]) -> Column:
