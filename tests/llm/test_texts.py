@@ -423,6 +423,24 @@ def test_near_sentences_against_a_plain_version(spark, empty):
     assert {(r.doc_id, r.cutting, r["at"], r.last, r.sentence) for r in exact} == {(k, *x[:4]) for k, v in told.items() for x in v if x[4] == 2}
 
 
+def test_runs_without_a_hint_are_not_made(spark):
+    """One sentence among thousands: the rows that arrays give are those around it, not all that the text could be cut into."""
+    texts = ["Plain words here.\n" * 3000 + "Released under the MIT License.\n" + "Plain words here.\n" * 3000, "Plain words here.\n" * 3000]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = license_scan.sentence_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        assert {(r.cutting, r["at"], r.last, r.sentence) for r in found.collect()} == {(c, 3000, 3000, "mit-reference") for c in (1, 2, 3)}
+        made, plans = 0, [found._jdf.queryExecution().executedPlan()]
+        while plans:
+            plan = plans.pop()
+            plans += [plan.children().apply(k) for k in range(plan.children().size())]
+            made += plan.metrics().apply("numOutputRows").value() if plan.nodeName() == "Generate" else 0
+        assert 0 < made < 200
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_near_sentences_keep_their_numbers_and_places(spark):
     gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version %s of the License, or (at your option) any later version."
     texts = [gpl % 2, gpl % 4, (gpl % 3).replace("program", "package"), "All rights reserved. " + OPENINGS["MIT"]]
